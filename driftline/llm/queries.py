@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bytebpe, langid, licenses, linededup, packing, quality, tokenfiles
+from driftline.llm import bytebpe, langid, licenses, linededup, packing, quality, suffix, tokenfiles
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -25,6 +25,11 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix.remove_repeats(_documents(spark, sf_dir), with_bytes=False)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.round_trip_digests(_documents(spark, sf_dir), public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN)
 
@@ -46,7 +51,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write_and_read(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_license_scan, op6_byte_bpe, op7_quality_rules, op8_packing, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op2_line_dedup, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_quality_rules, op8_packing, op9_language_id, op10_token_files)}
 
 #: Expressions shared by the statements below.
 _LINES = "string_split(coalesce(text, ''), chr(10))"
