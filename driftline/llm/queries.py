@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import bytebpe, jaccard, langid, licenses, linededup, packing, quality, suffix, tokenfiles
+from driftline.llm import ann, bytebpe, jaccard, langid, licenses, linededup, packing, quality, suffix, tokenfiles
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -16,6 +16,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(rows, rows.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = linededup.drop_repeated_lines(_documents(spark, sf_dir))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -55,7 +60,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write_and_read(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op2_line_dedup, op3_ngram_jaccard, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_quality_rules, op8_packing, op9_language_id, op10_token_files)}
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_line_dedup, op3_ngram_jaccard, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_quality_rules, op8_packing, op9_language_id, op10_token_files)}
 
 #: Expressions shared by the statements below.
 _LINES = "string_split(coalesce(text, ''), chr(10))"
