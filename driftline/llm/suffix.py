@@ -33,7 +33,7 @@ GRAM = 32
 PIECE_BYTES = 1 << 20
 #: Bits of a place in a piece.
 PLACE_BITS = 21
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 1 << 20
 #: Rows under one gram held while its blocks are collapsed; beyond, they count as different blocks.
 HELD_ROWS = 200_000
 _K = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -210,25 +210,23 @@ def window_ranks(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
     Returns the order of ``starts`` and flags: equal to the one before in all ``length`` bytes.
     """
     n = len(buf)
-    room = np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)  # bytes to the text's end
+    room = (np.repeat(ends, np.diff(np.concatenate([[0], ends]))) - np.arange(n)).astype(np.int32)  # bytes to the text's end
     depth = 8
     place = np.flatnonzero(room >= depth)
     key = np.ndarray((n - 7,), ">u8", np.ascontiguousarray(buf), strides=(1,))[place].astype(np.uint64)
-    rank = np.full(n, -1, np.int64)
+    rank = np.full(n, -1, np.int32)
     order = np.argsort(key)
     place, key = place[order], key[order]
-    base = np.zeros(len(place), np.int64)  # where its group began in the order of all suffixes
-    index = np.arange(len(place))
+    index = np.arange(len(place), dtype=np.int32)
 
-    def regroup(place, key, base_of, index):
+    def regroup(place, key, index):
         new = np.ones(len(place), bool)
-        new[1:] = (key[1:] != key[:-1]) | (base_of[1:] != base_of[:-1])
+        new[1:] = key[1:] != key[:-1]
         first = np.maximum.accumulate(np.where(new, index, 0))
         rank[place] = first
-        alone = new & np.append(new[1:], True)
-        return first, ~alone
+        return first, ~(new & np.append(new[1:], True))
 
-    first, open_ = regroup(place, key, base, index)
+    first, open_ = regroup(place, key, index)
     while depth < length:
         step = min(depth, length - depth)
         stay = open_ & (room[place] >= depth + step)
@@ -242,9 +240,9 @@ def window_ranks(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, length:
         # within a group, the i-th has the group's first number plus i
         new = np.ones(len(place), bool)
         new[1:] = first[1:] != first[:-1]
-        at = np.arange(len(place))
+        at = np.arange(len(place), dtype=np.int32)
         index = first + at - np.maximum.accumulate(np.where(new, at, 0))
-        first, open_ = regroup(place, key, np.zeros(len(place), np.int64), index)
+        first, open_ = regroup(place, key, index)
         depth += step
     order = np.argsort(rank[starts], kind="stable")
     ranks = rank[starts][order]
@@ -305,21 +303,22 @@ class _Spanning:
     """Windows of one gram over several shards: sorted prints, merged by binary search."""
 
     def __init__(self):
-        self.prints: list[np.ndarray] = []
-        self.owners: list[tuple[np.ndarray, list]] = []
+        self.shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]] = []
 
-    def add(self, prints: np.ndarray, refs: list, flags: np.ndarray) -> tuple[np.ndarray, list]:
-        """Flags with matches in earlier shards, and the earlier windows now known to repeat."""
+    def add(self, prints: np.ndarray, owner: np.ndarray, inner: np.ndarray, blocks: list[tuple], flags: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
+        """Flags with matches in earlier shards, and (block, window) of earlier windows now known to repeat."""
         order = np.argsort(prints)
         mine = prints[order]
         flags, late = flags.copy(), []
-        for theirs, (back, their_refs) in zip(self.prints, self.owners, strict=True):
+        for theirs, theirs_owner, theirs_inner, theirs_blocks in self.shards:
             at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
             hit = theirs[at] == mine
             flags[order[hit]] = True
-            late += [their_refs[i] for i in np.unique(back[at[hit]])]
-        self.prints.append(mine)
-        self.owners.append((order, refs))
+            late += [(theirs_blocks[theirs_owner[i]], int(theirs_inner[i])) for i in np.unique(at[hit])]
+        # one window for each print: its twins in the same shard are flagged already
+        new = np.ones(len(mine), bool)
+        new[1:] = mine[1:] != mine[:-1]
+        self.shards.append((mine[new], owner[order[new]].astype(np.int32), inner[order[new]].astype(np.int32), blocks))
         return flags, late
 
 
@@ -352,8 +351,7 @@ def _shards(length: int):
                 part = np.flatnonzero(mine[owner])
                 if spanning is None:
                     spanning = _Spanning()
-                refs = [(rows[k], int(i)) for k, i in zip(owner[part].tolist(), inner[part].tolist(), strict=True)]
-                flags[part], late = spanning.add(_window_prints(buf, starts[part], length), refs, flags[part])
+                flags[part], late = spanning.add(_window_prints(buf, starts[part], length), owner[part], inner[part], [r[:6] for r in rows], flags[part])
                 if not goes_on:
                     spanning = None
             got = spans(rows, flags, owner, inner, late)
