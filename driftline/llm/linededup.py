@@ -59,8 +59,8 @@ def late_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
     return late.unionByName(late_hot).groupBy("id", "version").agg(F.array_sort(F.collect_set("pos")).alias("late"))
 
 
-def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_KEY_CHARS, with_text: bool = False) -> DataFrame:
-    """One row for each row of ``docs``: id, n_lines, n_dropped, keep_runs (and the kept ``text`` if ``with_text``).
+def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_KEY_CHARS, with_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of ``docs``: id, n_lines, n_dropped, keep_runs, the kept ``text`` if ``with_text``, and the columns in ``keep``.
 
     ``keep_runs`` is the run-length coded keep bitmap over lines: lengths of alternating
     runs, kept lines first (0 if the first line goes).  A line goes if its key has at least
@@ -71,14 +71,15 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
     text; lines that repeat within the first holder stay.  Other columns are ignored.
     """
     late = late_lines(docs, id, text, min_chars).withColumnsRenamed({"id": "_id", "version": "_version"})
-    own = docs.select(F.col(f"`{id}`").alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    own = docs.select(F.col(f"`{id}`").alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)])
+    more = [f"_k{i}" for i in range(len(keep))]
     p, lines = F.col("_late"), F.col("_lines")
     before = lambda j: F.coalesce(F.get("_ends", j - 1), F.lit(-1))
     return (
         own.join(late, (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_version")), "left")
-        .select("_doc", F.split("_text", "\n", -1).alias("_lines"), F.coalesce("late", F.array().cast("array<int>")).alias("_late"), "_text")
+        .select("_doc", F.split("_text", "\n", -1).alias("_lines"), F.coalesce("late", F.array().cast("array<int>")).alias("_late"), "_text", *more)
         .select(
-            *["_doc", "_lines", "_late", "_text"],
+            *["_doc", "_lines", "_late", "_text", *more],
             F.filter(p, lambda x, i: F.coalesce(F.get(p, i - 1) != x - 1, F.lit(True))).alias("_starts"),
             F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1) != x + 1, F.lit(True))).alias("_ends"),
         )
@@ -88,6 +89,7 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
             F.size(p).cast("long").alias("n_dropped"),
             F.concat(F.flatten(F.transform("_starts", lambda s, j: F.array(s - before(j) - 1, F.get("_ends", j) - s + 1))), F.array(F.size(lines) - F.coalesce(F.get(p, F.size(p) - 1), F.lit(-1)) - 1)).alias("keep_runs"),
             *([_kept(lines, F.col("_starts"), before, F.col("_text")).alias(text)] if with_text else []),
+            *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
         )
     )
 
@@ -97,6 +99,6 @@ def _kept(lines: Column, starts: Column, before, whole: Column) -> Column:
     return F.when(F.size(starts) == 0, whole).otherwise(F.array_join(F.flatten(runs), "\n"))
 
 
-def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_KEY_CHARS) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_KEY_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``keep_bitmaps`` with the kept text of each row (null text: empty; all lines gone: empty)."""
-    return keep_bitmaps(docs, id, text, min_chars, with_text=True)
+    return keep_bitmaps(docs, id, text, min_chars, True, keep)

@@ -427,8 +427,8 @@ def merged(starts: list[int], stops: list[int]) -> tuple[np.ndarray, np.ndarray]
     return a[new], b[np.append(np.flatnonzero(new)[1:] - 1, len(a) - 1)]
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), with_bytes: bool = True) -> DataFrame:
-    """One row for each row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans, the columns in ``keep``, and ``kept`` (bytes).
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, keep: tuple[str, ...] = (), with_bytes: bool = True, with_text: bool = False) -> DataFrame:
+    """One row for each row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256, spans, the columns in ``keep``, ``kept`` (bytes), and with ``with_text`` ``kept_text``, without characters that were cut in part.
 
     Every byte covered by a ``length``-byte string that also starts elsewhere, in the same text
     or another, goes.  ``spans`` are the maximal removed runs (start, stop).  Null or shorter texts
@@ -453,10 +453,10 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
                 digest.append(hashlib.sha256(rest).hexdigest())
                 a_all.append(a)
                 b_all.append(b)
-                if with_bytes:
+                if with_bytes or with_text:
                     raw_kept.append(rest)
             flat = lambda x: np.concatenate([*x, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, gone, many)), pa.array(digest, pa.string()), lists(flat(a_all), np.array(many, np.int64), pa.int64()), lists(flat(b_all), np.array(many, np.int64), pa.int64()), *(batch.column(f"k{i}") for i in range(len(keep))), *([pa.array(raw_kept, pa.binary())] if with_bytes else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "stops", *(f"k{i}" for i in range(len(keep))), *["kept"] * with_bytes])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, gone, many)), pa.array(digest, pa.string()), lists(flat(a_all), np.array(many, np.int64), pa.int64()), lists(flat(b_all), np.array(many, np.int64), pa.int64()), *(batch.column(f"k{i}") for i in range(len(keep))), *([pa.array(raw_kept, pa.binary())] if with_bytes else []), *([pa.array([r.decode("utf-8", "ignore") for r in raw_kept], pa.string())] if with_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "stops", *(f"k{i}" for i in range(len(keep))), *["kept"] * with_bytes, *["kept_text"] * with_text])
 
     joined = own.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("id", "text", "spans", *[f"k{i}" for i in range(len(keep))])
-    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>{more}" + ", kept binary" * with_bytes).withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})
+    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>{more}" + ", kept binary" * with_bytes + ", kept_text string" * with_text).withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})
