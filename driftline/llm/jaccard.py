@@ -9,10 +9,12 @@ differ in one shingle at most, the whole set may be one segment with its one-del
 neighbourhood; the cost model takes that where an item would be met by more sets than
 the neighbourhood has entries.
 
-Items are kept in packed buckets.  Sets that meet are verified on their whole shingle sets:
-in groups of a few, all pairs; in larger groups first everyone with the smallest, and then
-only pairs that are neither connected by now nor ruled out by the triangle inequality of the
-Jaccard distance.  Equal sets are one set from the start.
+Items are kept in packed buckets.  Of sets that meet, the parities of shingle counts in hashed
+cells are compared first: each cell that differs is a shingle that differs, so too many rule
+a pair out.  The rest are verified on their whole shingle sets: in groups of a few, all
+pairs; in larger groups first everyone with the smallest, and then only pairs that are neither
+connected by now nor ruled out by the triangle inequality of the Jaccard distance.  Equal
+sets are one set from the start.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ SMALL_GROUP = 6
 #: Members verified against one pivot in one group of rows.
 PIVOT_ROWS = 500
 BYTES = 6
+#: Sets to be fetched are sent to all executors if they are no more than this; else texts are shuffled.
+SEND_SETS = 100_000
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -66,6 +70,26 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
     return int(two[0]), int(two[1])
 
 
+def parities(s: np.ndarray) -> bytes:
+    """A bit for each of at least len(s) cells: whether it has an odd number of shingles."""
+    cells = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Shingles that differ at least; the finer sketch is folded to the cells of the other."""
+    x, y, bits = int.from_bytes(a, "little"), int.from_bytes(b, "little"), 8 * min(len(a), len(b))
+    wide = 8 * max(len(a), len(b))
+    while wide > bits:
+        wide //= 2
+        if len(a) > len(b):
+            x = (x ^ x >> wide) & (1 << wide) - 1
+        else:
+            y = (y ^ y >> wide) & (1 << wide) - 1
+    return (x ^ y).bit_count()
+
+
 def bands(n: int) -> tuple[tuple[int, int], ...]:
     """(band, number of items) that a set of ``n`` shingles indexes: in its own band, and in the next if a partner can be there.
 
@@ -226,19 +250,35 @@ def _sets_of(batch: pa.RecordBatch, column: str, size: int) -> Iterator[np.ndarr
 
 
 def sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n, ref, more): size and 128-bit hash of each row's shingle set."""
+    """(id, n, ref, more, sketch): size, 128-bit hash and parities of each row's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            n, a, b = [], [], []
+            n, a, b, c = [], [], [], []
             for s in _sets_of(batch, "text", size):
                 x, y = set_hashes(s)
                 n.append(len(s))
                 a.append(x)
                 b.append(y)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, a, b))], ["id", "n", "ref", "more"])
+                c.append(parities(s))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(c, pa.binary())], ["id", "n", "ref", "more", "sketch"])
+
+    return _own(docs, id, text).mapInArrow(run, "id long, n long, ref long, more long, sketch binary")
+
+
+def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of refs (a, b) with their sets (x, y: ids; more), ``least`` shingles that differ, and whether they may be ``close``."""
+    one = classes.select(F.col("ref").alias("a"), F.col("more").alias("a_more"), F.col("rep").alias("x"), F.col("n").alias("a_n"), F.col("sketch").alias("a_sketch"))
+    two = classes.select(F.col("ref").alias("b"), F.col("more").alias("b_more"), F.col("rep").alias("y"), F.col("n").alias("b_n"), F.col("sketch").alias("b_sketch"))
+    names = ["a", "b", "a_more", "b_more", "x", "y", "a_n", "b_n"]
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            least = np.array([least_difference(p, q) for p, q in zip(b.column("a_sketch").to_pylist(), b.column("b_sketch").to_pylist(), strict=True)], np.int64)
+            total = np.asarray(b.column("a_n")) + np.asarray(b.column("b_n"))
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(least), pa.array(least * (100 + PERCENT) <= (100 - PERCENT) * total)], [*names, "least", "close"])
 
-    return _own(docs, id, text).mapInArrow(run, "id long, n long, ref long, more long")
+    return pairs.join(one, "a").join(two, "b").select(*names, "a_sketch", "b_sketch").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", least long, close boolean")
 
 
 def heat_of(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> Heat:
@@ -319,16 +359,15 @@ def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id:
     return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, group long, ref long, pivot long")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, x, y, shared, joint): for pairs of refs (a, b), the ids x and y that stand for the sets, and sizes of intersection and union."""
-    one = classes.select(F.col("ref").alias("a"), F.col("more").alias("a_more"), F.col("rep").alias("x"))
-    two = classes.select(F.col("ref").alias("b"), F.col("more").alias("b_more"), F.col("rep").alias("y"))
-    named = pairs.join(one, "a").join(two, "b")
+def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(a, b, x, y, shared, joint): for sifted pairs, sizes of intersection and union."""
     degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).alias("parts"))
-    dealt = named.join(degree, "a").withColumn("group", F.xxhash64("a", "a_more", F.pmod(F.xxhash64("b"), "parts")))
+    dealt = pairs.join(degree, "a").withColumn("group", F.xxhash64("a", "a_more", F.pmod(F.xxhash64("b"), "parts")))
     member = dealt.select(F.col("y").alias("rep"), F.col("b").alias("ref"), F.col("b_more").alias("more"), "group", F.lit(1).alias("role"))
     pivot = dealt.select(F.col("x").alias("rep"), F.col("a").alias("ref"), F.col("a_more").alias("more"), "group", F.lit(0).alias("role")).distinct()
-    wanted = member.unionAll(pivot).groupBy("rep").agg(F.collect_list(F.struct("ref", "more", "group", "role")).alias("wanted"))
+    wanted = stored(member.unionAll(pivot).groupBy("rep").agg(F.collect_list(F.struct("ref", "more", "group", "role")).alias("wanted")), "wanted")
+    if wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= SEND_SETS:
+        wanted = F.broadcast(wanted)  # 40 bytes each
     asked = wanted.join(_own(docs, id, text), F.col("rep") == F.col("id")).select("id", "text", "wanted")
 
     def fetch(batches: Iterator[pa.RecordBatch]):
@@ -374,19 +413,23 @@ def verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, size: int =
 def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, links): set hashes of all rows, one row for each distinct set, and verified links (x, y) that connect all that are connected."""
     found = stored(sets(docs, size, id, text), "sets")
-    classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n")), "classes")
+    classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     heat = heat_of(docs, size, id, text)
     met = stored(candidates(docs, heat, total, size, id, text), "meetings")
-    pairs = met.where("a is not null").select("a", "b").distinct()
-    checked = stored(verified(docs, pairs, classes, size, id, text), "checked")
+    pairs = stored(sifted(met.where("a is not null").select("a", "b").distinct(), classes), "sifted")
+    checked = stored(verified(docs, pairs.where("close"), size, id, text), "checked")
     is_link = F.col("shared") * 100 >= F.col("joint") * PERCENT
     links = checked.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
     members = met.where("group is not null").select("group", "ref", "pivot").distinct()
     if members.limit(1).count():
         label = components(links)
-        apart = checked.select("a", "b", (1 - F.col("shared") / F.col("joint")).alias("apart"))
-        both = apart.unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "apart")).groupBy("a", "b").agg(F.first("apart").alias("apart"))
+        # distances that are known, and least distances of pairs that were ruled out
+        sure = (1 - F.col("shared") / F.col("joint")).alias("low")
+        total = F.col("a_n") + F.col("b_n")
+        far = (1 - (total - F.col("least")) / (total + F.col("least"))).alias("low")
+        apart = checked.select("a", "b", sure, F.lit(True).alias("exact")).unionAll(pairs.where("not close").select("a", "b", far, F.lit(False)))
+        both = apart.unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "exact")).groupBy("a", "b").agg(F.max("low").alias("low"), F.max("exact").alias("exact"))
         placed = (
             members.join(classes.select("ref", "rep", "n"), "ref")
             .join(label.withColumnRenamed("id", "rep"), "rep", "left")
@@ -394,18 +437,26 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
         )
         # groups that are not yet one component; sums before the shuffle
         open_ = placed.groupBy("group").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("group")
-        left = placed.join(open_, "group", "left_semi").join(both.withColumnsRenamed({"a": "pivot", "b": "ref"}), ["pivot", "ref"], "left").withColumn("apart", F.coalesce("apart", F.lit(0.0)))
-        left = stored(left.select("group", "pivot", "ref", "n", "component", "apart"), "open")
+        left = placed.join(open_, "group", "left_semi").join(both.withColumnsRenamed({"a": "pivot", "b": "ref"}), ["pivot", "ref"], "left")
+        itself = F.col("pivot") == F.col("ref")
+        left = left.select("group", "pivot", "ref", "n", "component", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).when(F.col("exact"), F.col("low")).otherwise(1.0).alias("high"))
+        left = stored(left, "open")
         p, q = left.alias("p"), left.alias("q")
         slack = (100 - PERCENT) / 100 + 1e-9
         more = (
-            p.join(q, (F.col("p.group") == F.col("q.group")) & (F.col("p.component") < F.col("q.component")))
-            .where((100 * F.least("p.n", "q.n") >= PERCENT * F.greatest("p.n", "q.n")) & ((F.col("p.pivot") != F.col("q.pivot")) | (F.abs(F.col("p.apart") - F.col("q.apart")) <= slack)))
+            p.join(
+                q,
+                (F.col("p.group") == F.col("q.group"))
+                & (F.col("p.component") < F.col("q.component"))
+                & (100 * F.least("p.n", "q.n") >= PERCENT * F.greatest("p.n", "q.n"))
+                & ((F.col("p.pivot") != F.col("q.pivot")) | ((F.col("p.low") - F.col("q.high") <= slack) & (F.col("q.low") - F.col("p.high") <= slack))),
+            )
             .select(F.col("p.ref").alias("a"), F.col("q.ref").alias("b"))
             .distinct()
             .join(both.select("a", "b"), ["a", "b"], "left_anti")
         )
-        late = stored(verified(docs, more, classes, size, id, text), "checked")
+        more = stored(sifted(more, classes), "sifted")
+        late = stored(verified(docs, more.where("close"), size, id, text), "checked")
         links = links.unionAll(late.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b")))
     return found, classes, links
 
