@@ -12,9 +12,11 @@ the neighbourhood has entries.
 Items are kept in packed buckets.  Of sets that meet, the parities of shingle counts in hashed
 cells are compared first: each cell that differs is a shingle that differs, so too many rule
 a pair out.  The rest are verified on their whole shingle sets: in groups of a few, all
-pairs; in larger groups first everyone with the smallest, and then only pairs that are neither
-connected by now nor ruled out by the triangle inequality of the Jaccard distance.  Equal
-sets are one set from the start.
+pairs; in larger groups everyone with a pivot, the set that is in most groups and so the
+likely original.  What is not connected then is compared cell by cell within its group, in
+blocks, and only the closest pairs of two components are verified, more in each round, until
+no pair of different components is left that might be similar.  Equal sets are one set from
+the start.
 """
 
 from __future__ import annotations
@@ -36,14 +38,16 @@ PERCENT = 75
 #: Sets of the lowest band have fewer shingles than this and differ in one at most.
 LOWEST = (2 * (100 + PERCENT) - 1) // (100 - PERCENT) // 2 + 1
 #: Shingles known to be frequent: at most so many, found in a sample of one document in so many.
-HOT_SHINGLES = 50_000
-HOT_SAMPLE = 64
+HOT_SHINGLES = 200_000
+HOT_SAMPLE = 16
 #: Entries of a bucket, about.
 BUCKET = 1_000_000
 #: Groups of up to so many sets are verified in all pairs at once.
 SMALL_GROUP = 6
 #: Members verified against one pivot in one group of rows.
 PIVOT_ROWS = 500
+#: Sets of a group compared in one block, and pairs of two components verified in the first round.
+BLOCK_SETS, FIRST_PAIRS = 8192, 4
 BYTES = 6
 #: Sets to be fetched are sent to all executors if they are no more than this; else texts are shuffled.
 SEND_SETS = 100_000
@@ -71,8 +75,8 @@ def set_hashes(s: np.ndarray) -> tuple[int, int]:
 
 
 def parities(s: np.ndarray) -> bytes:
-    """A bit for each of at least len(s) cells: whether it has an odd number of shingles."""
-    cells = max(64, 1 << (max(1, len(s)) - 1).bit_length())
+    """A bit for each of at least 2 * len(s) cells: whether it has an odd number of shingles."""
+    cells = max(64, 2 << (max(1, len(s)) - 1).bit_length())
     odd = np.bincount((s & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
@@ -189,11 +193,10 @@ def near_enough(a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray | bool:
     return 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
 
 
-def meetings(keys: np.ndarray, refs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a bucket: candidate pairs (ref, ref), and members of larger groups (group, ref, pivot).
+def meetings(keys: np.ndarray, refs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a bucket: candidate pairs (ref, ref) of small groups, and members of larger ones (group, ref).
 
     A group is the sets that share a key, in order of size and ref; equal groups count once.
-    Its pairs are those of each set with its pivot, the smallest set of a run of suitable sizes.
     """
     order = np.lexsort((refs, sizes, keys))
     keys, refs, sizes = keys[order], refs[order], sizes[order]
@@ -207,7 +210,7 @@ def meetings(keys: np.ndarray, refs: np.ndarray, sizes: np.ndarray) -> tuple[np.
     count = np.diff(np.append(first, len(keys)))
     first, count = first[count > 1], count[count > 1]
     none = np.zeros(0, np.int64)
-    a, b, groups, members, pivots = [none], [none], [none], [none], [none]
+    a, b, groups, members = [none], [none], [none], [none]
     for g in range(2, SMALL_GROUP + 1):
         at = first[count == g]
         if len(at):
@@ -218,26 +221,18 @@ def meetings(keys: np.ndarray, refs: np.ndarray, sizes: np.ndarray) -> tuple[np.
             b.append(refs[y[ok]])
     seen: set[int] = set()
     for at, n in zip(first[count > SMALL_GROUP].tolist(), count[count > SMALL_GROUP].tolist(), strict=True):
-        r, z = refs[at : at + n], sizes[at : at + n]
+        r = refs[at : at + n]
         gid = int(mix(r.view(np.uint64), 43).sum(dtype=np.uint64).view(np.int64))
-        if gid in seen:
-            continue
-        seen.add(gid)
-        groups.append(np.full(n, gid))
-        members.append(r)
-        low = 0
-        while low < n:
-            high = int(np.searchsorted(z * PERCENT, 100 * z[low], "right"))
-            a.append(np.full(high - low - 1, r[low]))
-            b.append(r[low + 1 : high])
-            pivots.append(np.full(high - low, r[low]))
-            low = high
+        if gid not in seen:
+            seen.add(gid)
+            groups.append(np.full(n, gid))
+            members.append(r)
     x, y = np.concatenate(a), np.concatenate(b)
     order = np.lexsort((y, x))
     x, y = x[order], y[order]
     new = np.ones(len(x), bool)
     new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[new], y[new], np.concatenate(groups), np.concatenate(members), np.concatenate(pivots)
+    return x[new], y[new], np.concatenate(groups), np.concatenate(members)
 
 
 def _own(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -297,7 +292,7 @@ def heat_of(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str
 
 
 def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(a, b, group, ref, pivot): pairs of set refs to verify, and members of the larger groups."""
+    """(a, b, group, ref): pairs of set refs to verify, and members of the larger groups."""
     buckets = max(8, total // 2 // BUCKET)
     hot = docs.sparkSession.sparkContext.broadcast((heat.keys, heat.counts))  # HOT_SHINGLES entries at most
 
@@ -327,21 +322,20 @@ def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id:
                 refs.append(ref)
                 sizes.append(len(s))
                 held += len(found[-1])
-                if held > 3_000_000:
+                if held > 1_500_000:
                     yield emit(found, refs, sizes)
                     found, refs, sizes, held = [], [], [], 0
             if found:
                 yield emit(found, refs, sizes)
 
     def meet(batches: Iterator[pa.RecordBatch]):
-        kinds = [pa.int64()] * 5
-        names = ["a", "b", "group", "ref", "pivot"]
+        names = ["a", "b", "group", "ref"]
 
         def solve(blobs):
-            x, y, g, r, p = meetings(*(np.concatenate(c) for c in zip(*map(unpack_entries, blobs), strict=True)))
-            pairs, member = [pa.array(x), pa.array(y), *(pa.nulls(len(x), pa.int64()) for _ in range(3))], [pa.nulls(len(g), pa.int64()), pa.nulls(len(g), pa.int64()), pa.array(g), pa.array(r), pa.array(p)]
-            for columns in (pairs, member):
-                yield pa.RecordBatch.from_arrays([c.cast(k) for c, k in zip(columns, kinds, strict=True)], names)
+            x, y, g, r = meetings(*(np.concatenate(c) for c in zip(*map(unpack_entries, blobs), strict=True)))
+            blank = lambda n: pa.nulls(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), blank(len(x)), blank(len(x))], names)
+            yield pa.RecordBatch.from_arrays([blank(len(g)), blank(len(g)), pa.array(g), pa.array(r)], names)
 
         held: list[bytes] = []
         bucket = None
@@ -356,7 +350,7 @@ def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id:
             yield from solve(held)
 
     packed = _own(docs, id, text).where("id is not null").mapInArrow(index, "bucket long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, group long, ref long, pivot long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, group long, ref long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -410,54 +404,140 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "
     return sent.mapInArrow(compare, "a long, b long, x long, y long, shared long, joint long")
 
 
+def close_pairs(refs: np.ndarray, n: np.ndarray, labels: np.ndarray, sketches: list[bytes], own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of sets with different labels that may be similar, the closest ``most`` of each two labels, and whether there are more.
+
+    ``own`` tells two sides apart: with both present, pairs are across them only.
+    """
+    order = np.lexsort((refs, n))
+    refs, n, labels, own = refs[order], n[order], labels[order], own[order]
+    sketches = [sketches[i] for i in order.tolist()]
+    across = len(np.unique(own)) > 1
+    wide = np.array([len(x) for x in sketches])
+    edges = np.searchsorted(n * PERCENT, 100 * n, "right")  # sizes that suit end here
+    bits: dict[tuple[int, int], np.ndarray] = {}
+
+    def folded(width: int, to: int) -> np.ndarray:
+        if (width, to) not in bits:
+            x = np.frombuffer(b"".join(sketches[i] for i in np.flatnonzero(wide == width).tolist()), "<u8").reshape(-1, width // 8)
+            bits[width, to] = np.bitwise_xor.reduce(x.reshape(len(x), width // to, to // 8), axis=1)
+        return bits[width, to]
+
+    place = np.zeros(len(wide), np.int64)
+    for width in np.unique(wide).tolist():
+        place[wide == width] = np.arange(int((wide == width).sum()))
+    kept: list[np.ndarray] = []
+    more = False
+
+    def reduce(rows: np.ndarray) -> np.ndarray:
+        """Rows (i, j, difference): the closest of each two labels."""
+        nonlocal more
+        low, high = np.minimum(labels[rows[:, 0]], labels[rows[:, 1]]), np.maximum(labels[rows[:, 0]], labels[rows[:, 1]])
+        rank = np.lexsort((rows[:, 1], rows[:, 0], rows[:, 2], high, low))
+        low, high, rows = low[rank], high[rank], rows[rank]
+        at = np.arange(len(rows))
+        new = np.ones(len(rows), bool)
+        new[1:] = (low[1:] != low[:-1]) | (high[1:] != high[:-1])
+        inside = at - np.maximum.accumulate(np.where(new, at, 0))
+        more |= bool((inside >= most).any())
+        return rows[inside < most]
+
+    for low in range(0, len(refs), 128):
+        mine = np.arange(low, min(low + 128, len(refs)))
+        end = int(edges[mine].max())
+        to = int(wide[mine].min())
+        for width in np.unique(wide[low:end]).tolist():
+            if width < to:
+                continue
+            theirs = low + np.flatnonzero(wide[low:end] == width)
+            y = folded(width, to)[place[theirs]]
+            for i in mine.tolist():
+                ok = (theirs > i) & (theirs < edges[i]) & (labels[theirs] != labels[i])
+                if across:
+                    ok &= own[theirs] != own[i]
+                which = np.flatnonzero(ok)
+                if not len(which):
+                    continue
+                x = folded(int(wide[i]), to)[place[i]]
+                apart = np.bitwise_count(y[which] ^ x).sum(1, dtype=np.int64)
+                near = apart * (100 + PERCENT) <= (100 - PERCENT) * (n[i] + n[theirs[which]])
+                if near.any():
+                    j = theirs[which[near]]
+                    kept.append(reduce(np.stack([np.full(len(j), i), j, apart[near]], 1)))
+        if sum(map(len, kept)) > 200_000:
+            kept = [reduce(np.concatenate(kept))]
+    if not kept:
+        return refs[:0], refs[:0], False
+    rows = reduce(np.concatenate(kept))
+    return refs[rows[:, 0]], refs[rows[:, 1]], more
+
+
+def open_pairs(placed: DataFrame, most: int) -> DataFrame:
+    """(a, b, more): for groups of several components, pairs of these that may be similar.
+
+    ``placed`` has group, ref, n, component and sketch.  A group larger than a block is dealt
+    to pairs of blocks.
+    """
+    sizes = placed.groupBy("group").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l < h").select("group", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("ref"), F.col("parts")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
+    dealt = placed.join(sizes, "group").withColumn("part", part).select("*", other).select("group", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "ref", "n", "component", "sketch")
+
+    def compare(batches: Iterator[pa.RecordBatch]):
+        held: list[tuple] = []
+        cell = None
+
+        def solve():
+            part, refs, n, labels = (np.array([r[k] for r in held], np.int64) for k in (3, 4, 5, 6))
+            a, b, more = close_pairs(refs, n, labels, [r[7] for r in held], part, most)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), more))], ["a", "b", "more"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(k).to_pylist() for k in ("group", "i", "j", "part", "ref", "n", "component", "sketch")), strict=True):
+                if row[:3] != cell:
+                    if len(held) > 1:
+                        yield solve()
+                    held, cell = [], row[:3]
+                held.append(row)
+        if len(held) > 1:
+            yield solve()
+
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a long, b long, more boolean")
+
+
 def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, links): set hashes of all rows, one row for each distinct set, and verified links (x, y) that connect all that are connected."""
+    """(sets, classes, links): set hashes of all rows, one row for each distinct set, and verified links (a, b) that connect all that are connected."""
     found = stored(sets(docs, size, id, text), "sets")
     classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     heat = heat_of(docs, size, id, text)
     met = stored(candidates(docs, heat, total, size, id, text), "meetings")
-    pairs = stored(sifted(met.where("a is not null").select("a", "b").distinct(), classes), "sifted")
-    checked = stored(verified(docs, pairs.where("close"), size, id, text), "checked")
+    members = stored(met.where("group is not null").select("group", "ref").distinct(), "members")
+    # the set in most groups is the pivot of all groups it is in; sums before the shuffle
+    often = members.groupBy("ref").agg(F.count(F.lit(1)).alias("groups"))
+    pivots = members.join(often, "ref").groupBy("group").agg(F.max_by("ref", F.struct("groups", "ref")).alias("pivot"))
+    stars = members.join(pivots, "group").where("ref <> pivot").select(F.col("pivot").alias("a"), F.col("ref").alias("b"))
+    pairs = met.where("a is not null").select("a", "b").unionAll(stars).distinct()
     is_link = F.col("shared") * 100 >= F.col("joint") * PERCENT
-    links = checked.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    members = met.where("group is not null").select("group", "ref", "pivot").distinct()
-    if members.limit(1).count():
-        label = components(links)
-        # distances that are known, and least distances of pairs that were ruled out
-        sure = (1 - F.col("shared") / F.col("joint")).alias("low")
-        total = F.col("a_n") + F.col("b_n")
-        far = (1 - (total - F.col("least")) / (total + F.col("least"))).alias("low")
-        apart = checked.select("a", "b", sure, F.lit(True).alias("exact")).unionAll(pairs.where("not close").select("a", "b", far, F.lit(False)))
-        both = apart.unionAll(apart.select(F.col("b").alias("a"), F.col("a").alias("b"), "low", "exact")).groupBy("a", "b").agg(F.max("low").alias("low"), F.max("exact").alias("exact"))
-        placed = (
-            members.join(classes.select("ref", "rep", "n"), "ref")
-            .join(label.withColumnRenamed("id", "rep"), "rep", "left")
-            .withColumn("component", F.coalesce("component", "rep"))
-        )
-        # groups that are not yet one component; sums before the shuffle
-        open_ = placed.groupBy("group").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("group")
-        left = placed.join(open_, "group", "left_semi").join(both.withColumnsRenamed({"a": "pivot", "b": "ref"}), ["pivot", "ref"], "left")
-        itself = F.col("pivot") == F.col("ref")
-        left = left.select("group", "pivot", "ref", "n", "component", F.when(itself, 0.0).otherwise(F.coalesce("low", F.lit(0.0))).alias("low"), F.when(itself, 0.0).when(F.col("exact"), F.col("low")).otherwise(1.0).alias("high"))
-        left = stored(left, "open")
-        p, q = left.alias("p"), left.alias("q")
-        slack = (100 - PERCENT) / 100 + 1e-9
-        more = (
-            p.join(
-                q,
-                (F.col("p.group") == F.col("q.group"))
-                & (F.col("p.component") < F.col("q.component"))
-                & (100 * F.least("p.n", "q.n") >= PERCENT * F.greatest("p.n", "q.n"))
-                & ((F.col("p.pivot") != F.col("q.pivot")) | ((F.col("p.low") - F.col("q.high") <= slack) & (F.col("q.low") - F.col("p.high") <= slack))),
-            )
-            .select(F.col("p.ref").alias("a"), F.col("q.ref").alias("b"))
-            .distinct()
-            .join(both.select("a", "b"), ["a", "b"], "left_anti")
-        )
-        more = stored(sifted(more, classes), "sifted")
-        late = stored(verified(docs, more.where("close"), size, id, text), "checked")
-        links = links.unionAll(late.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    links = seen = None
+    most = FIRST_PAIRS
+    while True:
+        met_now = stored(sifted(pairs, classes), "sifted")
+        checked = stored(verified(docs, met_now.where("close"), size, id, text), "checked")
+        new = checked.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
+        links = new if links is None else links.unionAll(new)
+        tried = met_now.select("a", "b").unionAll(met_now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        seen = tried if seen is None else seen.unionAll(tried)
+        if not members.limit(1).count():
+            break
+        label = components(links).withColumnRenamed("id", "rep")
+        placed = members.join(classes.select("ref", "rep", "n", "sketch").join(label, "rep", "left").select("ref", "n", "sketch", F.coalesce("component", "rep").alias("component")), "ref")
+        left = stored(open_pairs(placed, most), "open")
+        pairs = left.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        if not pairs.limit(1).count():
+            if not left.where("more").limit(1).count():
+                break
+        most *= 8
     return found, classes, links
 
 
