@@ -6,6 +6,7 @@ import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words left out of the index and of queries; fixed values.
 STOP_WORDS = """
@@ -142,7 +143,7 @@ class Porter:
         return w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(tokens):
     """Folded and stemmed tokens; there is no built-in stemmer."""
     memo: dict[str, str] = {}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 Z = lambda: F.lit(0.0)
 
@@ -62,18 +63,18 @@ def valid_query(v: Column, dim: int) -> Column:
     return v.isNotNull() & (F.size(v) == dim) & F.coalesce(is_finite(v), F.lit(False))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_f32(raw):
     """Little-endian 32-bit floats from bytes (no built-in reinterprets bytes); null if the length is no multiple of four."""
     return raw.map(lambda b: None if b is None or len(b) % 4 else np.frombuffer(b, "<f4"))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_f32(v):
     return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_i8(v):
     return v.map(lambda x: None if x is None else np.asarray(x, "i1").tobytes())
 

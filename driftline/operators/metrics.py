@@ -53,7 +53,7 @@ def counter_rate(samples: DataFrame, by: str, seconds: int = 60) -> DataFrame:
     whole = Window.partitionBy(by)
     last = series.withColumn("latest", F.max("series").over(whole)).where(F.col("series") == F.col("latest"))
     ends = last.groupBy(by).agg(F.max("ts").alias("t1"), F.max_by("n", "ts").alias("n1"), F.min("ts").alias("t0"))
-    sec = lambda c: F.unix_micros(F.col(c)) / 1e6
+    sec = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
     old = last.join(ends, by).where(sec("t1") - sec("ts") >= seconds).groupBy(by).agg(F.max("ts").alias("told"))
     start = ends.join(old, by, "left").withColumn("ts", F.coalesce("told", "t0"))
     rate = (F.col("n1") - F.col("n")) / F.nullif(sec("t1") - sec("ts"), F.lit(0.0))
@@ -89,7 +89,7 @@ def token_bucket(events: DataFrame, by: str, rate: float = 5.0, burst: float = 2
                     out[i] = True
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out)], [by, id, "allowed"])
 
-    ordered = events.select(by, id, F.unix_micros("ts").alias("us")).repartition(by).sortWithinPartitions(by, "us", id)
+    ordered = events.select(by, id, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).repartition(by).sortWithinPartitions(by, "us", id)
     return ordered.mapInArrow(run, f"{by} {kinds[by]}, {id} {kinds[id]}, allowed boolean")
 
 
