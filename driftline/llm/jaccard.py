@@ -47,7 +47,7 @@ SMALL_GROUP = 6
 #: Members verified against one pivot in one group of rows.
 PIVOT_ROWS = 500
 #: Sets of a group compared in one block, and pairs of two components verified in the first round.
-BLOCK_SETS, FIRST_PAIRS = 8192, 4
+BLOCK_SETS, FIRST_PAIRS = 8192, 8
 BYTES = 6
 #: Sets to be fetched are sent to all executors if they are no more than this; else texts are shuffled.
 SEND_SETS = 100_000
@@ -475,7 +475,7 @@ def close_pairs(refs: np.ndarray, n: np.ndarray, labels: np.ndarray, sketches: l
 def open_pairs(placed: DataFrame, most: int) -> DataFrame:
     """(a, b, more): for groups of several components, pairs of these that may be similar.
 
-    ``placed`` has group, ref, n, component and sketch.  A group larger than a block is dealt
+    ``placed`` has group (its pivot), ref, n, component and sketch.  A group larger than a block is dealt
     to pairs of blocks.
     """
     sizes = placed.groupBy("group").agg(F.min("component").alias("l"), F.max("component").alias("h"), F.count(F.lit(1)).alias("size")).where("l < h").select("group", F.ceil(F.col("size") / BLOCK_SETS).cast("int").alias("parts"))
@@ -512,11 +512,12 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
     total = classes.agg(F.sum("n")).first()[0] or 0
     heat = heat_of(docs, size, id, text)
     met = stored(candidates(docs, heat, total, size, id, text), "meetings")
-    members = stored(met.where("group is not null").select("group", "ref").distinct(), "members")
-    # the set in most groups is the pivot of all groups it is in; sums before the shuffle
-    often = members.groupBy("ref").agg(F.count(F.lit(1)).alias("groups"))
-    pivots = members.join(often, "ref").groupBy("group").agg(F.max_by("ref", F.struct("groups", "ref")).alias("pivot"))
-    stars = members.join(pivots, "group").where("ref <> pivot").select(F.col("pivot").alias("a"), F.col("ref").alias("b"))
+    entered = met.where("group is not null").select("group", "ref").distinct()
+    # of each group the set that is in most groups is the pivot; groups with one pivot become one
+    often = entered.groupBy("ref").agg(F.count(F.lit(1)).alias("groups"))
+    pivots = entered.join(often, "ref").groupBy("group").agg(F.max_by("ref", F.struct("groups", "ref")).alias("pivot"))
+    members = stored(entered.join(pivots, "group").select(F.col("pivot").alias("group"), "ref").distinct(), "members")
+    stars = members.where("ref <> group").select(F.col("group").alias("a"), F.col("ref").alias("b"))
     pairs = met.where("a is not null").select("a", "b").unionAll(stars).distinct()
     is_link = F.col("shared") * 100 >= F.col("joint") * PERCENT
     links = seen = None
