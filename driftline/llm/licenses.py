@@ -94,7 +94,7 @@ EQUIVALENT = (
     ("wilful", "willful"),
 )
 #: A line of a copyright notice: (c), the sign or the word, then a year or a name; or the rights phrase.
-COPYRIGHT_LINE = r"(?m)^[^\p{L}\n]*(?:(?:copyright|©|\(c\))[^\p{L}\n]*(?:\(c\)|©)?[^\n]*\d{4}[^\n]*|all rights reserved\.?[^\p{L}\n]*)$"
+COPYRIGHT_LINE = r"(?md)^[^\p{L}\n]*(?:(?:copyright|©|\(c\))[^\p{L}\n]*(?:\(c\)|©)?[^\n]*\d{4}[^\n]*|all rights reserved\.?[^\p{L}\n]*)$"
 
 
 def canonical(text: Column) -> Column:

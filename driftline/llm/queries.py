@@ -67,6 +67,25 @@ _LINES = "string_split(coalesce(text, ''), chr(10))"
 _WHITE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UPPER, _LOWER = linededup.UPPER, linededup.LOWER
 
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _canonical_sql(x: str) -> str:
+    """The canonical form of licence texts; the copyright pattern without the flag that only Java has."""
+    x = f"regexp_replace(lower({x}), {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, ' ', 'g')"
+    x = rf"(' ' || trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') || ' ')"
+    for other, one in licenses.EQUIVALENT:
+        x = f"replace(replace({x}, ' {other} ', ' {one} '), ' {other} ', ' {one} ')"
+    return f"trim({x}, ' ')"
+
+
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN)
+_WORD = r"'[^\x20\x09-\x0D]+'"
+_LONGEST = 2 * max(len(t) for _, t in licenses.KNOWN)
+
 ORACLE_SQL = {
     "op2_line_dedup": f"""
 WITH l AS (
@@ -81,4 +100,45 @@ WITH l AS (
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM j GROUP BY doc_id""",
+    "op4_license_scan": f"""
+WITH known AS (
+  SELECT sha256({_canonical_sql("text")}) AS digest, min(name) AS license_id FROM (VALUES {_KNOWN}) k(name, text) GROUP BY 1
+), c AS (
+  SELECT doc_id, {_canonical_sql("text")} AS c FROM documents
+), l AS (
+  SELECT doc_id, unnest({_LINES}) AS line FROM documents
+), hits AS (
+  SELECT l.doc_id, k.license_id FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM l
+    WHERE regexp_matches(lower(line), 'licen[sc]e|permission|software') AND length(line) <= {_LONGEST}) l JOIN known k ON l.digest = k.digest
+), h AS (
+  SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS names FROM hits GROUP BY doc_id
+)
+SELECT c.doc_id, CAST(length(c) AS BIGINT) AS n_canonical, sha256(c) AS digest, k.license_id, CAST(coalesce(n, 0) AS BIGINT) AS n_license_lines, coalesce(names, '') AS line_licenses
+FROM c LEFT JOIN known k ON sha256(c) = k.digest LEFT JOIN h ON c.doc_id = h.doc_id""",
+    "op7_quality_rules": rf"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, {_WORD}) AS x FROM d)
+), t AS (
+  SELECT doc_id, p, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM w WINDOW o AS (PARTITION BY doc_id ORDER BY p)
+), r AS (
+  SELECT doc_id, count(DISTINCT p + k) AS n FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, w, w2, w3) AS c FROM t WHERE w3 IS NOT NULL) x, (VALUES (0), (1), (2)) v(k) WHERE c > 1 GROUP BY doc_id
+), l AS (
+  SELECT doc_id, source, line, translate(trim(line, {_WHITE}), '{_UPPER}', '{_LOWER}') AS key, len(regexp_extract_all(line, {_WORD})) AS n
+  FROM (SELECT doc_id, source, unnest({_LINES}) AS line FROM d) WHERE regexp_matches(line, {_WORD})
+), f AS (
+  SELECT h.source, h.key FROM (SELECT source, key, count(DISTINCT doc_id) AS n FROM l GROUP BY source, key) h
+  JOIN (SELECT source, count(*) AS docs FROM d GROUP BY source) s ON h.source = s.source WHERE n > {quality.LINE_DOCS} AND n > {quality.LINE_SHARE}::DOUBLE * docs
+), per AS (
+  SELECT l.doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(l.n) FILTER (WHERE f.key IS NOT NULL), 0) AS lost FROM l LEFT JOIN f ON l.source = f.source AND l.key = f.key GROUP BY l.doc_id
+), a AS (
+  SELECT d.doc_id, CAST(len(regexp_extract_all(text, {_WORD})) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines,
+         CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(lost, 0) AS BIGINT) AS n_frequent_words
+  FROM d LEFT JOIN per ON d.doc_id = per.doc_id LEFT JOIN r ON d.doc_id = r.doc_id
+), b AS (
+  SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - n_frequent_words < {quality.LEFT_SHARE}::DOUBLE * n_words AS depleted FROM a
+)
+SELECT *, NOT base_failed AND NOT depleted AS kept FROM b""",
 }
