@@ -47,7 +47,7 @@ SMALL_GROUP = 6
 #: Members verified against one pivot in one group of rows.
 PIVOT_ROWS = 500
 #: Sets of a group compared in one block, and pairs of two components verified in the first round.
-BLOCK_SETS, FIRST_PAIRS = 8192, 8
+BLOCK_SETS, FIRST_PAIRS = 8192, 16
 BYTES = 6
 #: Sets to be fetched are sent to all executors if they are no more than this; else texts are shuffled.
 SEND_SETS = 100_000
@@ -506,7 +506,7 @@ def open_pairs(placed: DataFrame, most: int) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, links): set hashes of all rows, one row for each distinct set, and verified links (a, b) that connect all that are connected."""
+    """(sets, classes, labels): set hashes of all rows, one row for each distinct set, and (rep, component) of sets with links."""
     found = stored(sets(docs, size, id, text), "sets")
     classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -529,17 +529,17 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
         links = new if links is None else links.unionAll(new)
         tried = met_now.select("a", "b").unionAll(met_now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = tried if seen is None else seen.unionAll(tried)
+        label = stored(components(links).withColumnRenamed("id", "rep"), "labels")
         if not members.limit(1).count():
             break
-        label = components(links).withColumnRenamed("id", "rep")
         placed = members.join(classes.select("ref", "rep", "n", "sketch").join(label, "rep", "left").select("ref", "n", "sketch", F.coalesce("component", "rep").alias("component")), "ref")
         left = stored(open_pairs(placed, most), "open")
-        pairs = left.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti")
+        pairs = stored(left.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
         if not pairs.limit(1).count():
             if not left.where("more").limit(1).count():
                 break
-        most *= 8
-    return found, classes, links
+        most *= 16
+    return found, classes, label
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -551,8 +551,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", te
     has a null component.  Rows that repeat an id are one node with the links of all.  Ids are
     cast to long; other columns are ignored.
     """
-    found, classes, links = similar_sets(docs, size, id, text)
-    label = components(links).withColumnRenamed("id", "rep")
+    found, classes, label = similar_sets(docs, size, id, text)
     # one row for each set: hot sets are split by adaptive execution
     of_set = classes.join(label, "rep", "left").select("ref", "more", F.coalesce("component", "rep").alias("component"))
     return found.join(of_set, ["ref", "more"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))).alias("component_id"))

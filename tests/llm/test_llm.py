@@ -171,8 +171,11 @@ def test_near_copies_of_nothing(empty):
 
 def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(7, 7)]
-    got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    df = spark.createDataFrame(links, "a long, b long")
+    for one_task in (0, 1000):
+        got = {r["id"]: r["component"] for r in components.components(df, one_task).collect()}
+        assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 160)}
+    assert components.components(df.limit(0)).count() == 0
 
 
 # 4: licences
