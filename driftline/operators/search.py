@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import vectors as V
@@ -24,6 +24,8 @@ QUERY_CHUNK = 4096
 #: Below so many rows an index has no clusters; bounds of their number.
 FLAT_BELOW, LEAST_LISTS, MOST_LISTS = 200_000, 256, 65_536
 NPROBE = 48
+#: Ranges in which the rows of a cluster are numbered.
+ROW_PARTS = 16
 
 
 def auto_nlist(n: int) -> int:
@@ -44,21 +46,21 @@ def quantized(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def build_index(papers: DataFrame, centroids: DataFrame | None = None, id: str = "id", vector: str = "embedding", order: str = "seq") -> DataFrame:
     """The index of papers that are not excluded: their columns, cluster, row, scale and q.
 
-    ``row`` is the place after a stable grouping by cluster: clusters are counted, counts summed
-    up to each (a row for each cluster), and places given within.
+    ``row`` is the place after a stable grouping by cluster.  Rows are numbered within a cluster
+    and one of ``ROW_PARTS`` ranges of ``order``, and the counts before are added, so neither a
+    flat index nor a hot cluster is numbered in one task.
     """
     df = quantized(papers.where(~F.coalesce(F.col("excluded"), F.lit(False))) if "excluded" in papers.columns else papers, vector)
     df = assign(df, centroids) if centroids is not None else df.withColumn("cluster", F.lit(0))
-    before = F.sum("n").over(Window.orderBy("cluster").rowsBetween(Window.unboundedPreceding, -1))
-    starts = df.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select("cluster", F.coalesce(before, F.lit(0)).alias("start"))
-    inner = F.row_number().over(Window.partitionBy("cluster").orderBy(order, id)) - 1
-    return df.withColumn("inner", inner).join(starts, "cluster").withColumn("row", F.col("start") + F.col("inner")).drop("start", "inner", "u")
-
-
-def nearest_centroid(vector: Column, centroids: list[tuple[int, list[float]]]) -> Column:
-    """The cluster of the largest inner product, ties to the first; centroids are literals of the plan (few)."""
-    scored = F.array(*[F.struct(V.dot(vector, F.array(*[F.lit(float(x)) for x in c])).alias("s"), F.lit(-k).alias("k")) for k, c in centroids])
-    return -F.array_max(scored)["k"]
+    edges = sorted(set(papers.approxQuantile(order, [i / ROW_PARTS for i in range(1, ROW_PARTS)], 0.01)))
+    part = F.lit(0)
+    for edge in edges:
+        part = part + (F.col(order) > edge).cast("int")
+    df = df.withColumn("part", part)
+    before = F.sum("n").over(Window.orderBy("cluster", "part").rowsBetween(Window.unboundedPreceding, -1))  # clusters * ROW_PARTS rows
+    starts = df.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).select("cluster", "part", F.coalesce(before, F.lit(0)).alias("start"))
+    inner = F.row_number().over(Window.partitionBy("cluster", "part").orderBy(order, id)) - 1
+    return df.withColumn("inner", inner).join(starts, ["cluster", "part"]).withColumn("row", F.col("start") + F.col("inner")).drop("start", "inner", "part", "u")
 
 
 def assign(df: DataFrame, centroids: DataFrame, vector: str = "u") -> DataFrame:
