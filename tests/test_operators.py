@@ -273,3 +273,11 @@ def test_sitemap_chunks(spark):
 def test_backfill_progress(spark):
     row = one(spark, *metrics.backfill_progress(F.lit(50), F.lit(200), F.lit(10), F.lit(2.0), F.lit(25)))
     assert row[0] == 25 and math.isclose(row[1], (150 * 0.5 + 10) / 2)
+
+
+def test_embedding_hook(spark):
+    from driftline.operators.embed import embed
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(10)] + [(10, None)], "id long, text string")
+    got = {r["id"]: list(r["embedding"]) for r in embed(df, lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=3).collect()}
+    assert got == {i: [float(i), 1.0] for i in range(10)} | {10: [0.0, 1.0]}
