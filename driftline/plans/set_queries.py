@@ -96,13 +96,13 @@ def ingest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status(papers(spark, sf_dir), table(spark, sf_dir, "embeddings"), search_index(spark, sf_dir))
 
 
-@query("SELECT doc_id, round(least(100, doc_id / 1000.0::DOUBLE * 100), 6) AS percent, round(((1000 - doc_id) * (CASE WHEN doc_id > 0 THEN least(1, (doc_id // 2) / CAST(greatest(doc_id, 1) AS DOUBLE)) ELSE 1 END) + 10) / 2.5::DOUBLE, 4) AS seconds FROM documents WHERE doc_id <= 1000")
+@query("SELECT doc_id, round(least(100, doc_id / 1000000000.0::DOUBLE * 100), 9) AS percent, round(((1000000000 - doc_id) * (CASE WHEN doc_id > 0 THEN least(1, (doc_id // 2) / CAST(greatest(doc_id, 1) AS DOUBLE)) ELSE 1 END) + 10) / 2.5::DOUBLE, 4) AS seconds FROM documents")
 def backfill_eta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id <= 1000")
-    percent, seconds = metrics.backfill_progress(F.col("doc_id"), F.lit(1000), F.lit(10), F.lit(2.5), F.floor(F.col("doc_id") / 2))
-    return d.select("doc_id", F.round(percent, 6).alias("percent"), F.round(seconds, 4).alias("seconds"))
+    d = table(spark, sf_dir, "documents")
+    percent, seconds = metrics.backfill_progress(F.col("doc_id"), F.lit(1_000_000_000), F.lit(10), F.lit(2.5), F.floor(F.col("doc_id") / 2))
+    return d.select("doc_id", F.round(percent, 9).alias("percent"), F.round(seconds, 4).alias("seconds"))
 
 
-@query("SELECT n_chars, CASE WHEN n_chars < 90 THEN CAST(n_chars AS VARCHAR) || 's' WHEN n_chars < 5400 THEN CAST(CAST(round(n_chars / 60.0::DOUBLE) AS BIGINT) AS VARCHAR) || ' min' END AS said FROM (SELECT DISTINCT n_chars FROM documents WHERE n_chars < 5400)")
+@query("SELECT n_chars, CASE WHEN n_chars < 90 THEN CAST(n_chars AS VARCHAR) || 's' WHEN n_chars < 5400 THEN CAST(CAST(round(n_chars / 60.0::DOUBLE) AS BIGINT) AS VARCHAR) || ' min' WHEN n_chars < 172800 THEN printf('%.1f', n_chars / 3600.0::DOUBLE) || ' h' ELSE printf('%.1f', n_chars / 86400.0::DOUBLE) || ' days' END AS said FROM (SELECT DISTINCT n_chars FROM documents)")
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("n_chars < 5400").select("n_chars").distinct().select("n_chars", S.duration(F.col("n_chars")).alias("said"))
+    return table(spark, sf_dir, "documents").select("n_chars").distinct().select("n_chars", S.duration(F.col("n_chars")).alias("said"))

@@ -67,37 +67,37 @@ def knn_exact_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slim(search.exact_topk(u, u.where("id = 7").select(F.col("id").alias("query_id"), "q", "scale"), 10))
 
 
-@query(f"WITH {VECTORS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 10 = 0) {topk_sql('vectors', 'asked', 10)}")
+@query(f"WITH {VECTORS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 100 = 0) {topk_sql('vectors', 'asked', 10)}")
 def knn_exact_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit_vectors(spark, sf_dir)
-    return slim(search.exact_topk(u, queries_of(u, 10), 10))
+    return slim(search.exact_topk(u, queries_of(u, 100), 10))
 
 
 @query(
-    f"WITH {VECTORS_SQL}, {INTERACTIONS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 25 = 0), "
-    "banned AS (SELECT DISTINCT user_id * 25 AS query_id, id FROM interactions WHERE kind = 'seen') "
+    f"WITH {VECTORS_SQL}, {INTERACTIONS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 100 = 0), "
+    "banned AS (SELECT DISTINCT user_id * 100 AS query_id, id FROM interactions WHERE kind = 'seen') "
     + topk_sql("vectors", "asked", 10, "NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = z.id AND b.id = i.id)")
 )
 def knn_exclude_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit_vectors(spark, sf_dir)
-    seen = interactions(spark, sf_dir).where("kind = 'seen'").select((F.col("user_id") * 25).alias("query_id"), "id")
-    return slim(search.exact_topk(u, queries_of(u, 25), 10, exclude=seen))
+    seen = interactions(spark, sf_dir).where("kind = 'seen'").select((F.col("user_id") * 100).alias("query_id"), "id")
+    return slim(search.exact_topk(u, queries_of(u, 100), 10, exclude=seen))
 
 
-@query(f"WITH {INDEX_SQL}, asked AS (SELECT * FROM idx WHERE id % 25 = 0) {topk_sql('idx', 'asked', 10, FILTER_SQL.replace('year', 'i.year').replace('cited', 'i.cited').replace('field IN', 'i.field IN').replace('topic', 'i.topic'))}")
+@query(f"WITH {INDEX_SQL}, asked AS (SELECT * FROM idx WHERE id % 100 = 0) {topk_sql('idx', 'asked', 10, FILTER_SQL.replace('year', 'i.year').replace('cited', 'i.cited').replace('field IN', 'i.field IN').replace('topic', 'i.topic'))}")
 def knn_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = search_index(spark, sf_dir)
-    return slim(search.exact_topk(i, queries_of(i, 25), 10, FILTER))
+    return slim(search.exact_topk(i, queries_of(i, 100), 10, FILTER))
 
 
 _EACH = NARROW_SQL.replace("year", "i.year").replace("venue", "i.venue")
 
 
-@query(f"WITH {INDEX_SQL}, asked AS (SELECT * FROM idx WHERE id % 50 = 0) {topk_sql('idx', 'asked', 10, f'(z.id % 100 <> 0 OR {_EACH})')}")
+@query(f"WITH {INDEX_SQL}, asked AS (SELECT * FROM idx WHERE id % 100 = 0) {topk_sql('idx', 'asked', 10, f'(z.id % 200 <> 0 OR {_EACH})')}")
 def knn_mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = search_index(spark, sf_dir)
-    q = queries_of(i, 50)
-    own = {r[0]: NARROW for r in q.where("query_id % 100 = 0").select("query_id").collect()}
+    q = queries_of(i, 100)
+    own = {r[0]: NARROW for r in q.where("query_id % 200 = 0").select("query_id").collect()}
     return slim(search.mixed_topk(i, q, own, 10))
 
 
@@ -131,19 +131,19 @@ def _clustered(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return u, search.mean_centroids(u)
 
 
-@query(f"WITH {VECTORS_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 25 = 0), {_PROBES} {topk_sql('vectors', 'asked', 10, _PROBED)}")
+@query(f"WITH {VECTORS_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 100 = 0), {_PROBES} {topk_sql('vectors', 'asked', 10, _PROBED)}")
 def ivf_probe_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, c = _clustered(spark, sf_dir)
-    return slim(search.ivf_topk(u, c, queries_of(u, 25), 10, 3))
+    return slim(search.ivf_topk(u, c, queries_of(u, 100), 10, 3))
 
 
 @query(
-    f"WITH {VECTORS_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 25 = 0), {_PROBES}, a AS ({topk_sql('vectors', 'asked', 10, _PROBED)}), e AS ({topk_sql('vectors', 'asked', 10)}) "
+    f"WITH {VECTORS_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 100 = 0), {_PROBES}, a AS ({topk_sql('vectors', 'asked', 10, _PROBED)}), e AS ({topk_sql('vectors', 'asked', 10)}) "
     "SELECT count(a.id) AS hits, count(*) AS truth, round(count(a.id) / CAST(count(*) AS DOUBLE), 6) AS recall FROM e LEFT JOIN a ON e.query_id = a.query_id AND e.id = a.id"
 )
 def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     u, c = _clustered(spark, sf_dir)
-    q = queries_of(u, 25)
+    q = queries_of(u, 100)
     return search.recall(search.ivf_topk(u, c, q, 10, 3), search.exact_topk(u, q, 10)).select("hits", "truth", F.round("recall", 6).alias("recall"))
 
 
@@ -157,28 +157,28 @@ _I = FILTER_SQL.replace("year", "i.year").replace("cited", "i.cited").replace("f
 
 
 @query(
-    f"WITH {INDEX_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM idx WHERE id % 25 = 0), {_PROBES}, {_WAVES} "
+    f"WITH {INDEX_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM idx WHERE id % 100 = 0), {_PROBES}, {_WAVES} "
     + topk_sql("idx", "asked", 10, f"{_I} AND EXISTS (SELECT 1 FROM summed p JOIN reach t ON p.id = t.id WHERE p.id = z.id AND p.cluster = i.cluster AND p.r <= t.last)")
 )
 def ivf_filtered_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = search_index(spark, sf_dir)
-    return slim(search.filtered_topk(i, search.mean_centroids(unit_vectors(spark, sf_dir)), queries_of(i, 25), FILTER, 10, 2))
+    return slim(search.filtered_topk(i, search.mean_centroids(unit_vectors(spark, sf_dir)), queries_of(i, 100), FILTER, 10, 2))
 
 
-@query(f"WITH {VECTORS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 50 = 0) {topk_sql('vectors', 'asked', 5, 'i.id <> z.id')}")
+@query(f"WITH {VECTORS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 100 = 0) {topk_sql('vectors', 'asked', 5, 'i.id <> z.id')}")
 def more_like_this(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit_vectors(spark, sf_dir)
-    q = queries_of(u, 50)
+    q = queries_of(u, 100)
     return slim(search.exact_topk(u, q, 5, exclude=q.select("query_id", F.col("query_id").alias("id"))))
 
 
-_LINKS = "links AS (SELECT vec_id AS query_id, unnest([vec_id + 1, vec_id + 2, vec_id + 1, vec_id + 100000]) AS linked FROM embeddings WHERE vec_id % 50 = 0)"
+_LINKS = "links AS (SELECT vec_id AS query_id, unnest([vec_id + 1, vec_id + 2, vec_id + 1, vec_id + 100000]) AS linked FROM embeddings WHERE vec_id % 100 = 0)"
 
 
 @query(f"WITH {VECTORS_SQL}, {_LINKS} SELECT query_id, count(*) AS basis, CAST(k - 1 AS INTEGER) AS i, round(sum(q[k] * scale), 6) AS x FROM links JOIN vectors v ON linked = v.id, (SELECT unnest(generate_series(1, 64)) AS k) GROUP BY query_id, k")
 def seed_from_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = unit_vectors(spark, sf_dir)
-    links = u.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2, F.col("id") + 1, F.col("id") + 100000)).alias("linked"))
+    links = u.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.explode(F.array(F.col("id") + 1, F.col("id") + 2, F.col("id") + 1, F.col("id") + 100000)).alias("linked"))
     return search.seed_vector(links, u).select("query_id", "basis", "i", F.round("x", 6).alias("x"))
 
 
