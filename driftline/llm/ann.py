@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.textblocks import stored
+from driftline.llm.textblocks import lean, stored
 
 #: Vectors the tree is fitted on, those with the smallest id hashes.
 SAMPLE = 20_000
@@ -208,8 +208,8 @@ def search(rows: DataFrame, queries: DataFrame, k: int, id: str = "vec_id", vect
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(p, np.int64) for p in paths])), b.column("id").take(take), b.column("v").take(take)], ["leaf", "id", "v"])
 
     kinds = [t.schema["v"].dataType.simpleString() for t in (points, asked)]
-    placed = stored(classes.select("ids", "v").mapInArrow(to_leaf, f"leaf long, ids array<long>, v {kinds[0]}"), "placed")
-    walked = stored(asked.select("id", "v").mapInArrow(to_leaves, f"leaf long, id long, v {kinds[1]}"), "walked")
+    placed = stored(classes.select("ids", "v").mapInArrow(lean(to_leaf), f"leaf long, ids array<long>, v {kinds[0]}"), "placed")
+    walked = stored(asked.select("id", "v").mapInArrow(lean(to_leaves), f"leaf long, id long, v {kinds[1]}"), "walked")
     # blocks of each leaf: two numbers for each leaf of the tree
     row_parts = {r[0]: -(-r[1] // BLOCK_ROWS) for r in placed.groupBy("leaf").count().collect()}
     ask_parts = {r[0]: -(-r[1] // BLOCK_QUERIES) for r in walked.groupBy("leaf").count().collect()}

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.llm.components import components
-from driftline.llm.textblocks import CODES_LOWER, mix, shingle_hashes, span_hashes, stored, text_blocks, words
+from driftline.llm.textblocks import CODES_LOWER, lean, mix, shingle_hashes, span_hashes, stored, text_blocks, words
 
 SHINGLE = 5
 #: Similarity as a fraction, to stay in integers.
@@ -258,7 +258,7 @@ def sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "
                 c.append(parities(s))
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, a, b)), pa.array(c, pa.binary())], ["id", "n", "ref", "more", "sketch"])
 
-    return _own(docs, id, text).mapInArrow(run, "id long, n long, ref long, more long, sketch binary")
+    return _own(docs, id, text).mapInArrow(lean(run), "id long, n long, ref long, more long, sketch binary")
 
 
 def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -273,7 +273,7 @@ def sifted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             total = np.asarray(b.column("a_n")) + np.asarray(b.column("b_n"))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in names), pa.array(least), pa.array(least * (100 + PERCENT) <= (100 - PERCENT) * total)], [*names, "least", "close"])
 
-    return pairs.join(one, "a").join(two, "b").select(*names, "a_sketch", "b_sketch").mapInArrow(run, ", ".join(f"{c} long" for c in names) + ", least long, close boolean")
+    return pairs.join(one, "a").join(two, "b").select(*names, "a_sketch", "b_sketch").mapInArrow(lean(run), ", ".join(f"{c} long" for c in names) + ", least long, close boolean")
 
 
 def heat_of(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> Heat:
@@ -285,7 +285,7 @@ def heat_of(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64))], ["shingle"])
 
     sample = _own(docs, id, text).where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0)
-    top = sample.mapInArrow(run, "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(HOT_SHINGLES).collect()
+    top = sample.mapInArrow(lean(run), "shingle long").groupBy("shingle").count().where("count > 2").orderBy(F.desc("count"), "shingle").limit(HOT_SHINGLES).collect()
     keys, counts = np.array([r[0] for r in top], np.int64).view(np.uint64), np.array([r[1] for r in top], np.int64)
     order = np.argsort(keys)
     return Heat(keys[order], counts[order])
@@ -322,7 +322,7 @@ def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id:
                 refs.append(ref)
                 sizes.append(len(s))
                 held += len(found[-1])
-                if held > 1_500_000:
+                if held > 500_000:
                     yield emit(found, refs, sizes)
                     found, refs, sizes, held = [], [], [], 0
             if found:
@@ -349,8 +349,8 @@ def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id:
         if held:
             yield from solve(held)
 
-    packed = _own(docs, id, text).where("id is not null").mapInArrow(index, "bucket long, blob binary")
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "a long, b long, group long, ref long")
+    packed = _own(docs, id, text).where("id is not null").mapInArrow(lean(index), "bucket long, blob binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(meet), "a long, b long, group long, ref long")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -400,8 +400,8 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b", "x", "y", "shared", "joint"])
 
-    sent = asked.mapInArrow(fetch, "group long, role int, id long, ref long, items binary").repartition("group").sortWithinPartitions("group", "role")
-    return sent.mapInArrow(compare, "a long, b long, x long, y long, shared long, joint long")
+    sent = asked.mapInArrow(lean(fetch), "group long, role int, id long, ref long, items binary").repartition("group").sortWithinPartitions("group", "role")
+    return sent.mapInArrow(lean(compare), "a long, b long, x long, y long, shared long, joint long")
 
 
 def close_pairs(refs: np.ndarray, n: np.ndarray, labels: np.ndarray, sketches: list[bytes], own: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -502,7 +502,7 @@ def open_pairs(placed: DataFrame, most: int) -> DataFrame:
         if len(held) > 1:
             yield solve()
 
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(compare, "a long, b long, more boolean")
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lean(compare), "a long, b long, more boolean")
 
 
 def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.llm.textblocks import lean
+
 #: n-grams in a profile, and the longest n-gram.
 PROFILE = 400
 LONGEST = 3
@@ -155,7 +157,7 @@ def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, size: int = P
         for name, (key, n) in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)
     lists: dict[str, list[int]] = {}
     for r in top.orderBy("lang", "place").collect():  # size rows for each language
@@ -179,4 +181,4 @@ def identify(docs: DataFrame, profiles: Profiles, id: str = "doc_id", text: str
 
     own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     more = "".join(f", k{i} {own.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
-    return own.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double{more}").withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})
+    return own.mapInArrow(lean(run), f"id {kind}, held_out boolean, lang_pred string, score double{more}").withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})

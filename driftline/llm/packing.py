@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftline.llm.textblocks import stored, text_blocks
+from driftline.llm.textblocks import lean, stored, text_blocks
 from driftline.llm.tokens import encoder
 
 WINDOW = 2048
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: i
                 crc = [zlib.crc32(end, c) if z else c for c, z in zip((zlib.crc32(raw[a:b]) for a, b in zip(low.tolist(), (low + length - last).tolist(), strict=True)), last.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(n[row], pa.int64())], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(lean(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(count: np.ndarray, window: int, base: int = TRIPLE_BASE) -> np.ndarray:
@@ -175,6 +175,6 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
 
     return (
         ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"))
-        .mapInArrow(place, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long")
+        .mapInArrow(lean(place), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long")
         .withColumnRenamed("id", id)
     )

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.textblocks import CODES, CODES_LOWER, lists, mix, shingle_hashes, span_hashes, stored, text_blocks, words
+from driftline.llm.textblocks import CODES, CODES_LOWER, lean, lists, mix, shingle_hashes, span_hashes, stored, text_blocks, words
 
 MIN_WORDS = 50
 #: A line goes if more than so many documents of a host have it, and more than this share of the host's.
@@ -94,7 +94,7 @@ def figures(docs: DataFrame, id: str = "doc_id", text: str = "text", host: str =
                 yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(at, len(n)) for k in (0, 1)), *(pa.array(out[c].astype(np.int64)) for c in BASE_COLUMNS), lists(key.view(np.int64), n, pa.int64()), lists(size.astype(np.int32), n, pa.int32())], ["id", "host", *BASE_COLUMNS, "line_keys", "line_words"])
 
     own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
-    return own.mapInArrow(run, f"id {kind}, host {host_kind}, {', '.join(c + ' long' for c in BASE_COLUMNS)}, line_keys array<long>, line_words array<int>")
+    return own.mapInArrow(lean(run), f"id {kind}, host {host_kind}, {', '.join(c + ' long' for c in BASE_COLUMNS)}, line_keys array<long>, line_words array<int>")
 
 
 def judge(

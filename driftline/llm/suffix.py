@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.textblocks import BASE, BASE_INVERSE, CODES, lists, mix, powers, span_hashes, stored, text_blocks
+from driftline.llm.textblocks import BASE, BASE_INVERSE, CODES, lean, lists, mix, powers, span_hashes, stored, text_blocks
 
 LENGTH = 200
 GRAM = 32
 #: Bytes of text looked at together, and bytes of blocks in a shard.
-PIECE_BYTES = 1 << 20
+PIECE_BYTES = 1 << 19
 #: Bits of a place in a piece.
-PLACE_BITS = 21
-SHARD_BYTES = 1 << 20
+PLACE_BITS = 20
+SHARD_BYTES = 1 << 19
 #: Rows under one gram held while its blocks are collapsed; beyond, they count as different blocks.
 HELD_ROWS = 200_000
 _K = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
@@ -385,8 +385,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     """(id, version, start, stop): byte runs of each text whose windows of ``length`` bytes all repeat; runs may overlap."""
     kind = docs.select(id).schema[0].dataType.simpleString()
     own = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    found = own.where(F.octet_length("text") >= length).select("id", "text", "version").mapInArrow(_block_rows(length), f"gram long, digest long, id {kind}, version long, start long, windows int, weight byte")
-    collapsed = stored(found.repartition("gram").sortWithinPartitions("gram", "digest", "windows").mapInArrow(_collapse, f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean"), "blocks")
+    found = own.where(F.octet_length("text") >= length).select("id", "text", "version").mapInArrow(lean(_block_rows(length)), f"gram long, digest long, id {kind}, version long, start long, windows int, weight byte")
+    collapsed = stored(found.repartition("gram").sortWithinPartitions("gram", "digest", "windows").mapInArrow(lean(_collapse), f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean"), "blocks")
     settled = collapsed.where("settled").select("id", "version", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
     wanted = collapsed.where("not settled").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "start", "windows", "weight")).alias("wanted"))
 
@@ -410,8 +410,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
 
     # rows that repeat id and text are one here: what they would be cut from is the same
     asked = own.join(wanted.withColumnsRenamed({"id": "_id", "version": "_version"}), F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")))
-    blocks_of = asked.select("id", "version", "text", "wanted").mapInArrow(payloads, f"gram long, id {kind}, version long, start long, windows int, weight byte, payload binary")
-    compared = blocks_of.repartition("gram").sortWithinPartitions("gram").mapInArrow(_shards(length), f"id {kind}, version long, start long, stop long")
+    blocks_of = asked.select("id", "version", "text", "wanted").mapInArrow(lean(payloads), f"gram long, id {kind}, version long, start long, windows int, weight byte, payload binary")
+    compared = blocks_of.repartition("gram").sortWithinPartitions("gram").mapInArrow(lean(_shards(length)), f"id {kind}, version long, start long, stop long")
     return settled.unionByName(compared)
 
 
@@ -459,4 +459,4 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(x, pa.int64()) for x in (n, gone, many)), pa.array(digest, pa.string()), lists(flat(a_all), np.array(many, np.int64), pa.int64()), lists(flat(b_all), np.array(many, np.int64), pa.int64()), *(batch.column(f"k{i}") for i in range(len(keep))), *([pa.array(raw_kept, pa.binary())] if with_bytes else []), *([pa.array([r.decode("utf-8", "ignore") for r in raw_kept], pa.string())] if with_text else [])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "starts", "stops", *(f"k{i}" for i in range(len(keep))), *["kept"] * with_bytes, *["kept_text"] * with_text])
 
     joined = own.join(spans, F.col("id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left").select("id", "text", "spans", *[f"k{i}" for i in range(len(keep))])
-    return joined.mapInArrow(cut, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>{more}" + ", kept binary" * with_bytes + ", kept_text string" * with_text).withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})
+    return joined.mapInArrow(lean(cut), f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, stops array<long>{more}" + ", kept binary" * with_bytes + ", kept_text string" * with_text).withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})

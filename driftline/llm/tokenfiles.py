@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm.textblocks import shared_path, text_blocks
+from driftline.llm.textblocks import lean, shared_path, text_blocks
 from driftline.llm.tokens import encoder
 
 MAGIC = b"VTK1"
@@ -106,7 +106,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID,
                 block, first = block + 1, first + len(ids)
 
     ordered = docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).repartitionByRange("id").sortWithinPartitions("id", F.xxhash64("text"))
-    ordered.mapInArrow(run, SCHEMA).write.option("compression", "none").parquet(path)
+    ordered.mapInArrow(lean(run), SCHEMA).write.option("compression", "none").parquet(path)
 
 
 def read(spark: SparkSession, path: str, id: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -129,7 +129,7 @@ def read(spark: SparkSession, path: str, id: str = "doc_id", with_ids: bool = Fa
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
                 yield pa.RecordBatch.from_arrays(out, ["id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
 
-    return blocks.select("part", "first_start", "payload").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids).withColumnRenamed("id", id)
+    return blocks.select("part", "first_start", "payload").mapInArrow(lean(run), "id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids).withColumnRenamed("id", id)
 
 
 def write_and_read(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ class WordEncoder:
         return all(ids(s) == [i for w in s.encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w for i in ids(w.decode())] for s in probe)
 
     def clear(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
     def _learn(self, keys: np.ndarray, texts: list[str]) -> None:
@@ -85,7 +85,7 @@ class WordEncoder:
             raw = buf.tobytes()
             self._learn(distinct[missing], [raw[a:b].decode() for a, b in zip(starts[sample[missing]].tolist(), ends[sample[missing]].tolist(), strict=True)])
             where = np.searchsorted(self.keys, distinct)
-        at, size = self.at[where][group], self.size[where][group]
+        at, size = (x[where][group].astype(np.int64) for x in (self.at, self.size))
         ends_at = np.cumsum(size)
         total = int(ends_at[-1])
         # flat gather: each word's ids are a run in self.ids
