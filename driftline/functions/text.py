@@ -33,10 +33,6 @@ def title_key(s: Column) -> Column:
     return F.regexp_replace(F.lower(s), "[^a-z0-9]+", "")
 
 
-def stop_words() -> Column:
-    return F.array(*[F.lit(w) for w in STOP_WORDS])
-
-
 def words(s: Column) -> Column:
     """Lower-cased runs of letters and digits."""
     return F.regexp_extract_all(F.lower(F.coalesce(s, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -44,12 +40,12 @@ def words(s: Column) -> Column:
 
 def index_tokens(s: Column, stop: bool = True) -> Column:
     """Tokens as indexed; stop words go before positions are given, so phrases span them."""
-    return F.filter(words(s), lambda w: ~F.array_contains(stop_words(), w)) if stop else words(s)
+    return F.filter(words(s), lambda w: ~w.isin(*STOP_WORDS)) if stop else words(s)
 
 
 def query_words(s: Column) -> Column:
     """Words of a query: of its first 24 tokens those that are no stop words, 12 at most."""
-    return F.slice(F.filter(F.slice(words(s), 1, QUERY_TOKENS), lambda w: ~F.array_contains(stop_words(), w)), 1, QUERY_WORDS)
+    return F.slice(F.filter(F.slice(words(s), 1, QUERY_TOKENS), lambda w: ~w.isin(*STOP_WORDS)), 1, QUERY_WORDS)
 
 
 def match_expression(s: Column, any_word: bool = False) -> Column:
