@@ -59,7 +59,7 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, component): the smallest id in reach, for every id that has a link.  ``links`` has a and b; order and repeats don't matter."""
-    now = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    now = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links", small=True)
     if now.count() <= one_task:
         return now.repartition(1).mapInArrow(_union_all, "id long, component long")
     before = None
@@ -70,5 +70,5 @@ def components(links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
         before = state
         if not state[0]:
             break
-        now = stored(_star(_star(now, True), False), "links")
+        now = stored(_star(_star(now, True), False), "links", small=True)
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).unionAll(now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())

@@ -359,7 +359,7 @@ def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "
     dealt = pairs.join(degree, "a").withColumn("group", F.xxhash64("a", "a_more", F.pmod(F.xxhash64("b"), "parts")))
     member = dealt.select(F.col("y").alias("rep"), F.col("b").alias("ref"), F.col("b_more").alias("more"), "group", F.lit(1).alias("role"))
     pivot = dealt.select(F.col("x").alias("rep"), F.col("a").alias("ref"), F.col("a_more").alias("more"), "group", F.lit(0).alias("role")).distinct()
-    wanted = stored(member.unionAll(pivot).groupBy("rep").agg(F.collect_list(F.struct("ref", "more", "group", "role")).alias("wanted")), "wanted")
+    wanted = stored(member.unionAll(pivot).groupBy("rep").agg(F.collect_list(F.struct("ref", "more", "group", "role")).alias("wanted")), "wanted", small=True)
     if wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0] <= SEND_SETS:
         wanted = F.broadcast(wanted)  # 40 bytes each
     asked = wanted.join(_own(docs, id, text), F.col("rep") == F.col("id")).select("id", "text", "wanted")
@@ -508,7 +508,7 @@ def open_pairs(placed: DataFrame, most: int) -> DataFrame:
 def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(sets, classes, labels): set hashes of all rows, one row for each distinct set, and (rep, component) of sets with links."""
     found = stored(sets(docs, size, id, text), "sets")
-    classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes", small=True)
     total = classes.agg(F.sum("n")).first()[0] or 0
     heat = heat_of(docs, size, id, text)
     met = stored(candidates(docs, heat, total, size, id, text), "meetings")
@@ -516,25 +516,25 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
     # of each group the set that is in most groups is the pivot; groups with one pivot become one
     often = entered.groupBy("ref").agg(F.count(F.lit(1)).alias("groups"))
     pivots = entered.join(often, "ref").groupBy("group").agg(F.max_by("ref", F.struct("groups", "ref")).alias("pivot"))
-    members = stored(entered.join(pivots, "group").select(F.col("pivot").alias("group"), "ref").distinct(), "members")
+    members = stored(entered.join(pivots, "group").select(F.col("pivot").alias("group"), "ref").distinct(), "members", small=True)
     stars = members.where("ref <> group").select(F.col("group").alias("a"), F.col("ref").alias("b"))
     pairs = met.where("a is not null").select("a", "b").unionAll(stars).distinct()
     is_link = F.col("shared") * 100 >= F.col("joint") * PERCENT
     links = seen = None
     most = FIRST_PAIRS
     while True:
-        met_now = stored(sifted(pairs, classes), "sifted")
-        checked = stored(verified(docs, met_now.where("close"), size, id, text), "checked")
+        met_now = stored(sifted(pairs, classes), "sifted", small=True)
+        checked = stored(verified(docs, met_now.where("close"), size, id, text), "checked", small=True)
         new = checked.where(is_link).select(F.col("x").alias("a"), F.col("y").alias("b"))
         links = new if links is None else links.unionAll(new)
         tried = met_now.select("a", "b").unionAll(met_now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         seen = tried if seen is None else seen.unionAll(tried)
-        label = stored(components(links).withColumnRenamed("id", "rep"), "labels")
+        label = stored(components(links).withColumnRenamed("id", "rep"), "labels", small=True)
         if not members.limit(1).count():
             break
         placed = members.join(classes.select("ref", "rep", "n", "sketch").join(label, "rep", "left").select("ref", "n", "sketch", F.coalesce("component", "rep").alias("component")), "ref")
-        left = stored(open_pairs(placed, most), "open")
-        pairs = stored(left.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
+        left = stored(open_pairs(placed, most), "open", small=True)
+        pairs = stored(left.select("a", "b").distinct().join(seen, ["a", "b"], "left_anti"), "pairs", small=True)
         if not pairs.limit(1).count():
             if not left.where("more").limit(1).count():
                 break

@@ -160,9 +160,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder.rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing."""
+def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
+
+    ``small`` results (a small part of the input) are put in four files a core at most, as
+    steps after many-way shuffles would else write many tiny ones.
+    """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
