@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.llm.textblocks import stored
+
 MIN_KEY_CHARS = 10
 HOT_SLOTS = 1024
 #: One document in so many is looked at for hot lines.
@@ -47,7 +49,8 @@ def late_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_char
     ``version`` is the text's hash; it tells rows that repeat an id apart.
     """
     own = docs.where(F.col(f"`{id}`").isNotNull() & F.col(f"`{text}`").isNotNull()).select(F.col(f"`{id}`").alias("id"), F.xxhash64(f"`{text}`").alias("version"), F.col(f"`{text}`").alias("text"))
-    lines = own.select("id", "version", F.posexplode(hashed_lines(F.col("text"), min_chars)).alias("pos", "h")).where("h is not null")
+    # hashed once; the steps below read 40 bytes a line
+    lines = stored(own.select("id", "version", F.posexplode(hashed_lines(F.col("text"), min_chars)).alias("pos", "h")).where("h is not null"), "lines")
     # which lines are hot is estimated from a sample; their first holder is exact
     hot_keys = lines.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).groupBy("h").count().where("count > 8").orderBy(F.desc("count"), "h").limit(HOT_SLOTS).select("h")
     hot = F.broadcast(lines.join(F.broadcast(hot_keys), "h", "left_semi").groupBy("h").agg(F.min("id").alias("first")))
