@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from driftline.functions.text import title_key
@@ -42,25 +41,6 @@ def pending_likes(likes: DataFrame, index: DataFrame) -> DataFrame:
     return likes.join(index, "id")
 
 
-class Bucket(StatefulProcessor):
-    """A token bucket for each key, for transformWithStateInPandas; idle ones go after ten minutes."""
-
-    def __init__(self, rate: float = 5.0, burst: float = 20.0):
-        self.rate, self.burst = rate, burst
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("bucket", "tokens double, last double", ttlDurationMs=600_000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        got = self.state.get() if self.state.exists() else None
-        out, tokens, last = fill(pd.concat(list(rows)), got, self.rate, self.burst)
-        self.state.update((tokens, last))
-        yield out.assign(key=key[0])[["key", "event_id", "allowed"]]
-
-    def close(self) -> None:
-        pass
-
-
 def fill(rows: pd.DataFrame, state: tuple[float, float] | None, rate: float, burst: float) -> tuple[pd.DataFrame, float, float]:
     """Events of one key through its bucket, in order of time."""
     rows = rows.sort_values(["ts", "event_id"])
@@ -74,7 +54,10 @@ def fill(rows: pd.DataFrame, state: tuple[float, float] | None, rate: float, bur
 
 
 def limited(stream: DataFrame, by: str, rate: float = 5.0, burst: float = 20.0) -> DataFrame:
-    """(key, event_id, allowed): every event of a stream of (by, event_id, ts) through its key's bucket."""
+    """(key, event_id, allowed): every event of a stream of (by, event_id, ts) through its key's bucket.
+
+    Buckets go ten minutes of event time after their last event, when they are full again anyway.
+    """
 
     def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -82,11 +65,12 @@ def limited(stream: DataFrame, by: str, rate: float = 5.0, burst: float = 20.0)
             return
         out, tokens, last = fill(pd.concat(list(rows)), tuple(state.get) if state.exists else None, rate, burst)
         state.update((tokens, last))
-        state.setTimeoutDuration(600_000)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 600_000)
         yield out.assign(key=key[0])[["key", "event_id", "allowed"]]
 
     kind, event = (stream.schema[c].dataType.simpleString() for c in (by, "event_id"))
-    return stream.select(by, "event_id", "ts").groupBy(by).applyInPandasWithState(step, f"key {kind}, event_id {event}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = stream.select(by, "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes")
+    return timed.groupBy(by).applyInPandasWithState(step, f"key {kind}, event_id {event}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def maintain(stream: DataFrame, path: str, checkpoint: str, apply) -> object:
