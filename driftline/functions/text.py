@@ -155,6 +155,6 @@ def stems(tokens):
 def rebuild_text(inverted: Column) -> Column:
     """Text of a map from words to positions; of words at the same place the greatest stays; null gives ''."""
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
-    ordered = F.array_sort(pairs)
-    last = F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + 1)["p"] != x["p"], F.lit(True)))
+    # held by a lambda variable: a lambda body would sort anew for each word
+    last = F.get(F.transform(F.array(F.sort_array(pairs)), lambda o: F.filter(o, lambda x, i: F.coalesce(F.get(o, i + 1)["p"] != x["p"], F.lit(True)))), F.lit(0))
     return F.coalesce(clean(F.array_join(F.transform(last, lambda x: x["w"]), " ")), F.lit(""))

@@ -208,7 +208,9 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(split_part(text, chr(10), 1), '\n', ' '), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS abstract FROM documents")
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.substring_index("text", "\n", 1), " ")).alias("p", "w"))
+    # dealt by document first, so that neither aggregation moves words
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
+    words = d.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "w"))
     inverted = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inv"))
     return inverted.select("doc_id", X.rebuild_text(F.col("inv")).alias("abstract"))
 

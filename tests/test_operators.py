@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -15,6 +16,7 @@ from driftline.functions import vectors as V
 from driftline.operators import feed, ingest, metrics, search, taste
 from driftline.operators.filters import FeedRequest, Filter, newest_excluded, valid_query_text
 from driftline.operators.fts import Query
+from driftline.plans import text_queries
 from driftline.schema import WORK
 from driftline.sources import files, sinks, synth
 from driftline.sources.crawl import Works
@@ -281,3 +283,11 @@ def test_embedding_hook(spark):
     df = spark.createDataFrame([(i, "x" * i) for i in range(10)] + [(10, None)], "id long, text string")
     got = {r["id"]: list(r["embedding"]) for r in embed(df, lambda: lambda texts: np.array([[len(t), 1.0] for t in texts]), batch=3).collect()}
     assert got == {i: [float(i), 1.0] for i in range(10)} | {10: [0.0, 1.0]}
+
+
+def test_abstracts_are_rebuilt_whole(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    assert sum("\n" in r["text"] for r in d) > len(d) / 2
+    got = text_queries.abstract_rebuild(spark, sf).collect()
+    want = {r["doc_id"]: re.sub(r"[ \t\n\x0b\x0c\r]+", " ", re.sub(r"<[^>]+>", "", r["text"].replace("\\n", " "))).strip(" ") for r in d}
+    assert len(got) == len(d) and {r["doc_id"]: r["abstract"] for r in got} == want
