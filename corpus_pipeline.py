@@ -34,10 +34,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
+    """Of each group of near copies the document with the smallest id stays, and of a repeated row (same id and text) one.
+
+    Rows with a null id are in no group: one of each text stays, unless a row with an id has the same text.
+    """
     found = jaccard.near_duplicates(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").select(*COLUMNS)
+    rows = docs.select(*COLUMNS, F.sha2("text", 256).alias("digest"))
+    named = rows.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
+    held = rows.where(F.col("doc_id").isNotNull()).select("digest").distinct()
+    nameless = rows.where(F.col("doc_id").isNull()).dropDuplicates(["digest"]).join(held, "digest", "left_anti")
+    return named.select(*COLUMNS).unionAll(nameless.select(*COLUMNS))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

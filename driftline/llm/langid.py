@@ -155,7 +155,7 @@ def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, size: int = P
                 both, inverse = np.unique(np.concatenate([k0, key]), return_inverse=True)
                 total[name.as_py()] = both, np.bincount(inverse, np.concatenate([n0, n]), len(both)).astype(np.int64)
         for name, (key, n) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(key)), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(key), pa.string()), pa.array(key.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
 
     counted = sample.mapInArrow(lean(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     top = counted.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("place") <= size)

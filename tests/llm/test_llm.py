@@ -430,3 +430,23 @@ def test_pipeline_against_brute_force(spark, sf, docs):
             assert all(len(kept.get(d, "").encode()) in range(rows[d][1] - rows[d][2] - 6 * rows[d][3] - 1, rows[d][1] - rows[d][2] + 1) or d not in kept for d in before)
         now = after
     assert corpus_pipeline.run(spark, sf).count() == after.count()
+
+
+def test_pipeline_stages_with_edges(spark, sf):
+    twice, free = " ".join(f"t{i}" for i in range(90)), " ".join(f"n{i}" for i in range(110))
+    rows = [*EDGE, (20, twice, "en", "a"), (20, twice, "en", "a"), (20, free[:300] + " own", "en", "a"), (None, free, "en", "b"), (None, free, "en", "b"), (None, twice, "en", "b"), (None, "nameless and unique", "en", "b")]
+    df = spark.createDataFrame([(d, t, lang, source, len(t or "")) for d, t, lang, source in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = lambda name: sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, df, sf).collect()), key=str)
+    all_rows = [(r[0], r[1]) for r in rows]
+    assert kept("language_id") == sorted((x for x in all_rows if re.search(r"[^\W\d_]", x[1] or "")), key=str)
+    assert kept("line_dedup") == sorted(((d, t) for d, _, _, t in brute_lines(all_rows) if t.strip()), key=str)
+    component = {d: c for d, _, c in brute_components([x for x in all_rows if x[1] != LONG])}
+    held = {t for d, t in all_rows if d is not None}
+    once = {(d, t) for d, t in all_rows if (t not in held if d is None else component.get(d, d) == d)}
+    assert kept("ngram_jaccard") == sorted(once, key=str)
+    assert {(20, twice), (None, "nameless and unique")} <= once and (None, free) in once
+    # what the stage before leaves goes through the next one: a document ingested twice stays
+    after = stages["suffix_dedup"](spark, stages["ngram_jaccard"](spark, df, sf), sf)
+    assert [r["text"] for r in after.where("doc_id = 20").collect()].count(twice) == 1
+    check_packing(all_rows, stages["packing"](spark, df, sf).collect())
