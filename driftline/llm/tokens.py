@@ -23,9 +23,7 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class WordEncoder:
@@ -38,10 +36,12 @@ class WordEncoder:
         self.clear()
 
     def word_safe(self) -> bool:
-        """Ids of texts with all kinds of white space are those of their words."""
+        """Ids of texts with all kinds of white space are those of their words; no added token has or takes white space."""
         t = self.tokenizer
         probe = ["a b", " It's  the\tend. ", "x\n\ny", "é́ ́z 12 3", "don 't", "!? ?!", "A\x0b\x0cB\r\nC"]
         ids = lambda s: t.encode(s, add_special_tokens=False).ids
+        if any(a.lstrip or a.rstrip or a.single_word or a.content.split() != [a.content] for a in t.get_added_tokens_decoder().values()):
+            return False
         return all(ids(s) == [i for w in s.encode().translate(bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")).split(b" ") if w for i in ids(w.decode())] for s in probe)
 
     def clear(self) -> None:

@@ -450,3 +450,19 @@ def test_pipeline_stages_with_edges(spark, sf):
     after = stages["suffix_dedup"](spark, stages["ngram_jaccard"](spark, df, sf), sf)
     assert [r["text"] for r in after.where("doc_id = 20").collect()].count(twice) == 1
     check_packing(all_rows, stages["packing"](spark, df, sf).collect())
+
+
+def test_token_ids_are_those_of_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(WORD)
+    texts = ["hello <|endoftext|> world", "x<|endoftext|>y <|startoftext|>", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", *[r[1] or "" for r in EDGE]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = lambda t, end: [*library.encode(t, add_special_tokens=False).ids, end]
+    assert ids(texts[0], 2)[:-1] == [3306, 49407, 1002]
+    crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
+    files = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.write_and_read(df, WORD).collect()}
+    assert files == {d: (len(x := ids(t, 2)), crc(x)) for d, t in enumerate(texts)}
+    for r in packing.pack(df, WORD).collect():
+        x = ids(texts[r["doc_id"]], 1)
+        assert r["doc_tokens"] == len(x) and r["ids_crc32"] == crc(x[r["start"] : r["start"] + r["length"]])
