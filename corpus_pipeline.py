@@ -23,8 +23,11 @@ def _documents(df: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letters, or no text) go; profiles are learned from the labelled ones."""
-    told = langid.identify(docs, langid.learn(docs), keep=("text", "lang", "source", "n_chars"))
+    """Documents without letters, or without text, go; profiles are learned from the labelled ones, and where none can be the letters alone decide."""
+    profiles = langid.learn(docs)
+    if not profiles.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
+    told = langid.identify(docs, profiles, keep=("text", "lang", "source", "n_chars"))
     return told.where(F.col("lang_pred") != langid.UNKNOWN).select(*COLUMNS)
 
 

@@ -466,3 +466,13 @@ def test_token_ids_are_those_of_the_library(spark):
     for r in packing.pack(df, WORD).collect():
         x = ids(texts[r["doc_id"]], 1)
         assert r["doc_tokens"] == len(x) and r["ids_crc32"] == crc(x[r["start"] : r["start"] + r["length"]])
+
+
+def test_language_stage_without_labels(spark, edge, sf):
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    want = sorted(((r[0], r[1]) for r in EDGE if re.search(r"[^\W\d_]", r[1] or "")), key=str)
+    held = next(i for i in range(100) if langid.held_out(i))
+    unlabelled = edge.withColumn("lang", F.lit(None).cast("string"))
+    assert sorted(((r["doc_id"], r["text"]) for r in stage(spark, unlabelled, sf).collect()), key=str) == want
+    all_held = edge.withColumn("doc_id", F.lit(held).cast("long"))
+    assert sorted(r["text"] for r in stage(spark, all_held, sf).collect()) == sorted(t for _, t in want)
