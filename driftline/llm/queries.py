@@ -77,14 +77,14 @@ def _canonical_sql(x: str) -> str:
     """The canonical form of licence texts; the copyright pattern without the flag that only Java has."""
     x = f"regexp_replace(lower({x}), {_quoted(licenses.COPYRIGHT_LINE.replace('(?md)', '(?m)'))}, ' ', 'g')"
     x = rf"(' ' || trim(regexp_replace({x}, '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ') || ' ')"
-    for other, one in licenses.EQUIVALENT:
+    for other, one in licenses.WORDS + licenses.PHRASES:
         x = f"replace(replace({x}, ' {other} ', ' {one} '), ' {other} ', ' {one} ')"
     return f"trim({x}, ' ')"
 
 
-_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.KNOWN)
+_KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licenses.known_texts())
+_DIGESTS = ", ".join(f"('{name}', '{digest}')" for name, digest, _ in licenses.DIGESTS)
 _WORD = r"'[^\x20\x09-\x0D]+'"
-_LONGEST = 2 * max(len(t) for _, t in licenses.KNOWN)
 
 ORACLE_SQL = {
     "op2_line_dedup": f"""
@@ -102,14 +102,13 @@ SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (WHERE
 FROM j GROUP BY doc_id""",
     "op4_license_scan": f"""
 WITH known AS (
-  SELECT sha256({_canonical_sql("text")}) AS digest, min(name) AS license_id FROM (VALUES {_KNOWN}) k(name, text) GROUP BY 1
+  SELECT digest, min(name) AS license_id FROM (SELECT name, sha256({_canonical_sql("text")}) AS digest FROM (VALUES {_KNOWN}) k(name, text) UNION ALL SELECT * FROM (VALUES {_DIGESTS})) GROUP BY digest
 ), c AS (
   SELECT doc_id, {_canonical_sql("text")} AS c FROM documents
 ), l AS (
   SELECT doc_id, unnest({_LINES}) AS line FROM documents
 ), hits AS (
-  SELECT l.doc_id, k.license_id FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM l
-    WHERE regexp_matches(lower(line), 'licen[sc]e|permission|software') AND length(line) <= {_LONGEST}) l JOIN known k ON l.digest = k.digest
+  SELECT l.doc_id, k.license_id FROM (SELECT doc_id, sha256({_canonical_sql("line")}) AS digest FROM l) l JOIN known k ON l.digest = k.digest
 ), h AS (
   SELECT doc_id, count(*) AS n, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS names FROM hits GROUP BY doc_id
 )

@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -190,6 +191,45 @@ def test_licence_digests(spark, edge, empty):
     assert licenses.scan(edge).count() == len(EDGE) and licenses.scan(empty).count() == 0
 
 
+def test_licence_lines_of_any_length_and_wording(spark):
+    one = licenses.KNOWN[0][1].replace("\n", " ")
+    rows = [(1, "x\n" + one), (2, "x\n" + one.replace(" ", " " * 8) + "\n" + one.replace(" ", " ~ ") + "\r\n"), (3, "Do what you want.\n  do WHAT you want  \n" + one)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    lines = lambda **more: {r["doc_id"]: (r["n_license_lines"], r["line_licenses"]) for r in licenses.scan(df, **more).collect()}
+    assert lines() == {1: (1, "MIT"), 2: (2, "MIT"), 3: (1, "MIT")}
+    assert lines(known=(("W", "Do what you want."),)) == {1: (0, ""), 2: (0, ""), 3: (2, "W")}
+    assert lines(known=()) == {1: (0, ""), 2: (0, ""), 3: (0, "")}
+
+
+def test_licences_as_they_are_written(spark):
+    known = dict(reversed([x for x in licenses.KNOWN if "\n" in x[1]]))
+    wrap = lambda t: "\n".join(re.sub(r"(.{40,70}) ", r"\1\n", ln) for ln in t.split("\n"))
+    rows = [
+        ("MIT", "MIT License\n\nCopyright (c) 2024 A Name\n\n" + wrap(known["MIT"])),
+        ("MIT", "The MIT License (MIT)\r\n\r\nCopyright © The Authors\r\n" + known["MIT"].replace("\n", "\r\n")),
+        ("ISC", "ISC License\n\nCopyright (c) A Name <a@b.c>\n\n" + wrap(known["ISC"])),
+        ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, A Name\nAll rights reserved.\n\n" + wrap(known["BSD-3-Clause"]).replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ")),
+        ("BSD-2-Clause", wrap(known["BSD-2-Clause"]).replace("COPYRIGHT HOLDER", "copyright owner")),
+        ("Unlicense", wrap(known["Unlicense"]).replace("recognize", "recognise")),
+        (None, "(c) You must retain what is said\n" + known["MIT"]),
+        (None, "Copyright law is hard.\n" + known["MIT"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(df).collect()}
+    assert [got[i] for i in range(len(rows))] == [name for name, _ in rows]
+
+
+def test_long_licences_by_their_digests(spark):
+    folder = Path("/usr/share/common-licenses")
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    have = [f for f in files if (folder / f).exists()]
+    if not have:
+        pytest.skip("no licence files on this machine")
+    rows = [(i, re.sub(r"\s+", " ", t) if i % 2 and "opyright (" not in t else t) for i, f in enumerate(have) for t in [(folder / f).read_text(errors="replace")]]
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(have))] == [files[f] for f in have]
+
+
 # 5: passages
 
 
