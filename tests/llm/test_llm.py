@@ -88,6 +88,45 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def brute_neighbours(x, ids, queries, k):
+    out = []
+    for i in queries:
+        s = (x * x[i]).sum(1)
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:k]
+        out += [(int(ids[i]), r + 1, int(ids[j]), float(s[j])) for r, j in enumerate(order)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [512, 4096])
+def test_neighbours_with_many_ties(spark, monkeypatch, block):
+    """All binary vectors of 11 dimensions but zero, every leaf visited: ties go to the smaller id."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", block)
+    monkeypatch.setattr(ann, "BLOCK_QUERIES", 8)
+    x = np.array([[n >> k & 1 for k in range(11)] for n in np.random.default_rng(2).permutation(2047) + 1], float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(df, df.where("vec_id % 100 = 0"), 20, sample=600, target=2.0).collect()
+    assert sorted(tuple(r) for r in got) == brute_neighbours(x, np.arange(len(x)), range(0, len(x), 100), 20)
+
+
+def test_neighbours_in_leaves_that_grow(spark, monkeypatch):
+    monkeypatch.setattr(ann, "SPLIT_ROWS", 200)
+    monkeypatch.setattr(ann, "SPLIT_SAMPLE", 300)
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(40, 8))
+    x = np.round(centres[rng.integers(0, 40, 4000)] + 0.3 * rng.normal(size=(4000, 8)), 3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    points = ann.usable(df, "vec_id", "embedding")
+    upper, _ = ann.fit(points, 500)
+    tree, placed = ann.indexed(points, 10, 500)
+    assert tree.leaves > upper.leaves and placed.select(F.explode("ids")).count() == 4000 and tree.visits < tree.leaves and 0.95 <= tree.recall <= 1
+    assert sorted(n for n in tree.leaf if n >= 0) == list(range(tree.leaves))
+    want = brute_neighbours(x, np.arange(4000), range(0, 4000, 20), 10)
+    got = {tuple(r) for r in ann.search(df, df.where("vec_id % 20 = 0"), 10, sample=500).select("query_id", "vec_id").collect()}
+    assert len(got & {(q, v) for q, _, v, _ in want}) / len(want) >= 0.9
+    every = ann.search(df, df.where("vec_id % 20 = 0"), 10, sample=500, target=2.0).collect()
+    assert sorted(tuple(r) for r in every) == want
+
+
 # 2: lines
 
 
