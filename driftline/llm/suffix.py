@@ -5,14 +5,18 @@
    equal grams at equal distances, so only blocks under the same gram can hold equal
    windows, and no block holds two.
 2. Copies of a block are collapsed: within a map task at once, then under each gram.  All windows
-   of a block with a copy repeat.  A gram with a single block is done with.
-3. Blocks under a gram with other blocks go to shards, whole grams together.  A shard's
+   of a block with a copy repeat.  A gram with a single block is done with.  Copies are blocks
+   whose BLAKE2b digests of 128 bits are equal; that two different ones among n blocks share a digest has
+   a probability below n * n / 2**129, under one in 10**13 for the blocks of 100 TB.
+3. Blocks under a gram with other blocks go to shards, whole grams together.  A gram with more
+   blocks than two shards hold is dealt further: equal windows have the same smallest other gram as well,
+   so its blocks are cut where that changes and dealt by both.  A shard's
    suffixes are sorted by Larsson-Sadakane refinement (only unsorted groups are sorted again,
    by the ranks of what follows), as far as ``length`` bytes, and common prefixes of neighbours
    are taken by Kasai's argument: where the next suffix's neighbour is the next position, one
    more byte decides.
-4. A gram with more blocks than a shard holds spans shards; their sorted windows are merged by
-   binary search.
+4. A key with more blocks than a shard holds spans shards; their sorted suffixes are merged by
+   binary search, byte by byte.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftline.llm.textblocks import BASE, BASE_INVERSE, CODES, lean, lists, mix, powers, span_hashes, stored, text_blocks
+from driftline.llm.textblocks import lean, lists, mix, stored, text_blocks
 
 LENGTH = 200
 GRAM = 32
@@ -36,6 +40,8 @@ PLACE_BITS = 20
 SHARD_BYTES = 1 << 19
 #: Rows under one gram held while its blocks are collapsed; beyond, they count as different blocks.
 HELD_ROWS = 200_000
+#: Different blocks under one gram, beyond which it is dealt by its windows' second gram too.
+HOT_BLOCKS = 4096
 _K = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -68,8 +74,14 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
+def digests(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b for each span, as two numbers."""
+    raw = memoryview(np.ascontiguousarray(buf))
+    return np.frombuffer(b"".join([hashlib.blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), "<u8").reshape(-1, 2)
+
+
 def blocks(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(gram, digest, row, start in row, windows) of all blocks of the rows."""
+    """(gram, digest as two columns, row, start in row, windows) of all blocks of the rows."""
     out: list[tuple[np.ndarray, ...]] = []
     low = 0
     while low < len(buf):  # pieces overlap by length - 1 bytes, so that each window lies whole in one
@@ -97,10 +109,10 @@ def blocks(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
             ok = whole[start]
             start, size = start[ok], size[ok]
             row = np.searchsorted(offsets, start + low, "right") - 1
-            out.append((grams[least[start] & place], span_hashes(piece, start, start + size + length - 1), row, start + low - offsets[row], size))
+            out.append((grams[least[start] & place], digests(piece, start, start + size + length - 1), row, start + low - offsets[row], size))
         low += PIECE_BYTES
     if not out:
-        return tuple(np.zeros(0, k) for k in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(k, t) for k, t in ((0, np.uint64), ((0, 2), np.uint64), (0, np.int64), (0, np.int64), (0, np.int64)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -115,10 +127,10 @@ def _block_rows(length: int):
                 continue
             g, d, row, start, size = (np.concatenate(x) for x in zip(*found, strict=True))
             # copies within the batch: all of them repeat, and one stands for them
-            order = np.lexsort((d, g))
+            order = np.lexsort((d[:, 1], d[:, 0], g))
             gs, ds, ss = g[order], d[order], size[order]
             new = np.ones(len(order), bool)
-            new[1:] = (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1]) | (ss[1:] != ss[:-1])
+            new[1:] = (gs[1:] != gs[:-1]) | (ds[1:] != ds[:-1]).any(1) | (ss[1:] != ss[:-1])
             many = np.diff(np.append(np.flatnonzero(new), len(order)))
             weight = np.zeros(len(order), np.int8)
             weight[np.flatnonzero(new)] = np.minimum(many, 2)
@@ -139,30 +151,32 @@ def _block_rows(length: int):
             length_of = np.concatenate([size[lead], whole[done]])
             gram = g.view(np.int64)[pick]
             gram[len(lead) :] = mix((row[done] << 20 ^ start[done]).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(d.view(np.int64)[pick]), batch.column(0).take(pa.array(row[pick])), pa.array(np.asarray(batch.column(2))[row[pick]]), pa.array(start[pick]), pa.array(length_of.astype(np.int32)), pa.array(w)], ["gram", "digest", "id", "version", "start", "windows", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(d[pick, k].view(np.int64)) for k in (0, 1)), batch.column(0).take(pa.array(row[pick])), pa.array(np.asarray(batch.column(2))[row[pick]]), pa.array(start[pick]), pa.array(length_of.astype(np.int32)), pa.array(w)], ["gram", "digest", "more", "id", "version", "start", "windows", "weight"])
 
     return run
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]):
-    """Rows sorted by gram, digest, windows: settled runs, and blocks that other blocks must be compared with."""
-    names = ["gram", "id", "version", "start", "windows", "weight", "settled"]
+    """Rows sorted by gram, digest, windows: settled runs, and blocks that other blocks must be compared with (``hot``: of a gram with very many)."""
+    names = ["gram", "id", "version", "start", "windows", "weight", "settled", "hot"]
 
-    def out(t: pa.Table | pa.RecordBatch, take: np.ndarray, weight: np.ndarray, settled: np.ndarray):
+    def out(t: pa.Table, take: np.ndarray, weight: np.ndarray, settled: bool, hot: np.ndarray | None = None):
         t = t.take(pa.array(take))
-        return pa.RecordBatch.from_arrays([*((c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in (t.column(k) for k in names[:5])), pa.array(weight.astype(np.int8)), pa.array(settled)], names)
+        n = len(take)
+        return pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks() for k in names[:5]), pa.array(weight.astype(np.int8)), pa.array(np.full(n, settled)), pa.array(np.zeros(n, bool) if hot is None else hot)], names)
 
-    def solve(t: pa.Table, forced: bool):
-        g, d, s, w = (t.column(k).to_numpy() for k in ("gram", "digest", "windows", "weight"))
+    def solve(t: pa.Table, forced: set[int]):
+        """``t`` has whole grams but those in ``forced``, whose blocks all count as different from those of other parts."""
+        g, d, e, s, w = (t.column(k).to_numpy() for k in ("gram", "digest", "more", "windows", "weight"))
         free = np.flatnonzero(w == 0)
         if len(free):
-            yield out(t, free, w[free], np.ones(len(free), bool))
+            yield out(t, free, w[free], True)
         own = np.flatnonzero(w > 0)
         if not len(own):
             return
-        g, d, s, w = g[own], d[own], s[own], w[own].astype(np.int64)
+        g, d, e, s, w = g[own], d[own], e[own], s[own], w[own].astype(np.int64)
         new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (s[1:] != s[:-1])
+        new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (s[1:] != s[:-1])
         first = np.flatnonzero(new)
         total = np.add.reduceat(w, first)
         many = np.diff(np.append(first, len(g)))
@@ -170,37 +184,31 @@ def _collapse(batches: Iterator[pa.RecordBatch]):
         known = np.repeat(total, many) > 1
         settle = known & (w == 1)
         if settle.any():
-            yield out(t, own[settle], w[settle], np.ones(int(settle.sum()), bool))
+            yield out(t, own[settle], w[settle], True)
         gf = g[first]
-        mixed = np.zeros(len(first), bool)
-        mixed[1:] = gf[1:] == gf[:-1]
-        mixed[:-1] |= gf[1:] == gf[:-1]
-        if forced:
-            mixed |= gf == gf[-1]
+        begin = np.flatnonzero(np.concatenate([[True], gf[1:] != gf[:-1]]))
+        kinds = np.diff(np.append(begin, len(gf)))  # different blocks of each gram
+        torn = np.isin(gf[begin], list(forced))
+        mixed, hot = np.repeat((kinds > 1) | torn, kinds), np.repeat((kinds > HOT_BLOCKS) | torn, kinds)
         if mixed.any():
-            yield out(t, own[first[mixed]], np.minimum(total[mixed], 2), np.zeros(int(mixed.sum()), bool))
+            yield out(t, own[first[mixed]], np.minimum(total[mixed], 2), False, hot[mixed])
 
     held: pa.Table | None = None
-    forced: int | None = None
+    forced: set[int] = set()  # the grams of which a part is done; the last one at most goes on
     for batch in batches:
         t = pa.Table.from_batches([batch])
         t = t if held is None else pa.concat_tables([held, t])
         g = t.column("gram").to_numpy()
         cut = int(np.searchsorted(g, g[-1], "left")) if len(g) else 0
         if len(g) - cut > HELD_ROWS:
-            forced, cut = int(g[-1]), len(g)
+            forced.add(int(g[-1]))
+            cut = len(g)
         if cut:
-            head = t.slice(0, cut)
-            hg = head.column("gram").to_numpy()
-            if forced is not None and (hg == forced).any():
-                part = hg == forced
-                yield from solve(head.filter(pa.array(~part)), False)
-                yield from solve(head.filter(pa.array(part)), True)
-            else:
-                yield from solve(head, False)
+            yield from solve(t.slice(0, cut), forced)
+            forced &= {int(g[-1])}
         held = t.slice(cut)
     if held is not None and len(held):
-        yield from solve(held, forced is not None and int(held.column("gram")[0].as_py()) == forced)
+        yield from solve(held, forced)
 
 
 def window_ranks(buf: np.ndarray, ends: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
@@ -272,13 +280,8 @@ def common_prefixes(buf: np.ndarray, place: np.ndarray, before: np.ndarray, leng
     return (bad[1:] - bad[head][run]) == 0
 
 
-def _window_prints(buf: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(CODES[buf] * powers(BASE, len(buf)))])
-    return mix((sums[starts + length] - sums[starts]) * powers(BASE_INVERSE, len(buf))[starts])
-
-
-def repeated_windows(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buffer, starts, payload of each start, window of it, repeated flags) of a shard."""
+def repeated_windows(payloads: list[bytes], length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(buffer, starts, payload of each start, window of it, repeated flags, sorted different windows) of a shard."""
     buf = np.frombuffer(b"".join(payloads), np.uint8)
     sizes = np.array([len(p) for p in payloads], np.int64)
     ends = np.cumsum(sizes)
@@ -296,30 +299,55 @@ def repeated_windows(payloads: list[bytes], length: int = LENGTH) -> tuple[np.nd
         sure[by_text] = common_prefixes(buf, place[by_text], before[by_text], length)
         flags[order[twin[sure]]] = True
         flags[order[twin[sure] - 1]] = True
-    return buf, starts, owner, inner, flags
+    return buf, starts, owner, inner, flags, order[~same]
 
 
 class _Spanning:
-    """Windows of one gram over several shards: sorted prints, merged by binary search."""
-
-    def __init__(self):
-        self.shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]] = []
-
-    def add(self, prints: np.ndarray, owner: np.ndarray, inner: np.ndarray, blocks: list[tuple], flags: np.ndarray) -> tuple[np.ndarray, list[tuple]]:
-        """Flags with matches in earlier shards, and (block, window) of earlier windows now known to repeat."""
-        order = np.argsort(prints)
-        mine = prints[order]
-        flags, late = flags.copy(), []
-        for theirs, theirs_owner, theirs_inner, theirs_blocks in self.shards:
-            at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
-            hit = theirs[at] == mine
-            flags[order[hit]] = True
-            late += [(theirs_blocks[theirs_owner[i]], int(theirs_inner[i])) for i in np.unique(at[hit])]
-        # one window for each print: its twins in the same shard are flagged already
-        new = np.ones(len(mine), bool)
-        new[1:] = mine[1:] != mine[:-1]
-        self.shards.append((mine[new], owner[order[new]].astype(np.int32), inner[order[new]].astype(np.int32), blocks))
-        return flags, late
+    """Windows of one key over several shards: sorted suffixes, merged by binary search.
+
+    A shard is kept as its bytes and the places of its different windows in order.
+    """
+
+    def __init__(self, length: int):
+        self.length = length
+        self.shards: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[tuple]]] = []
+
+    def suffixes(self, buf: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The windows at ``places`` as byte strings that compare whole; a last byte keeps zero bytes from being stripped."""
+        table = np.ones((len(places), self.length + 1), np.uint8)
+        table[:, :-1] = np.lib.stride_tricks.sliding_window_view(buf, self.length)[places]
+        return table.reshape(-1).view(f"S{self.length + 1}")
+
+    def add(self, buf: np.ndarray, starts: np.ndarray, owner: np.ndarray, inner: np.ndarray, order: np.ndarray, blocks: list[tuple], flags: np.ndarray) -> list[tuple]:
+        """Flags windows with matches in earlier shards; returns (block, window) of earlier windows that repeat."""
+        late: list[tuple] = []
+        for their_buf, places, their_owner, their_inner, their_blocks in self.shards:
+            theirs = self.suffixes(their_buf, places)
+            for low in range(0, len(order), 1 << 15):
+                part = order[low : low + (1 << 15)]
+                mine = self.suffixes(buf, starts[part])
+                at = np.minimum(np.searchsorted(theirs, mine), len(theirs) - 1)
+                hit = theirs[at] == mine
+                flags[part[hit]] = True
+                late += [(their_blocks[their_owner[i]], int(their_inner[i])) for i in at[hit].tolist()]
+        # one place for each window: its twins in the same shard are flagged already
+        self.shards.append((buf, starts[order].astype(np.int32), owner[order].astype(np.int32), inner[order].astype(np.int32), blocks))
+        return late
+
+
+def second_cuts(raw: bytes, windows: int, gram: int, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(first window, windows, key): a block cut where the smallest gram besides ``gram`` changes its place; equal windows get equal keys."""
+    grams = gram_hashes(np.frombuffer(raw, np.uint8))
+    own = np.uint64(gram & (1 << 64) - 1)
+    place = np.uint64((1 << PLACE_BITS) - 1)
+    top = np.iinfo(np.uint64).max
+    # the place in the low bits, so that of equal hashes the first is least; blocks are shorter than 2**PLACE_BITS
+    least = sliding_least(np.where(grams == own, top, grams & ~place | np.arange(len(grams), dtype=np.uint64)), length - GRAM + 1)[:windows]
+    none = least == top
+    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
+    other = np.where(none[first], np.uint64(0), grams[np.where(none[first], 0, least[first] & place)])
+    key = mix(other ^ mix(np.array([own]), 51), 52).view(np.int64)
+    return list(zip(first.tolist(), np.diff(np.append(first, windows)).tolist(), key.tolist(), strict=True))
 
 
 def _shards(length: int):
@@ -344,14 +372,12 @@ def _shards(length: int):
 
         def flush(goes_on: bool):
             nonlocal rows, held, spanning
-            buf, starts, owner, inner, flags = repeated_windows([r[6] for r in rows], length)
+            buf, starts, owner, inner, flags, order = repeated_windows([r[6] for r in rows], length)
             late: list = []
             if goes_on or spanning is not None:
                 mine = np.array([r[0] == gram for r in rows])
-                part = np.flatnonzero(mine[owner])
-                if spanning is None:
-                    spanning = _Spanning()
-                flags[part], late = spanning.add(_window_prints(buf, starts[part], length), owner[part], inner[part], [r[:6] for r in rows], flags[part])
+                spanning = spanning or _Spanning(length)
+                late = spanning.add(buf, starts, owner, inner, order[mine[owner[order]]], [r[:6] for r in rows], flags)
                 if not goes_on:
                     spanning = None
             got = spans(rows, flags, owner, inner, late)
@@ -383,12 +409,12 @@ def _shards(length: int):
 
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, version, start, stop): byte runs of each text whose windows of ``length`` bytes all repeat; runs may overlap."""
-    kind = docs.select(id).schema[0].dataType.simpleString()
+    kind = docs.select(F.col(f"`{id}`")).schema[0].dataType.simpleString()
     own = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    found = own.where(F.octet_length("text") >= length).select("id", "text", "version").mapInArrow(lean(_block_rows(length)), f"gram long, digest long, id {kind}, version long, start long, windows int, weight byte")
-    collapsed = stored(found.repartition("gram").sortWithinPartitions("gram", "digest", "windows").mapInArrow(lean(_collapse), f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean"), "blocks")
+    found = own.where(F.octet_length("text") >= length).select("id", "text", "version").mapInArrow(lean(_block_rows(length)), f"gram long, digest long, more long, id {kind}, version long, start long, windows int, weight byte")
+    collapsed = stored(found.repartition("gram").sortWithinPartitions("gram", "digest", "more", "windows").mapInArrow(lean(_collapse), f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean, hot boolean"), "blocks")
     settled = collapsed.where("settled").select("id", "version", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
-    wanted = collapsed.where("not settled").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "start", "windows", "weight")).alias("wanted"))
+    wanted = collapsed.where("not settled").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "start", "windows", "weight", "hot")).alias("wanted"))
 
     def payloads(batches: Iterator[pa.RecordBatch]):
         names = ["gram", "id", "version", "start", "windows", "weight", "payload"]
@@ -397,11 +423,16 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
             held = 0
             for i in range(batch.num_rows):
                 raw, want = batch.column("text")[i].as_buffer(), batch.column("wanted")[i].values
-                got = want.flatten()
-                low, size = got[1].to_pylist(), got[2].to_pylist()
-                blobs = [raw[a : a + w + length - 1].to_pybytes() for a, w in zip(low, size, strict=True)]
+                found: list[tuple] = []
+                for gram, low, size, weight, hot in zip(*(c.to_pylist() for c in want.flatten()), strict=True):
+                    blob = raw[low : low + size + length - 1].to_pybytes()
+                    if hot:
+                        found += [(key, low + at, n, weight, blob[at : at + n + length - 1]) for at, n, key in second_cuts(blob, size, gram, length)]
+                    else:
+                        found.append((gram, low, size, weight, blob))
+                grams, low, size, weight, blobs = zip(*found, strict=True)
                 row = pa.array(np.full(len(low), i))
-                for part, x in zip(parts, [got[0], batch.column("id").take(row), batch.column("version").take(row), got[1], got[2], got[3], pa.array(blobs, pa.binary())], strict=True):
+                for part, x in zip(parts, [pa.array(grams, pa.int64()), batch.column("id").take(row), batch.column("version").take(row), pa.array(low, pa.int64()), pa.array(size, pa.int32()), pa.array(weight, pa.int8()), pa.array(blobs, pa.binary())], strict=True):
                     part.append(x)
                 held += sum(map(len, blobs))
                 if held >= SHARD_BYTES or i == batch.num_rows - 1:
@@ -434,7 +465,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     or another, goes.  ``spans`` are the maximal removed runs (start, stop).  Null or shorter texts
     lose nothing.  Rows are documents: a repeated row repeats all its text.  Null ids are ids.
     """
-    kind = docs.select(id).schema[0].dataType.simpleString()
+    kind = docs.select(F.col(f"`{id}`")).schema[0].dataType.simpleString()
     spans = repeated_spans(docs, id, text, length).groupBy("id", "version").agg(F.collect_list(F.struct("start", "stop")).alias("spans")).withColumnsRenamed({"id": "_id", "version": "_version"})
     own = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("version", F.xxhash64("text"))
     more = "".join(f", k{i} {own.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))

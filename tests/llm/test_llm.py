@@ -324,6 +324,67 @@ def test_passages_of_one_gram_over_several_shards(monkeypatch):
     assert got == {(r[1], r[3] + i) for r in rows for i in range(len(r[6]) - 199) if seen[r[6][i : i + 200]] > 1}
 
 
+def collapse_rows(rows):
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["gram", "digest", "more", "id", "version", "start", "windows", "weight"])
+
+
+def test_torn_grams_lose_no_block(monkeypatch):
+    """A batch with the rest of one torn gram and too many rows of the next."""
+    monkeypatch.setattr(suffix, "HELD_ROWS", 3)
+    rows = [(1, i, 0, i, 0, 0, 5, 1) for i in range(5)] + [(1, 50, 0, 50, 0, 0, 5, 1)] + [(2, i, 0, 100 + i, 0, 0, 5, 1) for i in range(5)] + [(2, 9, 9, 109, 0, 0, 5, 1), (3, 1, 1, 200, 0, 0, 5, 1)]
+    for cut in range(1, len(rows)):
+        got = [r for b in suffix._collapse(iter([collapse_rows(rows[:cut]), collapse_rows(rows[cut:])])) for r in b.to_pylist()]
+        assert {r["id"] for r in got if not r["settled"]} >= {*range(5), 50, *range(100, 105), 109}
+        assert all(len({r["hot"] for r in got if r["gram"] == g}) == 1 for g in (1, 2))
+
+
+def test_blocks_with_half_a_digest_in_common_are_different():
+    rows = [(1, 7, 1, 1, 0, 0, 5, 1), (1, 7, 2, 2, 0, 0, 5, 1)]
+    assert [r["settled"] for b in suffix._collapse(iter([collapse_rows(rows)])) for r in b.to_pylist()] == [False, False]
+
+
+@pytest.mark.parametrize("hot, shard", [(1, 1 << 19), (1, 700), (1 << 20, 700)])
+def test_passages_of_hot_grams(spark, monkeypatch, hot, shard):
+    """Hot grams dealt by their second gram, and keys over several shards, in the worker of one task."""
+    monkeypatch.setattr(suffix, "HOT_BLOCKS", hot)
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    import pyarrow as pa
+
+    rng = np.random.default_rng(8)
+    base, texts = "".join(rng.choice(list("abcd \x00"), 600)), []
+    for k in range(40):
+        a, n = int(rng.integers(0, 350)), int(rng.integers(180, 250))
+        texts.append("".join(rng.choice(list("abcd "), int(rng.integers(0, 60)))) + base[a : a + n] + "".join(rng.choice(list("xyz"), int(rng.integers(0, 60)))))
+    texts += ["a" * 300, "a" * 250 + "b"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary()), pa.array([0] * len(texts), pa.int64())], ["id", "text", "version"])
+    raw = [t.encode() for t in texts]
+    found = [r for b in suffix._block_rows(200)(iter([batch])) for r in b.to_pylist()]
+    found.sort(key=lambda r: (r["gram"], r["digest"], r["more"], r["windows"]))
+    rows = [tuple(r[k] for k in ("gram", "digest", "more", "id", "version", "start", "windows", "weight")) for r in found]
+    got, sent = set(), []
+    for r in (r for b in suffix._collapse(iter([collapse_rows(rows)])) for r in b.to_pylist()):
+        blob = raw[r["id"]][r["start"] : r["start"] + r["windows"] + 199]
+        if r["settled"]:
+            got |= {(r["id"], r["start"] + i) for i in range(r["windows"])}
+        elif r["hot"]:
+            cuts = suffix.second_cuts(blob, r["windows"], r["gram"])
+            assert sum(n for _, n, _ in cuts) == r["windows"]
+            sent += [(key, r["id"], 0, r["start"] + at, n, r["weight"], blob[at : at + n + 199]) for at, n, key in cuts]
+        else:
+            sent.append((r["gram"], r["id"], 0, r["start"], r["windows"], r["weight"], blob))
+    sent.sort(key=lambda r: r[0])
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8(), pa.binary()]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in sent], t) for i, t in enumerate(kinds)], ["gram", "id", "version", "start", "windows", "weight", "payload"])
+    for out in suffix._shards(200)(iter([batch])):
+        for i, _, a, b in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            got |= {(i, s) for s in range(a, b - 199)}
+    seen = Counter(t[i : i + 200] for t in raw for i in range(len(t) - 199))
+    assert got == {(k, i) for k, t in enumerate(raw) for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1}
+
+
 # 6: byte BPE
 
 
@@ -374,13 +435,22 @@ def test_quality_figures(spark, docs, texts, empty):
     assert quality.judge(empty).count() == 0
 
 
-def test_frequent_lines_deplete(spark):
+@pytest.mark.parametrize("send", [0, 1000])
+def test_frequent_lines_deplete(spark, send):
+    """Both routes to the frequent lines, with a hot host, a null host and repeated rows."""
     body = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     menu = " ".join(f"menu{k}" for k in range(300))
     rows = [(i, body(i), "h") for i in range(100)] + [(1000 + i, "  " + menu.upper() + "\n" + body(2000 + i), "h") for i in range(30)] + [(5000, menu + "\n" + body(7), "other")]
-    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
-    assert all(got[i]["kept"] for i in range(100)) and got[5000]["kept"]
+    rows += [(6000, menu + "\n\n" + menu + "\n" + body(i), None) for i in range(22)] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    all_ = quality.judge(df, send_lines=send).collect()
+    got = {r["doc_id"]: r for r in all_}
+    assert len(all_) == len(rows) and all(got[i]["kept"] for i in range(100)) and got[5000]["kept"]
     assert all(got[1000 + i]["depleted"] and got[1000 + i]["n_frequent_words"] == 300 for i in range(30))
+    assert [r["n_frequent_words"] for r in all_ if r["doc_id"] == 6000] == [600] * 22
+    # a small share of a large host is no line of a host, a large number is at any share
+    wide = lambda most: quality.judge(df, line_share=0.9, line_most=most, send_lines=send).where("doc_id between 1000 and 2000 and depleted").count()
+    assert (wide(29), wide(30)) == (30, 0)
 
 
 # 8: packing
@@ -418,6 +488,21 @@ def test_packing_places_every_token_once(docs, texts, edge, empty):
     assert packing.pack(empty, WORD).count() == 0
 
 
+def test_packing_ranks_in_many_parts(monkeypatch, docs, texts):
+    monkeypatch.setattr(packing, "PART_ROWS", 3)
+    assert check_packing(list(texts.items()), packing.pack(docs, WORD).collect()) > 0.97
+    monkeypatch.setattr(packing, "MOST_PARTS", 10)
+    assert check_packing(list(texts.items()), packing.pack(docs, WORD).collect()) > 0.97
+
+
+def test_solver_stops_where_it_no_longer_gains():
+    rng = np.random.default_rng(1)
+    count = np.bincount(np.minimum(rng.geometric(1 / 600, 20_000), 2048), minlength=2049)
+    combos = packing.combinations(count, 2048)
+    error = lambda x: ((np.bincount(combos[combos > 0], np.broadcast_to(x[:, None], combos.shape)[combos > 0], len(count)) - count) ** 2).sum()
+    assert error(packing.solve_repeats(combos, count)) <= 1.05 * error(packing.solve_repeats(combos, count, 20_000, 0))
+
+
 def test_plan_uses_the_histogram_up():
     rng = np.random.default_rng(1)
     count = np.bincount(np.minimum(rng.geometric(1 / 600, 20_000), 2048), minlength=2049)
@@ -440,6 +525,49 @@ def test_languages_are_told_on_held_out_documents(spark, sf):
     assert (got["held_out"] == [zlib.crc32(str(d).encode()) % 3 == 1 for d in got["doc_id"]]).all()
 
 
+def brute_grams(t):
+    """n-grams of 1 to 3 of letters, words between single spaces, none with a space inside; as (n, count) by the code points of the n-gram."""
+    import unicodedata
+
+    letters = "".join((c.lower() if len(c.lower()) == 1 else c) if unicodedata.category(c)[0] == "L" else " " for c in t)
+    line = " " + " ".join(letters.split()) + " "
+    return Counter(g for n in (1, 2, 3) for i in range(len(line) - n + 1) if " " not in (g := line[i : i + n])[1:-1] and not (g[0] == " " == g[-1]))
+
+
+def brute_ranking(counts, size=400):
+    """Most frequent first; ties by the code that orders n-grams: the code points as digits."""
+    code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+
+@pytest.mark.parametrize("per_language", [langid.TRAIN_PER_LANGUAGE, 5])
+def test_languages_against_brute_force(spark, docs, per_language):
+    """Training rows, profiles, out-of-place distances and scores, all without the operator's code."""
+    extra = spark.createDataFrame([(9001, "\n9 !?", "en"), (9002, None, "en"), (9003, "日本語の文書", None), (9004, "Ωmega ŒUVRE straße İstanbul", None), (9005, "the", None)], "doc_id long, text string, lang string")
+    df = docs.select("doc_id", "text", "lang").unionAll(extra).unionAll(extra)
+    rows = df.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 52))).distinct().collect()
+    by_lang = {}
+    for r in rows:
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            by_lang.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    profile = {}
+    for name, own in by_lang.items():
+        total = Counter()
+        for _, t in sorted(own)[:per_language]:
+            total.update(brute_grams(t))
+        if total:
+            profile[name] = {g: k for k, g in enumerate(brute_ranking(total))}
+    got = {r["doc_id"]: r for r in langid.identify(df, langid.learn(df, per_language)).collect()}
+    for r in rows:
+        own = brute_ranking(brute_grams(r["text"] or ""))
+        want = ("und", 0.0)
+        if own:
+            apart = {name: sum(abs(p[g] - k) if g in p else 400 for k, g in enumerate(own)) for name, p in profile.items()}
+            name = min(apart, key=lambda x: (apart[x], x))
+            want = (name, 1 - apart[name] / (400 * len(own)))
+        assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == pytest.approx(want)
+
+
 def test_languages_with_edges(edge, empty):
     profiles = langid.learn(edge)
     got = langid.identify(edge, profiles, keep=("h", "id")).collect()
