@@ -128,7 +128,7 @@ WITH d AS (
   FROM (SELECT doc_id, source, unnest({_LINES}) AS line FROM d) WHERE regexp_matches(line, {_WORD})
 ), f AS (
   SELECT h.source, h.key FROM (SELECT source, key, count(DISTINCT doc_id) AS n FROM l GROUP BY source, key) h
-  JOIN (SELECT source, count(*) AS docs FROM d GROUP BY source) s ON h.source = s.source WHERE n > {quality.LINE_DOCS} AND n > {quality.LINE_SHARE}::DOUBLE * docs
+  JOIN (SELECT source, count(*) AS docs FROM d GROUP BY source) s ON h.source = s.source WHERE n > {quality.LINE_DOCS} AND (n > {quality.LINE_SHARE}::DOUBLE * docs OR n > {quality.LINE_MOST})
 ), per AS (
   SELECT l.doc_id, count(*) - count(DISTINCT line) AS dup, coalesce(sum(l.n) FILTER (WHERE f.key IS NOT NULL), 0) AS lost FROM l LEFT JOIN f ON l.source = f.source AND l.key = f.key GROUP BY l.doc_id
 ), a AS (
