@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.textblocks import lean
@@ -23,7 +23,7 @@ from driftline.llm.textblocks import lean
 #: n-grams in a profile, and the longest n-gram.
 PROFILE = 400
 LONGEST = 3
-#: Labelled documents read for each language, those with the smallest id hashes.
+#: Labelled documents read for each language at most, those with the smallest id hashes.
 TRAIN_PER_LANGUAGE = 2000
 #: Characters of a text turned into n-grams at a time.
 PIECE = 1 << 18
@@ -132,19 +132,30 @@ def held_out(value) -> bool:
     return zlib.crc32(str(value).encode()) % 3 == 1
 
 
+def training_rows(rows: DataFrame, per_language: int) -> DataFrame:
+    """(lang, text) of ``per_language`` ids of each language at most, those with the smallest hashes; of an id's texts the least.
+
+    No texts but these are moved: ids are counted by language, their hashes below a bound that leaves
+    somewhat more than are wanted are gathered, and the last wanted one is the limit for texts.
+    """
+    hashed = rows.withColumn("place", F.pmod(F.xxhash64("id"), F.lit(1 << 52)))
+    least = 1.25 * per_language + 10 * per_language**0.5 + 10  # more than per_language pass this, all but surely
+    some = hashed.groupBy("lang").agg((F.lit(least * (1 << 52)) / F.approx_count_distinct("id", 0.02)).alias("bound"))
+    limits = hashed.select("lang", "place").join(F.broadcast(some), "lang").where("place <= bound").groupBy("lang").agg(F.array_sort(F.collect_set("place")).alias("places"))
+    limits = limits.select("lang", F.coalesce(F.get("places", F.lit(per_language - 1)), F.lit(1 << 52)).alias("limit"))
+    # both broadcasts have a row for each language, like the profiles themselves
+    chosen = hashed.join(F.broadcast(some), "lang").join(F.broadcast(limits), "lang").where("place <= limit and place <= bound")
+    return chosen.groupBy("lang", "id").agg(F.min("text").alias("text")).select("lang", "text")
+
+
 def learn(docs: DataFrame, per_language: int = TRAIN_PER_LANGUAGE, size: int = PROFILE, id: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
     """Profiles of the languages among rows with id, text and language, held-out ids left out.
 
-    Each language's ``per_language`` rows with the smallest id hashes are read, whole; the
+    Each language's ``per_language`` ids with the smallest hashes are read, their texts whole; the
     n-gram counts are summed on the executors and the profiles alone come to the driver.
     """
     rows = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).where(F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).where(F.crc32(F.col("id").cast("string").cast("binary")) % 3 != 1)
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    # ids first, so that ranking moves no texts
-    chosen = rows.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language).select("id", "lang").distinct()
-    sample = rows.join(chosen, ["id", "lang"], "left_semi").select("lang", "text")
+    sample = training_rows(rows, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]):
         total: dict[str, tuple[np.ndarray, np.ndarray]] = {}
@@ -171,7 +182,8 @@ def identify(docs: DataFrame, profiles: Profiles, id: str = "doc_id", text: str
     Only the text is used.  Null texts, texts without a letter, and all texts if nothing was
     learned: ``und`` with score 0.  Rows are independent; ids may repeat or be null.
     """
-    kind = docs.select(id).schema[0].dataType.simpleString()
+    own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -179,6 +191,5 @@ def identify(docs: DataFrame, profiles: Profiles, id: str = "doc_id", text: str
             out = [batch.column(0), pa.array([held_out(i.as_py()) if i.is_valid else False for i in batch.column(0)], pa.bool_()), pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())]
             yield pa.RecordBatch.from_arrays([*out, *batch.columns[2:]], ["id", "held_out", "lang_pred", "score", *[f"k{i}" for i in range(len(keep))]])
 
-    own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
     more = "".join(f", k{i} {own.schema[f'k{i}'].dataType.simpleString()}" for i in range(len(keep)))
     return own.mapInArrow(lean(run), f"id {kind}, held_out boolean, lang_pred string, score double{more}").withColumnsRenamed({"id": id} | {f"k{i}": c for i, c in enumerate(keep)})
