@@ -4,8 +4,9 @@ Every document is cut into full windows and one remainder.  Remainders are packe
 histogram of their lengths alone (at most ``window`` numbers): shallow combinations that fill
 a window are enumerated, repeat counts solved by non-negative least squares against the
 histogram and rounded down, and what is left is packed greedily, still on the histogram.
-Pieces then find their place from their rank within their length, so no task sees more
-than its share and the driver sees only the histogram and the plan.
+Pieces then find their place from their rank within their length; a length is ranked in parts
+by its count, so no task sees more than its share and the driver sees only the histogram, the
+plan and the sizes of the parts (``MOST_PARTS`` numbers and one for each length at most).
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +27,24 @@ WINDOW = 2048
 END_ID = 1
 #: Most frequent lengths that triples are built from.
 TRIPLE_BASE = 24
-#: Ranks within a length are counted in so many parts.
-RANK_PARTS = 64
+#: Pieces of one length that are ranked together, until there would be so many parts in all; then more.
+PART_ROWS = 512
+MOST_PARTS = 65_536
+#: Rounds of the solver at most, and the share by which a round must still lower the squared error.
+ROUNDS, LEAST_GAIN = 2000, 1e-5
 
 
 def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, start, length, ids_crc32, doc_tokens) of all pieces: full windows, then the remainder.
+    """(row, id, start, length, ids_crc32, doc_tokens) of all pieces: full windows, then the remainder; ``row`` is a number of its own.
 
     A null or empty text has the end id alone.  Rows that repeat an id, or have none, are
     documents of their own.  Other columns are ignored.
     """
-    kind = docs.select(id).schema[0].dataType.simpleString()
+    own = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    kind = own.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]):
-        enc = encoder(tokenizer_file)
+        enc, number = encoder(tokenizer_file), TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, buf, offsets, _ in text_blocks(batch.column(1)):
                 ids, ends = enc.encode(buf, offsets)
@@ -51,9 +57,10 @@ def pieces(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: i
                 raw, end = ids.astype("<u4", copy=False), np.array([end_id], "<u4").tobytes()
                 low = ends[row] + start
                 crc = [zlib.crc32(end, c) if z else c for c, z in zip((zlib.crc32(raw[a:b]) for a, b in zip(low.tolist(), (low + length - last).tolist(), strict=True)), last.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(n[row], pa.int64())], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(number + np.arange(len(row))), batch.column(0).take(pa.array(at + row)), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), pa.array(n[row], pa.int64())], ["row", "id", "start", "length", "ids_crc32", "doc_tokens"])
+                number += len(row)
 
-    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(lean(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
+    return own.mapInArrow(lean(run), f"row long, id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def combinations(count: np.ndarray, window: int, base: int = TRIPLE_BASE) -> np.ndarray:
@@ -75,14 +82,20 @@ def combinations(count: np.ndarray, window: int, base: int = TRIPLE_BASE) -> np.
     return np.concatenate(rows)
 
 
-def solve_repeats(combos: np.ndarray, count: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """x >= 0 that minimises |A x - count|, A having the lengths of each combination (multiplicative updates)."""
+def solve_repeats(combos: np.ndarray, count: np.ndarray, rounds: int = ROUNDS, gain: float = LEAST_GAIN) -> np.ndarray:
+    """x >= 0 that minimises |A x - count|, A having the lengths of each combination (multiplicative updates, until they no longer gain)."""
     valid = combos > 0
     target = count.astype(float)
     x = np.where(valid, target[combos], np.inf).min(1) / 2 + 1e-9
     upper = np.where(valid, target[combos], 0).sum(1)
+    used = np.unique(combos[valid])
+    before = np.inf
     for _ in range(rounds):
         made = np.bincount(combos[valid], np.broadcast_to(x[:, None], combos.shape)[valid], len(count))
+        error = float(((made - target)[used] ** 2).sum())
+        if error >= before * (1 - gain):
+            break
+        before = error
         lower = np.where(valid, made[combos], 0).sum(1)
         x *= upper / np.maximum(lower, 1e-12)
     return x
@@ -144,28 +157,38 @@ def places(patterns: list[tuple[list[tuple[int, int]], int]]) -> dict[str, np.nd
 def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int = END_ID, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Pieces with their place: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, padding.
 
-    Sequences have ``window`` ids at most; ``padding`` is what theirs lacks.  An empty table
+    Within a length, pieces are placed in the order in which they were cut.  Sequences have ``window`` ids at most; ``padding`` is what theirs lacks.  An empty table
     gives no pieces.  See ``pieces`` for nulls, repeated ids and clashing columns.
     """
-    cut = stored(pieces(docs, tokenizer_file, window, end_id, id, text), "pieces")
-    parted = cut.withColumn("part", F.pmod(F.xxhash64("id", "start"), F.lit(RANK_PARTS)))
-    counts = parted.groupBy("length", "part").count()
+    spark = docs.sparkSession
+    cut = stored(pieces(docs, tokenizer_file, window, end_id, id, text), "pieces", small=True)
     hist = np.zeros(window + 1, np.int64)
-    for length, n in counts.groupBy("length").agg(F.sum("count")).collect():  # window rows at most
+    for length, n in cut.groupBy("length").count().collect():  # window rows at most
         hist[length] = n
     patterns = plan(hist, window)
     slots = places(patterns)
     starts = np.concatenate([[0], np.cumsum([t for _, t in patterns])]).astype(np.int64)
     pad_of = np.array([window - sum(a * m for a, m in p) for p, _ in patterns], np.int64)
-    # a rank within (length, part), plus the parts before it: window * RANK_PARTS rows at most
-    before = counts.withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))).select("length", "part", F.coalesce("before", F.lit(0)).alias("before"))
-    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("id", "start", "ids_crc32")) - 1).join(F.broadcast(before), ["length", "part"])
-    kind = docs.select(id).schema[0].dataType.simpleString()
+    # a rank within (length, part), plus the parts before it
+    parts = -(-hist // max(PART_ROWS, int(hist.sum()) // MOST_PARTS))
+    have = np.flatnonzero(hist)
+    of_length = F.broadcast(spark.createDataFrame(list(zip(have.tolist(), parts[have].tolist(), strict=True)), "length long, parts long"))
+    parted = cut.join(of_length, "length").withColumn("part", F.pmod(F.xxhash64("row"), "parts"))
+    sizes = parted.groupBy("length", "part").count().toArrow()
+    first = np.cumsum(parts) - parts
+    held = np.zeros(int(parts.sum()), np.int64)
+    held[first[sizes.column("length").to_numpy()] + sizes.column("part").to_numpy()] = sizes.column("count").to_numpy()
+    before = np.cumsum(held) - held
+    before -= np.repeat(np.append(before, 0)[first], parts)  # from the length's first part on
+    shared = spark.sparkContext.broadcast((slots, starts, pad_of, first, before))
+    ranked = parted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "part").orderBy("row")) - 1)
 
     def place(batches: Iterator[pa.RecordBatch]):
+        slots, starts, pad_of, first, before = shared.value
         key = slots["length"] << 44 | slots["low"]
         for b in batches:
             length, rank = (np.asarray(b.column(k)) for k in ("length", "rank"))
+            rank = rank + before[first[length] + np.asarray(b.column("part"))]
             at = np.searchsorted(key, length << 44 | rank, "right") - 1
             inside = rank - slots["low"][at]
             sequence = slots["sequence"][at] + inside // slots["many"][at]
@@ -174,7 +197,7 @@ def pack(docs: DataFrame, tokenizer_file: str, window: int = WINDOW, end_id: int
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("id", "start", "length", "ids_crc32", "doc_tokens")), pa.array(sequence), pa.array(offset), pa.array(padding)], ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "padding"])
 
     return (
-        ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", (F.col("rank") + F.col("before")).alias("rank"))
-        .mapInArrow(lean(place), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long")
+        ranked.select("id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank")
+        .mapInArrow(lean(place), f"id {cut.schema['id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padding long")
         .withColumnRenamed("id", id)
     )
