@@ -13,10 +13,9 @@ SITEMAP_URLS = 49_999
 
 def fnv32(s: Column) -> Column:
     """FNV-1a of the UTF-8 bytes; '' is 0 (no value) and a hash of 0 becomes 1."""
-    hexed = F.hex(F.encode(s, "UTF-8"))
-    codes = F.transform(F.sequence(F.lit(0), F.octet_length(s) - 1), lambda i: F.conv(F.substring(hexed, i * 2 + 1, F.lit(2)), 16, 10).cast("long"))
-    h = F.aggregate(codes, F.lit(FNV_START).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK)))
-    return F.when(F.coalesce(s, F.lit("")) == "", 0).when(h == 0, 1).otherwise(h).cast("long")
+    pairs = F.regexp_extract_all(F.hex(F.encode(F.coalesce(s, F.lit("")), "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0))
+    h = F.aggregate(pairs, F.lit(FNV_START).cast("long"), lambda h, b: (h.bitwiseXOR(F.conv(b, 16, 10).cast("long")) * F.lit(FNV_PRIME)).bitwiseAND(F.lit(MASK)))
+    return F.when(F.coalesce(s, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.greatest(h, F.lit(1).cast("long")))
 
 
 def parse_id(s: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,14 +26,18 @@ def int_dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("int") * y.cast("int")), F.lit(0), lambda s, x: s + x)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value worked out once: what stands in a lambda's body is evaluated anew for each element, a lambda's variable is not."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(doubles(v), Z(), lambda s, x: s + x * x))
 
 
 def normalize(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v))
+    return bound(norm(v), lambda n: F.when(n > 0, F.transform(doubles(v), lambda x: x / n)).otherwise(doubles(v)))
 
 
 def max_abs(v: Column) -> Column:
@@ -45,9 +51,8 @@ def scale_of(v: Column) -> Column:
 
 def quantize(v: Column) -> Column:
     """Components in steps of ``scale_of``, rounded half away from zero and held within +-127; all zero for a zero vector."""
-    s = scale_of(v)
     clamp = lambda x: F.greatest(F.lit(-127.0), F.least(F.lit(127.0), x))
-    return F.transform(doubles(v), lambda x: F.when(s > 0, clamp(F.round(x / s))).otherwise(F.lit(0.0)).cast("tinyint"))
+    return bound(scale_of(v), lambda s: F.transform(doubles(v), lambda x: F.when(s > 0, clamp(F.round(x / s))).otherwise(F.lit(0.0)).cast("tinyint")))
 
 
 def dequantize(q: Column, scale: Column) -> Column:
@@ -81,12 +86,14 @@ def encode_i8(v):
 
 def heat_limit(v: Column) -> Column:
     """The 98th percentile of absolute values by place: element floor(0.98 n) of the sorted ones, else the largest, else 1."""
-    a = F.array_sort(F.transform(doubles(v), F.abs))
-    at = F.get(a, F.floor(F.size(a) * 0.98).cast("int"))
-    return F.coalesce(F.when(at > 0, at), F.when(F.array_max(a) > 0, F.array_max(a)), F.lit(1.0))
+
+    def limit(a: Column) -> Column:
+        at, top = F.get(a, F.floor(F.size(a) * 0.98).cast("int")), F.array_max(a)
+        return F.coalesce(F.when(at > 0, at), F.when(top > 0, top), F.lit(1.0))
+
+    return bound(F.array_sort(F.transform(doubles(v), F.abs)), limit)
 
 
 def clipped(v: Column) -> Column:
     """How many components are beyond ``heat_limit``."""
-    top = heat_limit(v)
-    return F.size(F.filter(doubles(v), lambda x: F.abs(x) > top))
+    return bound(heat_limit(v), lambda top: F.size(F.filter(doubles(v), lambda x: F.abs(x) > top)))
