@@ -6,13 +6,14 @@ equality filter on ``term`` (pushed to the scan), a join with document lengths,
 
 from __future__ import annotations
 
-import math
+import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import text as X
+from driftline.operators.filters import valid_query_text
 
 #: Weights of the columns, BM25's constants, weight of ln(1 + citations); fixed values.
 WEIGHTS = {"title": 10.0, "authors": 3.0, "abstract": 1.0}
@@ -21,15 +22,17 @@ PAGE, LAST_PAGE, COUNT_CAP = 20, 50, 1000
 
 
 def postings(papers: DataFrame, id: str = "id", columns: tuple[str, ...] = ("title", "authors", "abstract"), stemmed: bool = False) -> DataFrame:
-    """(id, col, term, pos) of all tokens; authors keep stop words; ``stemmed`` folds and stems them."""
+    """(id, col, term, pos) of all tokens; authors keep stop words; ``stemmed`` folds and stems them; excluded papers have none."""
     out = None
+    if "excluded" in papers.columns:
+        papers = papers.where(~F.coalesce(F.col("excluded"), F.lit(False)))
     for c in columns:
         kind = dict(papers.dtypes).get(c)
         if kind is None:
             continue
         source = F.array_join(F.col(c), " ") if kind.startswith("array") else F.col(c)
         tokens = X.index_tokens(source, stop=c != "authors")
-        part = papers.select(F.col(id).alias("id"), F.lit(c).alias("col"), F.posexplode(X.stems(tokens) if stemmed else tokens).alias("pos", "term"))
+        part = papers.select(F.col(id).cast("long").alias("id"), F.lit(c).alias("col"), F.posexplode(X.stems(tokens) if stemmed else tokens).alias("pos", "term"))
         out = part if out is None else out.unionAll(part)
     return out.select("id", "col", "term", "pos")
 
@@ -39,6 +42,21 @@ def lengths(posts: DataFrame) -> DataFrame:
     return posts.groupBy("id").agg(F.count(F.lit(1)).alias("length"))
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """Stored (id, length, title_length), and (documents, tokens) of all columns and of titles."""
+
+    documents: DataFrame
+    all: tuple[int, int]
+    titles: tuple[int, int]
+
+    def of(self, title: bool) -> tuple[DataFrame, float, float]:
+        """(id, length) of documents that have tokens, their number, and their average length."""
+        n, total = self.titles if title else self.all
+        size = self.documents.select("id", F.col("title_length" if title else "length").alias("length"))
+        return size.where("length > 0"), float(n), total / n if n else 0.0
+
+
 @dataclass(frozen=True)
 class Query:
     """The words of a query, and its phrase if there are two or more."""
@@ -75,18 +93,22 @@ def phrase_hits(posts: DataFrame, words: tuple[str, ...]) -> DataFrame:
     return whole.groupBy("id", "col").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(posts: DataFrame, query: Query, any_word: bool = False, weights: dict[str, float] | None = None) -> DataFrame:
+def bm25(posts: DataFrame, query: Query, any_word: bool = False, weights: dict[str, float] | None = None, sizes: tuple[DataFrame, float, float] | None = None) -> DataFrame:
     """(id, bm25) of matching documents, higher is better.
 
     Sum over words, and the phrase where every word must match, of idf * f * (k1 + 1) / (f + k1 * (1 - b +
     b * length / average)), f being the tf weighted by column; idf = ln((N - n + 0.5) / (n + 0.5)), 1e-6 at least.
+    ``sizes`` has lengths, N and average if they are stored; else they are counted.
     """
     weights = weights or WEIGHTS
     weight = F.lit(1.0)
     for c, w in weights.items():
         weight = F.when(F.col("col") == c, F.lit(w)).otherwise(weight)
-    size = lengths(posts)
-    corpus = size.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("average"))
+    if sizes:
+        size, corpus = sizes[0], posts.sparkSession.range(1).select(F.lit(sizes[1]).alias("docs"), F.lit(sizes[2]).alias("average"))
+    else:
+        size = lengths(posts)
+        corpus = size.agg(F.count(F.lit(1)).alias("docs"), F.avg("length").alias("average"))
     tf = posts.where(F.col("term").isin(*query.terms)).groupBy("id", "col", "term").agg(F.count(F.lit(1)).alias("tf"))
     if len(query.words) > 1 and not any_word:
         tf = tf.unionByName(phrase_hits(posts, query.words).withColumn("term", F.lit("\0phrase")))
@@ -113,22 +135,23 @@ def capped_count(rows: DataFrame, cap: int = COUNT_CAP) -> DataFrame:
     return rows.limit(cap + 1).agg(F.least(F.count(F.lit(1)), F.lit(cap)).alias("total"), (F.count(F.lit(1)) > cap).alias("capped"))
 
 
-def search(papers: DataFrame, posts: DataFrame, q: str, sort: str = "", page: int = 1, title_cap: int = COUNT_CAP) -> DataFrame:
+def search(papers: DataFrame, posts: DataFrame, q: str, sort: str = "", page: int = 1, title_cap: int = COUNT_CAP, stemmed: bool = False, sizes: Sizes | None = None) -> DataFrame:
     """(place, id, tier, score): a page of results, title matches first, each tier in its own order.
 
     Any word will do only where no document has all.  With more than ``title_cap`` title
     matches there is no second tier.  ``papers`` has id, cited and year; papers that are not in
-    it are left out, as the postings may be ahead of the index.
+    it are left out, as the postings may be ahead of the index.  ``stemmed`` must be as the
+    postings are.  A query of no words, or of none or over 200 bytes, finds nothing.
     """
     spark = papers.sparkSession
-    query, page = Query.of(spark, q), max(1, min(LAST_PAGE, page))
+    query, page = Query.of(spark, q if valid_query_text(q) else "", stemmed), max(1, min(LAST_PAGE, page))
     empty = spark.createDataFrame([], "place int, id long, tier int, score double")
     if not query.words:
         return empty
     any_word = matches(posts, query).limit(1).count() == 0
     titles = posts.where(F.col("col") == "title")
-    in_title = bm25(titles, query, any_word, {"title": 1.0}).withColumn("tier", F.lit(1))
-    rest = bm25(posts, query, any_word).join(in_title.select("id"), "id", "left_anti").withColumn("tier", F.lit(2))
+    in_title = bm25(titles, query, any_word, {"title": 1.0}, sizes.of(True) if sizes else None).withColumn("tier", F.lit(1))
+    rest = bm25(posts, query, any_word, sizes=sizes.of(False) if sizes else None).join(in_title.select("id"), "id", "left_anti").withColumn("tier", F.lit(2))
     titled = matches(titles, query, any_word).limit(title_cap + 1).count()
     hits = in_title if titled > title_cap else in_title.unionByName(rest)
     scored = hits.join(papers.select("id", "cited", "year"), "id").withColumn("score", F.col("bm25") + POPULARITY * F.log1p("cited"))
@@ -136,3 +159,30 @@ def search(papers: DataFrame, posts: DataFrame, q: str, sort: str = "", page: in
     best = scored.orderBy("tier", *order_key(sort)).limit(low + PAGE)
     placed = best.withColumn("place", F.row_number().over(Window.orderBy("tier", *order_key(sort))))  # at most LAST_PAGE * PAGE rows
     return placed.where(F.col("place") > low).select("place", "id", "tier", "score")
+
+
+class TtlCache:
+    """Results by key for ``seconds``; beyond ``most`` of them all go.  ``clock`` gives the time."""
+
+    def __init__(self, seconds: float = 300, most: int = 2000, clock=time.monotonic):
+        self.seconds, self.most, self.clock, self.held = seconds, most, clock, {}
+
+    def get(self, key, make):
+        """What ``key`` has, or what ``make()`` gives now; errors are not kept."""
+        now = self.clock()
+        if key in self.held and now - self.held[key][0] < self.seconds:
+            return self.held[key][1]
+        value = make()
+        if len(self.held) >= self.most:
+            self.held.clear()
+        self.held[key] = (now, value)
+        return value
+
+
+#: Pages of results held for repeated searches, by (query, sort, page).
+PAGES = TtlCache()
+
+
+def cached_page(key: tuple, result) -> list:
+    """The rows of ``result()``, a page of PAGE rows, from the cache if it was asked lately."""
+    return PAGES.get(key, lambda: result().collect())

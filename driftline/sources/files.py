@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions.scalars import parse_id
 from driftline.schema import INDEX, PAPER, PENDING, WORK, with_defaults
+from driftline.sources.shared import read_pointer
 
 FORMAT_VERSION = 3
 
@@ -46,18 +47,88 @@ def matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, i long, embedding array<float>")
 
 
-def index_scan(spark: SparkSession, path: str) -> DataFrame:
-    """The current build of an index (see sinks.write_index); its version and columns are checked."""
-    meta = spark.read.schema("build string, version int, rows long").json(f"{path}/current").first()
-    if meta is None or meta["version"] != FORMAT_VERSION:
+def current_build(spark: SparkSession, path: str) -> str | None:
+    """The build that an index's pointer names; None without one of this version."""
+    meta = read_pointer(spark, f"{path}/current")
+    return meta["build"] if meta and meta["version"] == FORMAT_VERSION else None
+
+
+def index_scan(spark: SparkSession, path: str, build: str | None = None) -> DataFrame:
+    """A build of an index (see sinks.write_index), the current one if none is named; its version and columns are checked."""
+    build = build or current_build(spark, path)
+    if build is None:
         raise ValueError(f"{path}: no index of version {FORMAT_VERSION}")
-    df = spark.read.parquet(f"{path}/build={meta['build']}")
+    df = spark.read.parquet(f"{path}/build={build}")
     missing = {f.name for f in INDEX} - set(df.columns)
     if missing:
         raise ValueError(f"{path}: without {sorted(missing)}")
     return df
 
 
+class Reader:
+    """An index held open: it keeps its build until ``reload`` finds another, and then the one before too.
+
+    ``rows`` of a build that is neither is None: the asker's row numbers are stale, and it should
+    fall back to random rows (feed.random_rows).
+    """
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path, self.builds = spark, path, []
+        self.reload()
+
+    def reload(self) -> bool:
+        """Whether there was a new build."""
+        now = current_build(self.spark, self.path)
+        if now is None or now in self.builds[:1]:
+            return False
+        self.builds = [now, *self.builds[:1]]
+        return True
+
+    def rows(self, build: str | None = None) -> DataFrame | None:
+        build = build or (self.builds[0] if self.builds else None)
+        return index_scan(self.spark, self.path, build) if build in self.builds else None
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(i, line) of a text file, lines numbered from 0 in the file's order.
+
+    Each split is numbered by its task; the counts of the splits, which is what comes to the
+    driver, say where it begins.
+    """
+
+    def number(batches):
+        block, i = None, 0
+        for b in batches:
+            start = b.column("block").to_numpy()
+            out = np.empty(len(start), np.int64)
+            for at, s in enumerate(start.tolist()):
+                block, i = (block, i + 1) if s == block else (s, 0)
+                out[at] = i
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out), b.column("value")], ["block", "k", "line"])
+
+    rows = spark.read.text(path).select(F.col("_metadata.file_block_start").alias("block"), "value").mapInArrow(number, "block long, k long, line string")
+    begin, first = [], 0
+    for block, n in sorted(rows.groupBy("block").agg(F.count(F.lit(1))).collect()):  # a row for each split
+        begin.append((block, first))
+        first += n
+    starts = F.broadcast(spark.createDataFrame(begin, "block long, first long"))
+    return rows.join(starts, "block").select((F.col("first") + F.col("k")).alias("i"), "line")
+
+
+def paired(spark: SparkSession, papers_path: str, matrix_path: str, dim: int) -> DataFrame:
+    """Papers of a JSON-lines file with the row of a float matrix that has their line's number; both must have as many.
+
+    Excluded papers are dropped with their rows.
+    """
+    lines = numbered_lines(spark, papers_path).where("trim(line) <> ''")
+    own = with_defaults(lines.select("i", F.from_json("line", PAPER, {"mode": "FAILFAST"}).alias("p")).select("p.*", F.col("i").alias("seq_")).drop("seq").withColumnRenamed("seq_", "seq"))
+    vectors = matrix(spark, matrix_path, dim).select("i", "embedding")
+    n, m = own.count(), vectors.count()
+    if n != m:
+        raise ValueError(f"{n} papers and {m} rows")
+    return own.join(vectors, own["seq"] == vectors["i"]).drop("i").where(~F.col("excluded"))
+
+
 def lookup(df: DataFrame, ids: list[str], id: str = "id", most: int = 500) -> DataFrame:
     """Rows of the given ids (123, W123 or an address); at most ``most`` are looked up, and the filter reaches the scan."""
     spark = df.sparkSession

@@ -1,4 +1,4 @@
-"""Writers: deduplicated appends, the versioned index, postings, responses, sitemaps, status."""
+"""Writers: deduplicated appends, the versioned index, responses, sitemaps, status.  Postings are in textindex."""
 
 from __future__ import annotations
 
@@ -10,12 +10,7 @@ from pyspark.sql import functions as F
 from driftline.functions.scalars import SITEMAP_URLS
 from driftline.operators.ingest import new_papers
 from driftline.sources.files import FORMAT_VERSION
-
-
-def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path is there, through Spark's own file systems."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+from driftline.sources.shared import exists, write_pointer
 
 
 def append_new(batch: DataFrame, path: str) -> None:
@@ -34,7 +29,7 @@ def append_missing(vectors: DataFrame, path: str, id: str = "id") -> None:
 
 
 def write_index(index: DataFrame, path: str, partitions: int | None = None) -> str:
-    """Write a build beside the others, then point ``current`` at it; readers keep the build they opened.
+    """Write a build beside the others, then point ``current`` at it in one step; readers keep the build they opened.
 
     Rows are laid out by cluster, so that a probe reads the files and row groups of its clusters alone.
     """
@@ -42,26 +37,10 @@ def write_index(index: DataFrame, path: str, partitions: int | None = None) -> s
     laid = index.repartitionByRange(partitions, "cluster", "row") if partitions else index.repartitionByRange("cluster", "row")
     laid.sortWithinPartitions("cluster", "row").write.parquet(f"{path}/build={build}")
     rows = spark.read.parquet(f"{path}/build={build}").count()
-    spark.createDataFrame([(build, FORMAT_VERSION, rows)], "build string, version int, rows long").coalesce(1).write.mode("overwrite").json(f"{path}/current")
+    write_pointer(spark, f"{path}/current", {"build": build, "version": FORMAT_VERSION, "rows": rows})
     return build
 
 
-def upsert_postings(posts: DataFrame, changed: DataFrame, path: str, id: str = "id") -> str:
-    """A new version of the postings: without those of changed ids, and with their new ones; returns its path.
-
-    Written beside the old version and committed by its caller's pointer, so a batch that is
-    repeated after a failure gives the same table.
-    """
-    spark = posts.sparkSession
-    out = f"{path}/version={uuid.uuid4().hex}"
-    posts.join(changed.select(id).distinct(), id, "left_anti").write.parquet(out)
-    return out
-
-
-def delete_ids(posts: DataFrame, gone: DataFrame, id: str = "id") -> DataFrame:
-    return posts.join(gone.select(id).distinct(), id, "left_anti")
-
-
 def compact(spark: SparkSession, path: str, out: str, by: str = "term", files: int | None = None) -> None:
     """Rewrite a table of many small files in few, sorted by ``by`` so that filters on it skip row groups."""
     df = spark.read.parquet(path)
@@ -85,6 +64,33 @@ def write_sitemap(pages: DataFrame, path: str, home: str | None = None) -> None:
     sitemap(pages, home=home).repartition("chunk").write.mode("overwrite").partitionBy("chunk").text(path)
 
 
+def article_json(url: Column, same_as: Column) -> Column:
+    """The schema.org object of a paper's page; date, identifier, journal, subject and authors only where there are any."""
+    some = lambda c, value=None: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c) if value is None else value)
+    people = F.transform("authors", lambda a: F.struct(F.lit("Person").alias("@type"), a.alias("name")))
+    keys = {
+        "@context": F.lit("https://schema.org"),
+        "@type": F.lit("ScholarlyArticle"),
+        "headline": F.col("title"),
+        "name": F.col("title"),
+        "abstract": F.col("abstract"),
+        "url": url,
+        "sameAs": F.array(same_as),
+        "isAccessibleForFree": F.coalesce(F.col("pdf_url"), F.lit("")) != "",
+        "datePublished": F.when(F.col("year") != 0, F.col("year").cast("string")),
+        "identifier": some("doi"),
+        "isPartOf": some("venue", F.struct(F.lit("Periodical").alias("@type"), F.col("venue").alias("name"))),
+        "about": some("field"),
+        "author": F.when(F.size("authors") > 0, people),
+    }
+    return F.to_json(F.struct(*[c.alias(k) for k, c in keys.items()]))
+
+
+def write_status(row: DataFrame, path: str) -> None:
+    """The one row of ``status`` as a JSON object at ``path``, put there in one step."""
+    write_pointer(row.sparkSession, path, row.first().asDict())
+
+
 def status(papers: DataFrame, vectors: DataFrame, index: DataFrame) -> DataFrame:
     """One row of counters: fetched, embedded, indexed and waiting papers."""
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
