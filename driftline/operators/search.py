@@ -3,8 +3,8 @@
 Scores are the quantised inner product times both scales (about the cosine, as vectors are
 normalised); order is score descending, then row ascending.  A search is a plan over rows of
 the index and rows of queries: a checked number of queries is broadcast and scored in
-numpy blocks with a top-k for each block before the shuffle; more queries than that are cut in
-chunks, each a scan.
+numpy blocks, and each task passes on a top-k; more queries than that are cut in chunks,
+each a scan, or, where they probe clusters, meet the index's rows by cluster.
 """
 
 from __future__ import annotations
@@ -15,9 +15,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from driftline.functions import vectors as V
 from driftline.operators.filters import Filter
+from driftline.sources.shared import stored
 
 #: Queries scored in one scan; their vectors are broadcast (QUERY_CHUNK * dimension bytes).
 QUERY_CHUNK = 4096
@@ -26,6 +28,8 @@ FLAT_BELOW, LEAST_LISTS, MOST_LISTS = 200_000, 256, 65_536
 NPROBE = 48
 #: Ranges in which the rows of a cluster are numbered.
 ROW_PARTS = 16
+#: Numbers in a block of scores, and rows of a cluster in a block.
+BLOCK_CELLS, BLOCK_ROWS = 1 << 21, 8192
 
 
 def auto_nlist(n: int) -> int:
@@ -63,24 +67,37 @@ def build_index(papers: DataFrame, centroids: DataFrame | None = None, id: str =
     return df.withColumn("inner", inner).join(starts, ["cluster", "part"]).withColumn("row", F.col("start") + F.col("inner")).drop("start", "inner", "part", "u")
 
 
-def assign(df: DataFrame, centroids: DataFrame, vector: str = "u") -> DataFrame:
-    """``df`` with its ``cluster``: the centroid of the largest inner product, ties to the smaller number.
-
-    Centroids (at most MOST_LISTS, by ``auto_nlist``) are broadcast as one matrix.
-    """
-    rows = centroids.orderBy("cluster").collect()
+def centroid_table(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, one row each): centroids (at most MOST_LISTS, by ``auto_nlist``) as a matrix."""
+    rows = centroids.orderBy("cluster").limit(MOST_LISTS + 1).collect()
     if len(rows) > MOST_LISTS:
         raise ValueError("too many clusters")
-    numbers = np.array([r["cluster"] for r in rows], np.int32)
-    table = df.sparkSession.sparkContext.broadcast(np.array([r["c"] for r in rows], float))
+    return np.array([r["cluster"] for r in rows], np.int32), np.array([r["c"] for r in rows], float)
+
+
+def matrix_of(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+
+
+def nearest(x: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The row of ``table`` of the largest inner product, for each row of ``x``; ties to the first."""
+    step = max(1, BLOCK_CELLS // max(1, len(table)))
+    return np.concatenate([np.zeros(0, np.int64), *((x[low : low + step] @ table.T).argmax(1) for low in range(0, len(x), step))])
 
-    @F.pandas_udf("int")
-    def cluster(v):
-        if not len(v):
-            return v.astype("int32")
-        return v.__class__(numbers[(np.stack(v.to_numpy()).astype(float) @ table.value.T).argmax(1)])
 
-    return df.withColumn("cluster", cluster(F.col(vector)))
+def assign(df: DataFrame, centroids: DataFrame, vector: str = "u") -> DataFrame:
+    """``df`` with its ``cluster``: the centroid of the largest inner product, ties to the smaller number."""
+    own = df.drop("cluster")
+    shared = df.sparkSession.sparkContext.broadcast(centroid_table(centroids))
+    at = own.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        numbers, table = shared.value
+        for b in batches:
+            near = numbers[nearest(matrix_of(b.column(at)), table)] if b.num_rows else np.zeros(0, np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near, pa.int32())], [*b.schema.names, "cluster"])
+
+    return own.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("cluster", T.IntegerType())]))
 
 
 def mean_centroids(df: DataFrame, by: str = "label", vector: str = "u") -> DataFrame:
@@ -90,26 +107,71 @@ def mean_centroids(df: DataFrame, by: str = "label", vector: str = "u") -> DataF
     return c.select("cluster", V.normalize(F.col("m")).alias("c"))
 
 
-def kmeans(df: DataFrame, k: int, vector: str = "u", rounds: int = 10, sample: int = 65_536, seed: int = 7) -> DataFrame:
-    """(cluster, c): spherical k-means on a sample of at most ``sample`` rows; all rows are assigned by ``assign``.
+def kmeans(df: DataFrame, k: int, vector: str = "u", rounds: int = 10, sample: int = 262_144, seed: int = 7, id: str = "id") -> DataFrame:
+    """(cluster, c): spherical k-means on about ``sample`` rows; all rows are assigned by ``assign``.
 
-    Seeds are evenly spaced in the sample, centroids are renormalised means, and an empty
-    cluster starts anew from a random row.
+    Rows, seeds and the rows that empty clusters start anew from are those with the smallest hashes of
+    their ids.  In a round every task sums its rows by cluster, the sums are added by cluster, and
+    the centroids alone come to the driver.
     """
-    n = df.count()
-    rows = df if n <= sample else df.orderBy(F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns if c not in (vector, "q", "embedding")])).limit(sample)
-    x = np.stack([np.array(r[0], float) for r in rows.select(vector).collect()]) if n else np.zeros((0, 1))
-    rng, k = np.random.default_rng(seed), min(k, len(x))
-    c = x[np.arange(k) * len(x) // max(1, k)].copy()
-    for _ in range(rounds if k else 0):
-        near = (x @ c.T).argmax(1)
+    spark, n = df.sparkSession, df.count()
+    h = F.pmod(F.xxhash64(F.lit(seed), F.col(id)), F.lit(1 << 30))
+    rows = df.select(h.alias("h"), F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = stored(rows.where(F.col("h") < (1 << 30) * min(1.0, sample / max(1, n))), "sample")
+    spare = k // 8 + 16
+    first = rows.orderBy("h", "id").limit(k + spare).collect()
+    if not first:
+        return spark.createDataFrame([], "cluster int, c array<double>")
+    x = np.array([r["v"] for r in first], float)
+    k = min(k, len(x))
+    c, spares = x[:k].copy(), x[k:]
+
+    def add(t: pa.Table) -> pa.Table:
+        total = matrix_of(t.column("s").combine_chunks()).sum(0)
+        return pa.table({"cluster": t.column("cluster").slice(0, 1), "s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+    for turn in range(rounds):
+        shared = spark.sparkContext.broadcast(c)
+
+        def sums(batches: Iterator[pa.RecordBatch], shared=shared):
+            total: dict[int, np.ndarray] = {}
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v = matrix_of(b.column("v"))
+                near = nearest(v, shared.value)
+                order = np.argsort(near, kind="stable")
+                which, at = np.unique(near[order], return_index=True)
+                for cluster, s in zip(which.tolist(), np.add.reduceat(v[order], at), strict=True):
+                    total[cluster] = total[cluster] + s if cluster in total else s
+            if total:
+                flat = np.concatenate(list(total.values()))
+                ends = np.arange(0, len(flat) + 1, len(flat) // len(total), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cluster", "s"])
+
         total = np.zeros_like(c)
-        np.add.at(total, near, x)
+        for r in rows.select("v").mapInArrow(sums, "cluster int, s array<double>").groupBy("cluster").applyInArrow(add, "cluster int, s array<double>").collect():
+            total[r["cluster"]] = r["s"]
+        size = np.linalg.norm(total, axis=1)
+        empty = np.flatnonzero(size == 0)
+        if len(empty) and len(spares):
+            total[empty] = spares[(np.arange(len(empty)) + turn) % len(spares)]
         size = np.linalg.norm(total, axis=1)
-        empty = size == 0
-        total[empty] = x[rng.integers(0, len(x), int(empty.sum()))]
-        c = total / np.maximum(np.linalg.norm(total, axis=1), 1e-12)[:, None]
-    return df.sparkSession.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster int, c array<double>")
+        c = np.where(size[:, None] > 0, total / np.maximum(size, 1e-12)[:, None], c)
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster int, c array<double>")
+
+
+def merged_top(parts: list[tuple[np.ndarray, ...]], want: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """Of (query, id, row, dot, score) parts the best ``want`` of each query."""
+    if not parts:
+        return []
+    who, ids, rows, dots, s = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((rows, -s, who))
+    who, ids, rows, dots, s = who[order], ids[order], rows[order], dots[order], s[order]
+    at = np.arange(len(who))
+    new = np.concatenate([[True], who[1:] != who[:-1]])
+    keep = at - np.maximum.accumulate(np.where(new, at, 0)) < want[who]
+    return [(who[keep], ids[keep], rows[keep], dots[keep], s[keep])]
 
 
 def _block_top(q: np.ndarray, rows: np.ndarray, k: np.ndarray, x: np.ndarray, scale: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,6 +192,79 @@ def _block_top(q: np.ndarray, rows: np.ndarray, k: np.ndarray, x: np.ndarray, sc
         yield i, some, dots[i, some].astype(np.int64), s[some]
 
 
+HITS = "query_id long, id long, row long, dot long, partial double"
+
+
+def _by_scan(points: DataFrame, part: DataFrame, probes: DataFrame | None) -> DataFrame:
+    """HITS of a chunk of queries, which are broadcast: each task scores its rows in blocks and passes on a top-k."""
+    spark = points.sparkSession
+    got = part.orderBy("query_id").collect()  # a chunk of queries, about
+    allowed = None
+    if probes is not None:
+        by_cluster: dict[int, list[int]] = {}
+        at = {r["query_id"]: i for i, r in enumerate(got)}
+        for query, cluster in probes.select("query_id", "cluster").collect():  # nprobe for each query of the one chunk
+            if query in at:
+                by_cluster.setdefault(cluster, []).append(at[query])
+        allowed = {c: np.array(v) for c, v in by_cluster.items()}
+        if len(by_cluster) <= 4096:  # clusters that nobody probes are not read
+            points = points.where(F.col("cluster").isin(*sorted(by_cluster)))
+    sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in got], np.int64), np.array([r["q"] for r in got], float).reshape(len(got), -1), np.array([r["want"] for r in got], np.int64), allowed))
+
+    def score(batches: Iterator[pa.RecordBatch]):
+        names, q, want, allowed = sent.value
+        best: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            if not b.num_rows or not len(names):
+                continue
+            ids, rows, scale = (np.asarray(b.column(c)) for c in ("id", "row", "scale"))
+            x = matrix_of(b.column("q"))
+            jobs = [(np.arange(len(names)), np.arange(len(rows)))]
+            if allowed is not None:
+                cluster = np.asarray(b.column("cluster"))
+                jobs = [(allowed[c], np.flatnonzero(cluster == c)) for c in np.unique(cluster).tolist() if c in allowed]
+            for who, which in jobs:
+                step = max(1, BLOCK_CELLS // len(which))
+                for low in range(0, len(who), step):
+                    some = who[low : low + step]
+                    best += [(np.full(len(at), some[i]), ids[which[at]], rows[which[at]], dots, s) for i, at, dots, s in _block_top(q[some], rows[which], want[some], x[which], scale[which])]
+            if sum(len(p[0]) for p in best) > 4 * max(1, int(want.sum())):
+                best = merged_top(best, want)
+        for who, *rest in merged_top(best, want):
+            yield pa.RecordBatch.from_arrays([pa.array(names[who]), *map(pa.array, rest)], ["query_id", "id", "row", "dot", "partial"])
+
+    return points.mapInArrow(score, HITS)
+
+
+def _by_cluster(points: DataFrame, asked: DataFrame, probes: DataFrame) -> DataFrame:
+    """HITS of any number of queries: rows and queries meet by cluster, large ones in blocks of rows and of queries."""
+    spark = points.sparkSession
+    walked = asked.join(probes.select("query_id", "cluster"), "query_id")
+    block = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    parts = block(points, "row_parts").join(block(walked, "ask_parts"), "cluster")
+    parts = F.broadcast(spark.createDataFrame(parts.collect(), "cluster int, row_parts int, ask_parts int"))  # a row for each cluster
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = points.join(parts, "cluster").select("cluster", "id", "row", "scale", "q", F.pmod(F.xxhash64("id"), "row_parts").cast("int").alias("row_part"), every("ask_parts").alias("ask_part"))
+    right = walked.join(parts, "cluster").select("cluster", "query_id", F.col("q").alias("asked"), "want", F.pmod(F.xxhash64("query_id"), "ask_parts").cast("int").alias("ask_part"), every("row_parts").alias("row_part"))
+    group = ("cluster", "row_part", "ask_part")
+
+    def score(a: pa.Table, b: pa.Table) -> pa.Table:
+        best: list[tuple[np.ndarray, ...]] = []
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+        names = ["query_id", "id", "row", "dot", "partial"]
+        if len(a) and len(b):
+            ids, rows, scale = (a.column(c).to_numpy() for c in ("id", "row", "scale"))
+            x, q = matrix_of(a.column("q").combine_chunks()), matrix_of(b.column("asked").combine_chunks())
+            who, want = b.column("query_id").to_numpy(), b.column("want").to_numpy()
+            step = max(1, BLOCK_CELLS // len(x))
+            for low in range(0, len(who), step):
+                best += [(np.full(len(at), who[low + i]), ids[at], rows[at], dots, s) for i, at, dots, s in _block_top(q[low : low + step], rows, want[low : low + step], x, scale)]
+        columns = [np.concatenate(c) for c in zip(*best, strict=True)] if best else [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+
+    return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(score, HITS)
+
+
 def exact_topk(index: DataFrame, queries: DataFrame, k: int = 100, f: Filter | None = None, exclude: DataFrame | None = None, id: str = "id", probes: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, row, dot, score): the k best rows of the index for each query.
 
@@ -147,45 +282,16 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int = 100, f: Filter | N
         asked = asked.join(more, "query_id", "left").withColumn("want", F.col("k") + F.coalesce("more", F.lit(0)))
     else:
         asked = asked.withColumn("want", F.col("k"))
-    found = None
     total = asked.count()
-    chunks = max(1, -(-total // QUERY_CHUNK))
-    for chunk in range(chunks):
-        part = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk)
-        got = part.orderBy("query_id").collect()  # a chunk of queries, about
-        sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in got], np.int64), np.array([r["q"] for r in got], float).reshape(len(got), -1), np.array([r["want"] for r in got], np.int64)))
-        allowed = None
-        if probes is not None:
-            by_cluster: dict[int, list[int]] = {}
-            at = {r["query_id"]: i for i, r in enumerate(got)}
-            for query, cluster in probes.select("query_id", "cluster").collect():  # nprobe for each query of the chunk
-                if query in at:
-                    by_cluster.setdefault(cluster, []).append(at[query])
-            allowed = spark.sparkContext.broadcast({c: np.array(v) for c, v in by_cluster.items()})
-            points_now = points.where(F.col("cluster").isin(*sorted(by_cluster))) if len(by_cluster) <= 4096 else points
-        else:
-            points_now = points
-
-        def score(batches: Iterator[pa.RecordBatch], sent=sent, allowed=allowed):
-            names, q, want = sent.value
-            for b in batches:
-                if not b.num_rows or not len(names):
-                    continue
-                ids, rows, scale = (np.asarray(b.column(c)) for c in ("id", "row", "scale"))
-                x = np.asarray(b.column("q").flatten(), float).reshape(b.num_rows, -1)
-                out: list[tuple[np.ndarray, ...]] = []
-                jobs = [(np.arange(len(names)), np.arange(len(rows)))]
-                if allowed is not None:
-                    cluster = np.asarray(b.column("cluster"))
-                    jobs = [(allowed.value[c], np.flatnonzero(cluster == c)) for c in np.unique(cluster).tolist() if c in allowed.value]
-                for who, which in jobs:
-                    for i, some, dots, s in _block_top(q[who], rows[which], want[who], x[which], scale[which]):
-                        out.append((np.full(len(some), names[who[i]]), ids[which[some]], rows[which[some]], dots, s))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "row", "dot", "partial"])
-
-        one = points_now.mapInArrow(score, "query_id long, id long, row long, dot long, partial double")
-        found = one if found is None else found.unionAll(one)
+    if probes is not None and total > QUERY_CHUNK:
+        found = _by_cluster(points, asked, probes)
+    else:
+        found = None
+        chunks = max(1, -(-total // QUERY_CHUNK))
+        for chunk in range(chunks):
+            part = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk)
+            one = _by_scan(points, part, probes)
+            found = one if found is None else found.unionAll(one)
     scored = found.join(F.broadcast(asked.select("query_id", F.col("scale").alias("q_scale"), "k")) if total <= QUERY_CHUNK else asked.select("query_id", F.col("scale").alias("q_scale"), "k"), "query_id")
     if exclude is not None:
         scored = scored.join(banned, ["query_id", "id"], "left_anti")
@@ -193,10 +299,29 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int = 100, f: Filter | N
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("k")).select("query_id", "rank", F.col("id").alias(id), "row", "dot", (F.col("partial") * F.col("q_scale")).alias("score"))
 
 
-def rank_clusters(queries: DataFrame, centroids: DataFrame, vector: str = "u") -> DataFrame:
-    """(query_id, cluster, rank): clusters of each query, nearest first; centroids are broadcast (at most MOST_LISTS)."""
-    scored = queries.select("query_id", vector).crossJoin(F.broadcast(centroids)).select("query_id", "cluster", F.round(V.dot(F.col(vector), F.col("c")), 12).alias("near"))
-    return scored.select("query_id", "cluster", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("near"), "cluster")).alias("rank"))
+def rank_clusters(queries: DataFrame, centroids: DataFrame, vector: str = "u", most: int | None = None) -> DataFrame:
+    """(query_id, cluster, rank): the ``most`` nearest clusters of each query (all without it), scored in blocks against the broadcast centroids."""
+    shared = queries.sparkSession.sparkContext.broadcast(centroid_table(centroids))
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        numbers, table = shared.value
+        many = len(numbers) if most is None else min(most, len(numbers))
+        step = max(1, BLOCK_CELLS // max(1, len(numbers)))
+        for b in batches:
+            x = matrix_of(b.column(1))
+            for low in range(0, b.num_rows if many else 0, step):
+                near = np.round(x[low : low + step] @ table.T, 12)
+                if many < len(numbers):  # all that tie with the last one that counts
+                    least = -np.partition(-near, many - 1, axis=1)[:, many - 1]
+                    found = [(i, np.flatnonzero(row >= least[i])) for i, row in enumerate(near)]
+                else:
+                    found = [(i, np.arange(len(numbers))) for i in range(len(near))]
+                ranked = [at[np.argsort(-near[i][at], kind="stable")][:many] for i, at in found]
+                who = b.column(0).take(pa.array(np.repeat(np.arange(low, low + len(near)), many)))
+                yield pa.RecordBatch.from_arrays([who, pa.array(numbers[np.concatenate(ranked)]), pa.array(np.tile(np.arange(1, many + 1, dtype=np.int32), len(near)))], ["query_id", "cluster", "rank"])
+
+    return queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"query_id {kind}, cluster int, rank int")
 
 
 def ivf_topk(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 100, nprobe: int = NPROBE, exclude: DataFrame | None = None, id: str = "id") -> DataFrame:
@@ -204,7 +329,7 @@ def ivf_topk(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int
     nlist = centroids.count()
     if nlist == 0 or nprobe == 0 or nprobe >= nlist:
         return exact_topk(index, queries, k, exclude=exclude, id=id)
-    probes = rank_clusters(queries, centroids).where(F.col("rank") <= nprobe)
+    probes = rank_clusters(queries, centroids, most=nprobe)
     return exact_topk(index, queries, k, exclude=exclude, id=id, probes=probes)
 
 
@@ -270,6 +395,16 @@ def recall(approximate: DataFrame, exact: DataFrame, at: int = 10, id: str = "id
     return hits.crossJoin(means).select("hits", "truth", (F.col("hits") / F.col("truth")).alias("recall"), "similarity")
 
 
+def evaluate(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 10, nprobes: tuple[int, ...] = (16, NPROBE, 128, 256)) -> DataFrame:
+    """(nprobe, recall, similarity, scanned): clustered search against the exact one; ``scanned`` is the share of clusters."""
+    nlist, out = centroids.count(), None
+    exact = stored(exact_topk(index, queries, k), "exact")
+    for nprobe in nprobes:
+        row = recall(ivf_topk(index, centroids, queries, k, nprobe), exact, k).select(F.lit(nprobe).alias("nprobe"), "recall", "similarity", F.lit(min(1.0, nprobe / nlist) if nlist and nprobe else 1.0).alias("scanned"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 def cluster_sizes(index: DataFrame) -> DataFrame:
     """(least, median, most) of clusters; the median is the element at half."""
     sizes = index.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).agg(F.array_sort(F.collect_list("n")).alias("s"))
