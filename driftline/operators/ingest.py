@@ -49,11 +49,11 @@ def classify(df: DataFrame, topics: DataFrame, subfields: DataFrame, topic_id: s
     return met.withColumn("category", F.when(known, F.col("_topic")).otherwise(F.coalesce("_sub", name))).withColumn("excluded", known & F.col("_topic").isNull()).drop("_t", "_s", "_topic", "_sub", "_known")
 
 
-def convert(works: DataFrame, topics: DataFrame, subfields: DataFrame, requested: bool = False) -> DataFrame:
+def convert(works: DataFrame, topics: DataFrame, subfields: DataFrame, requested: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Papers of crawled works (schema WORK): those worth showing, projected to the stored fields.
 
     Unless requested, works outside the subject or of an excluded topic go; requested ones of an
-    excluded topic are kept under their field's name.
+    excluded topic are kept under their field's name.  Columns in ``keep`` are passed on.
     """
     topic = F.col("primary_topic")
     base = works.select(
@@ -74,6 +74,7 @@ def convert(works: DataFrame, topics: DataFrame, subfields: DataFrame, requested
         F.coalesce("cited_by_count", F.lit(0)).alias("cited_by"),
         "language",
         "is_retracted",
+        *keep,
     )
     rows = base.where(good(F.col("title"), F.col("abstract"), F.col("language"), F.col("is_retracted"), F.lit(requested)))
     if not requested:
@@ -81,7 +82,7 @@ def convert(works: DataFrame, topics: DataFrame, subfields: DataFrame, requested
     rows = classify(rows, topics, subfields)
     own_name = F.when(F.col("field_name") != "", F.col("field_name")).otherwise("Other")
     rows = rows.withColumn("field", F.when(F.col("excluded"), own_name).otherwise(F.col("category"))) if requested else rows.where(~F.col("excluded")).withColumn("field", F.col("category"))
-    return rows.select(S.parse_id(F.col("_id")).alias("id"), "title", "abstract", "authors", "year", "venue", "field", "topic", "topic_id", "doi", "url", "pdf_url", "cited_by")
+    return rows.select(S.parse_id(F.col("_id")).alias("id"), "title", "abstract", "authors", "year", "venue", "field", "topic", "topic_id", "doi", "url", "pdf_url", "cited_by", *keep)
 
 
 def new_papers(batch: DataFrame, existing: DataFrame | None = None, id: str = "id", title: str = "title", order: str = "seq") -> DataFrame:
@@ -93,9 +94,10 @@ def new_papers(batch: DataFrame, existing: DataFrame | None = None, id: str = "i
     if existing is not None:
         rows = rows.join(existing.select(id).distinct(), id, "left_anti")
         rows = rows.join(existing.select(X.title_key(F.col(title)).alias("_key")).distinct(), "_key", "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
     for key in (id, "_key"):
-        first = F.row_number().over(Window.partitionBy(key).orderBy(order))
-        rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
+        # an aggregate, so that a key of very many rows (titles without a-z share one) is settled before the shuffle
+        rows = rows.groupBy(key).agg(F.min_by(whole, F.struct(order, id)).alias("_row")).select("_row.*")
     return rows.drop("_key")
 
 

@@ -1,75 +1,193 @@
 """A works API as a Python data source: pages behind cursors, batch and stream.
 
-Pages are JSON arrays of works, from a directory of page files (``page-000000.json`` and on) or from
-any callable registered under a name; an offset is the number of the next page, so a stream
-resumes where its checkpoint says.
+An ``Api`` gives pages: from an HTTP address, with retries, or from a folder of page files
+(``page-000000.json`` and on) on any file system that Arrow knows, shared ones among them.  A page is a
+JSON array of works, or an object with ``results`` and ``meta`` (``next_cursor``, ``count``).
+A crawl starts at cursor ``*`` and goes where each page's cursor says, so its place is one string:
+a stream's offset, or a state that a job keeps.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
-from pathlib import Path
-
+import time
+import urllib.error
+import urllib.parse
+import urllib.request
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+from pyarrow import fs
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-PAGE_SIZE = 200
-SCHEMA = "page int, id string, title string, language string, cited_by_count long, publication_year int"
-FIELDS = ("id", "title", "language", "cited_by_count", "publication_year")
-
-
-def page_file(folder: str) -> Callable[[int], list[dict] | None]:
-    """Pages of a directory; None after the last."""
-
-    def fetch(n: int) -> list[dict] | None:
-        path = Path(folder) / f"page-{n:06d}.json"
-        return json.loads(path.read_text()) if path.exists() else None
-
-    return fetch
-
-
-def rows_of(n: int, works: list[dict], since: int) -> Iterator[tuple]:
-    for w in works[:PAGE_SIZE]:
-        if (w.get("publication_year") or 0) >= since:
-            yield (n, *(w.get(f) for f in FIELDS))
+from driftline.schema import WORK
+
+#: Works of a page; tries of a request, seconds before the second one (then twice as many each), and seconds of Retry-After that are worth waiting for.
+PAGE_SIZE, TRIES, WAIT, PATIENCE = 200, 4, 0.4, 2
+START = "*"
+SCHEMA = "page int, cursor string, id string, body string"
+
+
+class Throttled(Exception):
+    """The API wants to be left alone for ``retry_after`` seconds."""
+
+    def __init__(self, retry_after: float):
+        super().__init__(f"throttled for {retry_after} s")
+        self.retry_after = retry_after
+
+
+@dataclass
+class Page:
+    results: list[dict]
+    next: str | None
+    count: int | None = None
+
+
+def get_json(url: str, sleep=time.sleep):
+    """The JSON at ``url``; rate limits, errors of the server and of the network are tried again with growing waits."""
+    error: Exception = ValueError(url)
+    for attempt in range(TRIES):
+        if attempt:
+            sleep(WAIT * 2 ** (attempt - 1))
+        try:
+            with urllib.request.urlopen(url, timeout=60) as answer:
+                return json.load(answer)
+        except urllib.error.HTTPError as e:
+            error = e
+            if e.code != 429 and e.code < 500:
+                raise
+            if (e.headers.get("Retry-After") or "").isdigit() and int(e.headers["Retry-After"]) > PATIENCE:
+                raise Throttled(int(e.headers["Retry-After"])) from None
+        except (urllib.error.URLError, TimeoutError) as e:
+            error = e
+    raise error
+
+
+@dataclass
+class Api:
+    """Pages of works at ``base``, an http address or a folder; ``params`` go along with every request."""
+
+    base: str
+    params: dict[str, str] = field(default_factory=dict)
+    size: int = PAGE_SIZE
+
+    def page(self, cursor: str = START, since: str | None = None, sort: str | None = None, ids: list[str] | None = None) -> Page:
+        """The page at ``cursor``: of works published from ``since`` (a date) on, in order of ``sort``, or of those with ``ids``."""
+        if self.base.startswith(("http://", "https://")):
+            filters = [*([f"ids:{'|'.join(ids)}"] if ids else []), *([f"from_publication_date:{since}"] if since else [])]
+            asked = {"cursor": cursor, "per-page": str(self.size), **({"sort": sort} if sort else {}), **({"filter": ",".join(filters)} if filters else {}), **self.params}
+            return self.parsed(get_json(f"{self.base}?{urllib.parse.urlencode(asked)}"))
+        return self._from_folder(cursor, since, ids)
+
+    @staticmethod
+    def parsed(raw, after: str | None = None) -> Page:
+        if isinstance(raw, list):
+            return Page(raw, after)
+        meta = raw.get("meta") or {}
+        return Page(raw.get("results") or [], meta.get("next_cursor") or after, meta.get("count"))
+
+    def _folder(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.base if "://" in self.base else f"file://{self.base}")
+
+    def _read(self, n: int):
+        store, folder = self._folder()
+        path = f"{folder}/page-{n:06d}.json"
+        if store.get_file_info(path).type == fs.FileType.NotFound:
+            return None
+        with store.open_input_stream(path) as f:
+            return json.loads(f.read())
+
+    def pages(self) -> list[int]:
+        """Numbers of a folder's pages."""
+        store, folder = self._folder()
+        return sorted(int(f.base_name[5:-5]) for f in store.get_file_info(fs.FileSelector(folder)) if f.base_name.startswith("page-") and f.base_name.endswith(".json"))
+
+    def _from_folder(self, cursor: str, since: str | None, ids: list[str] | None) -> Page:
+        if ids is not None:  # a lookup goes through all pages
+            wanted = set(ids)
+            return Page([w for n in self.pages() for w in self.parsed(self._read(n)).results if str(w.get("id", "")).rsplit("/", 1)[-1] in wanted], None)
+        n = 0 if cursor == START else int(cursor)
+        raw = self._read(n)
+        if raw is None:
+            return Page([], None)
+        page = self.parsed(raw, str(n + 1) if n + 1 in self.pages() else None)
+        if since:
+            page.results = [w for w in page.results if published(w) >= since[: len(published(w))] and published(w)]
+        return page
+
+
+def published(work: dict) -> str:
+    """The date of a work, or its year, or ''."""
+    return str(work.get("publication_date") or work.get("publication_year") or "")
+
+
+def rows_of(n: int, cursor: str, page: Page) -> Iterator[tuple]:
+    for w in page.results:
+        yield n, cursor, w.get("id"), json.dumps(w, ensure_ascii=False)
+
+
+def works(pages: DataFrame) -> DataFrame:
+    """Works (schema WORK) of rows of the data source."""
+    return pages.select(F.from_json("body", WORK).alias("w")).select("w.*")
+
+
+def _api(options: dict) -> Api:
+    return Api(options["path"], {}, int(options.get("size", PAGE_SIZE)))
 
 
 class _Batch(DataSourceReader):
+    """A folder's pages are read by a task each; cursors can only be followed one after the other, by one."""
+
     def __init__(self, options: dict):
-        self.folder, self.most, self.since = options["path"], int(options.get("pages", 1 << 30)), int(options.get("since", 0))
+        self.api, self.most, self.since, self.sort = _api(options), int(options.get("pages", 1 << 30)), options.get("since"), options.get("sort")
 
     def partitions(self) -> list[InputPartition]:
-        there = sorted(int(p.stem.split("-")[1]) for p in Path(self.folder).glob("page-*.json"))
-        return [InputPartition(n) for n in there[: self.most]]
+        if self.api.base.startswith("http"):
+            return [InputPartition(None)]
+        return [InputPartition(n) for n in self.api.pages()[: self.most]]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        yield from rows_of(partition.value, page_file(self.folder)(partition.value) or [], self.since)
+        if partition.value is not None:
+            yield from rows_of(partition.value, str(partition.value), self.api.page(str(partition.value), self.since))
+            return
+        cursor, n = START, 0
+        while cursor and n < self.most:
+            page = self.api.page(cursor, self.since, self.sort)
+            yield from rows_of(n, cursor, page)
+            cursor, n = page.next, n + 1
 
 
 class _Stream(SimpleDataSourceStreamReader):
     """An empty page is not the end of a crawl: it is passed over if another follows."""
 
     def __init__(self, options: dict):
-        self.folder, self.per_trigger, self.since = options["path"], int(options.get("pagesPerTrigger", 10)), int(options.get("since", 0))
+        self.api, self.per_trigger, self.since, self.sort = _api(options), int(options.get("pagesPerTrigger", 10)), options.get("since"), options.get("sort")
 
     def initialOffset(self) -> dict:
-        return {"page": 0}
+        return {"page": 0, "cursor": START, "done": False}
+
+    def _walk(self, start: dict, until: int) -> tuple[list[tuple], dict]:
+        n, cursor, out = start["page"], start["cursor"], []
+        while not start["done"] and n < until:
+            page = self.api.page(cursor, self.since, self.sort)
+            out += rows_of(n, cursor, page)
+            if page.next is None:
+                return out, {"page": n + 1, "cursor": cursor, "done": True}
+            n, cursor = n + 1, page.next
+        return out, {"page": n, "cursor": cursor, "done": start["done"]}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        fetch, n, out = page_file(self.folder), start["page"], []
-        while n < start["page"] + self.per_trigger and (works := fetch(n)) is not None:
-            out += rows_of(n, works, self.since)
-            n += 1
-        return iter(out), {"page": n}
+        out, end = self._walk(start, start["page"] + self.per_trigger)
+        return iter(out), end
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        fetch = page_file(self.folder)
-        for n in range(start["page"], end["page"]):
-            yield from rows_of(n, fetch(n) or [], self.since)
+        return iter(self._walk(start, end["page"])[0])
 
 
 class Works(DataSource):
-    """``spark.dataSource.register(Works)``, then format("works") with options path, pages or pagesPerTrigger, since."""
+    """``spark.dataSource.register(Works)``, then format("works") with options path, size, since, sort, and pages or pagesPerTrigger."""
 
     @classmethod
     def name(cls) -> str:
