@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP, PAGE, OPTIONS, RECENT_YEARS = 480, 24, 20, 2
+#: Years back that filters offer.
+YEARS_BACK = (2, 5, 10)
+
+
+def year_floors(now: Column) -> dict[int, Column]:
+    """The first year of each of YEARS_BACK, by a date or time."""
+    return {n: (F.year(now) - n).cast("int") for n in YEARS_BACK}
 
 
 def counts(papers: DataFrame, by: str) -> DataFrame:

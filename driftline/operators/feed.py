@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import unit_hash
-from driftline.operators.filters import Filter
+from driftline.operators.filters import Filter, count_matching
+from driftline.sources.shared import stored
 
 CANDIDATES, TEMPERATURE, EXPLORE = 100, 0.05, 0.15
 
@@ -26,9 +27,19 @@ def sample(hits: DataFrame, k: int, seed: str, temperature: float = TEMPERATURE,
     return keyed.withColumn("slot", F.row_number().over(order)).where(F.col("slot") <= k).select("query_id", "slot", id, "score")
 
 
-def random_rows(index: DataFrame, k: int, seed: Column | str, f: Filter | None = None, skip: DataFrame | None = None, id: str = "id") -> DataFrame:
-    """(id, place): k rows that match, in the order of their hashes; never fewer than there are."""
-    rows = f.apply(index) if f else index
+#: A filter's rows are held as a pool if they are no more than this share of the index.
+POOL_SHARE = 16
+
+
+def pool(index: DataFrame, f: Filter) -> DataFrame | None:
+    """The rows that match, stored for later picks, if they are one in POOL_SHARE or fewer; None if there are more, which a scan finds soon enough."""
+    n, total = count_matching(index, f).first()
+    return stored(f.apply(index), "pool") if n * POOL_SHARE <= total else None
+
+
+def random_rows(index: DataFrame, k: int, seed: Column | str, f: Filter | None = None, skip: DataFrame | None = None, id: str = "id", held: DataFrame | None = None) -> DataFrame:
+    """(id, place): k rows that match, in the order of their hashes; never fewer than there are.  ``held`` is the filter's pool."""
+    rows = held if held is not None else f.apply(index) if f else index
     if skip is not None:
         rows = rows.join(skip.select(id).distinct(), id, "left_anti")
     u = unit_hash(F.col(id), F.lit(seed) if isinstance(seed, str) else seed)

@@ -98,6 +98,11 @@ class FeedRequest:
         return cls(k if 0 < k <= 20 else 8, mode if mode in ("", "top") else "", max(1, min(50, page)))
 
 
+def request_columns(k: Column, mode: Column, page: Column) -> dict[str, Column]:
+    """``FeedRequest.of`` for columns."""
+    return {"k": F.when((k > 0) & (k <= 20), k).otherwise(8), "mode": F.when(mode == "top", "top").otherwise(""), "page": F.greatest(F.lit(1), F.least(F.lit(50), F.coalesce(page, F.lit(1))))}
+
+
 def valid_query_text(q: str) -> bool:
     """1 to 200 bytes once trimmed."""
     return 0 < len(q.strip().encode()) <= 200

@@ -30,14 +30,25 @@ def minute_series(events: DataFrame, end: Column, points: int = 60) -> DataFrame
     return spine.join(counted, "minute", "left").select("minute", (F.coalesce("n", F.lit(0)) / F.lit(60.0)).alias("per_second"))
 
 
+#: Ranges of values that the places of a group are counted in.
+RANGES = 64
+
+
 def place_percentiles(values: DataFrame, value: str, by: str) -> DataFrame:
     """(by, p50, p99) by place: sorted[n / 2] and sorted[min(99 n / 100, n - 1)].
 
-    Places come from a count and ranks, so no group is put together in one value.
+    Each distinct value is counted first, map-side; the counts are put in ranges by approximate
+    quantiles and summed there, so no group is sorted or put together in one task.
     """
-    order = Window.partitionBy(by).orderBy(value)
-    ranked = values.select(by, value).withColumn("at", F.row_number().over(order) - 1).join(values.groupBy(by).agg(F.count(F.lit(1)).alias("size")), by)
-    p = lambda place: F.max(F.when(F.col("at") == place, F.col(value)))
+    counted = values.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count(F.lit(1)).alias("c"))
+    edges = sorted(set(values.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.005)))
+    part = F.array_position(F.array_sort(F.array_append(F.lit(edges).cast("array<double>"), F.col(value).cast("double"))), F.col(value).cast("double")) if edges else F.lit(1)
+    parted = counted.withColumn("part", part)
+    totals = parted.groupBy(by, "part").agg(F.sum("c").alias("c"))
+    before = totals.withColumn("before", F.coalesce(F.sum("c").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("size", F.sum("c").over(Window.partitionBy(by))).drop("c")  # RANGES rows for each group
+    inner = F.sum("c").over(Window.partitionBy(by, "part").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    ranked = parted.withColumn("upto", inner).join(before, [by, "part"]).withColumn("upto", F.col("before") + F.col("upto"))
+    p = lambda place: F.min(F.when(F.col("upto") > place, F.col(value)))
     return ranked.groupBy(by).agg(p(F.floor(F.col("size") / 2)).alias("p50"), p(F.least(F.floor(F.col("size") * 99 / 100), F.col("size") - 1)).alias("p99"))
 
 
@@ -60,6 +71,18 @@ def counter_rate(samples: DataFrame, by: str, seconds: int = 60) -> DataFrame:
     return start.join(last.select(by, "ts", "n"), [by, "ts"]).select(by, F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
+#: Seconds between samples of a counter, and samples kept: an hour of them and one.
+SAMPLE_SECONDS, SAMPLES = 10, 361
+
+
+def sampled(counters: DataFrame, by: str, value: str = "n", seconds: int = SAMPLE_SECONDS, most: int = SAMPLES) -> DataFrame:
+    """(by, ts, value): a counter's last reading in each ``seconds``, the newest ``most`` of each series."""
+    slot = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1_000_000))
+    last = counters.groupBy(by, slot.alias("slot")).agg(F.max("ts").alias("ts"), F.max_by(value, F.struct("ts", value)).alias(value))
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("slot")))
+    return last.withColumn("place", place).where(F.col("place") <= most).select(by, "ts", value)
+
+
 def ewma(values: Column, keep: float = 0.8) -> Column:
     """keep * old + (1 - keep) * new over an ordered array; the first value seeds it."""
     return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda a, x: a * keep + x * (1 - keep))

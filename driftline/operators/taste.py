@@ -26,6 +26,30 @@ def taste_vectors(likes: DataFrame, vectors: DataFrame, user: str = "user_id", u
     return parts.groupBy(user, "n", "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
 
 
+#: Likes whose vectors are kept apart; older ones are folded into one base vector.
+APART = 64
+
+
+def folded_state(likes: DataFrame, vectors: DataFrame, user: str = "user_id", apart: int = APART) -> DataFrame:
+    """(user, n, base, likes): the fold of all but the newest ``apart`` likes (null if there are no more), and those, oldest first, as (id, ts, v).
+
+    ``likes`` as in ``taste_vectors``; a user's likes are sorted in one row, as a client keeps them.
+    """
+    first = likes.groupBy(user, "id").agg(F.min("ts").alias("ts"))
+    met = first.join(vectors.select("id", F.col("v").cast("array<double>").alias("v")), "id")
+    sorted_ = met.groupBy(user).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "v"))).alias("all")).withColumn("n", F.size("all"))
+    old = F.slice("all", 1, F.greatest(F.col("n") - apart, F.lit(0)))
+    base = F.when(F.col("n") > apart, fold(F.transform(old, lambda x: x["v"])))
+    new = F.when(F.col("n") > apart, F.slice("all", -apart, apart)).otherwise(F.col("all"))
+    return sorted_.select(user, "n", base.alias("base"), F.transform(new, lambda x: F.struct(x["id"].alias("id"), x["ts"].alias("ts"), x["v"].alias("v"))).alias("likes"))
+
+
+def unfolded(state: DataFrame, user: str = "user_id") -> DataFrame:
+    """(user, v): the taste vector of a ``folded_state``, the same as of all likes."""
+    recent = F.transform("likes", lambda x: x["v"])
+    return state.select(user, fold(F.when(F.col("base").isNull(), recent).otherwise(F.concat(F.array("base"), recent))).alias("v"))
+
+
 def as_arrays(parts: DataFrame, *by: str) -> DataFrame:
     """(by, v): components put together in order."""
     return parts.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
@@ -64,6 +88,20 @@ def last_likes(likes: DataFrame, user: str = "user_id") -> DataFrame:
     return likes.groupBy(user).agg(F.max_by("id", F.struct("ts", "id")).alias("id"))
 
 
+def export_state(lists: DataFrame, user: str = "user_id") -> DataFrame:
+    """(user, state): a user's lists (columns named in RINGS, newest last) as a JSON text, each cut to its newest."""
+    cut = [F.when(F.size(c) > n, F.slice(c, -n, n)).otherwise(F.col(c)).alias(c) for c, n in RINGS.items() if c in lists.columns]
+    return lists.select(user, F.to_json(F.struct(F.lit(1).alias("version"), *cut)).alias("state"))
+
+
+def import_lists(states: DataFrame, user: str = "user_id") -> DataFrame:
+    """(user, and a list for each of RINGS) of exported states; texts that are no state of this version are left out, lists are cut again."""
+    schema = ", ".join(["version int", *(f"{c} array<{'string' if c == 'searches' else 'long'}>" for c in RINGS)])
+    read = states.select(user, F.from_json("state", schema).alias("s")).where("s.version = 1")
+    own = lambda c: F.coalesce(F.filter(F.col(f"s.{c}"), lambda x: x.isNotNull()), F.array())
+    return read.select(user, *[F.when(F.size(own(c)) > n, F.slice(own(c), -n, n)).otherwise(own(c)).alias(c) for c, n in RINGS.items()])
+
+
 def import_state(vectors: Column, dim: int) -> Column:
     """Of imported like vectors those of the right dimension with finite numbers."""
     from driftline.functions.vectors import valid_query
