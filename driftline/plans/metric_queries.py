@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftline.functions import scalars as S
-from driftline.operators import metrics, taste
+from driftline.operators import explore, filters, metrics, taste
 from driftline.plans.tables import INTERACTIONS_SQL, REQUESTS_SQL, interactions, requests, table
+from driftline.sources.shared import shared_path
 from driftline.streaming import jobs
 
 QUERIES, SQL = {}, {}
@@ -106,13 +105,15 @@ def nice_maximum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives over what is there now, from a memory sink."""
+    """All that a stream gives over what is there now, through files in the shared folder; of a complete result the last one."""
     spark = stream.sparkSession
-    name = f"{name}_{id(stream)}"
-    with tempfile.TemporaryDirectory() as d:
-        q = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{d}").trigger(availableNow=True).start()
-        q.awaitTermination()
-    return spark.table(name)
+    path = shared_path(spark, f"stream-{name}")
+    q = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    q.awaitTermination()
+    rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
+    if mode == "complete":
+        rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
+    return rows.drop("batch")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,3 +141,41 @@ def stream_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _stream(spark, sf_dir).where("event_type = 'click'").select(F.concat(F.when(F.col("event_id") % 2 == 0, "W").otherwise("X"), F.col("user_id").cast("string")).alias("id"))
     good = _stream(spark, sf_dir).where("event_type = 'click'").select(F.concat(F.lit("W"), F.col("user_id").cast("string")).alias("id"))
     return _drain(jobs.pending_ids(e.unionAll(good)), "pending")
+
+
+@query("SELECT DISTINCT user_id, event_id % 500 AS id FROM events JOIN embeddings ON event_id % 500 = vec_id WHERE event_type = 'purchase' AND vec_id % 3 <> 0")
+def stream_pending_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likes of papers that the index holds by now, with the index as the static side."""
+    e = _stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", (F.col("event_id") % 500).alias("id"))
+    index = table(spark, sf_dir, "embeddings").where("vec_id % 3 <> 0").select(F.col("vec_id").alias("id"))
+    return _drain(jobs.pending_likes(e, index), "likes").distinct()
+
+
+@query("SELECT user_id, max(epoch_us(ts)) AS us, arg_max(n, struct_pack(ts := ts, n := n)) AS n FROM (SELECT *, epoch_us(ts) // 10000000 AS slot FROM (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)) GROUP BY user_id, slot QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY slot DESC) <= 361")
+def sampler_10s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    s = metrics.sampled(table(spark, sf_dir, "events").withColumn("n", n.cast("long")), "user_id")
+    return s.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "n")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 40 - 10 BETWEEN 1 AND 20 THEN event_id % 40 - 10 ELSE 8 END AS k, CASE WHEN event_id % 3 = 0 THEN 'top' ELSE '' END AS mode, CASE WHEN event_id % 7 = 0 THEN 1 ELSE greatest(1, least(50, event_id % 90 - 20)) END AS page FROM events")
+def request_clamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    mode = F.when(e % 3 == 0, "top").when(e % 3 == 1, "bad")
+    asked = filters.request_columns(e % 40 - 10, mode, F.when(e % 7 != 0, e % 90 - 20))
+    return table(spark, sf_dir, "events").select("event_id", *[c.cast("string" if n == "mode" else "long").alias(n) for n, c in asked.items()])
+
+
+@query("SELECT event_id, CAST(year(ts) - 2 AS INTEGER) AS two, CAST(year(ts) - 5 AS INTEGER) AS five, CAST(year(ts) - 10 AS INTEGER) AS ten FROM events")
+def year_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    floors = explore.year_floors(F.col("ts"))
+    return table(spark, sf_dir, "events").select("event_id", floors[2].alias("two"), floors[5].alias("five"), floors[10].alias("ten"))
+
+
+@query(f"WITH {INTERACTIONS_SQL}, a AS (SELECT user_id, id, min(ts) AS ts FROM interactions WHERE kind = 'seen' GROUP BY user_id, id), b AS (SELECT user_id, list(id ORDER BY ts, id) AS l FROM a GROUP BY user_id) SELECT user_id, CASE WHEN len(l) > 1000 THEN list_slice(l, -1000, -1) ELSE l END AS seen, list_transform(CASE WHEN len(l) > 500 THEN list_slice(l, -500, -1) ELSE l END, lambda x: x + 1) AS bookmarks FROM b")
+def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists exported as JSON and imported again, cut to their newest."""
+    first = interactions(spark, sf_dir).where("kind = 'seen'").groupBy("user_id", "id").agg(F.min("ts").alias("ts"))
+    lists = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"]).alias("seen"))
+    out = taste.export_state(lists.withColumn("bookmarks", F.transform("seen", lambda x: x + 1)))
+    return taste.import_lists(out).select("user_id", "seen", "bookmarks")

@@ -8,8 +8,12 @@ from pyspark.sql import functions as F
 from driftline.functions import scalars as S
 from driftline.functions import text as X
 from driftline.operators import explore, fts, ingest
+from driftline.operators.embed import embedding_text
 from driftline.plans.tables import INTERACTIONS_SQL, PAPERS_SQL, interactions, papers, table
-from driftline.sources.sinks import sitemap
+from driftline.sources import files
+from driftline.sources.shared import exists, shared_path
+from driftline.sources.sinks import article_json, sitemap
+from driftline.sources.textindex import TextIndex
 
 QUERIES, SQL = {}, {}
 STOPS = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
@@ -84,9 +88,9 @@ def _search(spark: SparkSession, sf_dir: str, q: str, sort: str = "", page: int
     return fts.search(p, posts, q, sort, page).select("place", "id", "tier", F.round("score", 5).alias("score"))
 
 
-@query(f"WITH {PAPERS_SQL} SELECT id, {TOKENS.format('title')} AS tokens FROM papers")
+@query(f"WITH {PAPERS_SQL} SELECT id, {TOKENS.format('abstract')} AS tokens FROM papers")
 def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers(spark, sf_dir).select("id", X.index_tokens(F.col("title")).alias("tokens"))
+    return papers(spark, sf_dir).select("id", X.index_tokens(F.col("abstract")).alias("tokens"))
 
 
 @query(f"WITH {POSTS_SQL} {and_sql(['erst', 'thnt'])}")
@@ -137,11 +141,11 @@ def fts_count_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fts.capped_count(found, 500).select(F.col("total").cast("long").alias("total"), "capped")
 
 
-@query("""WITH w AS (SELECT doc_id, list_slice(list_filter(list_slice(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[\\p{L}\\p{N}]+'), 1, 24), lambda w: w NOT IN (""" + STOPS + """)), 1, 12) AS w FROM documents)
+@query("""WITH w AS (SELECT doc_id, list_slice(list_filter(list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), 1, 24), lambda w: w NOT IN (""" + STOPS + """)), 1, 12) AS w FROM documents)
 SELECT doc_id, CASE WHEN len(w) = 0 THEN '' WHEN len(w) = 1 THEN '"' || w[1] || '"' ELSE '("' || array_to_string(w, '" "') || '") OR "' || array_to_string(w, ' ') || '"' END AS expression FROM w""")
 def fts_match_expression(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", X.match_expression(F.substring_index("text", "\n", 1)).alias("expression"))
+    return d.select("doc_id", X.match_expression(F.col("text")).alias("expression"))
 
 
 @query(f"WITH {PAPERS_SQL} SELECT venue AS name, count(*) AS n FROM papers WHERE venue <> '' GROUP BY venue ORDER BY n DESC, name LIMIT 20")
@@ -206,7 +210,7 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(ingest.good(F.col("title"), F.col("abstract"), F.col("lang"), F.col("id") % 17 == 0, F.col("id") % 5 == 0)).select("id")
 
 
-@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(split_part(text, chr(10), 1), '\n', ' '), '<[^>]+>', '', 'g'), '\s+', ' ', 'g')) AS abstract FROM documents")
+@query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, '\n', ' '), '<[^>]+>', '', 'g'), '[\s\x0B]+', ' ', 'g')) AS abstract FROM documents")
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
     # dealt by document first, so that neither aggregation moves words
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
@@ -245,11 +249,11 @@ def relabel_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.count_if("excluded").alias("excluded"), F.count_if(F.col("excluded") & ~F.col("was_excluded")).alias("newly"))
 
 
-@query(f"WITH {INTERACTIONS_SQL} SELECT 'W' || CAST(event_id % 700 AS VARCHAR) AS id, min(ts) AS ts FROM interactions WHERE kind = 'click' AND event_id % 700 NOT IN (SELECT vec_id FROM embeddings WHERE vec_id < 300) GROUP BY 1 ORDER BY ts, id LIMIT 200")
+@query(f"WITH {INTERACTIONS_SQL} SELECT 'W' || CAST(event_id * 7 % 5000 AS VARCHAR) AS id, min(ts) AS ts FROM interactions WHERE kind = 'click' AND event_id * 7 % 5000 NOT IN (SELECT vec_id FROM embeddings) GROUP BY 1 ORDER BY ts, id LIMIT 200")
 def pending_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = lambda c: F.concat(F.lit("W"), c.cast("string")).alias("id")
-    log = interactions(spark, sf_dir).where("kind = 'click'").select(name(F.col("event_id") % 700), "ts")
-    return ingest.pending(log, table(spark, sf_dir, "embeddings").where("vec_id < 300").select(name(F.col("vec_id"))))
+    log = interactions(spark, sf_dir).where("kind = 'click'").select(name(F.col("event_id") * 7 % 5000), "ts")
+    return ingest.pending(log, table(spark, sf_dir, "embeddings").select(name(F.col("vec_id"))))
 
 
 @query(f"WITH {PAPERS_SQL} SELECT id, CASE WHEN id % 3 = 0 THEN 'p' || CAST(id AS VARCHAR) WHEN id % 3 = 1 AND venue <> '' THEN venue WHEN id % 5 = 0 THEN 'doi' ELSE 'w/' || CAST(id AS VARCHAR) END AS link FROM papers")
@@ -266,9 +270,14 @@ def byline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("id", S.byline(F.array("lang", "field"), F.col("venue"), year).alias("byline"))
 
 
-@query(f"WITH {PAPERS_SQL}, a AS (SELECT id, regexp_replace(abstract, '[^\\x00-\\x7F]', '', 'g') AS s FROM papers), c AS (SELECT id, s, 300 - strpos(reverse(substr(s, 1, 300)), ' ') AS cut FROM a) SELECT id, CASE WHEN length(s) > 300 THEN substr(s, 1, CAST(greatest(cut, 200) AS BIGINT)) || '…' ELSE s END AS description FROM c")
+@query(
+    f"WITH {PAPERS_SQL}, c AS (SELECT id, unnest(string_split(substr(abstract, 1, 301), '')) AS c, generate_subscripts(string_split(substr(abstract, 1, 301), ''), 1) AS i FROM papers WHERE strlen(abstract) > 300), "
+    "e AS (SELECT *, sum(strlen(c)) OVER (PARTITION BY id ORDER BY i) AS z FROM c), k AS (SELECT id, greatest(coalesce(max(z) FILTER (WHERE c = ' ' AND z <= 300) - 1, 0), 200) AS cut FROM e GROUP BY id), "
+    "h AS (SELECT e.id, coalesce(string_agg(c, '' ORDER BY i) FILTER (WHERE z <= cut), '') || CASE WHEN bool_or(z > cut AND z - strlen(c) < cut) THEN '\ufffd' ELSE '' END || '…' AS head FROM e JOIN k ON e.id = k.id GROUP BY e.id) "
+    "SELECT p.id, coalesce(head, abstract) AS description FROM papers p LEFT JOIN h ON p.id = h.id"
+)
 def description_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return papers(spark, sf_dir).select("id", S.description(F.regexp_replace("abstract", r"[^\x00-\x7F]", "")).alias("description"))
+    return papers(spark, sf_dir).select("id", S.description(F.col("abstract")).alias("description"))
 
 
 @query("SELECT (l_orderkey * 8 + l_linenumber) // 49999 AS chunk, count(*) AS n FROM lineitem GROUP BY 1")
@@ -293,3 +302,122 @@ def parse_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("X"), n)).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("https://w.example/W"), n)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("W"), n)).otherwise(n)
     t = F.when(F.col("doc_id") % 7 == 0, F.lit("Tx")).otherwise(F.concat(F.lit("https://t.example/T"), n))
     return table(spark, sf_dir, "documents").select("doc_id", S.parse_id(raw).alias("parsed"), S.topic_number(t).alias("topic"))
+
+
+@query(f"WITH {PAPERS_SQL} SELECT id, coalesce(title, '') || ' [SEP] ' || coalesce(abstract, '') AS text FROM papers")
+def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return papers(spark, sf_dir).select("id", embedding_text(F.col("title"), F.col("abstract")).alias("text"))
+
+
+@query(
+    f"WITH {PAPERS_SQL} SELECT id, title AS headline, CASE WHEN id % 4 = 0 THEN NULL ELSE CAST(year AS VARCHAR) END AS published, CASE WHEN venue <> '' THEN venue END AS journal, CASE WHEN field <> '' THEN field END AS about, "
+    "CASE WHEN id % 3 = 0 THEN NULL ELSE 'Person ' || lang END AS author, id % 5 = 0 AS free FROM papers"
+)
+def paper_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema.org objects of papers, read again: keys without a value are not there."""
+    p = papers(spark, sf_dir).withColumn("year", F.when(F.col("id") % 4 == 0, 0).otherwise(F.col("year"))).withColumn("authors", F.when(F.col("id") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.concat(F.lit("Person "), F.col("lang")))))
+    p = p.withColumn("pdf_url", F.when(F.col("id") % 5 == 0, "pdf").otherwise("")).withColumn("doi", F.lit(""))
+    j = p.select("id", article_json(F.lit("https://p.example"), F.lit("https://w.example")).alias("j"))
+    read = j.select("id", F.from_json("j", "headline string, datePublished string, isPartOf struct<name string>, about string, author array<struct<name string>>, isAccessibleForFree boolean").alias("r"))
+    return read.select("id", "r.headline", F.col("r.datePublished").alias("published"), F.col("r.isPartOf.name").alias("journal"), F.col("r.about").alias("about"), F.get("r.author", F.lit(0))["name"].alias("author"), F.col("r.isAccessibleForFree").alias("free"))
+
+
+@query(
+    f"WITH {INTERACTIONS_SQL}, ids AS (SELECT 'W' || CAST(event_id * 7 % 5000 AS VARCHAR) AS id, min(ts) AS ts FROM interactions WHERE kind = 'click' GROUP BY 1), tried AS (SELECT 'W' || CAST(event_id % 5000 AS VARCHAR) AS id FROM events WHERE event_type = 'error' AND ts > TIMESTAMP '2024-01-20 12:00:30' - INTERVAL 7 DAY) "
+    "SELECT id, ts FROM ids WHERE id NOT IN (SELECT 'W' || CAST(vec_id AS VARCHAR) FROM embeddings) AND id NOT IN (SELECT id FROM tried) ORDER BY ts, id LIMIT 200"
+)
+def pending_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids to look up: not stored, and not tried within the last seven days."""
+    name = lambda c: F.concat(F.lit("W"), c.cast("string")).alias("id")
+    log = interactions(spark, sf_dir).where("kind = 'click'").select(name(F.col("event_id") * 7 % 5000), "ts")
+    tried = table(spark, sf_dir, "events").where("event_type = 'error'").select(name(F.col("event_id") % 5000), "ts")
+    return ingest.pending(log, table(spark, sf_dir, "embeddings").select(name(F.col("vec_id"))), tried, F.expr("TIMESTAMP '2024-01-20 12:00:30'"))
+
+
+@query(f"WITH {PAPERS_SQL} SELECT id, title, CAST(year AS INTEGER) AS year, '' AS field, CAST(0 AS BIGINT) AS cited_by, false AS excluded FROM papers")
+def jsonl_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers written as JSON lines without some keys, read with defaults for them."""
+    path = shared_path(spark, "papers-jsonl")
+    papers(spark, sf_dir).select("id", "title", "year").write.json(path)
+    return files.papers(spark, path).select("id", "title", "year", "field", "cited_by", "excluded")
+
+
+# the stored text index
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def _stored_index(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The text index of all papers; built at the first query of a session, opened by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED or not exists(spark, _STORED[key]):
+        path = shared_path(spark, "text")
+        TextIndex(spark, path, columns=("title", "abstract")).sync(papers(spark, sf_dir), 0)
+        _STORED[key] = path
+    return TextIndex(spark, _STORED[key], columns=("title", "abstract"))
+
+
+@query(f"WITH {_TITLES}, {search_sql(['der', 'im'])}")
+def fts_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _stored_index(spark, sf_dir).search(papers(spark, sf_dir), "der im")
+    return found.select("place", "id", "tier", F.round("score", 5).alias("score"))
+
+
+@query(f"WITH {_TITLES}, {search_sql(['der'], 'cited DESC, id', 2)}")
+def fts_stored_cited_page2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _stored_index(spark, sf_dir).search(papers(spark, sf_dir), "der", "cited", 2)
+    return found.select("place", "id", "tier", F.round("score", 5).alias("score"))
+
+
+_CHANGED = f"""{PAPERS_SQL}, changed AS (
+  SELECT id, CASE WHEN id % 10 = 0 THEN 'erneuerter Titel der ' || CAST(id AS VARCHAR) ELSE title END AS title, abstract FROM papers WHERE NOT (id % 25 = 0 AND id % 10 = 0) AND id % 33 <> 1
+), ctok AS (
+  SELECT id, 'title' AS col, {TOKENS.format("title")} AS t FROM changed UNION ALL SELECT id, 'abstract', {TOKENS.format("abstract")} FROM changed
+), cposts AS (SELECT id, col, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM ctok)"""
+
+
+@query(f"WITH {_CHANGED} SELECT id, col, count(*) AS n, CAST(sum(pos * length(term)) AS BIGINT) AS weight FROM cposts GROUP BY id, col")
+def fts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings after changed titles, exclusions and deletions came in as segments, the changes twice, and all were merged."""
+    p = papers(spark, sf_dir)
+    index = TextIndex(spark, shared_path(spark, "text"), columns=("title", "abstract"))
+    index.sync(p, 1)
+    changed = p.where("id % 10 = 0").withColumn("title", F.concat(F.lit("erneuerter Titel der "), F.col("id").cast("string"))).withColumn("excluded", F.col("id") % 25 == 0)
+    for _ in range(2):
+        index.sync(changed, 2)
+    index.delete(p.where("id % 33 = 1"), 3)
+    index.optimize()
+    return index.postings().groupBy("id", "col").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("pos") * F.length("term")).alias("weight"))
+
+
+@query(f"WITH {_CHANGED}, cp AS (SELECT id, title, abstract FROM changed), posts AS (SELECT * FROM cposts), titles AS (SELECT * FROM cposts WHERE col = 'title'), {search_sql(['erneuerter', 'der'])}")
+def fts_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search over segments that are not merged yet."""
+    p = papers(spark, sf_dir)
+    index = TextIndex(spark, shared_path(spark, "text"), columns=("title", "abstract"))
+    index.sync(p, 1)
+    index.sync(p.where("id % 10 = 0").withColumn("title", F.concat(F.lit("erneuerter Titel der "), F.col("id").cast("string"))).withColumn("excluded", F.col("id") % 25 == 0), 2)
+    index.delete(p.where("id % 33 = 1"), 3)
+    return index.search(p, "erneuerter der").select("place", "id", "tier", F.round("score", 5).alias("score"))
+
+
+@query()
+def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search in which postings and query are stemmed and folded; DuckDB has no stemmer here, so tests compare with Python."""
+    p = papers(spark, sf_dir)
+    index = TextIndex(spark, shared_path(spark, "stems"), stemmed=True, columns=("title", "abstract"))
+    index.sync(p, 0)
+    return index.search(p, "Licenses released").select("place", "id", "tier", F.round("score", 5).alias("score"))
+
+
+_AUTHORED = f"""{PAPERS_SQL}, atok AS (
+  SELECT id, 'title' AS col, {TOKENS.format("title")} AS t FROM papers UNION ALL SELECT id, 'abstract', {TOKENS.format("abstract")} FROM papers UNION ALL SELECT id, 'authors', {WORDS.format("'Ann ' || venue || ' The ' || lang")} FROM papers
+), posts AS (SELECT id, col, unnest(t) AS term, generate_subscripts(t, 1) - 1 AS pos FROM atok)"""
+
+
+@query(f"WITH {_AUTHORED} SELECT id, round(bm25, 5) AS bm25 FROM ({bm25_sql(['ann', 'src3'])})")
+def fts_bm25_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title, authors and abstract with their weights; authors keep stop words."""
+    p = papers(spark, sf_dir).withColumn("authors", F.array(F.concat(F.lit("Ann "), F.col("venue")), F.concat(F.lit("The "), F.col("lang"))))
+    return fts.bm25(fts.postings(p), fts.Query.of(spark, "ann src3")).select("id", F.round("bm25", 5).alias("bm25"))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from driftline.functions import vectors as V
 from driftline.operators import feed, search, taste
 from driftline.operators.filters import Filter, count_matching
+from driftline.sources import files, sinks
+from driftline.sources.shared import shared_path, stored
 from driftline.plans.tables import INDEX_SQL, INTERACTIONS_SQL, PAPERS_SQL, VECTORS_SQL, interactions, papers, queries_of, search_index, table, unit_vectors
 
 QUERIES, SQL = {}, {}
@@ -30,15 +32,15 @@ def query(sql: str | None = None):
 
 
 def topk_sql(index: str, queries: str, k: int, where: str = "TRUE") -> str:
-    """The k best (query_id, rank, id, dot) in order of dot * scale, then id."""
-    return f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, dot FROM (
-  SELECT z.id AS query_id, i.id AS id, {DOT} AS dot,
+    """The k best (query_id, rank, id, dot, score) in order of dot * scale, then id."""
+    return f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, dot, round(score, 6) AS score FROM (
+  SELECT z.id AS query_id, i.id AS id, {DOT} AS dot, {DOT} * i.scale * z.scale AS score,
          row_number() OVER (PARTITION BY z.id ORDER BY {DOT} * i.scale DESC, i.id) AS rank
   FROM {index} i, {queries} z WHERE {where}) WHERE rank <= {k}"""
 
 
 def slim(hits: DataFrame) -> DataFrame:
-    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "dot")
+    return hits.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "dot", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {VECTORS_SQL} SELECT id, round(list_sum(list_transform(u, lambda x: x * x)), 6) AS norm FROM vectors")
@@ -208,7 +210,7 @@ _TASTE_Q = """vecs AS (
 ), ts AS (
   SELECT id, u, list_max(list_transform(u, lambda x: abs(x))) / 127.0::DOUBLE AS scale FROM tu
 ), tq AS (
-  SELECT id, list_transform(u, lambda x: CAST(round(x / scale) AS INTEGER)) AS q FROM ts)"""
+  SELECT id, scale, list_transform(u, lambda x: CAST(round(x / scale) AS INTEGER)) AS q FROM ts)"""
 
 
 @query(f"WITH {_TASTE}, {_TASTE_Q} {topk_sql('vectors', 'tq', 5)}")
@@ -284,3 +286,68 @@ def feed_explore_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.next_feed(h.select("query_id", "id", (F.col("dot") / 16129.0).alias("score")), i, 8, "s4", NARROW).select(F.col("slot").cast("int").alias("slot"), "id", "reason")
 
 
+@query(
+    f"WITH {VECTORS_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 20 = 0), {_PROBES}, a AS ({topk_sql('vectors', 'asked', 10, _PROBED)}), e AS ({topk_sql('vectors', 'asked', 10)}), "
+    "h AS (SELECT count(a.id) AS hits, count(*) AS truth FROM e LEFT JOIN a ON e.query_id = a.query_id AND e.id = a.id), "
+    "m AS (SELECT avg(x.s / y.s) AS similarity FROM (SELECT query_id, avg(score) AS s FROM a GROUP BY query_id) x JOIN (SELECT query_id, avg(score) AS s FROM e GROUP BY query_id) y ON x.query_id = y.query_id) "
+    "SELECT 3 AS nprobe, round(hits / CAST(truth AS DOUBLE), 6) AS recall, round(similarity, 4) AS similarity, round(3 / CAST((SELECT count(DISTINCT label) FROM embeddings) AS DOUBLE), 6) AS scanned FROM h, m"
+)
+def ivf_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    u, c = _clustered(spark, sf_dir)
+    r = search.evaluate(u, c, queries_of(u, 20), 10, (3,))
+    return r.select("nprobe", F.round("recall", 6).alias("recall"), F.round("similarity", 4).alias("similarity"), F.round("scanned", 6).alias("scanned"))
+
+
+def _kmeans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An index laid out by the clusters of k-means, written and opened again, and its centroids."""
+    u = unit_vectors(spark, sf_dir).drop("row")
+    c = stored(search.kmeans(u, 16), "centroids")
+    p = papers(spark, sf_dir).select("id", "year", "cited", "field", "topic", "venue", "seq")
+    path = shared_path(spark, "index")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(p, "id")
+    sinks.write_index(search.build_index(rows, c), path)
+    return files.index_scan(spark, path), c
+
+
+@query()
+def ivf_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(cluster, n, mean): clusters of k-means over all vectors, their sizes and their rows' mean product with the centroid."""
+    u = unit_vectors(spark, sf_dir)
+    c = stored(search.kmeans(u, 16), "centroids")
+    return search.assign(u, c).join(F.broadcast(c), "cluster").groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg(V.dot(F.col("u"), F.col("c"))).alias("mean"))
+
+
+@query(f"WITH {INDEX_SQL}, asked AS (SELECT * FROM idx WHERE id % 100 = 0) {topk_sql('idx', 'asked', 10)}")
+def ivf_all_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With every cluster probed, the stored index gives what an exact search gives; rows of equal scores are in order of id there."""
+    i, c = _kmeans(spark, sf_dir)
+    q = i.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.transform("q", lambda x: x * F.col("scale")).alias("u"), "q", "scale")
+    probes = search.rank_clusters(q, c)
+    return slim(search.exact_topk(i.withColumn("row", F.col("id")), q, 10, probes=probes))
+
+
+@query(f"WITH {_TASTE} SELECT user_id, CAST(k - 1 AS INTEGER) AS i, round(x, 6) AS x FROM tastes")
+def taste_fold_overflow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Older likes folded into a base, the newest 64 kept apart: the same vectors as of all likes."""
+    likes = interactions(spark, sf_dir).where("kind = 'like'").select("user_id", "ts", "id")
+    state = taste.folded_state(likes, unit_vectors(spark, sf_dir).select("id", F.col("u").alias("v")))
+    return taste.unfolded(state).select("user_id", F.posexplode("v").alias("i", "x")).select("user_id", "i", F.round("x", 6).alias("x"))
+
+
+@query(f"WITH {PAPERS_SQL}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE {NARROW_SQL}) AS n FROM papers), u AS (SELECT id, {_U('name')} AS u FROM (SELECT id, CAST(id AS VARCHAR) || '|pool' AS name FROM papers WHERE {NARROW_SQL})) SELECT id, CAST(row_number() OVER (ORDER BY u, id) AS INTEGER) AS place, n * 16 <= total AS held FROM u, n ORDER BY u, id LIMIT 20")
+def pool_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random rows from a filter's pool, where it is small enough to be held."""
+    p = papers(spark, sf_dir)
+    held = feed.pool(p, NARROW)
+    return feed.random_rows(p, 20, "pool", NARROW, held=held).select("id", F.col("place").cast("int").alias("place"), F.lit(held is not None).alias("held"))
+
+
+@query("SELECT CAST(vec_id AS BIGINT) AS id, CAST(round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS DOUBLE) AS total, CAST(1 AS BIGINT) AS times FROM embeddings")
+def append_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings appended in two runs, the second over all: each is there once."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    path = shared_path(spark, "vectors")
+    for part in (e.where("id % 2 = 0"), e, e):
+        sinks.append_missing(part, path)
+    total = F.aggregate(V.doubles(F.col("embedding")), F.lit(0.0), lambda s, x: s + x)
+    return spark.read.parquet(path).groupBy("id").agg(F.round(F.first(total), 6).alias("total"), F.count(F.lit(1)).alias("times"))

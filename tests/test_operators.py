@@ -19,7 +19,7 @@ from driftline.operators.fts import Query
 from driftline.plans import text_queries
 from driftline.schema import WORK
 from driftline.sources import files, sinks, synth
-from driftline.sources.crawl import Works
+from driftline.sources.crawl import Works, works
 from driftline.streaming import jobs
 
 
@@ -246,24 +246,24 @@ def test_matrix_ignores_an_incomplete_row(spark, tmp_path):
     assert [list(r["embedding"]) for r in files.matrix(spark, str(tmp_path / "m.f32"), 3).collect()] == [[0, 1, 2], [3, 4, 5]]
 
 
-def test_append_new_and_postings(spark, tmp_path):
+def test_append_new_twice(spark, tmp_path):
     batch = spark.createDataFrame([(1, "One title", 0), (2, "two", 1)], "id long, title string, seq long")
     for _ in range(2):
         sinks.append_new(batch, f"{tmp_path}/p")
     assert spark.read.parquet(f"{tmp_path}/p").count() == 2
-    posts = spark.createDataFrame([(1, "title", "x", 0), (2, "title", "y", 0)], "id long, col string, term string, pos int")
-    assert spark.read.parquet(sinks.upsert_postings(posts, batch.where("id = 1"), f"{tmp_path}/fts")).count() == 1
 
 
 def test_crawl_source_batch_and_stream(spark, tmp_path):
-    for n, works in enumerate([[{"id": "W1", "publication_year": 2020}], [], [{"id": "W2"}, {"id": "W3", "publication_year": 1990}]]):
-        (tmp_path / f"page-{n:06d}.json").write_text(json.dumps(works))
+    for n, found in enumerate([[{"id": "W1", "publication_year": 2020}], [], [{"id": "W2"}, {"id": "W3", "publication_year": 1990}]]):
+        (tmp_path / f"page-{n:06d}.json").write_text(json.dumps(found))
     spark.dataSource.register(Works)
     assert sorted(r["id"] for r in spark.read.format("works").option("path", str(tmp_path)).load().collect()) == ["W1", "W2", "W3"]
-    q = spark.readStream.format("works").option("path", str(tmp_path)).option("since", "2000").load().writeStream.format("memory").queryName("works_in").option("checkpointLocation", str(tmp_path / "c")).start()
+    q = spark.readStream.format("works").option("path", str(tmp_path)).option("since", "2000").option("pagesPerTrigger", 2).load().writeStream.format("memory").queryName("works_in").option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
     q.stop()
     assert [r["id"] for r in spark.table("works_in").collect()] == ["W1"]
+    parsed = works(spark.read.format("works").option("path", str(tmp_path)).load())
+    assert parsed.schema == WORK and {r["id"]: r["publication_year"] for r in parsed.collect()} == {"W1": 2020, "W2": None, "W3": 1990}
 
 
 def test_sitemap_chunks(spark):
