@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
+from driftline.operators.fts import TtlCache
 from driftline.schema import WORK
 
 #: Works of a page; tries of a request, seconds before the second one (then twice as many each), and seconds of Retry-After that are worth waiting for.
@@ -118,6 +119,16 @@ class Api:
         return page
 
 
+class Lookup:
+    """Single works of an API, each asked for once in ten minutes, and 512 held."""
+
+    def __init__(self, api: Api, seconds: float = 600, most: int = 512, clock=time.monotonic):
+        self.api, self.cache = api, TtlCache(seconds, most, clock)
+
+    def work(self, id: str) -> dict | None:
+        return self.cache.get(id, lambda: next(iter(self.api.page(ids=[id]).results), None))
+
+
 def published(work: dict) -> str:
     """The date of a work, or its year, or ''."""
     return str(work.get("publication_date") or work.get("publication_year") or "")

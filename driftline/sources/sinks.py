@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import SITEMAP_URLS
-from driftline.operators.ingest import new_papers
+from driftline.operators.ingest import PENDING_ID, new_papers
 from driftline.sources.files import FORMAT_VERSION
 from driftline.sources.shared import exists, write_pointer
 
@@ -20,6 +20,25 @@ def append_new(batch: DataFrame, path: str) -> None:
     new_papers(batch, old).write.mode("append").parquet(path)
 
 
+#: Ids that a pending log takes; a fixed value.
+PENDING_ROOM = 200_000
+
+
+def append_pending(batch: DataFrame, path: str, room: int = PENDING_ROOM) -> int:
+    """Append well-formed ids that are not there yet, the earliest first, while there is room; how many it took."""
+    spark = batch.sparkSession
+    ids = batch.where(F.col("id").rlike(PENDING_ID)).groupBy("id").agg(F.min("ts").alias("ts"))
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        room -= old.count()
+        ids = ids.join(old.select("id"), "id", "left_anti")
+    some = ids.orderBy("ts", "id").limit(max(0, room)).persist()
+    n = some.count()
+    some.write.mode("append").parquet(path)
+    some.unpersist()
+    return n
+
+
 def append_missing(vectors: DataFrame, path: str, id: str = "id") -> None:
     """Append the embeddings whose id is not there yet; run again after a failure, it adds what is missing."""
     spark = vectors.sparkSession

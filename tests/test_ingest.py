@@ -101,6 +101,14 @@ def test_requests_are_tried_again(server):
         crawl.get_json(server.url + "?cursor=*", waits.append)
 
 
+def test_single_works_are_looked_up_once_in_a_while(server):
+    server.works, now = [work(1), work(2)], [0.0]
+    look = crawl.Lookup(crawl.Api(server.url), clock=lambda: now[0])
+    assert [look.work("W2")["id"], look.work("W2")["id"], look.work("W9")] == ["https://w.example/W2", "https://w.example/W2", None] and len(server.asked) == 2
+    now[0] = 601.0
+    assert look.work("W2") and len(server.asked) == 3
+
+
 def test_cursor_crawl_over_http(spark, server):
     server.works = [work(n, cited=n, day=f"20{10 + n}-01-01") for n in range(7)]
     spark.dataSource.register(crawl.Works)
