@@ -153,14 +153,25 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share (spark.checkpoint.dir).
 
-    The setting is read from the session; only where it is unset, as in tests on one
-    machine, a folder under /tmp/checkpoints stands in for it.
+    The setting is read from the session; only where it is unset and the master is a single
+    process, as in tests, a folder under /tmp/checkpoints stands in for it.
     """
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
-    return f"{folder.rstrip('/')}/driftline/{name}-{uuid.uuid4().hex}"
+    conf = spark.sparkContext.getConf()
+    folder = conf.get("spark.checkpoint.dir")
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        folder = "file:///tmp/checkpoints"
+    return f"{folder.rstrip('/')}/driftline-llm/{conf.get('spark.app.id', 'app')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+def cleanup(spark: SparkSession) -> bool:
+    """Remove all intermediate tables of this session; results that were not written elsewhere are gone then."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "x").rsplit("/", 1)[0])
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stored(df: DataFrame, name: str, small: bool = False, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
 
     ``small`` results (a small part of the input) are put in four files a core at most, as
@@ -168,5 +179,6 @@ def stored(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    (df.coalesce(4 * spark.sparkContext.defaultParallelism) if small else df).write.parquet(path)
+    out = (df.coalesce(4 * spark.sparkContext.defaultParallelism) if small else df).write
+    (out.option("compression", codec) if codec else out).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
