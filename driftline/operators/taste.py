@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,11 +13,12 @@ from pyspark.sql import functions as F
 RINGS = {"seen": 1000, "liked": 200, "history": 300, "bookmarks": 500, "searches": 12}
 
 
-def taste_vectors(likes: DataFrame, vectors: DataFrame, user: str = "user_id", unlikes: DataFrame | None = None) -> DataFrame:
-    """(user, n, i, x): the fold acc = (acc + v) / 2 over likes in order of time, in closed form.
+def taste_arrays(likes: DataFrame, vectors: DataFrame, user: str = "user_id", unlikes: DataFrame | None = None) -> DataFrame:
+    """(user, n, v): the fold acc = (acc + v) / 2 over likes in order of time, in closed form.
 
     Of n likes the first weighs 2**-(n-1) and the i-th 2**-(n-i+1).  ``likes`` has user, ts, id;
-    repeated likes of a paper count once, at the first; unlikes are taken out before.
+    repeated likes of a paper count once, at the first; unlikes are taken out before.  The
+    window has a user's likes in one task, one after the other, so that they are summed there as they pass.
     """
     if unlikes is not None:
         likes = likes.join(unlikes.select(user, "id").distinct(), [user, "id"], "left_anti")
@@ -22,8 +27,34 @@ def taste_vectors(likes: DataFrame, vectors: DataFrame, user: str = "user_id", u
     order = Window.partitionBy(user).orderBy("ts", "id")
     numbered = met.withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(user)))
     weight = F.when(F.col("i") == 1, F.pow(F.lit(2.0), 1 - F.col("n"))).otherwise(F.pow(F.lit(2.0), F.col("i") - F.col("n") - 1))
-    parts = numbered.select(user, "n", weight.alias("w"), F.posexplode("v").alias("i", "x"))
-    return parts.groupBy(user, "n", "i").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+    kind = likes.schema[user].dataType.simpleString()
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        held: np.ndarray | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column("v").flatten(), float).reshape(b.num_rows, -1) * np.asarray(b.column("w"))[:, None]
+            users, left = b.column("user"), np.asarray(b.column("n")) - np.asarray(b.column("i"))
+            last = np.flatnonzero(left == 0)  # where a user's likes end
+            starts = np.append(0, last + 1)
+            sums = np.add.reduceat(x, starts[starts < len(x)], axis=0)
+            if held is not None:
+                sums[0] += held
+            held = sums[len(last)] if len(sums) > len(last) else None  # a user who goes on in the next batch
+            sums = sums[: len(last)]
+            if len(last):
+                take = pa.array(last)
+                ends = np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([users.take(take), b.column("n").take(take), pa.ListArray.from_arrays(pa.array(ends), pa.array(sums.ravel()))], ["user", "n", "v"])
+
+    rows = numbered.select(F.col(user).alias("user"), "n", F.col("i").cast("long").alias("i"), weight.alias("w"), "v")
+    return rows.mapInArrow(add, f"user {kind}, n long, v array<double>").withColumnRenamed("user", user)
+
+
+def taste_vectors(likes: DataFrame, vectors: DataFrame, user: str = "user_id", unlikes: DataFrame | None = None) -> DataFrame:
+    """(user, n, i, x): the components of ``taste_arrays``."""
+    return taste_arrays(likes, vectors, user, unlikes).select(user, "n", F.posexplode("v").alias("i", "x"))
 
 
 #: Likes whose vectors are kept apart; older ones are folded into one base vector.

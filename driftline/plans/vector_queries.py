@@ -195,12 +195,12 @@ _TASTE = f"""{VECTORS_SQL}, {INTERACTIONS_SQL}, firsts AS (
 
 def _tastes(spark: SparkSession, sf_dir: str) -> DataFrame:
     likes = interactions(spark, sf_dir).where("kind = 'like'").select("user_id", "ts", "id")
-    return taste.taste_vectors(likes, unit_vectors(spark, sf_dir).select("id", F.col("u").alias("v")))
+    return taste.taste_arrays(likes, unit_vectors(spark, sf_dir).select("id", F.col("u").alias("v")))
 
 
 @query(f"WITH {_TASTE} SELECT user_id, n, CAST(k - 1 AS INTEGER) AS i, round(x, 6) AS x FROM tastes")
 def taste_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _tastes(spark, sf_dir).select("user_id", "n", "i", F.round("x", 6).alias("x"))
+    return _tastes(spark, sf_dir).select("user_id", "n", F.posexplode("v").alias("i", "x")).select("user_id", "n", "i", F.round("x", 6).alias("x"))
 
 
 _TASTE_Q = """vecs AS (
@@ -215,7 +215,7 @@ _TASTE_Q = """vecs AS (
 
 @query(f"WITH {_TASTE}, {_TASTE_Q} {topk_sql('vectors', 'tq', 5)}")
 def taste_closest5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = taste.as_arrays(_tastes(spark, sf_dir), "user_id").select(F.col("user_id").alias("query_id"), V.normalize(F.col("v")).alias("u"))
+    t = _tastes(spark, sf_dir).select(F.col("user_id").alias("query_id"), V.normalize(F.col("v")).alias("u"))
     q = t.select("query_id", V.scale_of(F.col("u")).alias("scale"), V.quantize(F.col("u")).alias("q"))
     return slim(search.exact_topk(unit_vectors(spark, sf_dir), q, 5))
 
@@ -225,7 +225,7 @@ def taste_closest5(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id, round(top, 6) AS top, CAST(len(list_filter(a, lambda x: x > top)) AS INTEGER) AS clipped FROM t"
 )
 def taste_heat_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = taste.as_arrays(_tastes(spark, sf_dir), "user_id")
+    t = _tastes(spark, sf_dir)
     return t.select("user_id", F.round(V.heat_limit(F.col("v")), 6).alias("top"), V.clipped(F.col("v")).alias("clipped"))
 
 

@@ -115,7 +115,10 @@ class TextIndex:
         name = self._write(self.postings(), self.documents().withColumn("live", F.lit(True)))
         self._commit(self.state | {"segments": [name], "added": 0})
 
+    def sizes(self) -> fts.Sizes:
+        """The lengths and totals that are stored beside the postings."""
+        return fts.Sizes(self.documents(), (self.state["docs"], self.state["length"]), (self.state["titled"], self.state["title_length"]))
+
     def search(self, papers: DataFrame, q: str, sort: str = "", page: int = 1, title_cap: int = fts.COUNT_CAP) -> DataFrame:
-        """``fts.search`` on the stored postings, with the lengths and totals that are stored beside them."""
-        totals = ((self.state["docs"], self.state["length"]), (self.state["titled"], self.state["title_length"]))
-        return fts.search(papers, self.postings(), q, sort, page, title_cap, self.stemmed, fts.Sizes(self.documents(), *totals))
+        """``fts.search`` on the stored postings."""
+        return fts.search(papers, self.postings(), q, sort, page, title_cap, self.stemmed, self.sizes())

@@ -377,6 +377,25 @@ def test_folded_likes_equal_all_likes(spark):
     assert {r["user_id"]: pytest.approx(list(r["v"])) for r in taste.unfolded(state).collect()} == want
 
 
+def test_tastes_over_many_small_batches(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(u), int(t), int(rng.integers(0, 30))) for u in range(40) for t in range(int(rng.integers(1, 25)))]
+    x = rng.normal(size=(30, 5))
+    likes = spark.createDataFrame(rows, "user_id long, ts long, id long")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = {r["user_id"]: (r["n"], list(r["v"])) for r in taste.taste_arrays(likes, vectors).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in range(40):
+        ids = list(dict.fromkeys(i for w, _, i in sorted(rows) if w == u))
+        acc = x[ids[0]]
+        for i in ids[1:]:
+            acc = (acc + x[i]) / 2
+        assert got[u][0] == len(ids) and got[u][1] == pytest.approx(acc.tolist())
+
+
 def test_lists_are_cut_and_bad_states_left_out(spark):
     lists = spark.createDataFrame([(1, list(range(1500)), ["q"])], "user_id long, seen array<long>, searches array<string>")
     out = taste.export_state(lists).unionAll(spark.createDataFrame([(2, "no json"), (3, '{"version": 9}'), (4, '{"version": 1, "seen": [1, null]}')], "user_id long, state string"))
