@@ -1,13 +1,21 @@
 """Exact Jaccard self-join on word shingles (operator 3), universe-partition pigeonhole.
 
-A set's shingles are hashed into the segments of its size band; a segment with its content is
-an item.  One shingle of difference spoils one item at most, so sets that differ in d shingles share
+A set is looked at in its size band, and in the next if a partner can be there; two similar sets
+share a band and differ there in a known number of shingles at most.  Each band has one of two
+schemes, for all its sets.
+
+Items: shingles are hashed into segments; a segment with its content is an item.  One
+shingle of difference spoils one item at most, so sets that differ in d shingles share
 all but d of their items, and their first d + 1 items in any common order meet.  Sets
 therefore index only so many items, those of the rarest shingles first (their frequency is
-estimated from a sample, which moves cost, not results).  In the lowest band, where sets
-differ in one shingle at most, the whole set may be one segment with its one-deletion
-neighbourhood; the cost model takes that where an item would be met by more sets than
-the neighbourhood has entries.
+estimated from a sample, which moves cost, not results).
+
+Allocation: shingles are hashed into fewer segments, and each segment of the band gets nothing,
+its exact content, or its content with its one-deletion neighbourhood, worth 0, 1 or 2.  If these add up
+to more than the sets can differ in, some segment is equal, or differs in one shingle where it
+has its neighbourhood.  The cheapest such allocation is found by dynamic programming over the
+entries and meetings of each segment, which a sample of documents gives, and the band takes it
+where it costs less than items.
 
 Items are kept in packed buckets.  Of sets that meet, the parities of shingle counts in hashed
 cells are compared first: each cell that differs is a shingle that differs, so too many rule
@@ -22,7 +30,7 @@ the start.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +43,13 @@ from driftline.llm.textblocks import CODES_LOWER, lean, mix, shingle_hashes, spa
 SHINGLE = 5
 #: Similarity as a fraction, to stay in integers.
 PERCENT = 75
-#: Sets of the lowest band have fewer shingles than this and differ in one at most.
+#: Sets of the lowest band have fewer shingles than this, differ in one at most, and are one segment of an allocation.
 LOWEST = (2 * (100 + PERCENT) - 1) // (100 - PERCENT) // 2 + 1
 #: Shingles known to be frequent: at most so many, found in a sample of one document in so many.
 HOT_SHINGLES = 200_000
 HOT_SAMPLE = 16
+#: The cost model looks at one document in so many; a meeting of two sets costs as much as so many entries.
+COST_SAMPLE, MEETING_COST = 64, 8
 #: Entries of a bucket, about.
 BUCKET = 1_000_000
 #: Groups of up to so many sets are verified in all pairs at once.
@@ -112,17 +122,23 @@ def segments(band: int) -> int:
     return LOWEST << band >> 1
 
 
+def most_apart(band: int) -> int:
+    """Shingles that two similar sets of a band differ in at most."""
+    return 2 * ((LOWEST << band) - 1) * (100 - PERCENT) // (100 + PERCENT)
+
+
+def allotted(band: int) -> int:
+    """Segments of a band's allocation: a quarter more than neighbourhoods would need, so that some can get nothing."""
+    return -(-(most_apart(band) + 1) // 2) * 5 // 4
+
+
 @dataclass
 class Heat:
-    """Frequent shingles and how many documents of the sample have them."""
+    """Frequent shingles and how many documents of the sample have them; and the bands that have an allocation."""
 
     keys: np.ndarray
     counts: np.ndarray
-
-    @property
-    def deletions(self) -> bool:
-        """The cost model's choice for the lowest band: neighbourhoods of up to LOWEST entries, or items met by so many sets."""
-        return bool(len(self.counts)) and int(self.counts.max()) * HOT_SAMPLE > LOWEST
+    allocations: dict[int, np.ndarray] = field(default_factory=dict)
 
     def of(self, s: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -131,10 +147,39 @@ class Heat:
         return np.where(self.keys[at] == s, self.counts[at], 0)
 
 
-def deletion_entries(s: np.ndarray) -> np.ndarray:
-    """The whole set and all that lack one of its shingles."""
-    all_ = mix(s, 21).sum(dtype=np.uint64)
-    return mix(np.append(all_, all_ - mix(s, 21)), 22)
+def allocate(exact: np.ndarray, around: np.ndarray, need: int) -> tuple[np.ndarray, float]:
+    """The cheapest worths (0, 1, 2 for each segment, at the cost of 0, ``exact`` or ``around``) that add up to ``need``, and their cost."""
+    best = np.full(need + 1, np.inf)  # by worth that is still needed
+    best[0] = 0.0
+    taken = np.zeros((len(exact), need + 1), np.uint8)
+    for i, (one, two) in enumerate(zip(exact, around, strict=True)):
+        by_one = np.concatenate([[best[0]], best[:-1]]) + one
+        by_two = np.concatenate([best[:1], best[:1], best[:-2]])[: need + 1] + two
+        new = np.minimum(np.minimum(best, by_one), by_two)
+        taken[i] = np.where(new == best, 0, np.where(new == by_one, 1, 2))
+        best = new
+    worth, left = np.zeros(len(exact), np.uint8), need
+    for i in range(len(exact) - 1, -1, -1):
+        worth[i] = taken[i, left]
+        left = max(0, left - int(worth[i]))
+    return worth, float(best[need])
+
+
+def segment_entries(s: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exact entry of each segment of a band's allocation, the entries that lack one shingle, their segments)."""
+    m = allotted(band)
+    part = (mix(s, 51 + band) % np.uint64(m)).astype(np.int64)
+    own = mix(s, 21)
+    content = np.zeros(m, np.uint64)
+    np.add.at(content, part, own)
+    number = mix(np.arange(m, dtype=np.uint64), 53 + band)
+    return mix(content ^ number, 22), mix(content[part] - own ^ number[part], 22), part
+
+
+def allocated_entries(s: np.ndarray, band: int, worth: np.ndarray) -> np.ndarray:
+    """The index entries of a set in a band with an allocation; a segment without shingles is one too."""
+    exact, lacking, part = segment_entries(s, band)
+    return np.concatenate([exact[worth > 0], lacking[worth[part] > 1]])
 
 
 def items(s: np.ndarray, heat: np.ndarray, band: int, k: int) -> np.ndarray:
@@ -164,10 +209,8 @@ def entries(s: np.ndarray, heat: Heat) -> np.ndarray:
     warm = heat.of(s)
     got = []
     for band, k in bands(len(s)):
-        if band == 0 and heat.deletions:
-            got.append(deletion_entries(s))
-        else:
-            got.append(items(s, warm, band, k))
+        worth = heat.allocations.get(band)
+        got.append(items(s, warm, band, k) if worth is None else allocated_entries(s, band, worth))
     return np.concatenate(got)
 
 
@@ -291,10 +334,49 @@ def heat_of(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str
     return Heat(keys[order], counts[order])
 
 
+def with_allocations(docs: DataFrame, heat: Heat, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> Heat:
+    """``heat`` with an allocation for each band in which it costs less than items.
+
+    Entries and meetings are those of a sample, in which equal sets are one: with all documents there are
+    COST_SAMPLE times as many entries, and COST_SAMPLE squared as many meetings.  Sums by band and
+    segment are what comes to the driver.
+    """
+    spark = docs.sparkSession
+    hot = spark.sparkContext.broadcast((heat.keys, heat.counts))  # HOT_SHINGLES entries at most
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        heat, names = Heat(*hot.value), ["band", "segment", "worth", "entry"]
+        for batch in batches:
+            for s in _sets_of(batch, "text", size):
+                if not len(s):
+                    continue
+                warm = heat.of(s)
+                for band, k in bands(len(s)):
+                    exact, lacking, part = segment_entries(s, band)
+                    own = items(s, warm, band, k)
+                    segment = np.concatenate([np.full(len(own), -1), np.arange(len(exact)), np.arange(len(exact)), part])
+                    worth = np.repeat([0, 1, 2], [len(own), len(exact), len(exact) + len(lacking)])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(segment), band, np.int32)), pa.array(segment, pa.int32()), pa.array(worth, pa.int32()), pa.array(np.concatenate([own, exact, exact, lacking]).view(np.int64))], names)
+
+    sample = _own(docs, id, text).where(F.pmod(F.xxhash64("id"), F.lit(COST_SAMPLE)) == 0).dropDuplicates(["text"])
+    met = sample.mapInArrow(lean(run), "band int, segment int, worth int, entry long").groupBy("band", "segment", "worth", "entry").agg(F.count(F.lit(1)).alias("n"))
+    cost = F.sum("n") * COST_SAMPLE + F.sum(F.col("n") * (F.col("n") - 1) / 2) * (MEETING_COST * COST_SAMPLE**2)
+    found: dict[int, dict[tuple[int, int], float]] = {}
+    for r in met.groupBy("band", "segment", "worth").agg(cost.alias("cost")).collect():
+        found.setdefault(r["band"], {})[r["segment"], r["worth"]] = float(r["cost"])
+    chosen = {}
+    for band, costs in found.items():
+        by = lambda w, costs=costs, band=band: np.array([costs.get((i, w), 0.0) for i in range(allotted(band))])
+        worth, least = allocate(by(1), by(2), most_apart(band) + 1)
+        if least < costs[-1, 0]:
+            chosen[band] = worth
+    return Heat(heat.keys, heat.counts, chosen)
+
+
 def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, group, ref): pairs of set refs to verify, and members of the larger groups."""
     buckets = max(8, total // 2 // BUCKET)
-    hot = docs.sparkSession.sparkContext.broadcast((heat.keys, heat.counts))  # HOT_SHINGLES entries at most
+    hot = docs.sparkSession.sparkContext.broadcast((heat.keys, heat.counts, heat.allocations))  # HOT_SHINGLES entries, and segments of bands, at most
 
     def index(batches: Iterator[pa.RecordBatch]):
         heat = Heat(*hot.value)
@@ -355,8 +437,9 @@ def candidates(docs: DataFrame, heat: Heat, total: int, size: int = SHINGLE, id:
 
 def verified(docs: DataFrame, pairs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(a, b, x, y, shared, joint): for sifted pairs, sizes of intersection and union."""
-    degree = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).alias("parts"))
-    dealt = pairs.join(degree, "a").withColumn("group", F.xxhash64("a", "a_more", F.pmod(F.xxhash64("b"), "parts")))
+    # sets with more partners than a group of rows holds, sent if they are few; the others have one part
+    many = stored(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PIVOT_ROWS).alias("parts")).where("parts > 1"), "many", small=True)
+    dealt = pairs.join(F.broadcast(many) if many.count() <= SEND_SETS else many, "a", "left").withColumn("group", F.xxhash64("a", "a_more", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1)))))
     member = dealt.select(F.col("y").alias("rep"), F.col("b").alias("ref"), F.col("b_more").alias("more"), "group", F.lit(1).alias("role"))
     pivot = dealt.select(F.col("x").alias("rep"), F.col("a").alias("ref"), F.col("a_more").alias("more"), "group", F.lit(0).alias("role")).distinct()
     wanted = stored(member.unionAll(pivot).groupBy("rep").agg(F.collect_list(F.struct("ref", "more", "group", "role")).alias("wanted")), "wanted", small=True)
@@ -510,7 +593,7 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
     found = stored(sets(docs, size, id, text), "sets")
     classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes", small=True)
     total = classes.agg(F.sum("n")).first()[0] or 0
-    heat = heat_of(docs, size, id, text)
+    heat = with_allocations(docs, heat_of(docs, size, id, text), size, id, text)
     met = stored(candidates(docs, heat, total, size, id, text), "meetings")
     entered = met.where("group is not null").select("group", "ref").distinct()
     # of each group the set that is in most groups is the pivot; groups with one pivot become one
