@@ -92,7 +92,7 @@ def round_trip_digests(df: DataFrame, rank_file: str, pattern: str, id: str = "d
     over Arrow batches, so ids never travel back to the JVM.  Null texts count as empty; a
     null id stays null.
     """
-    kind = df.select(id).schema[0].dataType.simpleString()
+    kind = df.select(F.col(f"`{id}`")).schema[0].dataType.simpleString()
 
     def run(batches):
         enc = encoding(_local(rank_file), pattern)

@@ -8,7 +8,8 @@ travel with the hashes.
 Hot lines: one line may be in a third of all documents.  ``HOT_SLOTS`` hashes at most
 are found hot in a sample; their first holder comes from a map-side aggregate and is
 broadcast (``HOT_SLOTS`` rows of 40 bytes, whatever the input), so they skip the range
-partitions.  Which hashes are treated as hot changes the route, not the result.
+partitions.  They are the most frequent ones, so a hash beyond them has at most one line in
+``HOT_SLOTS``, about.  Which hashes are treated as hot changes the route, not the result.
 """
 
 from __future__ import annotations

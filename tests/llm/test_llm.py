@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from driftline.llm import ann, bytebpe, components, jaccard, langid, licenses, linededup, packing, quality, queries, suffix, tokenfiles
+from driftline.llm import ann, bytebpe, components, jaccard, langid, licenses, linededup, packing, quality, queries, suffix, textblocks, tokenfiles
 from tests.compare import duck, same_rows
 
 WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.tiktoken")
@@ -59,6 +60,11 @@ def test_query_gives_the_rows_of_its_sql(spark, sf, name):
     same_rows(queries.QUERIES[name](spark, sf), duck(sf), queries.ORACLE_SQL[name])
 
 
+def test_intermediate_tables_are_cleaned_up(spark):
+    kept = textblocks.stored(spark.range(5), "x", codec="zstd")
+    assert kept.count() == 5 and textblocks.cleanup(spark) and not textblocks.cleanup(spark)
+
+
 # 1: nearest neighbours
 
 
@@ -154,6 +160,16 @@ def test_lines_with_edges(edge, empty):
     assert linededup.drop_repeated_lines(empty).count() == 0
 
 
+def test_hot_lines_take_the_other_way(spark, monkeypatch):
+    """With every document in the sample, the commonest lines go by the broadcast, three of them at most."""
+    monkeypatch.setattr(linededup, "HOT_SAMPLE", 1)
+    monkeypatch.setattr(linededup, "HOT_SLOTS", 3)
+    rows = [(i, "\n".join(f"line of group number {i % k}" for k in (2, 3, 5, 40)) + f"\nown line {i:09d}\nline of group number 0") for i in range(200)] + [(7, "line of group number 1"), (None, "line of group number 1")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = linededup.drop_repeated_lines(df)
+    assert sorted(((r["doc_id"], r["n_lines"], r["n_dropped"], r["text"]) for r in got.collect()), key=str) == brute_lines(rows)
+
+
 # 3: near copies
 
 
@@ -183,7 +199,7 @@ def test_near_copies_against_brute_force(docs, texts):
     assert got == brute_components(list(texts.items()))
 
 
-def test_near_copies_of_all_sizes_and_a_large_group(spark):
+def sets_of_all_sizes():
     rng = np.random.default_rng(5)
     rows, n = [(r[0], r[1]) for r in EDGE if r[1] != LONG], 100
     for size in (3, 5, 6, 7, 8, 9, 10, 11, 13, 17, 18, 30, 60, 120):
@@ -201,10 +217,50 @@ def test_near_copies_of_all_sizes_and_a_large_group(spark):
             w[int(rng.integers(0, 150))] = f"y{int(rng.integers(0, 5000))}"
         rows.append((n, " ".join(w)))
         n += 1
+    return rows
+
+
+@pytest.mark.parametrize("how", ["as the model says", "allocations", "blocks", "fetched by shuffle"])
+def test_near_copies_of_all_sizes_and_a_large_group(spark, monkeypatch, how):
+    rows = sets_of_all_sizes()
+    if how == "allocations":  # in every band, nothing, contents and neighbourhoods in turn
+        worth = lambda band: jaccard.allocate(*np.random.default_rng(band).random((2, jaccard.allotted(band))), jaccard.most_apart(band) + 1)[0]
+        monkeypatch.setattr(jaccard, "with_allocations", lambda docs, heat, *_: jaccard.Heat(heat.keys, heat.counts, {b: worth(b) for b in range(8)}))
+        assert {int(v) for b in range(3, 8) for v in worth(b)} == {0, 1, 2}
+    if how == "blocks":
+        monkeypatch.setattr(jaccard, "BLOCK_SETS", 16)
+        monkeypatch.setattr(jaccard, "SMALL_GROUP", 2)
+        monkeypatch.setattr(jaccard, "PIVOT_ROWS", 7)
+    if how == "fetched by shuffle":
+        monkeypatch.setattr(jaccard, "SEND_SETS", 0)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((tuple(r) for r in jaccard.near_duplicates(df).collect()), key=str) == brute_components(rows)
 
 
+def test_allocations_are_the_cheapest_that_add_up():
+    from itertools import product
+
+    rng = np.random.default_rng(6)
+    for m, need in ((1, 2), (3, 2), (5, 4), (6, 9), (7, 14)):
+        exact, around = rng.random((2, m)) * [[1], [2]]
+        worth, cost = jaccard.allocate(exact, around, need)
+        price = lambda w: sum((0.0, exact[i], around[i])[x] for i, x in enumerate(w))
+        assert worth.sum() >= need and cost == pytest.approx(price(worth)) == pytest.approx(min(price(w) for w in product((0, 1, 2), repeat=m) if sum(w) >= need))
+
+
+def test_the_model_takes_allocations_where_items_meet_often(spark, monkeypatch):
+    """Short sets whose shingles are all common: neighbourhoods of whole sets meet less often than their items."""
+    monkeypatch.setattr(jaccard, "COST_SAMPLE", 1)
+    rng = np.random.default_rng(9)
+    starts = rng.integers(0, 4, 400).tolist()
+    rows = [(i, " ".join(f"c{x}" for x in [*range(a, a + 5), *rng.integers(0, 40, 5)])) for i, a in enumerate(starts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    heat = jaccard.heat_of(df)
+    assert 0 in jaccard.with_allocations(df, heat).allocations
+    free = spark.createDataFrame([(i, " ".join(f"f{i}x{k}" for k in range(40))) for i in range(50)], "doc_id long, text string")
+    assert jaccard.with_allocations(free, heat).allocations == {}
+
+
 def test_near_copies_of_nothing(empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
@@ -327,14 +383,14 @@ def test_passages_of_one_gram_over_several_shards(monkeypatch):
 def collapse_rows(rows):
     import pyarrow as pa
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8()]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["gram", "digest", "more", "id", "version", "start", "windows", "weight"])
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int8()]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["gram", "part", "digest", "more", "id", "version", "start", "windows", "weight"])
 
 
 def test_torn_grams_lose_no_block(monkeypatch):
     """A batch with the rest of one torn gram and too many rows of the next."""
     monkeypatch.setattr(suffix, "HELD_ROWS", 3)
-    rows = [(1, i, 0, i, 0, 0, 5, 1) for i in range(5)] + [(1, 50, 0, 50, 0, 0, 5, 1)] + [(2, i, 0, 100 + i, 0, 0, 5, 1) for i in range(5)] + [(2, 9, 9, 109, 0, 0, 5, 1), (3, 1, 1, 200, 0, 0, 5, 1)]
+    rows = [(1, 0, i, 0, i, 0, 0, 5, 1) for i in range(5)] + [(1, 0, 50, 0, 50, 0, 0, 5, 1)] + [(2, 0, i, 0, 100 + i, 0, 0, 5, 1) for i in range(5)] + [(2, 0, 9, 9, 109, 0, 0, 5, 1), (3, 0, 1, 1, 200, 0, 0, 5, 1)]
     for cut in range(1, len(rows)):
         got = [r for b in suffix._collapse(iter([collapse_rows(rows[:cut]), collapse_rows(rows[cut:])])) for r in b.to_pylist()]
         assert {r["id"] for r in got if not r["settled"]} >= {*range(5), 50, *range(100, 105), 109}
@@ -342,13 +398,13 @@ def test_torn_grams_lose_no_block(monkeypatch):
 
 
 def test_blocks_with_half_a_digest_in_common_are_different():
-    rows = [(1, 7, 1, 1, 0, 0, 5, 1), (1, 7, 2, 2, 0, 0, 5, 1)]
+    rows = [(1, 0, 7, 1, 1, 0, 0, 5, 1), (1, 0, 7, 2, 2, 0, 0, 5, 1)]
     assert [r["settled"] for b in suffix._collapse(iter([collapse_rows(rows)])) for r in b.to_pylist()] == [False, False]
 
 
-@pytest.mark.parametrize("hot, shard", [(1, 1 << 19), (1, 700), (1 << 20, 700)])
-def test_passages_of_hot_grams(spark, monkeypatch, hot, shard):
-    """Hot grams dealt by their second gram, and keys over several shards, in the worker of one task."""
+@pytest.mark.parametrize("hot, shard, parts", [(1, 1 << 19, False), (1, 700, False), (1 << 20, 700, False), (1 << 20, 700, True), (1, 1 << 19, True)])
+def test_passages_of_hot_grams(monkeypatch, hot, shard, parts):
+    """Hot grams collapsed in parts and dealt by their second gram, and keys over several shards, as one task does it."""
     monkeypatch.setattr(suffix, "HOT_BLOCKS", hot)
     monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
     import pyarrow as pa
@@ -361,11 +417,18 @@ def test_passages_of_hot_grams(spark, monkeypatch, hot, shard):
     texts += ["a" * 300, "a" * 250 + "b"]
     batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.binary()), pa.array([0] * len(texts), pa.int64())], ["id", "text", "version"])
     raw = [t.encode() for t in texts]
-    found = [r for b in suffix._block_rows(200)(iter([batch])) for r in b.to_pylist()]
-    found.sort(key=lambda r: (r["gram"], r["digest"], r["more"], r["windows"]))
-    rows = [tuple(r[k] for k in ("gram", "digest", "more", "id", "version", "start", "windows", "weight")) for r in found]
+    batches = [batch.slice(0, 20), batch.slice(20)]  # copies are in one batch, and over both
+    rows_of = lambda known: [r for b in suffix._block_rows(200, known)(iter(batches)) for r in b.to_pylist()]
+    often = sorted(g for g, n in Counter(r["gram"] for r in rows_of(None)).items() if n > 2)
+    frequent = {g: k % 2 == 0 for k, g in enumerate(often)}
+    assert set(frequent.values()) == {True, False}
+    found = rows_of(frequent if parts else None)
+    assert any(r["part"] for r in found) == parts
+    found.sort(key=lambda r: (r["gram"], r["part"], r["digest"], r["more"], r["windows"]))
+    rows = [tuple(r[k] for k in ("gram", "part", "digest", "more", "id", "version", "start", "windows", "weight")) for r in found]
+    cut = {p: [r for r in rows if r[1] % 3 == p] for p in range(3)}  # parts are in tasks of their own
     got, sent = set(), []
-    for r in (r for b in suffix._collapse(iter([collapse_rows(rows)])) for r in b.to_pylist()):
+    for r in (r for own in cut.values() if own for b in suffix._collapse(iter([collapse_rows(own)])) for r in b.to_pylist()):
         blob = raw[r["id"]][r["start"] : r["start"] + r["windows"] + 199]
         if r["settled"]:
             got |= {(r["id"], r["start"] + i) for i in range(r["windows"])}
@@ -385,6 +448,17 @@ def test_passages_of_hot_grams(spark, monkeypatch, hot, shard):
     assert got == {(k, i) for k, t in enumerate(raw) for i in range(len(t) - 199) if seen[t[i : i + 200]] > 1}
 
 
+@pytest.mark.parametrize("size", [600, 4096])
+def test_blocks_of_texts_longer_than_a_piece(monkeypatch, size):
+    raw = [LONG[:9000].encode(), b"", LONG[4000:13000].encode(), b"x" * 199]
+    buf, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    windows = lambda found: {(int(r), int(a) + i) for _, _, r, a, n in zip(*found, strict=True) for i in range(int(n))}
+    whole = windows(suffix.blocks(buf, offsets))
+    assert whole == {(r, i) for r, t in enumerate(raw) for i in range(len(t) - 199)}
+    monkeypatch.setattr(suffix, "PIECE_BYTES", size)
+    assert windows(suffix.blocks(buf, offsets)) == whole
+
+
 # 6: byte BPE
 
 
@@ -397,6 +471,13 @@ def test_byte_bpe_round_trip(edge, empty):
     assert all(bytes(r["bytes"]) == (r["text"] or "").encode() for r in back)
 
 
+def test_byte_bpe_of_all_documents(spark, sf, texts):
+    enc = bytebpe.encoding(BYTE, P.PATTERN)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    got = {tuple(r) for r in queries.op6_byte_bpe(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()}
+    assert got == {(d, len(i := enc.encode_ordinary(t)), digest(np.array(i, "<u4").tobytes()), digest(t.encode())) for d, t in texts.items()}
+
+
 @pytest.mark.parametrize("text", [LONG[:3000], "a" * 500, "x  y   z \n\n q " * 60, "don't  we'll " * 50 + "é 日本 " * 40])
 def test_pieces_encode_as_the_whole(text):
     enc = bytebpe.encoding(BYTE, P.PATTERN)
@@ -456,10 +537,15 @@ def test_frequent_lines_deplete(spark, send):
 # 8: packing
 
 
-def tokens_of(t, end):
-    from driftline.llm.tokens import tokenizer
+@lru_cache(maxsize=1)
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(WORD)
+
 
-    return [*tokenizer(WORD).encode(t or "", add_special_tokens=False).ids, end]
+def tokens_of(t, end):
+    return [*library().encode(t or "", add_special_tokens=False).ids, end]
 
 
 def check_packing(rows, pieces):
@@ -591,9 +677,15 @@ def test_grams_are_counted_whole(monkeypatch):
 
 @pytest.mark.parametrize("n", [0, 1, 5, 1000])
 def test_codes_round_trip(n):
-    ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 1 << 31).astype(np.uint32)
-    table, control, data = tokenfiles.pack_ids(ids)
+    ids = np.random.default_rng(n).zipf(1.3, n).clip(0, 100_000).astype(np.uint32)
+    table, rank = tokenfiles.ranking(*np.unique(ids, return_counts=True))
+    control, data = tokenfiles.pack_ids(ids, rank)
     assert (tokenfiles.unpack_ids(table, control, data, n) == ids).all() and len(control) == -(-n // 4)
+    # more bytes for rarer ids, of one to four
+    rank = np.arange(1 << 25, dtype=np.uint32)
+    some = np.array([0, 255, 256, 65535, 65536, (1 << 24) - 1, 1 << 24], np.uint32)
+    control, data = tokenfiles.pack_ids(some, rank)
+    assert len(data) == 1 + 1 + 2 + 2 + 3 + 3 + 4 and (tokenfiles.unpack_ids(rank, control, data, 7) == some).all()
 
 
 def test_files_give_the_ids_back(spark, edge, empty, tmp_path):
@@ -609,7 +701,19 @@ def test_files_give_the_ids_back(spark, edge, empty, tmp_path):
     assert ids[0] is None and ids[1:] == sorted(ids[1:])
     assert tokenfiles.write_and_read(empty, WORD).count() == 0
     with pytest.raises(ValueError):
-        tokenfiles.unpack_block(tokenfiles.pack_block(np.array([1]), np.array([False]), np.array([1]), np.array([5], np.uint32)) + b"x")
+        tokenfiles.unpack_block(tokenfiles.pack_block(np.array([1]), np.array([False]), np.array([1]), np.array([5], np.uint32), np.arange(6)) + b"x", np.arange(6))
+    count = Counter(i for r in got for i in r["ids"])
+    ranks = [r["id"] for r in spark.read.parquet(f"{path}/ranks").orderBy("rank").collect()]
+    assert ranks == sorted(count, key=lambda i: (-count[i], i))
+
+
+def test_files_of_one_id_with_very_many_rows(spark, tmp_path):
+    rows = [(None if i % 3 else i, f"text number {i % 50}") for i in range(600)]
+    path = f"file://{tmp_path}/tokens"
+    tokenfiles.write(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), path, WORD)
+    got = tokenfiles.read(spark, path, with_ids=True).orderBy("start").collect()
+    assert sorted((str(r["doc_id"]), list(r["ids"])) for r in got) == sorted((str(d), tokens_of(t, 2)) for d, t in rows)
+    assert [r["doc_id"] for r in got] == sorted((d for d, _ in rows), key=lambda d: -1 if d is None else d)
 
 
 # pipeline
@@ -660,12 +764,9 @@ def test_pipeline_stages_with_edges(spark, sf):
 
 
 def test_token_ids_are_those_of_the_library(spark):
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_file(WORD)
     texts = ["hello <|endoftext|> world", "x<|endoftext|>y <|startoftext|>", "<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> <|endoftext |>", *[r[1] or "" for r in EDGE]]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    ids = lambda t, end: [*library.encode(t, add_special_tokens=False).ids, end]
+    ids = tokens_of
     assert ids(texts[0], 2)[:-1] == [3306, 49407, 1002]
     crc = lambda x: zlib.crc32(np.array(x, "<u4").tobytes())
     files = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in tokenfiles.write_and_read(df, WORD).collect()}
