@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,8 +27,6 @@ QUERY_CHUNK = 4096
 #: Below so many rows an index has no clusters; bounds of their number.
 FLAT_BELOW, LEAST_LISTS, MOST_LISTS = 200_000, 256, 65_536
 NPROBE = 48
-#: Ranges in which the rows of a cluster are numbered.
-ROW_PARTS = 16
 #: Numbers in a block of scores, and rows of a cluster in a block.
 BLOCK_CELLS, BLOCK_ROWS = 1 << 21, 8192
 
@@ -50,21 +49,27 @@ def quantized(df: DataFrame, vector: str = "embedding") -> DataFrame:
 def build_index(papers: DataFrame, centroids: DataFrame | None = None, id: str = "id", vector: str = "embedding", order: str = "seq") -> DataFrame:
     """The index of papers that are not excluded: their columns, cluster, row, scale and q.
 
-    ``row`` is the place after a stable grouping by cluster.  Rows are numbered within a cluster
-    and one of ``ROW_PARTS`` ranges of ``order``, and the counts before are added, so neither a
-    flat index nor a hot cluster is numbered in one task.
+    ``row`` is the place after a stable grouping by cluster.  Rows are put in order by ranges, each
+    task numbers its own, and the counts of the tasks before, which are what comes to the driver,
+    are added; so neither a flat index nor a hot cluster is numbered in one task.
     """
     df = quantized(papers.where(~F.coalesce(F.col("excluded"), F.lit(False))) if "excluded" in papers.columns else papers, vector)
     df = assign(df, centroids) if centroids is not None else df.withColumn("cluster", F.lit(0))
-    edges = sorted(set(papers.approxQuantile(order, [i / ROW_PARTS for i in range(1, ROW_PARTS)], 0.01)))
-    part = F.lit(0)
-    for edge in edges:
-        part = part + (F.col(order) > edge).cast("int")
-    df = df.withColumn("part", part)
-    before = F.sum("n").over(Window.orderBy("cluster", "part").rowsBetween(Window.unboundedPreceding, -1))  # clusters * ROW_PARTS rows
-    starts = df.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n")).select("cluster", "part", F.coalesce(before, F.lit(0)).alias("start"))
-    inner = F.row_number().over(Window.partitionBy("cluster", "part").orderBy(order, id)) - 1
-    return df.withColumn("inner", inner).join(starts, ["cluster", "part"]).withColumn("row", F.col("start") + F.col("inner")).drop("start", "inner", "part", "u")
+    ordered = df.drop("u").repartitionByRange("cluster", order, id).sortWithinPartitions("cluster", order, id)
+
+    def number(batches: Iterator[pa.RecordBatch]):
+        part, done = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(done, done + b.num_rows))], [*b.schema.names, "_part", "_inner"])
+            done += b.num_rows
+
+    numbered = stored(ordered.mapInArrow(number, T.StructType([*ordered.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_inner", T.LongType())])), "numbered")
+    starts, before = [], 0
+    for part, n in sorted(numbered.groupBy("_part").agg(F.count(F.lit(1))).collect()):
+        starts.append((part, before))
+        before += n
+    first = F.broadcast(papers.sparkSession.createDataFrame(starts, "_part int, _start long"))
+    return numbered.join(first, "_part").withColumn("row", F.col("_start") + F.col("_inner")).drop("_part", "_inner", "_start")
 
 
 def centroid_table(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:

@@ -109,9 +109,13 @@ def recent_searches(searches: DataFrame, size: int = RINGS["searches"], user: st
 def bars(rows: DataFrame, by: str, most: int = 8, blank: str = "Unknown field") -> DataFrame:
     """(name, n, place): counts; of more than ``most`` groups all but the first most - 1 are 'Other'."""
     counts = rows.groupBy(F.when(F.coalesce(by, F.lit("")) == "", blank).otherwise(F.col(by)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    placed = counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name"))).withColumn("groups", F.count(F.lit(1)).over(Window.partitionBy()))  # a row for each group
-    rest = (F.col("groups") > most) & (F.col("place") >= most)
-    return placed.withColumn("name", F.when(rest, "Other").otherwise(F.col("name"))).groupBy("name").agg(F.sum("n").alias("n"), F.min("place").cast("int").alias("place"))
+    top = counts.orderBy(F.desc("n"), "name").limit(most)
+    placed = top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "name")))  # ``most`` rows
+    whole = counts.agg(F.count(F.lit(1)).alias("groups"), F.sum("n").alias("total"))  # one row
+    own = placed.crossJoin(whole).where((F.col("groups") <= most) | (F.col("place") < most)).select("name", "n", "place")
+    kept = placed.where(F.col("place") < most).agg(F.sum("n").alias("kept"))
+    rest = whole.crossJoin(kept).where(F.col("groups") > most).select(F.lit("Other").alias("name"), (F.col("total") - F.col("kept")).alias("n"), F.lit(most).alias("place"))
+    return own.unionAll(rest).groupBy("name").agg(F.sum("n").alias("n"), F.min("place").cast("int").alias("place"))
 
 
 def last_likes(likes: DataFrame, user: str = "user_id") -> DataFrame:

@@ -411,6 +411,25 @@ def test_percentiles_by_place(spark):
     assert got == {k: (np.sort(x)[len(x) // 2], np.sort(x)[min(len(x) * 99 // 100, len(x) - 1)]) for k, x in data.items()}
 
 
+def test_bars_beyond_the_first_are_other(spark):
+    rows = spark.createDataFrame([(f"n{i}",) for i in range(12) for _ in range(12 - i)] + [("",), (None,)], "name string")
+    got = {r["name"]: (r["n"], r["place"]) for r in taste.bars(rows, "name", 4).collect()}
+    assert got == {"n0": (12, 1), "n1": (11, 2), "n2": (10, 3), "Other": (47, 4)}
+    assert {r["name"]: r["n"] for r in taste.bars(rows, "name", 13).collect()}["Unknown field"] == 2
+
+
+def test_texts_are_cut_by_tokens():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from driftline.operators.embed import token_cut
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    text = "some words of a longer text, again and again. " * 20
+    cut = token_cut(path, 7)([text, "two words", ""])
+    assert cut[1:] == ["two words", ""] and text.startswith(cut[0]) and len(Tokenizer.from_file(path).encode(cut[0], add_special_tokens=False).ids) == 7
+
+
 def test_pools_are_held_when_small(spark):
     idx = synth.generate(spark, 400, 8, 5).withColumn("cluster", F.lit(0))
     assert feed.pool(idx, Filter()) is None
