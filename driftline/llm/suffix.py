@@ -8,6 +8,7 @@
    of a block with a copy repeat.  A gram with a single block is done with.  Copies are blocks
    whose BLAKE2b digests of 128 bits are equal; that two different ones among n blocks share a digest has
    a probability below n * n / 2**129, under one in 10**13 for the blocks of 100 TB.
+   Grams that a sample shows to be very frequent are collapsed in parts by digest, so copies still meet.
 3. Blocks under a gram with other blocks go to shards, whole grams together.  A gram with more
    blocks than two shards hold is dealt further: equal windows have the same smallest other gram as well,
    so its blocks are cut where that changes and dealt by both.  A shard's
@@ -42,6 +43,9 @@ SHARD_BYTES = 1 << 19
 HELD_ROWS = 200_000
 #: Different blocks under one gram, beyond which it is dealt by its windows' second gram too.
 HOT_BLOCKS = 4096
+#: Grams known to be frequent, found in a sample of one document in so many; the rows of each are dealt in parts.
+#: A gram that is not among them has at most one row in HOT_GRAMS, about.
+HOT_GRAMS, HOT_SAMPLE, HOT_PARTS = 1024, 64, 64
 _K = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -116,7 +120,11 @@ def blocks(buf: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _block_rows(length: int):
+def _block_rows(length: int, frequent: dict[int, bool] | None = None):
+    """Rows of blocks; those of ``frequent`` grams have a part from 1, or, if they are said to have very many different blocks, from HOT_PARTS + 1; the others 0."""
+    known_grams = np.array(sorted(frequent or ()), np.int64)
+    first_part = np.array([1 + HOT_PARTS * (frequent or {})[g] for g in known_grams.tolist()], np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             found = []
@@ -151,13 +159,18 @@ def _block_rows(length: int):
             length_of = np.concatenate([size[lead], whole[done]])
             gram = g.view(np.int64)[pick]
             gram[len(lead) :] = mix((row[done] << 20 ^ start[done]).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(gram), *(pa.array(d[pick, k].view(np.int64)) for k in (0, 1)), batch.column(0).take(pa.array(row[pick])), pa.array(np.asarray(batch.column(2))[row[pick]]), pa.array(start[pick]), pa.array(length_of.astype(np.int32)), pa.array(w)], ["gram", "digest", "more", "id", "version", "start", "windows", "weight"])
+            part = np.zeros(len(pick), np.int32)
+            if len(known_grams):
+                at = np.minimum(np.searchsorted(known_grams, gram[: len(lead)]), len(known_grams) - 1)
+                known = np.flatnonzero(known_grams[at] == gram[: len(lead)])
+                part[known] = first_part[at[known]] + (d[lead[known], 0] % np.uint64(HOT_PARTS)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(part), *(pa.array(d[pick, k].view(np.int64)) for k in (0, 1)), batch.column(0).take(pa.array(row[pick])), pa.array(np.asarray(batch.column(2))[row[pick]]), pa.array(start[pick]), pa.array(length_of.astype(np.int32)), pa.array(w)], ["gram", "part", "digest", "more", "id", "version", "start", "windows", "weight"])
 
     return run
 
 
 def _collapse(batches: Iterator[pa.RecordBatch]):
-    """Rows sorted by gram, digest, windows: settled runs, and blocks that other blocks must be compared with (``hot``: of a gram with very many)."""
+    """Rows sorted by gram, part, digest, windows: settled runs, and blocks that other blocks must be compared with (``hot``: of a gram with very many)."""
     names = ["gram", "id", "version", "start", "windows", "weight", "settled", "hot"]
 
     def out(t: pa.Table, take: np.ndarray, weight: np.ndarray, settled: bool, hot: np.ndarray | None = None):
@@ -166,15 +179,15 @@ def _collapse(batches: Iterator[pa.RecordBatch]):
         return pa.RecordBatch.from_arrays([*(t.column(k).combine_chunks() for k in names[:5]), pa.array(weight.astype(np.int8)), pa.array(np.full(n, settled)), pa.array(np.zeros(n, bool) if hot is None else hot)], names)
 
     def solve(t: pa.Table, forced: set[int]):
-        """``t`` has whole grams but those in ``forced``, whose blocks all count as different from those of other parts."""
-        g, d, e, s, w = (t.column(k).to_numpy() for k in ("gram", "digest", "more", "windows", "weight"))
+        """``t`` has whole grams but those in parts or ``forced``, whose blocks all count as different from those elsewhere."""
+        g, part, d, e, s, w = (t.column(k).to_numpy() for k in ("gram", "part", "digest", "more", "windows", "weight"))
         free = np.flatnonzero(w == 0)
         if len(free):
             yield out(t, free, w[free], True)
         own = np.flatnonzero(w > 0)
         if not len(own):
             return
-        g, d, e, s, w = g[own], d[own], e[own], s[own], w[own].astype(np.int64)
+        g, part, d, e, s, w = g[own], part[own], d[own], e[own], s[own], w[own].astype(np.int64)
         new = np.ones(len(g), bool)
         new[1:] = (g[1:] != g[:-1]) | (d[1:] != d[:-1]) | (e[1:] != e[:-1]) | (s[1:] != s[:-1])
         first = np.flatnonzero(new)
@@ -188,8 +201,9 @@ def _collapse(batches: Iterator[pa.RecordBatch]):
         gf = g[first]
         begin = np.flatnonzero(np.concatenate([[True], gf[1:] != gf[:-1]]))
         kinds = np.diff(np.append(begin, len(gf)))  # different blocks of each gram
-        torn = np.isin(gf[begin], list(forced))
-        mixed, hot = np.repeat((kinds > 1) | torn, kinds), np.repeat((kinds > HOT_BLOCKS) | torn, kinds)
+        torn, in_part = np.isin(gf[begin], list(forced)), part[first][begin]
+        very = np.where(in_part > 0, in_part > HOT_PARTS, (kinds > HOT_BLOCKS) | torn)  # the same for all parts of a gram
+        mixed, hot = np.repeat((kinds > 1) | torn | (in_part > 0), kinds), np.repeat(very, kinds)
         if mixed.any():
             yield out(t, own[first[mixed]], np.minimum(total[mixed], 2), False, hot[mixed])
 
@@ -411,8 +425,12 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     """(id, version, start, stop): byte runs of each text whose windows of ``length`` bytes all repeat; runs may overlap."""
     kind = docs.select(F.col(f"`{id}`")).schema[0].dataType.simpleString()
     own = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
-    found = own.where(F.octet_length("text") >= length).select("id", "text", "version").mapInArrow(lean(_block_rows(length)), f"gram long, digest long, more long, id {kind}, version long, start long, windows int, weight byte")
-    collapsed = stored(found.repartition("gram").sortWithinPartitions("gram", "digest", "more", "windows").mapInArrow(lean(_collapse), f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean, hot boolean"), "blocks")
+    texts = own.where(F.octet_length("text") >= length).select("id", "text", "version")
+    rows = f"gram long, part int, digest long, more long, id {kind}, version long, start long, windows int, weight byte"
+    seen = texts.where(F.pmod("version", F.lit(HOT_SAMPLE)) == 0).mapInArrow(lean(_block_rows(length)), rows).where("weight > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("kinds"))
+    frequent = {r["gram"]: r["kinds"] * HOT_SAMPLE > HOT_BLOCKS for r in seen.where("n > 8").orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).collect()}
+    found = texts.mapInArrow(lean(_block_rows(length, frequent)), rows)
+    collapsed = stored(found.repartition("gram", "part").sortWithinPartitions("gram", "part", "digest", "more", "windows").mapInArrow(lean(_collapse), f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean, hot boolean"), "blocks", small=True)
     settled = collapsed.where("settled").select("id", "version", "start", (F.col("start") + F.col("windows") + (length - 1)).alias("stop"))
     wanted = collapsed.where("not settled").groupBy("id", "version").agg(F.collect_list(F.struct("gram", "start", "windows", "weight", "hot")).alias("wanted"))
 
