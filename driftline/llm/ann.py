@@ -3,7 +3,7 @@
 The upper tree is fitted on a bounded sample.  Leaves that hold many rows grow a subtree of their
 own, fitted on the executors on a bounded sample of the leaf's rows, so leaves grow in number with the
 data until the two bounds are used up (``SAMPLE`` and ``SPLIT_SAMPLE`` over ``LEAF_SAMPLE``: some
-20,000 leaves; the tree that is broadcast is bounded by them).  Every row is put in a leaf.  A query walks
+50,000 leaves; the tree that is broadcast is bounded by them).  Every row is put in a leaf.  A query walks
 the tree best bin first: a priority queue of nodes by the distance of their centres gives
 its leaves in order of promise.  How many leaves it visits is widened until the recall of held-out
 queries, against brute force over the whole table, reaches the target.
