@@ -68,7 +68,7 @@ class TextIndex:
 
     def _commit(self, state: dict) -> None:
         self.state = state
-        totals = self.documents().agg(F.count(F.lit(1)), F.sum("length"), F.count_if(F.col("title_length") > 0), F.sum("title_length")).first()
+        totals = self.documents().agg(F.count_if(F.col("length") > 0), F.sum("length"), F.count_if(F.col("title_length") > 0), F.sum("title_length")).first()
         state.update(zip(("docs", "length", "titled", "title_length"), (int(x or 0) for x in totals), strict=True))
         write_pointer(self.spark, f"{self.path}/current", state)
 

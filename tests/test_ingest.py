@@ -245,6 +245,18 @@ def test_text_index_upserts_merges_and_knows_its_offset(spark, tmp_path, monkeyp
         TextIndex(spark, f"file://{tmp_path}/t")
 
 
+def test_stored_and_unstored_scores_are_the_same(spark, tmp_path):
+    """Papers without any word count for neither."""
+    rows = [(i, f"title {'graph ' * (i % 3)}of {i}", f"{'graph theory ' * (i % 4)}and {'more ' * i}", i, 2000 + i) for i in range(1, 30)] + [(40 + i, "", "the of and", 0, 0) for i in range(5)]
+    p = spark.createDataFrame(rows, "id long, title string, abstract string, cited long, year int")
+    index = TextIndex(spark, f"file://{tmp_path}/t", columns=("title", "abstract"))
+    index.sync(p, 1)
+    for q in ("graph", "graph theory", "graph nowhere"):
+        want = sorted(tuple(r) for r in fts.search(p, fts.postings(p), q).collect())
+        got = sorted(tuple(r) for r in index.search(p, q).collect())
+        assert want and [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+
+
 def test_results_are_held_for_a_while():
     now, made = [0.0], []
     cache = fts.TtlCache(300, 2, lambda: now[0])
