@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.llm import ann, bytebpe, jaccard, langid, licenses, linededup, packing, quality, suffix, tokenfiles
+from driftline.llm import ann, bytebpe, decontaminate, jaccard, langid, licenses, linededup, packing, quality, resampling, suffix, tokenfiles, whitening
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.tiktoken"
@@ -60,7 +60,24 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.write_and_read(_documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_line_dedup, op3_ngram_jaccard, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_quality_rules, op8_packing, op9_language_id, op10_token_files)}
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.decontaminate(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), with_text=False)
+    names = F.sha2(F.array_join("items", ","), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), names.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    each = white.select("vec_id", "n", F.col("deviation").cast("long").alias("deviation"), "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get("explained", F.col("at")).alias("explained"), "identity_error")
+
+
+QUERIES = {f.__name__: f for f in (op1_nearest_neighbours, op2_line_dedup, op3_ngram_jaccard, op4_license_scan, op5_suffix_dedup, op6_byte_bpe, op7_quality_rules, op8_packing, op9_language_id, op10_token_files, op11_decontaminate, op12_importance_resampling, op13_embedding_whitening)}
 
 #: Expressions shared by the statements below.
 _LINES = "string_split(coalesce(text, ''), chr(10))"
@@ -86,6 +103,12 @@ _KNOWN = ", ".join(f"({_quoted(name)}, {_quoted(text)})" for name, text in licen
 _DIGESTS = ", ".join(f"('{name}', '{digest}')" for name, digest, _ in licenses.DIGESTS)
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+
+def _plain_words(x: str) -> str:
+    """Runs of letters, digits and all beyond ASCII, A-Z lower-cased."""
+    return rf"regexp_extract_all(translate(coalesce({x}, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
 ORACLE_SQL = {
     "op2_line_dedup": f"""
 WITH l AS (
@@ -140,4 +163,51 @@ WITH d AS (
   SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_words - n_frequent_words < {quality.LEFT_SHARE}::DOUBLE * n_words AS depleted FROM a
 )
 SELECT *, NOT base_failed AND NOT depleted AS kept FROM b""",
+    "op11_decontaminate": f"""
+WITH i AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, w, least({decontaminate.WINDOW}, len(w)) AS m FROM (SELECT item_id, {_plain_words('text')} AS w FROM benchmark) WHERE len(w) > 0
+), windows AS (
+  SELECT DISTINCT item_id, m, list_slice(w, p, p + m - 1) AS g FROM (SELECT *, unnest(generate_series(1, len(w) - m + 1)) AS p FROM i)
+), d AS (
+  SELECT doc_id, {_plain_words('text')} AS w FROM documents
+), grams AS (
+  SELECT doc_id, p, m, list_slice(w, p, p + m - 1) AS g FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS p FROM d, (SELECT DISTINCT m FROM windows))
+), met AS (
+  SELECT doc_id, p, x.m, item_id FROM grams x JOIN windows y ON x.m = y.m AND x.g = y.g
+), hit AS (
+  SELECT doc_id, count(DISTINCT h) AS n_hit FROM (SELECT doc_id, unnest(generate_series(p, p + m - 1)) AS h FROM (SELECT DISTINCT doc_id, p, m FROM met)) GROUP BY doc_id
+), named AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM (SELECT DISTINCT doc_id, item_id FROM met) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN named ON d.doc_id = named.doc_id""",
+    "op12_importance_resampling": f"""
+WITH crc AS (
+  SELECT list(list_reduce(list_prepend(b, generate_series(1, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t FROM (SELECT unnest(generate_series(0, 255)) AS b)
+), d AS (
+  SELECT doc_id, {_plain_words('text')} AS w FROM documents
+), grams AS (
+  SELECT doc_id, gram FROM (SELECT doc_id, unnest(list_transform(generate_series(1, len(w) - k), lambda p: array_to_string(list_slice(w, p, p + k), ' '))) AS gram FROM d, (VALUES (0), (1), (2)) s(k) WHERE len(w) > k)
+), target AS (
+  SELECT unnest(list_transform(generate_series(1, len(w) - k), lambda p: array_to_string(list_slice(w, p, p + k), ' '))) AS gram FROM (SELECT {_plain_words('text')} AS w FROM benchmark), (VALUES (0), (1), (2)) s(k) WHERE len(w) > k
+), bytes AS (
+  SELECT gram, list_transform(generate_series(1, strlen(gram)), lambda p: CAST(16 * (instr('0123456789ABCDEF', substr(hex(gram), 2 * p - 1, 1)) - 1) + instr('0123456789ABCDEF', substr(hex(gram), 2 * p, 1)) - 1 AS BIGINT)) AS b FROM (SELECT gram FROM grams UNION SELECT gram FROM target)
+), buckets AS (
+  SELECT gram, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) % {resampling.BUCKETS} AS bucket FROM bytes, crc
+), s AS (
+  SELECT bucket, count(*) AS s FROM grams NATURAL JOIN buckets GROUP BY bucket
+), t AS (
+  SELECT bucket, count(*) AS t FROM target NATURAL JOIN buckets GROUP BY bucket
+), gains AS (
+  SELECT s.bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM grams) + {resampling.BUCKETS})::DOUBLE / ((s + 1)::DOUBLE * ((SELECT count(*) FROM target) + {resampling.BUCKETS})::DOUBLE))) AS BIGINT) AS gain FROM s LEFT JOIN t ON s.bucket = t.bucket
+), weights AS (
+  SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM grams NATURAL JOIN buckets NATURAL JOIN gains GROUP BY doc_id
+), scored AS (
+  SELECT d.doc_id, len(w) AS n, CAST(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) AS BIGINT) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{resampling.SEED}:' || CAST(d.doc_id AS VARCHAR)), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM d LEFT JOIN weights ON d.doc_id = weights.doc_id
+), ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM scored WHERE n >= {resampling.MIN_WORDS}
+)
+SELECT s.doc_id, n_features, weight, score, CASE WHEN rank <= {resampling.PERCENT} * total // 100 THEN rank END AS rank FROM scored s LEFT JOIN ranks r ON s.doc_id = r.doc_id""",
 }

@@ -99,12 +99,12 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         i = j
 
 
-def words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, first) of the words ``[^\\x20\\x09-\\x0D]+``; first[r] is the index of row r's first word."""
+def words(buf: np.ndarray, offsets: np.ndarray, separates: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, first) of the words, ``[^\\x20\\x09-\\x0D]+`` unless other bytes separate; first[r] is the index of row r's first word."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    solid = ~WHITE[buf]
+    solid = ~separates[buf]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins = solid.copy()
