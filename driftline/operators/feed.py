@@ -1,6 +1,8 @@
-"""Feeds: softmax sampling of candidates, exploration, random picks.
+"""Feeds: softmax sampling of candidates, exploration, random picks, for one user or a batch of them.
 
-Random numbers are hashes of (seed, id), so a feed is reproducible and any engine can repeat it.
+Random numbers are hashes of (seed, id), so a feed is reproducible and any engine can repeat it.  One
+user's random rows come in the order of their hashes.  For a batch the rows are laid out once in that order,
+as on a ring; each user starts at a place of their own and walks on, past what they have seen.
 """
 
 from __future__ import annotations
@@ -9,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import unit_hash
-from driftline.operators.filters import Filter, count_matching
+from driftline.operators.filters import Filter, count_matching, newest_pairs
+from driftline.operators.order import ranked
 from driftline.sources.shared import stored
 
 CANDIDATES, TEMPERATURE, EXPLORE = 100, 0.05, 0.15
@@ -65,6 +68,49 @@ def next_feed(hits: DataFrame, index: DataFrame, k: int, seed: str, f: Filter |
     return mixed.unionByName(top_up)
 
 
-def top_feed(hits: DataFrame, k: int) -> DataFrame:
-    """The k nearest, best first; filters play no part."""
-    return hits.where(F.col("rank") <= k)
+def ring(index: DataFrame, seed: str, f: Filter | None = None, id: str = "id") -> DataFrame:
+    """(id, place): the rows that match, from 0 in the order of their hashes."""
+    rows = (f.apply(index) if f else index).select(F.col(id).alias("id")).withColumn("_u", unit_hash(F.col("id"), F.lit(seed)))
+    return ranked(rows, [F.asc("_u"), F.asc("id")], "place").select("id", (F.col("place") - 1).alias("place"))
+
+
+def walks(places: DataFrame, users: DataFrame, want: int, seed: str, skip: DataFrame | None = None) -> DataFrame:
+    """(query_id, turn, id): for each user ``want`` rows of a ring, on from their own place, without those in ``skip`` (query_id, id).
+
+    All that is free on the ring, if that is less.  Only the places that a user skips and the rows that they get are
+    looked up; with the skipped ones in order on the walk, the j-th free place is the j-th after as many
+    of them as lie before it.
+    """
+    n = places.count()
+    offset = F.floor(unit_hash(F.col("query_id"), F.lit(seed), F.lit("at")) * n)
+    asked = users.select("query_id").distinct().withColumn("offset", offset)
+    if skip is not None:
+        met = skip.select("query_id", "id").distinct().join(places, "id").join(asked, "query_id")
+        away = F.pmod(F.col("place") - F.col("offset"), F.lit(max(n, 1)))
+        asked = asked.join(met.groupBy("query_id").agg(F.array_sort(F.collect_list(away)).alias("taken")), "query_id", "left")
+    taken = F.coalesce("taken", F.array().cast("array<bigint>")) if skip is not None else F.array().cast("array<bigint>")
+    free = F.least(F.lit(want).cast("long"), F.lit(n).cast("long") - F.size("taken"))
+    asked = asked.select("query_id", "offset", taken.alias("taken")).withColumn("free", free).where("free > 0")
+    steps = F.transform(F.sequence(F.lit(0).cast("long"), F.col("free") - 1), lambda j: j + F.size(F.filter("taken", lambda x, i: x - i <= j)))
+    walked = asked.select("query_id", "offset", F.posexplode(steps).alias("at", "step"))
+    return walked.withColumn("place", F.pmod(F.col("offset") + F.col("step"), F.lit(max(n, 1)))).join(places, "place").select("query_id", (F.col("at") + 1).alias("turn"), "id")
+
+
+def next_feeds(hits: DataFrame, places: DataFrame, users: DataFrame, k: int, seed: str, seen: DataFrame | None = None, explore: float = EXPLORE) -> DataFrame:
+    """(query_id, slot, id, score, reason): ``next_feed`` for a batch of users; ``places`` is the ``ring`` of the rows that match.
+
+    ``hits`` are candidates (query_id, id, score), ``users`` has every query_id, with or without hits, and ``seen`` what each has
+    seen (query_id, id, and ts: then the newest).  Rows that replace or top up are neither seen nor picked.
+    """
+    picked = sample(hits, k, seed).withColumn("swap", unit_hash(F.lit(seed), F.col("query_id"), F.lit("x"), F.col("slot")) < explore)
+    so_far = Window.partitionBy("query_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    slots = stored(picked.withColumn("turn", F.when(F.col("swap"), F.sum(F.col("swap").cast("int")).over(so_far))), "slots")  # k rows a user
+    skip = slots.select("query_id", "id")
+    if seen is not None:
+        skip = skip.unionByName(newest_pairs(seen))
+    others = stored(walks(places, users, k, seed, skip).withColumnRenamed("id", "other"), "walks")
+    mixed = slots.join(others, ["query_id", "turn"], "left").select("query_id", "slot", F.coalesce("other", "id").alias("id"), F.when(F.col("other").isNull(), F.col("score")).alias("score"), F.when(F.col("other").isNull(), "for-you").otherwise("explore").alias("reason"))
+    used = slots.groupBy("query_id").agg(F.count_if("swap").alias("used"), F.count(F.lit(1)).alias("have"))
+    more = others.join(used, "query_id", "left").na.fill(0, ["used", "have"]).where((F.col("turn") > F.col("used")) & (F.col("turn") <= F.col("used") + k - F.col("have")))
+    top_up = more.select("query_id", (F.col("have") + F.col("turn") - F.col("used")).cast("int").alias("slot"), F.col("other").alias("id"), F.lit(None).cast("double").alias("score"), F.lit("random").alias("reason"))
+    return mixed.unionByName(top_up)

@@ -88,17 +88,26 @@ def convert(works: DataFrame, topics: DataFrame, subfields: DataFrame, requested
 def new_papers(batch: DataFrame, existing: DataFrame | None = None, id: str = "id", title: str = "title", order: str = "seq") -> DataFrame:
     """Rows of a batch whose id and title key are new, the first of each in order of arrival.
 
-    A row turned away by its id leaves its title free.
+    A row turned away by its id leaves its title free.  Of rows that agree in id and order one stays.
     """
-    rows = batch.withColumn("_key", X.title_key(F.col(title)))
+    known = None
     if existing is not None:
-        rows = rows.join(existing.select(id).distinct(), id, "left_anti")
-        rows = rows.join(existing.select(X.title_key(F.col(title)).alias("_key")).distinct(), "_key", "left_anti")
-    whole = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
-    for key in (id, "_key"):
-        # an aggregate, so that a key of very many rows (titles without a-z share one) is settled before the shuffle
-        rows = rows.groupBy(key).agg(F.min_by(whole, F.struct(order, id)).alias("_row")).select("_row.*")
-    return rows.drop("_key")
+        known = existing.select(F.col(id)), existing.select(X.title_key(F.col(title)).alias("_key"))
+    return first_of_each(batch.withColumn("_key", X.title_key(F.col(title))), ["_key"], known, id, order).drop("_key")
+
+
+def first_of_each(batch: DataFrame, key: list[str], known: tuple[DataFrame, DataFrame] | None = None, id: str = "id", order: str = "seq") -> DataFrame:
+    """Rows of a batch whose id, and whose key then, is neither in ``known`` (ids, keys) nor in a row before it by (order, id).
+
+    Winners are found on ids, keys and order alone, in aggregates, so that a key of very many rows is settled
+    before the shuffle; whole rows are read once, for those that win.
+    """
+    slim = batch.select(id, *key, order)
+    if known is not None:
+        slim = slim.join(known[0].select(id).distinct(), id, "left_anti").join(known[1].select(*key).distinct(), key, "left_anti")
+    first = slim.groupBy(id).agg(F.min_by(F.struct(*key), F.col(order)).alias("_k"), F.min(order).alias(order)).select(id, "_k.*", order)
+    won = first.groupBy(*key).agg(F.min(F.struct(order, id)).alias("_w")).select(F.col(f"_w.{id}").alias("_id"), F.col(f"_w.{order}").alias("_order"))
+    return batch.join(won, F.col(id).eqNullSafe(F.col("_id")) & F.col(order).eqNullSafe(F.col("_order")), "left_semi").dropDuplicates([id, order])
 
 
 def pending(log: DataFrame, existing: DataFrame, tried: DataFrame | None = None, now: Column | None = None, limit: int | None = 200, retry_days: int = 7, id: str = "id") -> DataFrame:

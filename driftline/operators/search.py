@@ -2,9 +2,10 @@
 
 Scores are the quantised inner product times both scales (about the cosine, as vectors are
 normalised); order is score descending, then row ascending.  A search is a plan over rows of
-the index and rows of queries: a checked number of queries is broadcast and scored in
-numpy blocks, and each task passes on a top-k; more queries than that are cut in chunks,
-each a scan, or, where they probe clusters, meet the index's rows by cluster.
+the index and rows of queries: a checked number of queries, with their filters and the ids they
+leave out, is broadcast and scored in numpy blocks, and each task passes on a top-k; more queries
+than that meet the index's rows in blocks of both.  Filters and exclusions are tested while a block
+is scored, so a task never passes on more than k rows a query.
 """
 
 from __future__ import annotations
@@ -19,16 +20,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.functions import vectors as V
-from driftline.operators.filters import Filter
+from driftline.operators.filters import ATTRIBUTES, Filter, bitmaps, filter_of, filter_rows, newest_pairs
 from driftline.sources.shared import stored
 
-#: Queries scored in one scan; their vectors are broadcast (QUERY_CHUNK * dimension bytes).
+#: Queries scored in one scan; their vectors are broadcast (QUERY_CHUNK * dimension bytes), and so are the ids they leave out (16 bytes each).
 QUERY_CHUNK = 4096
+PAIR_CHUNK = 4096 * 1024
 #: Below so many rows an index has no clusters; bounds of their number.
 FLAT_BELOW, LEAST_LISTS, MOST_LISTS = 200_000, 256, 65_536
 NPROBE = 48
 #: Numbers in a block of scores, and rows of a cluster in a block.
 BLOCK_CELLS, BLOCK_ROWS = 1 << 21, 8192
+#: Rows and queries of a block of an exact search of many queries; a row travels once for each block of queries.
+EXACT_ROWS = 65_536
 
 
 def auto_nlist(n: int) -> int:
@@ -74,14 +78,18 @@ def build_index(papers: DataFrame, centroids: DataFrame | None = None, id: str =
 
 def centroid_table(centroids: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, one row each): centroids (at most MOST_LISTS, by ``auto_nlist``) as a matrix."""
-    rows = centroids.orderBy("cluster").limit(MOST_LISTS + 1).collect()
-    if len(rows) > MOST_LISTS:
+    t = centroids.select(F.col("cluster").cast("int"), F.col("c").cast("array<double>")).orderBy("cluster").limit(MOST_LISTS + 1).toArrow()
+    if len(t) > MOST_LISTS:
         raise ValueError("too many clusters")
-    return np.array([r["cluster"] for r in rows], np.int32), np.array([r["c"] for r in rows], float)
+    return t.column(0).to_numpy(), matrix_of(t.column(1).combine_chunks())
 
 
 def matrix_of(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), float).reshape(len(column), -1)
+    return np.asarray(column.flatten(), float).reshape(len(column), -1 if len(column) else 0)
+
+
+def _rows_of(x: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32)), pa.array(x.ravel()))
 
 
 def nearest(x: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -124,16 +132,15 @@ def kmeans(df: DataFrame, k: int, vector: str = "u", rounds: int = 10, sample: i
     rows = df.select(h.alias("h"), F.col(id).alias("id"), F.col(vector).cast("array<double>").alias("v"))
     rows = stored(rows.where(F.col("h") < (1 << 30) * min(1.0, sample / max(1, n))), "sample")
     spare = k // 8 + 16
-    first = rows.orderBy("h", "id").limit(k + spare).collect()
-    if not first:
+    x = matrix_of(rows.orderBy("h", "id").limit(k + spare).select("v").toArrow().column(0).combine_chunks())
+    if not len(x):
         return spark.createDataFrame([], "cluster int, c array<double>")
-    x = np.array([r["v"] for r in first], float)
     k = min(k, len(x))
     c, spares = x[:k].copy(), x[k:]
 
     def add(t: pa.Table) -> pa.Table:
         total = matrix_of(t.column("s").combine_chunks()).sum(0)
-        return pa.table({"cluster": t.column("cluster").slice(0, 1), "s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+        return pa.table({"cluster": t.column("cluster").slice(0, 1), "s": _rows_of(total[None])})
 
     for turn in range(rounds):
         shared = spark.sparkContext.broadcast(c)
@@ -150,20 +157,19 @@ def kmeans(df: DataFrame, k: int, vector: str = "u", rounds: int = 10, sample: i
                 for cluster, s in zip(which.tolist(), np.add.reduceat(v[order], at), strict=True):
                     total[cluster] = total[cluster] + s if cluster in total else s
             if total:
-                flat = np.concatenate(list(total.values()))
-                ends = np.arange(0, len(flat) + 1, len(flat) // len(total), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["cluster", "s"])
+                yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), _rows_of(np.stack(list(total.values())))], ["cluster", "s"])
 
         total = np.zeros_like(c)
-        for r in rows.select("v").mapInArrow(sums, "cluster int, s array<double>").groupBy("cluster").applyInArrow(add, "cluster int, s array<double>").collect():
-            total[r["cluster"]] = r["s"]
+        got = rows.select("v").mapInArrow(sums, "cluster int, s array<double>").groupBy("cluster").applyInArrow(add, "cluster int, s array<double>").toArrow()
+        if len(got):
+            total[got.column("cluster").to_numpy()] = matrix_of(got.column("s").combine_chunks())
         size = np.linalg.norm(total, axis=1)
         empty = np.flatnonzero(size == 0)
         if len(empty) and len(spares):
             total[empty] = spares[(np.arange(len(empty)) + turn) % len(spares)]
         size = np.linalg.norm(total, axis=1)
         c = np.where(size[:, None] > 0, total / np.maximum(size, 1e-12)[:, None], c)
-    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster int, c array<double>")
+    return spark.createDataFrame(pa.table({"cluster": pa.array(np.arange(len(c), dtype=np.int32)), "c": _rows_of(c)}), "cluster int, c array<double>")
 
 
 def merged_top(parts: list[tuple[np.ndarray, ...]], want: np.ndarray) -> list[tuple[np.ndarray, ...]]:
@@ -179,20 +185,24 @@ def merged_top(parts: list[tuple[np.ndarray, ...]], want: np.ndarray) -> list[tu
     return [(who[keep], ids[keep], rows[keep], dots[keep], s[keep])]
 
 
-def _block_top(q: np.ndarray, rows: np.ndarray, k: np.ndarray, x: np.ndarray, scale: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each query the best k of a block: (query, places, integer products, scores)."""
+def _block_top(q: np.ndarray, rows: np.ndarray, k: np.ndarray, x: np.ndarray, scale: np.ndarray, allowed: np.ndarray | None = None, out: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each query the best k of a block: (query, places, integer products, scores).
+
+    ``allowed`` says which rows a query may have, and ``out`` has (query, place) pairs that it may not.
+    """
     dots = q @ x.T  # integers below 2**53, so exact in doubles
     score = dots * scale
+    if allowed is not None:
+        score[~allowed] = -np.inf
+    if out is not None:
+        score[out] = -np.inf
     for i in range(len(q)):
         want = min(int(k[i]), len(rows))
         if want <= 0:
             continue
         s = score[i]
-        if want < len(s):
-            least = np.partition(s, len(s) - want)[len(s) - want]
-            some = np.flatnonzero(s >= least)
-        else:
-            some = np.arange(len(s))
+        least = np.partition(s, len(s) - want)[len(s) - want] if want < len(s) else -np.inf
+        some = np.flatnonzero(s >= least if least > -np.inf else s > -np.inf)
         some = some[np.lexsort((rows[some], -s[some]))][:want]
         yield i, some, dots[i, some].astype(np.int64), s[some]
 
@@ -200,39 +210,56 @@ def _block_top(q: np.ndarray, rows: np.ndarray, k: np.ndarray, x: np.ndarray, sc
 HITS = "query_id long, id long, row long, dot long, partial double"
 
 
-def _by_scan(points: DataFrame, part: DataFrame, probes: DataFrame | None) -> DataFrame:
-    """HITS of a chunk of queries, which are broadcast: each task scores its rows in blocks and passes on a top-k."""
+def _by_scan(points: DataFrame, asked: DataFrame, probes: DataFrame | None, banned: DataFrame | None) -> DataFrame:
+    """HITS of a chunk of queries, which are broadcast: each task scores its rows in blocks and passes on a top-k.
+
+    Filters are numbered; a batch of rows gets a bitmap for each distinct one.  Excluded (id, query) pairs
+    are sorted by id, so a batch looks its own ids up.
+    """
     spark = points.sparkSession
-    got = part.orderBy("query_id").collect()  # a chunk of queries, about
+    got = asked.orderBy("query_id").toArrow()  # a chunk of queries, about
+    names = got.column("query_id").to_numpy()
     allowed = None
     if probes is not None:
         by_cluster: dict[int, list[int]] = {}
-        at = {r["query_id"]: i for i, r in enumerate(got)}
+        at = {query: i for i, query in enumerate(names.tolist())}
         for query, cluster in probes.select("query_id", "cluster").collect():  # nprobe for each query of the one chunk
             if query in at:
                 by_cluster.setdefault(cluster, []).append(at[query])
         allowed = {c: np.array(v) for c, v in by_cluster.items()}
         if len(by_cluster) <= 4096:  # clusters that nobody probes are not read
             points = points.where(F.col("cluster").isin(*sorted(by_cluster)))
-    sent = spark.sparkContext.broadcast((np.array([r["query_id"] for r in got], np.int64), np.array([r["q"] for r in got], float).reshape(len(got), -1), np.array([r["want"] for r in got], np.int64), allowed))
+    filters, which_filter = _numbered_filters(got.column("filter").to_pylist()) if "filter" in got.column_names else ([], None)
+    out_ids, out_query = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if banned is not None:  # PAIR_CHUNK pairs at most
+        pairs = banned.select("query_id", "id").orderBy("id").toArrow()
+        out_ids, out_query = pairs.column("id").to_numpy(), np.searchsorted(names, pairs.column("query_id").to_numpy())
+    sent = spark.sparkContext.broadcast((names, matrix_of(got.column("q").combine_chunks()), got.column("k").to_numpy(), allowed, filters, which_filter, out_ids, out_query))
 
     def score(batches: Iterator[pa.RecordBatch]):
-        names, q, want, allowed = sent.value
+        names, q, want, allowed, filters, which_filter, out_ids, out_query = sent.value
         best: list[tuple[np.ndarray, ...]] = []
         for b in batches:
             if not b.num_rows or not len(names):
                 continue
             ids, rows, scale = (np.asarray(b.column(c)) for c in ("id", "row", "scale"))
             x = matrix_of(b.column("q"))
+            masks = bitmaps(filters, b) if which_filter is not None else None
+            low, high = np.searchsorted(out_ids, ids, "left"), np.searchsorted(out_ids, ids, "right")
+            many = high - low
+            out_row = np.repeat(np.arange(len(ids)), many)
+            out_who = out_query[np.repeat(low - np.cumsum(many) + many, many) + np.arange(many.sum())]
             jobs = [(np.arange(len(names)), np.arange(len(rows)))]
             if allowed is not None:
                 cluster = np.asarray(b.column("cluster"))
                 jobs = [(allowed[c], np.flatnonzero(cluster == c)) for c in np.unique(cluster).tolist() if c in allowed]
             for who, which in jobs:
                 step = max(1, BLOCK_CELLS // len(which))
-                for low in range(0, len(who), step):
-                    some = who[low : low + step]
-                    best += [(np.full(len(at), some[i]), ids[which[at]], rows[which[at]], dots, s) for i, at, dots, s in _block_top(q[some], rows[which], want[some], x[which], scale[which])]
+                for at in range(0, len(who), step):
+                    some = who[at : at + step]
+                    may = masks[which_filter[some]][:, which] if masks is not None else None
+                    out = _within(some, which, out_who, out_row, len(names), len(ids)) if len(out_row) else None
+                    best += [(np.full(len(found), some[i]), ids[which[found]], rows[which[found]], dots, s) for i, found, dots, s in _block_top(q[some], rows[which], want[some], x[which], scale[which], may, out)]
             if sum(len(p[0]) for p in best) > 4 * max(1, int(want.sum())):
                 best = merged_top(best, want)
         for who, *rest in merged_top(best, want):
@@ -241,16 +268,44 @@ def _by_scan(points: DataFrame, part: DataFrame, probes: DataFrame | None) -> Da
     return points.mapInArrow(score, HITS)
 
 
-def _by_cluster(points: DataFrame, asked: DataFrame, probes: DataFrame) -> DataFrame:
-    """HITS of any number of queries: rows and queries meet by cluster, large ones in blocks of rows and of queries."""
+def _numbered_filters(rows: list[dict | None]) -> tuple[list[Filter], np.ndarray]:
+    """The distinct filters, and the number of each row's, -1 without one: it is the last of the bitmaps, which has all rows."""
+    numbers: dict[Filter, int] = {}
+    which = [-1 if (f := filter_of(r)).empty else numbers.setdefault(f, len(numbers)) for r in rows]
+    return list(numbers), np.array(which, np.int64)
+
+
+def _within(some: np.ndarray, which: np.ndarray, who: np.ndarray, row: np.ndarray, queries: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The (query, row) pairs that are in a block of some queries and some rows, by their places there."""
+    at_query, at_row = np.full(queries, -1), np.full(rows, -1)
+    at_query[some], at_row[which] = np.arange(len(some)), np.arange(len(which))
+    a, b = at_query[who], at_row[row]
+    inside = (a >= 0) & (b >= 0)
+    return a[inside], b[inside]
+
+
+def _by_block(points: DataFrame, asked: DataFrame, probes: DataFrame | None, banned: DataFrame | None) -> DataFrame:
+    """HITS of any number of queries: rows and queries meet by cluster, large ones in blocks of rows and of queries.
+
+    Without probes all rows are one cluster.  An excluded id travels only to the block that has its row.
+    """
     spark = points.sparkSession
-    walked = asked.join(probes.select("query_id", "cluster"), "query_id")
-    block = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias(name))
+    size = BLOCK_ROWS if probes is not None else EXACT_ROWS
+    if probes is None:
+        points, walked = points.withColumn("cluster", F.lit(0)), asked.withColumn("cluster", F.lit(0))
+    else:
+        walked = asked.join(probes.select("query_id", "cluster"), "query_id")
+    block = lambda df, name: df.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
     parts = block(points, "row_parts").join(block(walked, "ask_parts"), "cluster")
     parts = F.broadcast(spark.createDataFrame(parts.collect(), "cluster int, row_parts int, ask_parts int"))  # a row for each cluster
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    left = points.join(parts, "cluster").select("cluster", "id", "row", "scale", "q", F.pmod(F.xxhash64("id"), "row_parts").cast("int").alias("row_part"), every("ask_parts").alias("ask_part"))
-    right = walked.join(parts, "cluster").select("cluster", "query_id", F.col("q").alias("asked"), "want", F.pmod(F.xxhash64("query_id"), "ask_parts").cast("int").alias("ask_part"), every("row_parts").alias("row_part"))
+    placed = points.join(parts, "cluster").withColumn("row_part", F.pmod(F.xxhash64("id"), "row_parts").cast("int"))
+    left = placed.select(*points.columns, "row_part", every("ask_parts").alias("ask_part"))
+    filtered = "filter" in asked.columns
+    right = walked.join(parts, "cluster").select("cluster", "query_id", F.col("q").alias("asked"), "k", *(["filter"] if filtered else []), F.pmod(F.xxhash64("query_id"), "ask_parts").cast("int").alias("ask_part"), every("row_parts").alias("row_part"))
+    if banned is not None:
+        own = banned.join(placed.select("id", "cluster", "row_part"), "id").groupBy("query_id", "cluster", "row_part").agg(F.collect_list("id").alias("out"))
+        right = right.join(own, ["query_id", "cluster", "row_part"], "left")
     group = ("cluster", "row_part", "ask_part")
 
     def score(a: pa.Table, b: pa.Table) -> pa.Table:
@@ -260,47 +315,52 @@ def _by_cluster(points: DataFrame, asked: DataFrame, probes: DataFrame) -> DataF
         if len(a) and len(b):
             ids, rows, scale = (a.column(c).to_numpy() for c in ("id", "row", "scale"))
             x, q = matrix_of(a.column("q").combine_chunks()), matrix_of(b.column("asked").combine_chunks())
-            who, want = b.column("query_id").to_numpy(), b.column("want").to_numpy()
+            who, want = b.column("query_id").to_numpy(), b.column("k").to_numpy()
+            masks = None
+            if filtered:
+                filters, which_filter = _numbered_filters(b.column("filter").to_pylist())
+                masks = bitmaps(filters, a)
+            out_who = out_row = np.zeros(0, np.int64)
+            if "out" in b.column_names:
+                lists = b.column("out").combine_chunks()
+                many = np.asarray(lists.value_lengths().fill_null(0))
+                order = np.argsort(ids)
+                out_who, out_row = np.repeat(np.arange(len(b)), many), order[np.searchsorted(ids, np.asarray(lists.flatten()), sorter=order)]
             step = max(1, BLOCK_CELLS // len(x))
             for low in range(0, len(who), step):
-                best += [(np.full(len(at), who[low + i]), ids[at], rows[at], dots, s) for i, at, dots, s in _block_top(q[low : low + step], rows, want[low : low + step], x, scale)]
+                part = slice(low, low + step)
+                may = masks[which_filter[part]] if masks is not None else None
+                inside = (out_who >= low) & (out_who < low + step)
+                out = (out_who[inside] - low, out_row[inside]) if inside.any() else None
+                best += [(np.full(len(at), who[low + i]), ids[at], rows[at], dots, s) for i, at, dots, s in _block_top(q[part], rows, want[part], x, scale, may, out)]
         columns = [np.concatenate(c) for c in zip(*best, strict=True)] if best else [[]] * 5
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     return left.groupBy(*group).cogroup(right.groupBy(*group)).applyInArrow(score, HITS)
 
 
-def exact_topk(index: DataFrame, queries: DataFrame, k: int = 100, f: Filter | None = None, exclude: DataFrame | None = None, id: str = "id", probes: DataFrame | None = None) -> DataFrame:
+def exact_topk(index: DataFrame, queries: DataFrame, k: int = 100, f: Filter | None = None, exclude: DataFrame | None = None, id: str = "id", probes: DataFrame | None = None, filters: DataFrame | None = None) -> DataFrame:
     """(query_id, rank, id, row, dot, score): the k best rows of the index for each query.
 
     ``queries`` has query_id, q and scale; an optional column k overrides ``k``.  ``exclude`` has
-    (query_id, id) pairs left out: each query takes as many candidates more as it excludes,
-    so the anti-join after the scan leaves it whole.  ``probes`` has (query_id, cluster) pairs to
-    which the scan is confined.  k = 0 gives nothing.
+    (query_id, id) pairs left out; with a column ts only the newest of each query count (see
+    filters.newest_pairs).  ``filters`` has a filter for some queries (see filters.filter_rows), ``f`` is one for
+    all of them.  ``probes`` has (query_id, cluster) pairs to which the scan is confined.  All are tested while
+    rows are scored, in one scan.  k = 0 gives nothing.
     """
-    spark = index.sparkSession
-    points = (f.apply(index) if f else index).select(F.col(id).cast("long").alias("id"), F.col("row").cast("long").alias("row"), "scale", "q", *(["cluster"] if probes is not None else []))
+    points = (f.apply(index) if f else index).select(F.col(id).cast("long").alias("id"), F.col("row").cast("long").alias("row"), "scale", "q", *(["cluster"] if probes is not None else []), *(c for c in ATTRIBUTES if filters is not None and c in index.columns))
     asked = queries.select("query_id", "q", "scale", (F.col("k") if "k" in queries.columns else F.lit(k)).cast("int").alias("k"))
+    if filters is not None:
+        asked = asked.join(filter_rows(filters), "query_id", "left")
+    banned = None
     if exclude is not None:
-        banned = exclude.select("query_id", F.col("id").cast("long").alias("id")).distinct()
-        more = banned.groupBy("query_id").agg(F.count(F.lit(1)).cast("int").alias("more"))
-        asked = asked.join(more, "query_id", "left").withColumn("want", F.col("k") + F.coalesce("more", F.lit(0)))
-    else:
-        asked = asked.withColumn("want", F.col("k"))
+        banned = newest_pairs(exclude).select("query_id", F.col("id").cast("long").alias("id")).distinct().join(asked.select("query_id"), "query_id", "left_semi")
     total = asked.count()
-    if probes is not None and total > QUERY_CHUNK:
-        found = _by_cluster(points, asked, probes)
-    else:
-        found = None
-        chunks = max(1, -(-total // QUERY_CHUNK))
-        for chunk in range(chunks):
-            part = asked if chunks == 1 else asked.where(F.pmod(F.xxhash64("query_id"), F.lit(chunks)) == chunk)
-            one = _by_scan(points, part, probes)
-            found = one if found is None else found.unionAll(one)
-    scored = found.join(F.broadcast(asked.select("query_id", F.col("scale").alias("q_scale"), "k")) if total <= QUERY_CHUNK else asked.select("query_id", F.col("scale").alias("q_scale"), "k"), "query_id")
-    if exclude is not None:
-        scored = scored.join(banned, ["query_id", "id"], "left_anti")
+    few = total <= QUERY_CHUNK and (banned is None or banned.count() <= PAIR_CHUNK)
+    found = (_by_scan if few else _by_block)(points, asked, probes, banned)
+    scales = asked.select("query_id", F.col("scale").alias("q_scale"), "k")
     best = Window.partitionBy("query_id").orderBy(F.desc("partial"), "row")
+    scored = found.join(F.broadcast(scales) if total <= QUERY_CHUNK else scales, "query_id")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("k")).select("query_id", "rank", F.col("id").alias(id), "row", "dot", (F.col("partial") * F.col("q_scale")).alias("score"))
 
 
@@ -312,23 +372,32 @@ def rank_clusters(queries: DataFrame, centroids: DataFrame, vector: str = "u", m
     def run(batches: Iterator[pa.RecordBatch]):
         numbers, table = shared.value
         many = len(numbers) if most is None else min(most, len(numbers))
-        step = max(1, BLOCK_CELLS // max(1, len(numbers)))
         for b in batches:
-            x = matrix_of(b.column(1))
-            for low in range(0, b.num_rows if many else 0, step):
-                near = np.round(x[low : low + step] @ table.T, 12)
-                if many < len(numbers):  # all that tie with the last one that counts
-                    least = -np.partition(-near, many - 1, axis=1)[:, many - 1]
-                    found = [(i, np.flatnonzero(row >= least[i])) for i, row in enumerate(near)]
-                else:
-                    found = [(i, np.arange(len(numbers))) for i in range(len(near))]
-                ranked = [at[np.argsort(-near[i][at], kind="stable")][:many] for i, at in found]
-                who = b.column(0).take(pa.array(np.repeat(np.arange(low, low + len(near)), many)))
-                yield pa.RecordBatch.from_arrays([who, pa.array(numbers[np.concatenate(ranked)]), pa.array(np.tile(np.arange(1, many + 1, dtype=np.int32), len(near)))], ["query_id", "cluster", "rank"])
+            for low, near in _cluster_products(matrix_of(b.column(1)), table):
+                ranked = [first_ranks(row, many) for row in near] if many else []
+                if ranked:
+                    who = b.column(0).take(pa.array(np.repeat(np.arange(low, low + len(near)), many)))
+                    yield pa.RecordBatch.from_arrays([who, pa.array(numbers[np.concatenate(ranked)]), pa.array(np.tile(np.arange(1, many + 1, dtype=np.int32), len(near)))], ["query_id", "cluster", "rank"])
 
     return queries.select("query_id", F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, f"query_id {kind}, cluster int, rank int")
 
 
+def _cluster_products(x: np.ndarray, table: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(first query, products with all centroids) in blocks."""
+    step = max(1, BLOCK_CELLS // max(1, len(table)))
+    for low in range(0, len(x), step):
+        yield low, np.round(x[low : low + step] @ table.T, 12)
+
+
+def first_ranks(near: np.ndarray, many: int) -> np.ndarray:
+    """The ``many`` largest of a row, best first, ties to the smaller number."""
+    if many < len(near):  # all that tie with the last one that counts
+        at = np.flatnonzero(near >= -np.partition(-near, many - 1)[many - 1])
+    else:
+        at = np.arange(len(near))
+    return at[np.argsort(-near[at], kind="stable")][:many]
+
+
 def ivf_topk(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: int = 100, nprobe: int = NPROBE, exclude: DataFrame | None = None, id: str = "id") -> DataFrame:
     """``exact_topk`` within each query's ``nprobe`` nearest clusters; exact if that is none or all."""
     nlist = centroids.count()
@@ -342,25 +411,49 @@ def wave_probes(index: DataFrame, centroids: DataFrame, queries: DataFrame, k: i
     """(query_id, cluster, rank, eligible, until): the clusters that widening waves reach.
 
     Waves end after nprobe, 3, 7, ... times as many clusters; the first to hold k eligible rows
-    is the last.  In closed form: eligible rows are summed over clusters in order of rank, and
-    the smallest wave that holds k is chosen, so there is no loop.
+    is the last.  Eligible rows are counted by cluster (those of the query's excluded ones taken off) and
+    sent along with the centroids; a task ranks a query's clusters wave by wave, only as far as it
+    needs, and passes on those that it reaches.
     """
-    nlist = centroids.count()
+    spark = queries.sparkSession
+    numbers, table = centroid_table(centroids)
+    nlist = len(numbers)
     nprobe = nprobe if 0 < nprobe < nlist else nlist
-    ranks = rank_clusters(queries, centroids)
     rows = f.apply(index)
-    eligible = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
-    per = ranks.join(F.broadcast(eligible), "cluster", "left").withColumn("eligible", F.coalesce("n", F.lit(0)))
+    eligible = np.zeros(nlist, np.int64)
+    counted = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).toArrow()  # a row for each cluster
+    eligible[np.searchsorted(numbers, counted.column("cluster").to_numpy())] = counted.column("n").to_numpy()
+    shared = spark.sparkContext.broadcast((numbers, table, eligible))
+    asked = queries.select("query_id", F.col("u").cast("array<double>").alias("v"))
     if exclude is not None:
-        out = exclude.select("query_id", F.col("id").alias(id)).distinct().join(rows.select(id, "cluster"), id).groupBy("query_id", "cluster").agg(F.count(F.lit(1)).alias("out"))
-        per = per.join(out, ["query_id", "cluster"], "left").withColumn("eligible", F.col("eligible") - F.coalesce("out", F.lit(0)))
-    run = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    wave = F.ceil(F.log2(F.col("rank") / F.lit(nprobe) + 1) - F.lit(1e-12))
-    until = F.least(F.lit(nlist), F.lit(nprobe) * (F.pow(F.lit(2.0), wave) - 1)).cast("int")
-    per = per.withColumn("so_far", F.sum("eligible").over(run)).withColumn("until", until)
-    # the rank at which k is reached names the wave; without it the last wave is all
-    last = per.groupBy("query_id").agg(F.coalesce(F.min(F.when(F.col("so_far") >= k, F.col("until"))), F.lit(nlist)).alias("last"))
-    return per.join(last, "query_id").where(F.col("rank") <= F.col("last")).select("query_id", "cluster", "rank", "eligible", F.col("last").alias("until"))
+        out = newest_pairs(exclude).select("query_id", F.col("id").alias(id)).distinct().join(rows.select(id, "cluster"), id).groupBy("query_id").agg(F.collect_list(F.col("cluster").cast("int")).alias("out"))
+        asked = asked.join(out, "query_id", "left")
+    kind = queries.schema["query_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        numbers, table, eligible = shared.value
+        for b in batches:
+            outs = b.column(2).to_pylist() if b.num_columns > 2 else [None] * b.num_rows
+            for low, near in _cluster_products(matrix_of(b.column(1)), table):
+                who, found, ranks, left, ends = [], [], [], [], []
+                for i, row in enumerate(near):
+                    own = eligible.copy() if outs[low + i] else eligible
+                    for c in outs[low + i] or ():
+                        own[np.searchsorted(numbers, c)] -= 1
+                    until = wave = nprobe
+                    order = first_ranks(row, until)
+                    while until < len(numbers) and own[order].sum() < k:
+                        wave *= 2
+                        until = min(len(numbers), until + wave)
+                        order = first_ranks(row, until)
+                    who.append(np.full(len(order), low + i))
+                    found.append(numbers[order])
+                    ranks.append(np.arange(1, len(order) + 1, dtype=np.int32))
+                    left.append(own[order])
+                    ends.append(np.full(len(order), until, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(who))), *(pa.array(np.concatenate(c)) for c in (found, ranks, left, ends))], ["query_id", "cluster", "rank", "eligible", "until"])
+
+    return asked.mapInArrow(run, f"query_id {kind}, cluster int, rank int, eligible long, until int")
 
 
 def filtered_topk(index: DataFrame, centroids: DataFrame | None, queries: DataFrame, f: Filter, k: int = 100, nprobe: int = NPROBE, exclude: DataFrame | None = None, id: str = "id") -> DataFrame:
@@ -370,17 +463,11 @@ def filtered_topk(index: DataFrame, centroids: DataFrame | None, queries: DataFr
     return exact_topk(index, queries, k, f, exclude, id, wave_probes(index, centroids, queries, k, nprobe, f, exclude, id))
 
 
-def mixed_topk(index: DataFrame, queries: DataFrame, filters: dict[int, Filter], k: int = 100, id: str = "id") -> DataFrame:
-    """Queries with filters of their own beside unfiltered ones: one shared scan, and one for each distinct filter."""
-    groups: dict[Filter, list[int]] = {}
-    for query, f in filters.items():
-        if not f.empty:
-            groups.setdefault(f, []).append(query)
-    filtered = [q for qs in groups.values() for q in qs]
-    out = exact_topk(index, queries.where(~F.col("query_id").isin(*filtered)) if filtered else queries, k, id=id)
-    for f, qs in groups.items():
-        out = out.unionAll(exact_topk(index, queries.where(F.col("query_id").isin(*qs)), k, f, id=id))
-    return out
+def mixed_topk(index: DataFrame, queries: DataFrame, filters: DataFrame | dict[int, Filter], k: int = 100, exclude: DataFrame | None = None, id: str = "id") -> DataFrame:
+    """Queries with filters of their own beside unfiltered ones, in one shared scan; ``filters`` is a table (see filters.filter_rows)."""
+    if isinstance(filters, dict):
+        filters = filter_rows(index.sparkSession, filters)
+    return exact_topk(index, queries, k, exclude=exclude, id=id, filters=filters)
 
 
 def seed_vector(links: DataFrame, index: DataFrame, id: str = "id") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import vectors as V
 from driftline.operators import feed, search, taste
-from driftline.operators.filters import Filter, count_matching
+from driftline.operators.filters import EXCLUDE_LIMIT, Filter, count_matching
 from driftline.sources import files, sinks
 from driftline.sources.shared import shared_path, stored
 from driftline.plans.tables import INDEX_SQL, INTERACTIONS_SQL, PAPERS_SQL, VECTORS_SQL, interactions, papers, queries_of, search_index, table, unit_vectors
@@ -99,8 +99,34 @@ _EACH = NARROW_SQL.replace("year", "i.year").replace("venue", "i.venue")
 def knn_mixed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = search_index(spark, sf_dir)
     q = queries_of(i, 100)
-    own = {r[0]: NARROW for r in q.where("query_id % 200 = 0").select("query_id").collect()}
-    return slim(search.mixed_topk(i, q, own, 10))
+    narrow = q.where("query_id % 200 = 0").select("query_id", F.lit(NARROW.year_min).alias("year_min"), F.array(*map(F.lit, NARROW.venues)).alias("venues"))
+    return slim(search.mixed_topk(i, q, narrow, 10))
+
+
+#: A filter of its own for every query: a bound of years, one of citations, and every third time a subject.
+_OWN = "i.year >= 2000 + z.id // 50 % 20 AND i.cited >= z.id % 7 * 100 AND (z.id // 50 % 3 <> 0 OR i.field = 'field' || CAST(z.id // 50 % 5 AS VARCHAR) OR i.topic = 10000 + z.id % 37)"
+_SEEN_BY = f"SELECT user_id * 100 AS query_id, id FROM (SELECT user_id, id, row_number() OVER (PARTITION BY user_id ORDER BY max(ts) DESC, id DESC) AS n FROM interactions WHERE kind = 'seen' GROUP BY user_id, id) WHERE n <= {EXCLUDE_LIMIT}"
+
+
+@query(f"WITH {INDEX_SQL}, {INTERACTIONS_SQL}, banned AS ({_SEEN_BY}), asked AS (SELECT * FROM idx WHERE id % 50 = 0) {topk_sql('idx', 'asked', 10, _OWN + ' AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = z.id AND b.id = i.id)')}")
+def knn_own_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query has a filter and a list of seen papers of its own; one scan tests them all."""
+    i = search_index(spark, sf_dir)
+    q = queries_of(i, 50)
+    n = F.floor(F.col("query_id") / 50)
+    subject = n % 3 == 0
+    own = q.select(
+        "query_id",
+        (2000 + n % 20).alias("year_min"),
+        (F.col("query_id") % 7 * 100).alias("cited_min"),
+        F.when(subject, F.array(F.concat(F.lit("field"), (n % 5).cast("string")))).alias("fields"),
+        F.when(subject, F.array((10000 + F.col("query_id") % 37).cast("int"))).alias("topics"),
+    )
+    return slim(search.mixed_topk(i, q, own, 10, exclude=_seen(spark, sf_dir)))
+
+
+def _seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions(spark, sf_dir).where("kind = 'seen'").select((F.col("user_id") * 100).alias("query_id"), "id", "ts")
 
 
 CENTROIDS_SQL = """means AS (
@@ -286,6 +312,48 @@ def feed_explore_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feed.next_feed(h.select("query_id", "id", (F.col("dot") / 16129.0).alias("score")), i, 8, "s4", NARROW).select(F.col("slot").cast("int").alias("slot"), "id", "reason")
 
 
+#: The ring of rows that match, each asker's place on it, and the rows on from there that they have neither seen nor picked.
+_RING = f"""ring AS (
+  SELECT id, row_number() OVER (ORDER BY {_U('name')}, id) - 1 AS place FROM (SELECT id, CAST(id AS VARCHAR) || '|b' AS name FROM idx WHERE {NARROW_SQL})
+), starts AS (
+  SELECT query_id, CAST(floor({_U('name')} * (SELECT count(*) FROM ring)) AS BIGINT) AS first FROM (SELECT id AS query_id, CAST(id AS VARCHAR) || '|b|at' AS name FROM asked)
+), others AS (
+  SELECT query_id, r.id, row_number() OVER (PARTITION BY query_id ORDER BY (r.place - first + (SELECT count(*) FROM ring)) % (SELECT count(*) FROM ring)) AS turn
+  FROM starts s, ring r WHERE NOT EXISTS (SELECT 1 FROM skipped k WHERE k.query_id = s.query_id AND k.id = r.id))"""
+
+
+@query(
+    f"WITH {INDEX_SQL}, {INTERACTIONS_SQL}, asked AS (SELECT * FROM idx WHERE id % 100 = 0), banned AS ({_SEEN_BY}), "
+    f"hits AS (SELECT query_id, id, dot / 16129.0::DOUBLE AS score FROM ({topk_sql('idx', 'asked', 100, _EACH + ' AND NOT EXISTS (SELECT 1 FROM banned b WHERE b.query_id = z.id AND b.id = i.id)')})), "
+    "named AS (SELECT *, CAST(id AS VARCHAR) || '|' || CAST(query_id AS VARCHAR) || '|b' AS name, max(score) OVER (PARTITION BY query_id) AS best, count(*) OVER (PARTITION BY query_id) AS n FROM hits), "
+    f"keyed AS (SELECT query_id, id, CASE WHEN n <= 8 THEN score ELSE ln({_U('name')}) / exp((score - best) / 0.05::DOUBLE) END AS key FROM named), "
+    "picked AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY key DESC, id) AS slot FROM keyed), kept AS (SELECT *, 'b|' || CAST(query_id AS VARCHAR) || '|x|' || CAST(slot AS VARCHAR) AS sname FROM picked WHERE slot <= 8), "
+    f"swaps AS (SELECT query_id, id, slot, {_U('sname')} < 0.15 AS swap FROM kept), turns AS (SELECT *, CASE WHEN swap THEN sum(CASE WHEN swap THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY slot) END AS turn FROM swaps), "
+    f"skipped AS (SELECT query_id, id FROM kept UNION SELECT query_id, id FROM banned), {_RING}, "
+    "c AS (SELECT a.id AS query_id, coalesce(used, 0) AS used, coalesce(have, 0) AS have FROM asked a LEFT JOIN (SELECT query_id, count(*) FILTER (WHERE swap) AS used, count(*) AS have FROM swaps GROUP BY query_id) s ON a.id = s.query_id) "
+    "SELECT t.query_id, CAST(t.slot AS INTEGER) AS slot, coalesce(p.id, t.id) AS id, CASE WHEN p.id IS NULL THEN 'for-you' ELSE 'explore' END AS reason FROM turns t LEFT JOIN others p ON t.query_id = p.query_id AND t.turn = p.turn AND p.turn <= 8 "
+    "UNION ALL SELECT o.query_id, CAST(have + turn - used AS INTEGER), id, 'random' FROM others o JOIN c ON o.query_id = c.query_id WHERE turn > used AND turn <= used + 8 - have AND turn <= 8"
+)
+def feed_explore_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Feeds of many users at once: seen papers are left out, some picks are swapped for rows on from the user's place, and short feeds are topped up."""
+    i = search_index(spark, sf_dir)
+    q, seen = queries_of(i, 100), _seen(spark, sf_dir)
+    h = search.exact_topk(i, q, feed.CANDIDATES, NARROW, exclude=seen)
+    feeds = feed.next_feeds(h.select("query_id", "id", (F.col("dot") / 16129.0).alias("score")), feed.ring(i, "b", NARROW), q, 8, "b", seen)
+    return feeds.select("query_id", F.col("slot").cast("int").alias("slot"), "id", "reason")
+
+
+@query(
+    f"WITH {INDEX_SQL}, {INTERACTIONS_SQL}, asked AS (SELECT * FROM idx WHERE id % 20 = 0), skipped AS (SELECT user_id * 20 AS query_id, id FROM interactions WHERE kind IN ('seen', 'like')), {_RING} "
+    "SELECT query_id, CAST(turn AS INTEGER) AS turn, id FROM others WHERE turn <= 20"
+)
+def random_pick_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Random rows for many users, each their own, without what they have seen or liked."""
+    i = search_index(spark, sf_dir)
+    met = interactions(spark, sf_dir).where("kind in ('seen', 'like')").select((F.col("user_id") * 20).alias("query_id"), "id")
+    return feed.walks(feed.ring(i, "b", NARROW), queries_of(i, 20), 20, "b", met).select("query_id", "turn", "id")
+
+
 @query(
     f"WITH {VECTORS_SQL}, {CENTROIDS_SQL}, asked AS (SELECT * FROM vectors WHERE id % 20 = 0), {_PROBES}, a AS ({topk_sql('vectors', 'asked', 10, _PROBED)}), e AS ({topk_sql('vectors', 'asked', 10)}), "
     "h AS (SELECT count(a.id) AS hits, count(*) AS truth FROM e LEFT JOIN a ON e.query_id = a.query_id AND e.id = a.id), "

@@ -68,17 +68,18 @@ def get_json(url: str, sleep=time.sleep):
 
 @dataclass
 class Api:
-    """Pages of works at ``base``, an http address or a folder; ``params`` go along with every request."""
+    """Pages of works at ``base``, an http address or a folder; ``params`` go along with every request, a filter among them beside the request's own."""
 
     base: str
     params: dict[str, str] = field(default_factory=dict)
     size: int = PAGE_SIZE
 
-    def page(self, cursor: str = START, since: str | None = None, sort: str | None = None, ids: list[str] | None = None) -> Page:
-        """The page at ``cursor``: of works published from ``since`` (a date) on, in order of ``sort``, or of those with ``ids``."""
+    def page(self, cursor: str = START, since: str | None = None, sort: str | None = None, ids: list[str] | None = None, where: str = "") -> Page:
+        """The page at ``cursor``: of works published from ``since`` (a date) on, in order of ``sort``, or of those with ``ids``; ``where`` is a filter as the API writes it."""
         if self.base.startswith(("http://", "https://")):
-            filters = [*([f"ids:{'|'.join(ids)}"] if ids else []), *([f"from_publication_date:{since}"] if since else [])]
-            asked = {"cursor": cursor, "per-page": str(self.size), **({"sort": sort} if sort else {}), **({"filter": ",".join(filters)} if filters else {}), **self.params}
+            filters = [self.params.get("filter"), where, f"ids:{'|'.join(ids)}" if ids else "", f"from_publication_date:{since}" if since else ""]
+            joined = ",".join(f for f in filters if f)
+            asked = {"cursor": cursor, "per-page": str(self.size), **({"sort": sort} if sort else {}), **self.params, **({"filter": joined} if joined else {})}
             return self.parsed(get_json(f"{self.base}?{urllib.parse.urlencode(asked)}"))
         return self._from_folder(cursor, since, ids)
 

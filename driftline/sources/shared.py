@@ -39,6 +39,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> bool:
+    """Delete a table's folder; whether it was there."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write_pointer(spark: SparkSession, path: str, state: dict) -> None:
     """Put ``state`` at ``path`` in one step: written beside it and renamed over it, so readers see the old or the new one.
 

@@ -8,16 +8,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftline.functions.scalars import SITEMAP_URLS
-from driftline.operators.ingest import PENDING_ID, new_papers
+from driftline.operators.ingest import PENDING_ID, first_of_each
 from driftline.sources.files import FORMAT_VERSION
-from driftline.sources.shared import exists, write_pointer
+from driftline.sources.segments import KeyIndex
+from driftline.sources.shared import exists, read_pointer, remove, stored, write_pointer
 
 
-def append_new(batch: DataFrame, path: str) -> None:
-    """Append the rows whose id and title are new to a Parquet table."""
-    spark = batch.sparkSession
-    old = spark.read.parquet(path) if exists(spark, path) else None
-    new_papers(batch, old).write.mode("append").parquet(path)
+def append_new(batch: DataFrame, path: str, keys: KeyIndex | None = None) -> int:
+    """Append the rows whose id and title are new to a Parquet table; how many.
+
+    Known keys are looked up in the index beside the table (``keys``, if it is open already), in the
+    buckets of the batch, so the cost follows the batch.
+    """
+    keys = keys or KeyIndex(batch.sparkSession, path)
+    batch = stored(batch, "batch")
+    own = KeyIndex.keys(batch)
+    ids, titles = keys.known(own)
+    marked = batch.withColumns({c: own_key for c, own_key in zip(("_a", "_b"), KeyIndex.hashes(F.col("title")), strict=True)})
+    new = stored(first_of_each(marked, ["_a", "_b"], (ids, titles.select(F.col("a").alias("_a"), F.col("b").alias("_b")))).drop("_a", "_b"), "new")
+    return keys.append(new)
 
 
 #: Ids that a pending log takes; a fixed value.
@@ -50,22 +59,20 @@ def append_missing(vectors: DataFrame, path: str, id: str = "id") -> None:
 def write_index(index: DataFrame, path: str, partitions: int | None = None) -> str:
     """Write a build beside the others, then point ``current`` at it in one step; readers keep the build they opened.
 
-    Rows are laid out by cluster, so that a probe reads the files and row groups of its clusters alone.
+    Two builds stay, the current one and the one before; older ones are removed.  Rows are laid out by cluster, so that a probe reads the files and row groups of its clusters alone.
     """
     spark, build = index.sparkSession, uuid.uuid4().hex
     laid = index.repartitionByRange(partitions, "cluster", "row") if partitions else index.repartitionByRange("cluster", "row")
     laid.sortWithinPartitions("cluster", "row").write.parquet(f"{path}/build={build}")
     rows = spark.read.parquet(f"{path}/build={build}").count()
-    write_pointer(spark, f"{path}/current", {"build": build, "version": FORMAT_VERSION, "rows": rows})
+    before = read_pointer(spark, f"{path}/current") or {}
+    write_pointer(spark, f"{path}/current", {"build": build, "version": FORMAT_VERSION, "rows": rows, "previous": before.get("build")})
+    if before.get("previous"):
+        for part in ("build", "centroids"):
+            remove(spark, f"{path}/{part}={before['previous']}")
     return build
 
 
-def compact(spark: SparkSession, path: str, out: str, by: str = "term", files: int | None = None) -> None:
-    """Rewrite a table of many small files in few, sorted by ``by`` so that filters on it skip row groups."""
-    df = spark.read.parquet(path)
-    (df.repartitionByRange(files, by) if files else df.repartitionByRange(by)).sortWithinPartitions(by).write.mode("overwrite").parquet(out)
-
-
 def paper_json(columns: list[str], vec: Column | None = None, scale: Column | None = None, score: Column | None = None, reason: Column | None = None) -> Column:
     """A response's object: the paper's columns, and vector (base64), scale, score and reason where there are any; 0 counts as none."""
     more = [(vec, "vec"), (scale, "scale"), (score, "score"), (reason, "reason")]

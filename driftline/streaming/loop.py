@@ -22,6 +22,7 @@ from driftline.schema import PAPER, WORK, with_defaults
 from driftline.sources import sinks
 from driftline.sources.crawl import START, Api, Throttled
 from driftline.sources.files import FORMAT_VERSION, pending_log
+from driftline.sources.segments import KeyIndex
 from driftline.sources.shared import exists, read_pointer, write_pointer
 from driftline.sources.textindex import TextIndex
 
@@ -43,19 +44,25 @@ class Limits:
     empty_pause: float = 1_800
     whole: float = 0.98
     idle: float = 600
+    relabel: int = 100_000
+    #: What the backfill and the scan for new works ask of the API; works that were asked for by id may be any.
+    crawl: str = ""
 
 
-FRESH = {"papers": "papers-0", "cursor": START, "seen": 0, "total": 0, "done": False, "last_new": 0.0, "paused_until": 0.0, "indexed": 0, "built_at": None, "build": None, "labels": None}
+FRESH = {"papers": "papers-0", "cursor": START, "seen": 0, "total": 0, "done": False, "last_new": 0.0, "paused_until": 0.0, "indexed": 0, "built_at": None, "build": None, "labels": None, "relabel": None}
+#: The folder of the papers that are appended to a table; its others come from a change of labels.
+APPENDED = "part=-1"
 
 
 class Ingest:
-    """``model`` loads the embedding model (see embed.embed); ``topics`` and ``subfields`` are the labels of ``ingest.classify``."""
+    """``model`` loads the embedding model (see embed.embed), ``cut`` what cuts its texts to the tokens it reads; ``topics`` and ``subfields`` are the labels of ``ingest.classify``."""
 
-    def __init__(self, spark: SparkSession, home: str, api: Api, model: Callable, topics: DataFrame, subfields: DataFrame, limits: Limits | None = None, clock: Callable[[], float] = time.time):
-        self.spark, self.home, self.api, self.model, self.topics, self.subfields = spark, home.rstrip("/"), api, model, topics, subfields
+    def __init__(self, spark: SparkSession, home: str, api: Api, model: Callable, topics: DataFrame, subfields: DataFrame, limits: Limits | None = None, clock: Callable[[], float] = time.time, cut: Callable | None = None):
+        self.spark, self.home, self.api, self.model, self.topics, self.subfields, self.cut = spark, home.rstrip("/"), api, model, topics, subfields, cut
         self.limits, self.clock = limits or Limits(), clock
         self.state = FRESH | (read_pointer(spark, f"{self.home}/state") or {})
         self.text = TextIndex(spark, f"{self.home}/text")
+        self._keys: KeyIndex | None = None
 
     def save(self, **changes) -> None:
         self.state |= changes
@@ -70,14 +77,20 @@ class Ingest:
 
     def papers(self) -> DataFrame:
         path = self.path("papers")
-        return self.spark.read.parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], PAPER)
+        return self.spark.read.parquet(path).drop("part") if exists(self.spark, path) else self.spark.createDataFrame([], PAPER)
+
+    def keys(self) -> KeyIndex:
+        """The index of the papers' ids and titles."""
+        if self._keys is None or self._keys.table != self.path("papers"):
+            self._keys = KeyIndex(self.spark, self.path("papers"), APPENDED)
+        return self._keys
 
     def vectors(self) -> DataFrame:
         return self.table("vectors", "id long, embedding array<float>")
 
     def queue(self) -> int:
-        """Papers that wait for their embedding."""
-        return self.papers().join(self.vectors().select("id"), "id", "left_anti").count()
+        """Papers that wait for their embedding: all have one in the end, and only papers do."""
+        return self.keys().rows - self.vectors().count()
 
     def paused(self) -> bool:
         return self.clock() < self.state["paused_until"]
@@ -91,9 +104,7 @@ class Ingest:
         raw = self.spark.createDataFrame([(i, json.dumps(w)) for i, w in enumerate(works)], "seq long, body string")
         rows = ingest.convert(raw.select("seq", F.from_json("body", WORK).alias("w")).select("seq", "w.*"), self.topics, self.subfields, requested, keep=("seq",))
         at = int(self.clock() * 1000) << 16  # order of arrival over rounds
-        before = self.papers().count()
-        sinks.append_new(with_defaults(rows.withColumn("seq", F.col("seq") + F.lit(at)).withColumn("excluded", F.lit(False))), self.path("papers"))
-        return self.papers().count() - before
+        return sinks.append_new(with_defaults(rows.withColumn("seq", F.col("seq") + F.lit(at)).withColumn("excluded", F.lit(False))), self.path("papers"), self.keys())
 
     def pending(self) -> int:
         """Look up ids that were asked for and not tried within a week."""
@@ -118,21 +129,25 @@ class Ingest:
         """
         if self.state["done"] or self.queue() >= self.limits.queue:
             return 0
-        seen = 0
-        for _ in range(self.limits.pages):
-            page = self.api.page(self.state["cursor"], sort="cited_by_count:desc")
-            self.add(page.results)
-            seen += len(page.results)
-            total, all_ = page.count or self.state["total"], self.state["seen"] + len(page.results)
-            if page.next and page.results:
-                self.save(cursor=page.next, seen=all_, total=total)
-                continue
-            if all_ < self.limits.whole * total:
-                self.save(total=total, paused_until=self.clock() + self.limits.empty_pause)
-            else:
-                self.save(seen=all_, total=total, done=True, last_new=self.clock())
-            break
-        return seen
+        works: list[dict] = []
+        place: dict = {}
+        try:
+            for _ in range(self.limits.pages):
+                page = self.api.page(place.get("cursor", self.state["cursor"]), sort="cited_by_count:desc", where=self.limits.crawl)
+                works += page.results
+                total, seen = page.count or place.get("total", self.state["total"]), self.state["seen"] + len(works)
+                if page.next and page.results:
+                    place = {"cursor": page.next, "seen": seen, "total": total}
+                    continue
+                if seen < self.limits.whole * total:
+                    place |= {"total": total, "paused_until": self.clock() + self.limits.empty_pause}
+                else:
+                    place |= {"seen": seen, "total": total, "done": True, "last_new": self.clock()}
+                break
+        finally:  # the pages that came before one that didn't are one append
+            self.add(works)
+            self.save(**place)
+        return len(works)
 
     def fresh(self) -> int:
         """After the backfill, every six hours: all works published since two weeks before the last time, newest first."""
@@ -141,7 +156,7 @@ class Ingest:
         since = dt.datetime.fromtimestamp((self.state["last_new"] or self.clock()) - self.limits.late, dt.UTC).date().isoformat()
         cursor, seen = START, 0
         while cursor:
-            page = self.api.page(cursor, since, "publication_date:desc")
+            page = self.api.page(cursor, since, "publication_date:desc", where=self.limits.crawl)
             self.add(page.results)
             seen += len(page.results)
             cursor = page.next if page.results else None
@@ -154,7 +169,7 @@ class Ingest:
         waiting = self.papers().join(have.select("id"), "id", "left_anti").orderBy("seq", "id").limit(self.limits.embed)
         texts = waiting.select("id", embed.embedding_text(F.col("title"), F.col("abstract")).alias("text"))
         before = have.count()
-        sinks.append_missing(embed.embed(texts, self.model), self.path("vectors"))
+        sinks.append_missing(embed.embed(texts, self.model, cut=self.cut), self.path("vectors"))
         return self.vectors().count() - before
 
     def build(self, force: bool = False) -> bool:
@@ -187,15 +202,29 @@ class Ingest:
         """After a change of the labels: all papers with their new field and exclusion, in a table that takes the old one's place.
 
         ``labels`` has id, category and excluded; papers that were asked for are never excluded.  A
-        version that is done does nothing, and one that was stopped starts anew beside the old table.
+        version that is done does nothing.  Papers are rewritten in parts by the hash of their id, and each part that is
+        done is committed, so that one that was stopped goes on with the part it was at; papers
+        that came meanwhile are in the parts that are still to come or, of the others, in the
+        last step, which takes what the new table lacks.
         """
         if self.state["labels"] == version:
             return False
         asked = self.table("tried", "id string, ts timestamp").select(parse_id(F.col("id")).alias("id"))
-        name = f"papers-{version}-{int(self.clock() * 1000)}"
-        changed = ingest.relabel(self.papers(), labels, asked)
-        changed.select([f.name for f in PAPER]).write.parquet(f"{self.home}/{name}")
-        self.save(papers=name, labels=version)
+        job = self.state["relabel"]
+        if job is None or job["version"] != version:
+            parts = max(1, -(-self.keys().rows // self.limits.relabel))
+            job = {"version": version, "name": f"papers-{version}-{int(self.clock() * 1000)}", "parts": parts, "done": 0}
+            self.save(relabel=job)
+        to = f"{self.home}/{job['name']}"
+        columns = [f.name for f in PAPER]
+        for part in range(job["done"], job["parts"]):
+            rows = self.papers().where(F.pmod(F.xxhash64("id"), F.lit(job["parts"])) == part)
+            ingest.relabel(rows, labels, asked).select(columns).write.mode("overwrite").parquet(f"{to}/part={part}")
+            job = job | {"done": part + 1}
+            self.save(relabel=job)
+        late = self.papers().join(self.spark.read.parquet(to).select("id"), "id", "left_anti")
+        ingest.relabel(late, labels, asked).select(columns).write.mode("overwrite").parquet(f"{to}/{APPENDED}")
+        self.save(papers=job["name"], labels=version, relabel=None)
         gone = self.papers().where("excluded").select("id").join(self.text.documents().select("id"), "id", "left_semi")
         if gone.limit(1).count():
             self.text.delete(gone, self.text.state["offset"] + 1)

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from driftline.functions import scalars as S
 from driftline.functions import text as X
 from driftline.functions import vectors as V
+from driftline.functions.scalars import unit_hash
 from driftline.operators import feed, ingest, metrics, search, taste
-from driftline.operators.filters import FeedRequest, Filter, newest_excluded, valid_query_text
+from driftline.operators.filters import EXCLUDE_LIMIT, FeedRequest, Filter, bitmaps, newest_excluded, newest_pairs, valid_query_text
 from driftline.operators.fts import Query
 from driftline.plans import text_queries
 from driftline.schema import WORK
@@ -291,3 +292,135 @@ def test_abstracts_are_rebuilt_whole(spark, sf):
     got = text_queries.abstract_rebuild(spark, sf).collect()
     want = {r["doc_id"]: re.sub(r"[ \t\n\x0b\x0c\r]+", " ", re.sub(r"<[^>]+>", "", r["text"].replace("\\n", " "))).strip(" ") for r in d}
     assert len(got) == len(d) and {r["doc_id"]: r["abstract"] for r in got} == want
+
+
+# filters and exclusions as data
+
+
+def _asked(idx, n):
+    return idx.where(f"id < {n}").select(F.col("id").alias("query_id"), F.transform("q", lambda x: x * F.col("scale")).alias("u"), "q", "scale")
+
+
+def _brute(pdf, queries, k, may):
+    """(query, id) of the best k rows that ``may(query, row)`` allows."""
+    x, out = np.stack(pdf["q"]).astype(int), set()
+    for q in queries:
+        s = x @ x[pdf.index[pdf["id"] == q][0]] * pdf["scale"].to_numpy()
+        keep = np.array([may(q, r) for r in pdf.itertuples()])
+        order = [i for i in np.lexsort((pdf["row"].to_numpy(), -s)) if keep[i]][:k]
+        out |= {(q, int(pdf["id"].iloc[i])) for i in order}
+    return out
+
+
+def _own_filter(q):
+    return Filter(2000 + q % 25 if q % 3 else 0, 2020 if q % 4 == 0 else 0, 100 * (q % 5), (f"Field {q % 7:02d}",) if q % 2 else (), (10000 + q % 9,) if q % 2 else (), (f"Venue {q % 20:02d}", "none") if q % 6 == 0 else ())
+
+
+def _allows(f, r):
+    return (not f.year_min or r.year >= f.year_min) and (not f.year_max or 0 < r.year <= f.year_max) and r.cited >= f.cited_min and (not (f.fields or f.topics) or r.field in f.fields or r.topic in f.topics) and (not f.venues or r.venue in f.venues)
+
+
+@pytest.mark.parametrize("chunk", [4096, 7])
+def test_every_query_with_a_filter_and_seen_papers_of_its_own(spark, index, monkeypatch, chunk):
+    """One scan, or blocks of rows and queries: the rows that brute force finds."""
+    idx, centroids = index
+    monkeypatch.setattr(search, "QUERY_CHUNK", chunk)
+    monkeypatch.setattr(search, "EXACT_ROWS", 300)
+    queries, pdf = _asked(idx, 40), idx.toPandas()
+    filters = {q: _own_filter(q) for q in range(40)}
+    seen = {(q, i) for q in range(0, 40, 2) for i in range(q, 1500, 3)} | {(999, 1), (0, 10**9)}
+    banned = spark.createDataFrame(sorted(seen), "query_id long, id long")
+    got = search.mixed_topk(idx, queries, filters, 15, exclude=banned)
+    assert {(r["query_id"], r["id"]) for r in got.collect()} == _brute(pdf, range(40), 15, lambda q, r: _allows(filters[q], r) and (q, r.id) not in seen)
+    near = search.ivf_topk(idx, centroids, queries, 15, 11, exclude=banned).join(banned, ["query_id", "id"], "left_semi")
+    assert near.count() == 0
+
+
+def test_two_thousand_filters_are_one_scan(spark, index):
+    idx, _ = index
+    pdf = idx.toPandas()
+    queries = idx.where("id < 5").crossJoin(spark.range(400).select(F.col("id").alias("n"))).select((F.col("id") * 400 + F.col("n")).alias("query_id"), "q", "scale")
+    filters = {q: Filter(cited_min=q % 500, year_min=1990 + q % 30, venues=(f"Venue {q % 20:02d}",)) for q in range(2000)}
+    hits = search.mixed_topk(idx, queries, filters, 3)
+    assert hits._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 2
+    got = {}
+    for r in hits.collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    x = np.stack(pdf["q"]).astype(int)
+    for q in range(0, 2000, 41):
+        s = x @ x[pdf.index[pdf["id"] == q // 400][0]] * pdf["scale"].to_numpy()
+        keep = np.array([_allows(filters[q], r) for r in pdf.itertuples()])
+        assert got.get(q, set()) == {int(pdf["id"].iloc[i]) for i in [i for i in np.lexsort((pdf["row"].to_numpy(), -s)) if keep[i]][:3]}
+
+
+def test_tasks_pass_on_no_more_than_k_rows_whatever_was_seen(spark, index):
+    idx, _ = index
+    queries = _asked(idx, 3)
+    banned = spark.range(5000).select((F.col("id") % 3).alias("query_id"), F.floor(F.col("id") / 3).alias("id"))
+    points = idx.select("id", "row", "scale", "q").repartition(4)
+    asked = queries.select("query_id", "q", "scale", F.lit(6).alias("k"))
+    rows = search._by_scan(points, asked, None, banned.where("id < 1450"))
+    most = rows.groupBy(F.spark_partition_id(), "query_id").count().agg(F.max("count")).first()[0]
+    assert most <= 6 and {r["id"] for r in search.exact_topk(idx, queries, 6, exclude=banned.where("id < 1495")).collect()} <= set(range(1495, 1500))
+
+
+def test_only_the_newest_seen_papers_count(spark, index):
+    idx, _ = index
+    seen = spark.createDataFrame([(0, i, i) for i in range(1400)] + [(0, 5, 5000)], "query_id long, id long, ts long")
+    left = {r["id"] for r in search.exact_topk(idx, _asked(idx, 1), 1500, exclude=seen).collect()}
+    assert left == set(range(1500)) - set(range(1400 - EXCLUDE_LIMIT + 1, 1400)) - {5}
+
+
+def test_bitmaps_are_the_predicates(spark):
+    """Null attributes too."""
+    rows = [(i, *r) for i, r in enumerate((y, c, f, t, v) for y in (0, 2010, None) for c in (0, 500, None) for f in ("a", None) for t in (1, None) for v in ("x", "", None))]
+    df = spark.createDataFrame(rows, "id long, year int, cited long, field string, topic int, venue string")
+    filters = [Filter(), Filter(2010), Filter(0, 2015), Filter(0, 0, 1), Filter(fields=("a", "zz")), Filter(topics=(1,)), Filter(fields=("b",), topics=(1, 2)), Filter(venues=("x",)), Filter(2000, 2020, 400, ("a",), (), ("x", "y"))]
+    got = bitmaps(filters, df.orderBy("id").toArrow())
+    for f, line in zip(filters, got, strict=False):
+        assert np.flatnonzero(line).tolist() == sorted(r["id"] for r in f.apply(df).collect())
+    assert got[-1].all() and bitmaps(filters, df.drop("year").toArrow()).all()
+
+
+def test_waves_leave_out_what_was_seen(spark, index):
+    idx, centroids = index
+    f = Filter(venues=("Venue 03",))
+    seen = f.apply(idx).select(F.lit(0).cast("long").alias("query_id"), "id").where("id % 2 = 0")
+    got = search.filtered_topk(idx, centroids, _asked(idx, 2), f, 20, 1, exclude=seen).toPandas()
+    free = f.apply(idx).where("id % 2 = 1").count()
+    assert (got["query_id"] == 0).sum() == min(20, free) and not (got[got["query_id"] == 0]["id"] % 2 == 0).any()
+
+
+# feeds of many users
+
+
+def test_walks_against_brute_force(spark, index):
+    idx, _ = index
+    f = Filter(venues=("Venue 03", "Venue 04"))
+    places = feed.ring(idx, "s", f).cache()
+    order = [r["id"] for r in places.orderBy("place").collect()]
+    assert sorted(order) == sorted(r["id"] for r in f.apply(idx).collect()) and [r["place"] for r in places.orderBy("place").collect()] == list(range(len(order)))
+    rng = np.random.default_rng(4)
+    skip = {(q, int(i)) for q in range(30) for i in rng.choice(order, int(rng.integers(0, len(order) + 1)), replace=False)} | {(q, i) for q in (3,) for i in order} | {(1, 10**9)}
+    users = spark.range(32).select(F.col("id").alias("query_id"))
+    got = {}
+    for r in feed.walks(places, users, 9, "s", spark.createDataFrame(sorted(skip), "query_id long, id long")).orderBy("query_id", "turn").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    start = {r["id"]: r["at"] for r in spark.range(32).select("id", F.floor(unit_hash(F.col("id"), F.lit("s"), F.lit("at")) * len(order)).alias("at")).collect()}
+    for q in range(32):
+        assert got.get(q, []) == [i for i in order[start[q] :] + order[: start[q]] if (q, i) not in skip][:9]
+    assert feed.walks(places.limit(0), users, 9, "s").count() == 0
+
+
+def test_feeds_of_a_batch_are_whole(spark, index):
+    """No paper twice, none that was seen, k of them; users without candidates get random ones."""
+    idx, _ = index
+    queries = _asked(idx, 50)
+    seen = spark.createDataFrame([(q, i, 1) for q in range(50) for i in range(q, 1500, 2)], "query_id long, id long, ts int")
+    hits = search.exact_topk(idx, queries.where("query_id < 45"), 100, exclude=seen).select("query_id", "id", "score").where("query_id <> 7 or id < 300")
+    feeds = feed.next_feeds(hits, feed.ring(idx, "z"), queries, 8, "z", seen).toPandas()
+    newest = {(r["query_id"], r["id"]) for r in newest_pairs(seen).collect()}
+    assert feeds.groupby("query_id").size().tolist() == [8] * 50 and not feeds.duplicated(["query_id", "id"]).any() and not feeds.duplicated(["query_id", "slot"]).any()
+    assert not newest & set(zip(feeds["query_id"], feeds["id"], strict=True)) and set(feeds["slot"]) == set(range(1, 9))
+    assert set(feeds[feeds["query_id"] >= 45]["reason"]) == {"random"} and 0.05 < (feeds["reason"] == "explore").mean() < 0.3
+    assert len({tuple(g["id"]) for _, g in feeds[feeds["query_id"] >= 45].groupby("query_id")}) == 5
