@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftline.operators import ingest, search
-from driftline.plans.metric_queries import _drain, _stream
+from driftline.functions.scalars import parse_id
+from driftline.operators import feed, ingest, search
+from driftline.operators.order import ranked
+from driftline.plans.metric_queries import _drain, _stream, run_over
 from driftline.plans.tables import INDEX_SQL, INTERACTIONS_SQL, PAPERS_SQL, interactions, papers, table, unit_vectors
-from driftline.plans.vector_queries import CENTROIDS_SQL, FDOT
+from driftline.plans.vector_queries import CENTROIDS_SQL, FDOT, NARROW, NARROW_SQL, U_SQL
 from driftline.schema import WORK
-from driftline.sources import files, sinks
+from driftline.sources import crawl, files, sinks
 from driftline.sources.shared import shared_path
 from driftline.streaming import jobs
 
@@ -132,3 +134,55 @@ def stream_first_of_each(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The buckets of ``token_bucket`` as the state of a stream."""
     return _drain(jobs.limited(_stream(spark, sf_dir), "user_id", 0.00005, 2.0), "buckets")
+
+
+@query("SELECT vec_id AS id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings")
+def matrix_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as raw float files, read again by ranges of rows and paired with their ids by position."""
+    path = shared_path(spark, "matrix")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    laid = ranked(e, [F.asc("id")], "place")
+    sinks.write_matrix(laid.repartitionByRange("place").sortWithinPartitions("place"), path)
+    rows = files.in_file_order(files.matrix(spark, path, 64, rows=300))
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return rows.select("position", F.round(total, 4).alias("total")).join(laid.select("id", (F.col("place") - 1).alias("position")), "position").select("id", "total", "position")
+
+
+@query("SELECT doc_id AS id, CAST(length(split_part(text, chr(10), 1)) AS INTEGER) AS n, n_chars AS cited FROM documents")
+def stream_crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as page files of a crawl, streamed some pages a batch, over two starts; each work once."""
+    path = shared_path(spark, "pages")
+    d = table(spark, sf_dir, "documents")
+    work = F.to_json(F.struct(F.concat(F.lit("https://w.example/W"), F.col("doc_id").cast("string")).alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("n_chars").alias("cited_by_count")))
+    pages = d.groupBy(F.floor(F.col("doc_id") / 500).alias("page")).agg(F.concat(F.lit('{"results": ['), F.array_join(F.collect_list(work), ","), F.lit("]}")).alias("value"))
+    for odd in (0, 1):
+        pages.where(F.col("page") % 2 == odd).repartition("page").write.mode("append").partitionBy("page").text(f"{path}/in")
+        run_over(crawl.folder_stream(spark, f"{path}/in", 40, "*.txt"), f"{path}/stream")
+    found = spark.read.schema("file string, id string, body string, batch long").parquet(f"{path}/stream/out")
+    return crawl.works(found).select(parse_id(F.col("id")).alias("id"), F.length("title").alias("n"), F.col("cited_by_count").alias("cited"))
+
+
+_BUILDS = """first AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS "row" FROM idx WHERE id % 13 <> 0), second AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS "row" FROM idx WHERE id % 11 <> 0)"""
+
+
+@query(
+    f"WITH {INDEX_SQL}, {_BUILDS}, ring AS (SELECT id, row_number() OVER (ORDER BY {U_SQL('name')}, id) - 1 AS place FROM (SELECT id, CAST(id AS VARCHAR) || '|st' AS name FROM idx WHERE id % 11 <> 0 AND {NARROW_SQL})), "
+    f"starts AS (SELECT query_id, CAST(floor({U_SQL('name')} * (SELECT count(*) FROM ring)) AS BIGINT) AS first FROM (SELECT 1000 + k AS query_id, CAST(1000 + k AS VARCHAR) || '|st|at' AS name FROM (SELECT unnest(generate_series(0, 4)) AS k))), "
+    "others AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY (place - first + (SELECT count(*) FROM ring)) % (SELECT count(*) FROM ring)) AS turn FROM starts, ring) "
+    "SELECT \"row\" % 50 AS query_id, id, 'kept' AS how FROM second WHERE \"row\" % 7 = 0 UNION ALL SELECT 100 + f.\"row\" % 50, f.id, 'mapped' FROM first f JOIN second s ON f.id = s.id WHERE f.\"row\" % 5 = 0 "
+    "UNION ALL SELECT query_id, id, 'random' FROM others WHERE turn <= 8"
+)
+def feed_stale_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that askers hold of the current build, of the one before, and of one that is gone: kept, mapped, or random ones instead."""
+    p = papers(spark, sf_dir).select("id", "year", "cited", "field", "topic", "venue", "seq")
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding").join(p, "id")
+    path = shared_path(spark, "builds")
+    old = sinks.write_index(search.build_index(rows.where("id % 13 <> 0")), path)
+    reader = files.Reader(spark, path)
+    now = sinks.write_index(search.build_index(rows.where("id % 11 <> 0")), path)
+    reader.reload()
+    held = lambda build, every, first: files.index_scan(spark, path, build).where(F.col("row") % every == 0).select((first + F.col("row") % 50).alias("query_id"), F.lit(build).alias("build"), "row")
+    gone = spark.range(5).select((1000 + F.col("id")).alias("query_id"), F.lit("an older build").alias("build"), F.col("id").alias("row"))
+    kept, stale = files.current_rows(reader, held(now, 7, 0).unionAll(held(old, 5, 100)).unionAll(gone))
+    random = feed.walks(feed.ring(reader.rows(), "st", NARROW), stale, 8, "st").select("query_id", "id", F.lit("random").alias("how"))
+    return kept.select("query_id", "id", "how").unionByName(random)

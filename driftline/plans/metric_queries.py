@@ -108,14 +108,20 @@ def _drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives over what is there now, through files in the shared folder; of a complete result the last one."""
     spark = stream.sparkSession
     path = shared_path(spark, f"stream-{name}")
-    q = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
+    run_over(stream, path, mode)
     rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{path}/out")
     if mode == "complete":
         rows = rows.where(F.col("batch") == rows.agg(F.max("batch")).first()[0])
     return rows.drop("batch")
 
 
+def run_over(stream: DataFrame, path: str, mode: str = "append") -> None:
+    """Let a stream go over what is there now: its batches to ``path``/out, where it got to in ``path``/checkpoint."""
+    with jobs.state_store(stream.sparkSession):
+        q = stream.writeStream.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{path}/out/batch={n}")).outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+
+
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
@@ -179,3 +185,50 @@ def state_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = first.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"]).alias("seen"))
     out = taste.export_state(lists.withColumn("bookmarks", F.transform("seen", lambda x: x + 1)))
     return taste.import_lists(out).select("user_id", "seen", "bookmarks")
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream of events as requests."""
+    e = _stream(spark, sf_dir)
+    kind = F.when(F.col("event_type") == "view", "feed").when(F.col("event_type") == "click", "search").otherwise(F.col("event_type"))
+    status = F.when(F.col("event_type") == "error", 500).when(F.col("event_type") == "signup", 429).otherwise(200)
+    return e.select(F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), status.alias("status"), F.col("value").alias("ms"))
+
+
+_CLOSED = "epoch_us(date_trunc('second', ts)) + 1000000 <= (SELECT max(epoch_us(ts)) FROM events) - 3600000000"
+
+
+@query(
+    f"WITH {REQUESTS_SQL}, s AS (SELECT kind, epoch_us(date_trunc('second', ts)) // 1000000 AS second, count(*) AS n, count(*) FILTER (WHERE status >= 500) AS errors, sum(ms) AS ms FROM requests WHERE {_CLOSED} GROUP BY 1, 2), "
+    "w AS (SELECT unnest([60, 3600]) AS span) SELECT a.kind, a.second, CAST(span AS INTEGER) AS span, CAST(coalesce(sum(b.n), 0) AS BIGINT) AS n, CAST(coalesce(sum(b.errors), 0) AS BIGINT) AS errors, round(coalesce(sum(b.ms), 0), 4) AS ms "
+    "FROM s a CROSS JOIN w LEFT JOIN s b ON a.kind = b.kind AND b.second >= a.second - span AND b.second < a.second GROUP BY 1, 2, 3"
+)
+def stream_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of the minute and of the hour before each second that has requests, from a ring that the stream keeps."""
+    out = _drain(jobs.trailing_sums(_timed(spark, sf_dir)), "trailing")
+    return out.select("kind", "second", "span", "n", "errors", F.round("ms", 4).alias("ms"))
+
+
+@query(
+    "SELECT user_id, max(epoch_us(ts)) AS us, arg_max(event_id, struct_pack(ts := ts, n := event_id)) AS n FROM (SELECT *, epoch_us(ts) // 10000000 AS slot FROM events) "
+    "WHERE (slot + 1) * 10000000 <= (SELECT max(epoch_us(ts)) FROM events) - 600000000 GROUP BY user_id, slot"
+)
+def stream_sampler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last reading of each ten seconds and user, as soon as they are over."""
+    e = _stream(spark, sf_dir).select("user_id", "ts", F.col("event_id").alias("n"))
+    return _drain(jobs.samples(e, "user_id"), "samples").select(F.col("key").alias("user_id"), "us", "n")
+
+
+@query(
+    "SELECT user_id, vec_id AS id, CAST(CASE WHEN vec_id % 3 = 0 THEN 1 ELSE 2 END AS BIGINT) AS build FROM (SELECT DISTINCT user_id, event_id % 700 AS id FROM events WHERE event_type = 'purchase') JOIN embeddings ON id = vec_id WHERE vec_id % 3 <> 2"
+)
+def stream_waiting_likes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Likes wait until a build has their paper: builds come one after the other, and each like is passed on once, with the first that has it."""
+    path = shared_path(spark, "waiting")
+    likes = _stream(spark, sf_dir).where("event_type = 'purchase'").select("user_id", (F.col("event_id") % 700).alias("id")).distinct()
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    for build, rows in ((1, e.where("id % 3 = 0")), (2, e.where("id % 3 <> 2"))):
+        rows.withColumn("build", F.lit(build).cast("long")).write.mode("append").parquet(f"{path}/builds")
+        builds = spark.readStream.schema("id long, build long").parquet(f"{path}/builds")
+        run_over(jobs.waiting_likes(likes, builds), f"{path}/stream")
+    return spark.read.schema("user_id long, id long, build long, batch long").parquet(f"{path}/stream/out").drop("batch")

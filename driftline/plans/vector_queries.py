@@ -261,7 +261,7 @@ def filter_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FNV_SQL = "list_reduce(list_prepend(2166136261::BIGINT, list_transform(generate_series(1, CAST(length({0}) AS BIGINT)), lambda k: CAST(ascii(substr({0}, CAST(k AS INTEGER), 1)) AS BIGINT))), lambda h, b: CAST((xor(h, b) * 16777619) % 4294967296 AS BIGINT))"
-_U = lambda s: f"(({FNV_SQL.format(s)} + 0.5) / 4294967296.0::DOUBLE)"
+U_SQL = _U = lambda s: f"(({FNV_SQL.format(s)} + 0.5) / 4294967296.0::DOUBLE)"
 
 
 @query(f"SELECT DISTINCT source AS s, {FNV_SQL.format('source')} AS h FROM documents WHERE source <> ''")

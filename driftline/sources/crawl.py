@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
@@ -145,6 +145,29 @@ def works(pages: DataFrame) -> DataFrame:
     return pages.select(F.from_json("body", WORK).alias("w")).select("w.*")
 
 
+def folder_stream(spark: SparkSession, path: str, pages_per_trigger: int = 10, pattern: str = "*.json") -> DataFrame:
+    """(file, id, body): works of a folder's page files as a stream; ``works`` parses them.
+
+    Spark's file source lists the folder, admits ``pages_per_trigger`` files to a batch, remembers in the
+    checkpoint what it has read, and lets the tasks read and parse pages side by side.  Pages that are
+    no JSON have no works.
+    """
+    text = spark.readStream.format("text").option("wholetext", True).option("maxFilesPerTrigger", pages_per_trigger).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return _page_works(text)
+
+
+def folder_batch(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """``folder_stream`` of what is there now, as a table."""
+    return _page_works(spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path))
+
+
+def _page_works(text: DataFrame) -> DataFrame:
+    bare = F.from_json("value", "array<string>")
+    results = F.from_json("value", "results array<string>")["results"]
+    each = text.select(F.col("_metadata.file_name").alias("file"), F.explode(F.when(F.ltrim("value").startswith("["), bare).otherwise(results)).alias("body"))
+    return each.select("file", F.get_json_object("body", "$.id").alias("id"), "body")
+
+
 def _api(options: dict) -> Api:
     return Api(options["path"], {}, int(options.get("size", PAGE_SIZE)))
 
@@ -172,7 +195,10 @@ class _Batch(DataSourceReader):
 
 
 class _Stream(SimpleDataSourceStreamReader):
-    """An empty page is not the end of a crawl: it is passed over if another follows."""
+    """A crawl by cursors, which can only be followed one after the other; a folder's pages are better read by ``folder_stream``.
+
+    An empty page is not the end of a crawl: it is passed over if another follows.
+    """
 
     def __init__(self, options: dict):
         self.api, self.per_trigger, self.since, self.sort = _api(options), int(options.get("pagesPerTrigger", 10)), options.get("since"), options.get("sort")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from driftline.functions.scalars import parse_id
 from driftline.schema import INDEX, PAPER, PENDING, WORK, with_defaults
@@ -29,22 +34,82 @@ def pending_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(PENDING).option("mode", "DROPMALFORMED").json(path)
 
 
-def matrix(spark: SparkSession, path: str, dim: int) -> DataFrame:
+#: Rows of a float matrix that one task reads, and rows of a batch.
+MATRIX_ROWS, MATRIX_BATCH = 65_536, 4_096
+
+
+@dataclass
+class RowRange(InputPartition):
+    file: str
+    first: int
+    rows: int
+
+
+class _MatrixReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path, self.dim = options["path"], int(options["dim"])
+        self.rows = int(options.get("rowsPerTask", MATRIX_ROWS))
+        if self.dim < 1 or self.rows < 1:
+            raise ValueError("dim and rowsPerTask must be positive")
+
+    def _store(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.path if "://" in self.path or self.path.startswith("file:") else f"file://{self.path}")
+
+    def partitions(self) -> list[RowRange]:
+        store, path = self._store()
+        info = store.get_file_info(path)
+        if info.type == fs.FileType.NotFound:
+            raise FileNotFoundError(self.path)
+        found = [info] if info.type == fs.FileType.File else [f for f in store.get_file_info(fs.FileSelector(path)) if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+        out = []
+        for f in sorted(found, key=lambda f: f.path):
+            whole = f.size // (4 * self.dim)  # an incomplete last row is ignored
+            out += [RowRange(f.path, low, min(self.rows, whole - low)) for low in range(0, whole, self.rows)]
+        return out or [RowRange("", 0, 0)]
+
+    def read(self, partition: RowRange) -> Iterator[pa.RecordBatch]:
+        if not partition.rows:
+            return
+        store, _ = self._store()
+        with store.open_input_file(partition.file) as f:
+            for low in range(partition.first, partition.first + partition.rows, MATRIX_BATCH):
+                n = min(MATRIX_BATCH, partition.first + partition.rows - low)
+                x = np.frombuffer(f.read_at(4 * self.dim * n, 4 * self.dim * low), "<f4")
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, self.dim, dtype=np.int32)), pa.array(x))
+                yield pa.RecordBatch.from_arrays([pa.array([partition.file] * n), pa.array(np.arange(low, low + n)), vectors], ["file", "i", "embedding"])
+
+
+class Matrix(DataSource):
+    """Raw little-endian 32-bit float matrices, a file or a folder of them: options path, dim and rowsPerTask; a task reads a range of rows."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "float_matrix"
+
+    def schema(self) -> str:
+        return "file string, i long, embedding array<float>"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _MatrixReader(self.options)
+
+
+def matrix(spark: SparkSession, path: str, dim: int, rows: int = MATRIX_ROWS) -> DataFrame:
     """(file, i, embedding) of raw little-endian 32-bit float matrices; an incomplete last row is ignored.
 
-    A binary file is one task's; large matrices belong in Parquet, where rows have keys.
+    A task reads ``rows`` rows, whatever a file's size, from any file system that Arrow knows.
     """
+    spark.dataSource.register(Matrix)
+    return spark.read.format("float_matrix").option("dim", str(dim)).option("rowsPerTask", str(rows)).load(path)
 
-    def rows(batches):
-        for b in batches:
-            for name, raw in zip(b.column("path").to_pylist(), b.column("content"), strict=True):
-                raw = raw.as_buffer()
-                x = np.frombuffer(raw, "<f4", raw.size // 4 // dim * dim).reshape(-1, dim)
-                for low in range(0, len(x), 4096):
-                    part = x[low : low + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(low, low + len(part))), pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, dim, dtype=np.int32)), pa.array(part.ravel()))], ["file", "i", "embedding"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(rows, "file string, i long, embedding array<float>")
+def in_file_order(rows: DataFrame) -> DataFrame:
+    """``matrix`` rows with ``position``, from 0 over all files in order of their names; a count for each file comes to the driver."""
+    starts, before = [], 0
+    for file, n in sorted(rows.groupBy("file").agg(F.count(F.lit(1))).collect()):
+        starts.append((file, before))
+        before += n
+    first = F.broadcast(rows.sparkSession.createDataFrame(starts, "file string, _first long"))
+    return rows.join(first, "file").withColumn("position", F.col("_first") + F.col("i")).drop("_first")
 
 
 def current_build(spark: SparkSession, path: str) -> str | None:
@@ -68,8 +133,8 @@ def index_scan(spark: SparkSession, path: str, build: str | None = None) -> Data
 class Reader:
     """An index held open: it keeps its build until ``reload`` finds another, and then the one before too.
 
-    ``rows`` of a build that is neither is None: the asker's row numbers are stale, and it should
-    fall back to random rows (feed.random_rows).
+    ``rows`` of a build that is neither is None: the asker's row numbers are stale.  ``current_rows`` brings
+    rows of either build to the current one and says who is stale.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -89,6 +154,28 @@ class Reader:
         return index_scan(self.spark, self.path, build) if build in self.builds else None
 
 
+def row_map(spark: SparkSession, path: str, old: str, new: str) -> DataFrame:
+    """(old_row, id, row): where the rows of a build are in another one; rows that it lacks are left out."""
+    return index_scan(spark, path, old).select(F.col("row").alias("old_row"), "id").join(index_scan(spark, path, new).select("id", "row"), "id").select("old_row", "id", "row")
+
+
+def current_rows(reader: Reader, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows that askers hold, (query_id, build, row), by the current build: (query_id, id, row, how), and the (query_id) whose build is gone.
+
+    Rows of the current build are ``kept``; those of the one before are ``mapped`` by id, unless the paper is gone.
+    An asker of any other build is stale, and should get random rows (see feed.walks).
+    """
+    now, *before = reader.builds
+    kept = asked.where(F.col("build") == now).join(index_scan(reader.spark, reader.path, now).select("row", "id"), "row").select("query_id", "id", "row", F.lit("kept").alias("how"))
+    held = F.col("build").isin(*reader.builds)
+    stale = asked.where(~F.coalesce(held, F.lit(False))).select("query_id").distinct()
+    if before:
+        moved = row_map(reader.spark, reader.path, before[0], now)
+        old = asked.where(F.col("build") == before[0]).select("query_id", F.col("row").alias("old_row"))
+        kept = kept.unionByName(old.join(moved, "old_row").select("query_id", "id", "row", F.lit("mapped").alias("how")))
+    return kept, stale
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(i, line) of a text file, lines numbered from 0 in the file's order.
 

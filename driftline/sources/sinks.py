@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +77,28 @@ def write_index(index: DataFrame, path: str, partitions: int | None = None) -> s
     return build
 
 
+def write_matrix(df: DataFrame, path: str, vector: str = "embedding") -> DataFrame:
+    """Write vectors as raw little-endian 32-bit floats, a file for each partition in its order; (file, rows) of what was written.
+
+    A file takes its place when it is whole, under its partition's number, so a task that runs again writes it anew.
+    """
+    from pyspark import TaskContext
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        store, folder = fs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        name = f"part-{TaskContext.get().partitionId():06d}.f32"
+        beside, n = f"{folder}/_{uuid.uuid4().hex}", 0
+        with store.open_output_stream(beside) as out:
+            for b in batches:
+                out.write(np.asarray(b.column(0).flatten(), "<f4").tobytes())
+                n += b.num_rows
+        store.move(beside, f"{folder}/{name}")
+        yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n])], ["file", "rows"])
+
+    return stored(df.select(F.col(vector).cast("array<float>")).mapInArrow(run, "file string, rows long"), "matrix")
+
+
 def paper_json(columns: list[str], vec: Column | None = None, scale: Column | None = None, score: Column | None = None, reason: Column | None = None) -> Column:
     """A response's object: the paper's columns, and vector (base64), scale, score and reason where there are any; 0 counts as none."""
     more = [(vec, "vec"), (scale, "scale"), (score, "score"), (reason, "reason")]

@@ -81,10 +81,13 @@ class TextIndex:
         some = touched(ids, "id", widest) if widest > 1 else None
         return self._without_gone(self._documents(self.state["segments"], some).join(ids.select("id").distinct(), "id", "left_semi"), some)
 
-    def _write(self, posts: DataFrame, documents: DataFrame | None, gone: DataFrame, papers: DataFrame | None = None) -> dict:
+    def _write(self, posts: DataFrame | None, documents: DataFrame | None, gone: DataFrame, papers: DataFrame | None = None) -> dict:
         """A segment's tables.  Without ``documents`` the lengths of ``papers`` (id) are counted from the postings once they are written."""
         name = uuid.uuid4().hex
-        posts.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(self._at("postings", name))
+        if posts is None:  # only deletions
+            documents = self.spark.createDataFrame([], DOCUMENT)
+        else:
+            posts.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(self._at("postings", name))
         if documents is None:
             written = self.spark.read.schema(POSTING).parquet(self._at("postings", name))
             sizes = written.groupBy("id").agg(F.count(F.lit(1)).alias("length"), F.count_if(F.col("col") == "title").alias("title_length"))
@@ -99,9 +102,9 @@ class TextIndex:
         got = documents.agg(F.count_if(F.col("length") > 0), F.sum("length"), F.count_if(F.col("title_length") > 0), F.sum("title_length")).first()
         return {k: int(v or 0) for k, v in zip(NO_TOTALS, got, strict=True)}
 
-    def _add(self, posts: DataFrame, papers: DataFrame, ids: DataFrame, offset: int) -> None:
+    def _add(self, posts: DataFrame | None, papers: DataFrame | None, ids: DataFrame, offset: int) -> None:
         """Commit a segment of ``posts`` of ``papers`` in place of what is there for ``ids``."""
-        before = stored(self.replaced(ids), "replaced")
+        before = stored(self.replaced(ids), "replaced") if self.state["segments"] else self.spark.createDataFrame([], f"{DOCUMENT}, segment string")
         segment = self._write(posts, None, before, papers)
         came, went = self._totals(self._documents([segment])), self._totals(before)
         totals = {k: self.state[k] + came[k] - went[k] for k in NO_TOTALS}
@@ -154,7 +157,7 @@ class TextIndex:
         if offset <= self.state["offset"]:
             return False
         out = ids.select(F.col("id").cast("long").alias("id")).distinct()
-        self._add(self.spark.createDataFrame([], POSTING), out.limit(0), out, offset)
+        self._add(None, None, out, offset)
         return True
 
     def optimize(self) -> None:

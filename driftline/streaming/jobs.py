@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from driftline.functions.text import title_key
 from driftline.operators.ingest import PENDING_ID
@@ -41,36 +43,200 @@ def pending_likes(likes: DataFrame, index: DataFrame) -> DataFrame:
     return likes.join(index, "id")
 
 
-def fill(rows: pd.DataFrame, state: tuple[float, float] | None, rate: float, burst: float) -> tuple[pd.DataFrame, float, float]:
-    """Events of one key through its bucket, in order of time."""
-    rows = rows.sort_values(["ts", "event_id"])
+#: The store that processors with timers and several states need.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start within keep their state in RocksDB; the session's own setting holds again afterwards."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+class WaitingLikes(StatefulProcessor):
+    """By paper: whether a build has it, and the users whose likes wait until one has."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.there = handle.getValueState("there", "build long")
+        self.waiting = handle.getListState("waiting", "user_id long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        build, users = None, set()
+        for part in rows:
+            builds = part["build"].dropna()
+            if len(builds):
+                build = min(int(builds.min()), build) if build is not None else int(builds.min())
+            users.update(int(u) for u in part["user_id"].dropna())
+        there = int(self.there.get()[0]) if self.there.exists() else build
+        if there is None:
+            if users:
+                self.waiting.appendList([(u,) for u in sorted(users)])
+            return
+        if not self.there.exists():
+            self.there.update((there,))
+            users |= {int(u) for (u,) in self.waiting.get()}
+            self.waiting.clear()
+        if users:
+            yield pd.DataFrame({"user_id": sorted(users), "id": int(key[0]), "build": there})
+
+
+def waiting_likes(likes: DataFrame, builds: DataFrame) -> DataFrame:
+    """(user_id, id, build): each like of a stream (user_id, id) once a build of a stream (id, build) has its paper, with the first that has.
+
+    Likes wait in keyed state for as long as it takes; a like and a build may come in any order.  Start it
+    within ``state_store``.
+    """
+    both = likes.select(F.col("id").cast("long").alias("id"), F.col("user_id").cast("long").alias("user_id"), F.lit(None).cast("long").alias("build")).unionByName(
+        builds.select(F.col("id").cast("long").alias("id"), F.lit(None).cast("long").alias("user_id"), F.col("build").cast("long").alias("build"))
+    )
+    return both.groupBy("id").transformWithStateInPandas(WaitingLikes(), "user_id long, id long, build long", "append", "none")
+
+
+#: Seconds that a ring of counters holds, and the columns of a slot.
+RING = 3600
+SUMS = ("n", "errors", "limited", "ms")
+
+
+class SecondsRing(StatefulProcessor):
+    """By kind: a slot for each of the last RING seconds, and trailing sums at each second that comes."""
+
+    def __init__(self, spans: tuple[int, ...]):
+        self.spans = spans
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ring = handle.getValueState("ring", "seconds binary, sums binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if self.ring.exists():
+            seconds, sums = (np.frombuffer(x, t).copy() for x, t in zip(self.ring.get(), (np.int64, np.float64), strict=True))
+            sums = sums.reshape(RING, len(SUMS))
+        else:
+            seconds, sums = np.full(RING, -1), np.zeros((RING, len(SUMS)))
+        out = []
+        new = pd.concat(list(rows)).sort_values("second")  # a row for each second that has ended since the last batch
+        for second, values in zip(new["second"].to_numpy(), new[list(SUMS)].fillna(0).to_numpy(float), strict=True):
+            for span in self.spans:  # the seconds before this one
+                held = (seconds >= second - span) & (seconds < second)
+                out.append((key[0], second, span, *sums[held].sum(0)))
+            seconds[second % RING], sums[second % RING] = second, values
+        self.ring.update((seconds.astype(np.int64).tobytes(), sums.tobytes()))
+        frame = pd.DataFrame(out, columns=["kind", "second", "span", *SUMS])
+        yield frame.astype({"second": "int64", "span": "int32", "n": "int64", "errors": "int64", "limited": "int64"})
+
+
+def trailing_sums(stream: DataFrame, spans: tuple[int, ...] = (60, RING), late: str = "1 hour") -> DataFrame:
+    """(kind, second, span, n, errors, limited, ms): at each second of a kind that has requests, the sums of the ``span`` seconds before it.
+
+    Seconds are counted in windows that close as the watermark passes them; what a kind keeps is a
+    ring of RING seconds.  Start it within ``state_store``.
+    """
+    if max(spans) > RING:
+        raise ValueError(f"spans of {RING} seconds at most")
+    closed = counters(stream, "1 second", late).select("kind", F.unix_seconds("start").alias("second"), *SUMS)
+    kind = closed.schema["kind"].dataType.simpleString()
+    return closed.groupBy("kind").transformWithStateInPandas(SecondsRing(spans), f"kind {kind}, second long, span int, n long, errors long, limited long, ms double", "append", "none")
+
+
+class Sampler(StatefulProcessor):
+    """By series: the last reading in each slot of some seconds, passed on when the slot has ended; the newest ones stay as a ring."""
+
+    def __init__(self, seconds: int, most: int):
+        self.width, self.most = seconds * 1000, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.slots = handle.getMapState("slots", "slot long", "us long, n long")
+        self.ring = handle.getValueState("ring", "slots array<long>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[int, int]] = {}
+        for part in rows:
+            for us, n in zip(part["us"].tolist(), part["n"].tolist(), strict=True):
+                slot = us // (1000 * self.width)
+                best[slot] = max(best.get(slot, (us, n)), (us, n))
+        for slot, reading in best.items():
+            if self.slots.containsKey((slot,)):
+                best[slot] = reading = max(reading, tuple(self.slots.getValue((slot,))))
+            else:
+                self.handle.registerTimer((slot + 1) * self.width)
+            self.slots.updateValue((slot,), reading)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        slot = expiredTimerInfo.getExpiryTimeInMs() // self.width - 1
+        us, n = self.slots.getValue((slot,))
+        held = sorted([*(self.ring.get()[0] if self.ring.exists() else []), slot])
+        for old in held[: -self.most]:
+            self.slots.removeKey((old,))
+        self.ring.update((held[-self.most :],))
+        yield pd.DataFrame({"key": [key[0]], "us": [int(us)], "n": [int(n)]})
+
+
+def samples(stream: DataFrame, by: str, value: str = "n", seconds: int = 10, most: int = 361, late: str = "10 minutes") -> DataFrame:
+    """(key, us, n): a counter's last reading in each ``seconds``, once the watermark has passed them; ``most`` of each series are kept as state.
+
+    Start it within ``state_store``.
+    """
+    kind = stream.schema[by].dataType.simpleString()
+    timed = stream.select(by, F.col("ts").cast("timestamp").alias("ts"), F.col(value).cast("long").alias("n")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy(by).transformWithStateInPandas(Sampler(seconds, most), f"key {kind}, us long, n long", "append", "eventTime")
+
+
+def fill(seconds: np.ndarray, state: tuple[float, float] | None, rate: float, burst: float) -> tuple[np.ndarray, float, float]:
+    """Events of one key, in order of time, through its bucket: which are allowed, and its state."""
     tokens, last = state if state else (burst, None)
-    allowed = []
-    for t in rows["ts"].astype("int64") / (1e9 if str(rows["ts"].dtype).startswith("datetime64[ns") else 1e6):
+    allowed = np.zeros(len(seconds), bool)
+    for i, t in enumerate(seconds.tolist()):
         tokens, last = min(burst, tokens + (t - (t if last is None else last)) * rate), t
-        allowed.append(tokens >= 1)
-        tokens -= allowed[-1]
-    return rows.assign(allowed=allowed)[["event_id", "allowed"]], float(tokens), float(last)
+        allowed[i] = tokens >= 1
+        tokens -= float(allowed[i])
+    return allowed, float(tokens), float(last)
+
+
+class Bucket(StatefulProcessor):
+    """By key: tokens and the time of the last event; gone ten minutes of event time after it, when the bucket is full again anyway."""
+
+    IDLE = 600_000
+
+    def __init__(self, rate: float, burst: float):
+        self.rate, self.burst = rate, burst
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.bucket = handle.getValueState("bucket", "tokens double, last double")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        us, ids = (np.concatenate(c) for c in zip(*((part["us"].to_numpy(), part["event_id"].to_numpy()) for part in rows), strict=True))
+        order = np.lexsort((ids, us))  # two numbers of each of the key's events in a batch
+        allowed, tokens, last = fill(us[order] / 1e6, tuple(self.bucket.get()) if self.bucket.exists() else None, self.rate, self.burst)
+        self.bucket.update((tokens, last))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(max(int(last * 1000), timerValues.getCurrentWatermarkInMs()) + self.IDLE)
+        yield pd.DataFrame({"key": key[0], "event_id": ids[order], "allowed": allowed})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.bucket.clear()
+        return iter(())
 
 
 def limited(stream: DataFrame, by: str, rate: float = 5.0, burst: float = 20.0) -> DataFrame:
     """(key, event_id, allowed): every event of a stream of (by, event_id, ts) through its key's bucket.
 
-    Buckets go ten minutes of event time after their last event, when they are full again anyway.
+    Start it within ``state_store``.
     """
-
-    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        out, tokens, last = fill(pd.concat(list(rows)), tuple(state.get) if state.exists else None, rate, burst)
-        state.update((tokens, last))
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 600_000)
-        yield out.assign(key=key[0])[["key", "event_id", "allowed"]]
-
     kind, event = (stream.schema[c].dataType.simpleString() for c in (by, "event_id"))
-    timed = stream.select(by, "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes")
-    return timed.groupBy(by).applyInPandasWithState(step, f"key {kind}, event_id {event}, allowed boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = stream.select(by, "event_id", F.col("ts").cast("timestamp").alias("ts")).withWatermark("ts", "10 minutes").withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy(by).transformWithStateInPandas(Bucket(rate, burst), f"key {kind}, event_id {event}, allowed boolean", "append", "eventTime")
 
 
 def maintain(stream: DataFrame, path: str, checkpoint: str, apply) -> object:
