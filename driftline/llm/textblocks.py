@@ -10,6 +10,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -171,14 +172,42 @@ def cleanup(spark: SparkSession) -> bool:
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that goes to a worker while a table is stored; whole texts are long, and both sides hold some batches at a time.
+BATCH_ROWS = 2_000
+#: Bytes of input, about, that a task of a stage with ``small`` results takes at least.
+TASK_BYTES = 32 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Batches of ``rows`` rows at most for what runs within; the session's own setting holds again afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        if int(before) <= 0 or int(before) > rows:
+            spark.conf.set(name, str(rows))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The size of the tables that a plan reads; very large if one doesn't tell."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
 def stored(df: DataFrame, name: str, small: bool = False, codec: str | None = None) -> DataFrame:
     """``df`` written to the shared folder and read again: lineage ends there, and a lost executor costs nothing.
 
-    ``small`` results (a small part of the input) are put in four files a core at most, as
-    steps after many-way shuffles would else write many tiny ones.
+    A stage with ``small`` results puts tiny partitions together, up to ``TASK_BYTES`` of its input a task and
+    no fewer than four tasks a core, as it would else write many tiny files; larger ones stay as they are.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
-    out = (df.coalesce(4 * spark.sparkContext.defaultParallelism) if small else df).write
-    (out.option("compression", codec) if codec else out).parquet(path)
+    if small:
+        df = df.coalesce(max(4 * spark.sparkContext.defaultParallelism, min(1 << 30, -(-input_bytes(df) // TASK_BYTES))))
+    out = df.write.option("compression", codec) if codec else df.write
+    with small_batches(spark):
+        out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
