@@ -79,7 +79,7 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
     more = [f"_k{i}" for i in range(len(keep))]
     p, lines = F.col("_late"), F.col("_lines")
     before = lambda j: F.coalesce(F.get("_ends", j - 1), F.lit(-1))
-    return (
+    found = (
         own.join(late, (F.col("_doc") == F.col("_id")) & (F.xxhash64("_text") == F.col("_version")), "left")
         .select("_doc", F.split("_text", "\n", -1).alias("_lines"), F.coalesce("late", F.array().cast("array<int>")).alias("_late"), "_text", *more)
         .select(
@@ -92,15 +92,18 @@ def keep_bitmaps(docs: DataFrame, id: str = "doc_id", text: str = "text", min_ch
             F.size(lines).cast("long").alias("n_lines"),
             F.size(p).cast("long").alias("n_dropped"),
             F.concat(F.flatten(F.transform("_starts", lambda s, j: F.array(s - before(j) - 1, F.get("_ends", j) - s + 1))), F.array(F.size(lines) - F.coalesce(F.get(p, F.size(p) - 1), F.lit(-1)) - 1)).alias("keep_runs"),
-            *([_kept(lines, F.col("_starts"), before, F.col("_text")).alias(text)] if with_text else []),
-            *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
+            *([lines, "_text"] if with_text else []),
+            *more,
         )
     )
+    kept = F.when(F.size("keep_runs") == 1, F.col("_text")).otherwise(kept_lines(lines, F.col("keep_runs")))
+    return found.select(id, "n_lines", "n_dropped", "keep_runs", *([kept.alias(text)] if with_text else []), *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
-def _kept(lines: Column, starts: Column, before, whole: Column) -> Column:
-    runs = F.transform(F.concat(starts, F.array(F.size(lines))), lambda s, j: F.slice(lines, before(j) + 2, s - before(j) - 1))
-    return F.when(F.size(starts) == 0, whole).otherwise(F.array_join(F.flatten(runs), "\n"))
+def kept_lines(lines: Column, keep_runs: Column) -> Column:
+    """The lines that a run-length coded bitmap keeps, joined: its runs spread out to one flag a line."""
+    flags = F.flatten(F.transform(keep_runs, lambda n, i: F.array_repeat(i % 2 == 0, n)))
+    return F.array_join(F.filter(lines, lambda line, i: F.get(flags, i)), "\n")
 
 
 def drop_repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_chars: int = MIN_KEY_CHARS, keep: tuple[str, ...] = ()) -> DataFrame:
