@@ -427,7 +427,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     own = docs.select(F.col(f"`{id}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("version", F.xxhash64("text"))
     texts = own.where(F.octet_length("text") >= length).select("id", "text", "version")
     rows = f"gram long, part int, digest long, more long, id {kind}, version long, start long, windows int, weight byte"
-    seen = texts.where(F.pmod("version", F.lit(HOT_SAMPLE)) == 0).mapInArrow(lean(_block_rows(length)), rows).where("weight > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("kinds"))
+    seen = texts.where(F.pmod(F.xxhash64("id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(lean(_block_rows(length)), rows).where("weight > 0").groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("digest").alias("kinds"))
     frequent = {r["gram"]: r["kinds"] * HOT_SAMPLE > HOT_BLOCKS for r in seen.where("n > 8").orderBy(F.desc("n"), "gram").limit(HOT_GRAMS).collect()}
     found = texts.mapInArrow(lean(_block_rows(length, frequent)), rows)
     collapsed = stored(found.repartition("gram", "part").sortWithinPartitions("gram", "part", "digest", "more", "windows").mapInArrow(lean(_collapse), f"gram long, id {kind}, version long, start long, windows int, weight byte, settled boolean, hot boolean"), "blocks", small=True)
