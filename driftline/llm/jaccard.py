@@ -588,8 +588,25 @@ def open_pairs(placed: DataFrame, most: int) -> DataFrame:
     return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lean(compare), "a long, b long, more boolean")
 
 
-def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sets, classes, labels): set hashes of all rows, one row for each distinct set, and (rep, component) of sets with links."""
+def shared_ids(found: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """(id, rep, first): the sets of ids that have several, empty ones left out, with the first of each id; None without such ids.
+
+    An id's least and largest hash tell whether it has several, so an id of very many rows is settled before the shuffle.
+    """
+    edges = [f(c).alias(f"{c}_{name}") for c in ("ref", "more", "n") for name, f in (("l", F.min), ("h", F.max))]
+    several = found.where("id is not null").groupBy("id").agg(*edges).where("ref_l < ref_h or more_l < more_h or n_l < n_h").select("id")
+    several = stored(several, "several", small=True)
+    if not several.limit(1).count():
+        return None
+    own = found.join(several, "id", "left_semi").select("id", "ref", "more").distinct().join(classes.select("ref", "more", "rep"), ["ref", "more"]).select("id", "rep")
+    return stored(own.join(own.groupBy("id").agg(F.min("rep").alias("first")), "id"), "shared-ids", small=True)
+
+
+def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame | None]:
+    """(sets, classes, labels, shared): set hashes of all rows, one row for each distinct set, (rep, component) of sets with links, and ``shared_ids``.
+
+    Sets of one id are linked, whatever they hold.
+    """
     found = stored(sets(docs, size, id, text), "sets")
     classes = stored(found.where("n > 0 and id is not null").groupBy("ref", "more").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes", small=True)
     total = classes.agg(F.sum("n")).first()[0] or 0
@@ -603,7 +620,9 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
     stars = members.where("ref <> group").select(F.col("group").alias("a"), F.col("ref").alias("b"))
     pairs = met.where("a is not null").select("a", "b").unionAll(stars).distinct()
     is_link = F.col("shared") * 100 >= F.col("joint") * PERCENT
-    links = seen = None
+    shared = shared_ids(found, classes)
+    links = None if shared is None else shared.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b"))
+    seen = None
     most = FIRST_PAIRS
     while True:
         met_now = stored(sifted(pairs, classes), "sifted", small=True)
@@ -622,7 +641,7 @@ def similar_sets(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text:
             if not left.where("more").limit(1).count():
                 break
         most *= 16
-    return found, classes, label
+    return found, classes, label, shared
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -631,10 +650,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, id: str = "doc_id", te
     Two documents link if their sets of ``size``-word shingles have a Jaccard similarity of
     0.75 or more; component_id is the smallest id in reach.  A text without words (or null)
     has an empty set and stays alone, with its own id.  A row with a null id links with none and
-    has a null component.  Rows that repeat an id are one node with the links of all.  Ids are
-    cast to long; other columns are ignored.
+    has a null component.  Rows that repeat an id are one node with the links of
+    all, and share a component.  Texts are taken whole, whatever their length; an empty table gives no rows.
+    Ids are cast to long; other columns are ignored.
     """
-    found, classes, label = similar_sets(docs, size, id, text)
+    found, classes, label, shared = similar_sets(docs, size, id, text)
     # one row for each set: hot sets are split by adaptive execution
     of_set = classes.join(label, "rep", "left").select("ref", "more", F.coalesce("component", "rep").alias("component"))
-    return found.join(of_set, ["ref", "more"], "left").select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component"))).alias("component_id"))
+    rows = found.join(of_set, ["ref", "more"], "left")
+    if shared is not None:  # rows without words go where their id's other rows are
+        of_id = shared.groupBy(F.col("id").alias("_id")).agg(F.min("first").alias("rep")).join(label, "rep", "left").select("_id", F.coalesce("component", "rep").alias("_component"))
+        rows = rows.join(of_id, F.col("id") == F.col("_id"), "left").withColumn("component", F.when(F.col("n") == 0, F.col("_component")).otherwise(F.col("component")))
+    return rows.select(F.col("id").alias(id), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
