@@ -17,18 +17,6 @@ from driftline.llm.textblocks import stored
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-#: Rows of a batch that goes to a worker; whole texts are long, and both sides hold some batches at a time.
-BATCH_ROWS = 2_000
-
-
-def _small_batches(spark: SparkSession) -> None:
-    """From now on the session sends batches of BATCH_ROWS rows at most, which changes memory and no result."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(name))
-    if now <= 0 or now > BATCH_ROWS:
-        spark.conf.set(name, str(BATCH_ROWS))
-
-
 def _documents(df: DataFrame) -> DataFrame:
     """The columns of ``documents``, without documents that have no text left."""
     return df.withColumn("n_chars", F.length("text").cast("long")).where(F.col("text").rlike(r"\S")).select(*COLUMNS)
@@ -36,7 +24,6 @@ def _documents(df: DataFrame) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without text, go; profiles are learned from the labelled ones, and where none can be the letters alone decide."""
-    _small_batches(spark)
     profiles = langid.learn(docs)
     if not profiles.languages:
         return docs.where(F.col("text").rlike(r"\p{L}")).select(*COLUMNS)
@@ -46,7 +33,6 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go, and documents that lose all their text."""
-    _small_batches(spark)
     return _documents(linededup.drop_repeated_lines(docs, keep=("lang", "source")))
 
 
@@ -55,7 +41,6 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Rows with a null id are in no group: one of each text stays, unless a row with an id has the same text.
     """
-    _small_batches(spark)
     found = jaccard.near_duplicates(docs)
     first = found.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.select(*COLUMNS, F.sha2("text", 256).alias("digest"))
@@ -67,14 +52,12 @@ def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 200 bytes that occur twice go, and documents that lose all their text."""
-    _small_batches(spark)
     kept = suffix.remove_repeats(docs, keep=("lang", "source"), with_bytes=False, with_text=True)
     return _documents(kept.withColumnRenamed("kept_text", "text"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in training sequences."""
-    _small_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
