@@ -355,13 +355,15 @@ def exact_topk(index: DataFrame, queries: DataFrame, k: int = 100, f: Filter | N
     banned = None
     if exclude is not None:
         banned = newest_pairs(exclude).select("query_id", F.col("id").cast("long").alias("id")).distinct().join(asked.select("query_id"), "query_id", "left_semi")
-    total = asked.count()
+    total, most = asked.agg(F.count(F.lit(1)), F.coalesce(F.max("k"), F.lit(0))).first()
     few = total <= QUERY_CHUNK and (banned is None or banned.count() <= PAIR_CHUNK)
     found = (_by_scan if few else _by_block)(points, asked, probes, banned)
-    scales = asked.select("query_id", F.col("scale").alias("q_scale"), "k")
+    # ranked first, so that the tops of all tasks meet their queries' scales as one top
     best = Window.partitionBy("query_id").orderBy(F.desc("partial"), "row")
-    scored = found.join(F.broadcast(scales) if total <= QUERY_CHUNK else scales, "query_id")
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= F.col("k")).select("query_id", "rank", F.col("id").alias(id), "row", "dot", (F.col("partial") * F.col("q_scale")).alias("score"))
+    top = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    scales = asked.select("query_id", F.col("scale").alias("q_scale"), "k")
+    scored = top.join(F.broadcast(scales) if total <= QUERY_CHUNK else scales, "query_id").where(F.col("rank") <= F.col("k"))
+    return scored.select("query_id", "rank", F.col("id").alias(id), "row", "dot", (F.col("partial") * F.col("q_scale")).alias("score"))
 
 
 def rank_clusters(queries: DataFrame, centroids: DataFrame, vector: str = "u", most: int | None = None) -> DataFrame:
