@@ -59,8 +59,8 @@ def match_expression(s: Column, any_word: bool = False) -> Column:
 
 
 def fold(word: str) -> str:
-    """Without diacritics."""
-    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+    """Without diacritics; ligatures, superscripts and syllable blocks stay as they are."""
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", word) if not unicodedata.combining(c)))
 
 
 class Porter:

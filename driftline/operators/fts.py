@@ -177,12 +177,3 @@ class TtlCache:
             self.held.clear()
         self.held[key] = (now, value)
         return value
-
-
-#: Pages of results held for repeated searches, by (query, sort, page).
-PAGES = TtlCache()
-
-
-def cached_page(key: tuple, result) -> list:
-    """The rows of ``result()``, a page of PAGE rows, from the cache if it was asked lately."""
-    return PAGES.get(key, lambda: result().collect())

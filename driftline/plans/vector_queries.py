@@ -229,6 +229,19 @@ def taste_vector_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tastes(spark, sf_dir).select("user_id", "n", F.posexplode("v").alias("i", "x")).select("user_id", "n", "i", F.round("x", 6).alias("x"))
 
 
+_OPENED = "NOT EXISTS (SELECT 1 FROM interactions o WHERE o.kind = 'click' AND o.user_id = i.user_id AND o.id = i.id)"
+_UNLIKED = _TASTE.replace("FROM interactions WHERE kind = 'like'", f"FROM interactions i WHERE kind = 'like' AND {_OPENED}")
+
+
+@query(f"WITH {_UNLIKED} SELECT user_id, n, CAST(k - 1 AS INTEGER) AS i, round(x, 6) AS x FROM tastes")
+def taste_after_unlikes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tastes without the likes that were taken back; here a click on a paper takes its like back."""
+    all = interactions(spark, sf_dir)
+    likes, back = (all.where(F.col("kind") == k).select("user_id", "ts", "id") for k in ("like", "click"))
+    vectors = unit_vectors(spark, sf_dir).select("id", F.col("u").alias("v"))
+    return taste.taste_vectors(likes, vectors, unlikes=back).select("user_id", "n", "i", F.round("x", 6).alias("x"))
+
+
 _TASTE_Q = """vecs AS (
   SELECT user_id AS id, list(x ORDER BY k) AS t FROM tastes GROUP BY user_id
 ), tu AS (

@@ -241,7 +241,7 @@ class Ingest:
             except Throttled as e:
                 self.save(paused_until=self.clock() + e.retry_after + 60)
         did["embed"] = self.embed()
-        did["build"] = int(self.build())
+        did["build"] = int(self.upgrade() or self.build())
         return did
 
     def run(self, rounds: int, sleep: Callable[[float], None] = time.sleep) -> list[dict[str, int]]:

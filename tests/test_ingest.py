@@ -415,6 +415,15 @@ def test_lists_are_cut_and_bad_states_left_out(spark):
     assert set(got) == {1, 4} and list(got[1]["seen"]) == list(range(500, 1500)) and list(got[1]["searches"]) == ["q"] and list(got[4]["seen"]) == [1] and list(got[4]["liked"]) == []
 
 
+def test_imported_vectors_are_checked(spark):
+    rows = spark.createDataFrame([([[1.0, 2.0], [1.0], [float("nan"), 1.0], [float("inf"), 1.0], None, [3.0, 4.0]],), ([],), (None,)], "vs array<array<double>>")
+    assert [r[0] for r in rows.select(taste.import_state(F.col("vs"), 2)).collect()] == [[[1.0, 2.0], [3.0, 4.0]], [], None]
+
+
+def test_folding_takes_diacritics_alone():
+    assert [X.fold(w) for w in ("caf\u00e9", "\ufb01n", "x\u00b2", "\ud55c\uad6d", "e\u0301")] == ["cafe", "\ufb01n", "x\u00b2", "\ud55c\uad6d", "e"]
+
+
 def test_percentiles_by_place(spark):
     rng = np.random.default_rng(1)
     data = {"a": rng.integers(0, 9, 1000).astype(float), "b": rng.normal(size=777), "c": np.array([5.0]), "d": np.full(300, 2.0)}

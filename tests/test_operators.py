@@ -64,6 +64,8 @@ def test_float_bytes_round_trip(spark):
     df = spark.createDataFrame([([1.5, -2.0],), (None,)], "v array<float>")
     assert [r[0] for r in df.select(V.decode_f32(V.encode_f32("v"))).collect()] == [[1.5, -2.0], None]
     assert not one(spark, V.valid_query(F.array(F.lit(1.0), F.lit(float("nan"))), 2))[0]
+    small = spark.createDataFrame([([1, -127],), (None,)], "v array<tinyint>")
+    assert [r[0] for r in small.select(V.encode_i8("v")).collect()] == [bytes([1, 129]), None]
 
 
 def test_taste_fold_and_its_closed_form(spark):
@@ -273,6 +275,12 @@ def test_sitemap_chunks(spark):
     assert got == {(0, "/"), (0, "a"), (0, "b"), (0, "c"), (1, "d")}
 
 
+def test_sitemap_files_are_written_by_chunk(spark, tmp_path):
+    sinks.write_sitemap(spark.createDataFrame([(0, "a"), (49_999, "d")], "row long, url string"), f"file://{tmp_path}/map", home="/")
+    got = {p.name: sorted("".join(f.read_text() for f in p.glob("*.txt")).split()) for p in (tmp_path / "map").glob("chunk=*")}
+    assert got == {"chunk=0": ["/", "a"], "chunk=1": ["d"]}
+
+
 def test_backfill_progress(spark):
     row = one(spark, *metrics.backfill_progress(F.lit(50), F.lit(200), F.lit(10), F.lit(2.0), F.lit(25)))
     assert row[0] == 25 and math.isclose(row[1], (150 * 0.5 + 10) / 2)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import ingest, search
-from driftline.sources import crawl, files, sinks, synth
+from driftline.sources import crawl, files, shared, sinks, synth
 from driftline.streaming import jobs
 from driftline.streaming.loop import Ingest, Limits
 
@@ -261,3 +261,11 @@ def test_loop_asks_with_its_filter_cuts_texts_and_relabels_in_parts(spark, tmp_p
     assert job.relabel(labels, "v2") and len(rewritten) == 3 and not job.relabel(labels, "v2")
     assert sorted((r["id"], r["field"], r["excluded"]) for r in job.papers().collect()) == sorted([(n, f"New {n}", n == 4) for n in range(6)] + [(50, "Programming", False)])
     assert job.add([made(50), made(51)]) == 1 and job.papers().count() == 8 and job.queue() == 2
+    # an index of an older format is built anew by the next round
+    assert job.embed() == 2 and job.build(force=True) and not job.upgrade()
+    pointer = f"file://{tmp_path}/home/index/current"
+    old = shared.read_pointer(spark, pointer)
+    shared.write_pointer(spark, pointer, old | {"version": old["version"] - 1})
+    assert job.round()["build"] == 1
+    new = shared.read_pointer(spark, pointer)
+    assert new["version"] == old["version"] and new["build"] != old["build"] and not job.upgrade()
