@@ -69,12 +69,27 @@ def ago(seconds: Column) -> Column:
     return F.when(seconds < 60, "just now").when(seconds < 3600, step(60, "m")).when(seconds < 86400, step(3600, "h")).otherwise(step(86400, "d"))
 
 
+def one_decimal(x: Column) -> Column:
+    """A number that is not negative with one decimal, rounded as C's printf does: by its exact binary value, a half to the even digit.
+
+    ``format_string`` rounds the shortest decimal notation instead: 1.65, which is a little less in binary, as 1.7.
+    """
+    whole = F.floor(x)
+    part = x - whole  # exact, and so are both terms of its tenfold, as the first has 20 binary places
+    high = F.floor(part * 2**20) / 2**20
+    digit = F.floor(part * 10)
+    over = (high * 10 - (digit + 0.5)) + (part - high) * 10
+    tenths = whole * 10 + digit + ((over > 0) | ((over == 0) & (digit % 2 == 1))).cast("long")
+    said = F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+    return F.when(x < 2**46, said).otherwise(F.format_string("%.1f", x.cast("double")))
+
+
 def duration(seconds: Column) -> Column:
     return (
         F.when(seconds < 90, F.concat(F.round(seconds).cast("long").cast("string"), F.lit("s")))
         .when(seconds < 5400, F.concat(F.round(seconds / 60).cast("long").cast("string"), F.lit(" min")))
-        .when(seconds < 2 * 86400, F.concat(F.format_string("%.1f", seconds / 3600), F.lit(" h")))
-        .otherwise(F.concat(F.format_string("%.1f", seconds / 86400), F.lit(" days")))
+        .when(seconds < 2 * 86400, F.concat(one_decimal(seconds / 3600), F.lit(" h")))
+        .otherwise(F.concat(one_decimal(seconds / 86400), F.lit(" days")))
     )
 
 

@@ -235,6 +235,13 @@ def test_scalars(spark):
     assert search.auto_nlist(199_999) == 0 and search.auto_nlist(8_300_000) == 4096 and search.auto_nlist(200_000) == 512
 
 
+def test_durations_are_rounded_by_their_exact_value(spark):
+    """Every tenth of an hour and of a day, and the halves between them, as printf writes them."""
+    n = [*range(5400, 172800, 60), *range(172800, 3_000_000, 4320), 5940, 2**40 + 1, 2**50]
+    want = [f"{x / 3600:.1f} h" if x < 172800 else f"{x / 86400:.1f} days" for x in n]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in n], "n long").coalesce(1).select(S.duration(F.col("n"))).collect()] == want
+
+
 def test_index_is_versioned_and_readers_keep_their_build(spark, index, tmp_path):
     path = f"{tmp_path}/index"
     sinks.write_index(index[0], path, 2)
