@@ -147,48 +147,34 @@ def trailing_sums(stream: DataFrame, spans: tuple[int, ...] = (60, RING), late:
 
 
 class Sampler(StatefulProcessor):
-    """By series: the last reading in each slot of some seconds, passed on when the slot has ended; the newest ones stay as a ring."""
+    """By series: readings of slots that have ended are passed on; the newest ones stay as a ring."""
 
-    def __init__(self, seconds: int, most: int):
-        self.width, self.most = seconds * 1000, most
+    def __init__(self, most: int):
+        self.most = most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.slots = handle.getMapState("slots", "slot long", "us long, n long")
-        self.ring = handle.getValueState("ring", "slots array<long>")
+        self.slots = handle.getListState("slots", "us long, n long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[int, int]] = {}
+        newest = [tuple(x) for x in self.slots.get()]
         for part in rows:
-            for us, n in zip(part["us"].tolist(), part["n"].tolist(), strict=True):
-                slot = us // (1000 * self.width)
-                best[slot] = max(best.get(slot, (us, n)), (us, n))
-        for slot, reading in best.items():
-            if self.slots.containsKey((slot,)):
-                best[slot] = reading = max(reading, tuple(self.slots.getValue((slot,))))
-            else:
-                self.handle.registerTimer((slot + 1) * self.width)
-            self.slots.updateValue((slot,), reading)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        slot = expiredTimerInfo.getExpiryTimeInMs() // self.width - 1
-        us, n = self.slots.getValue((slot,))
-        held = sorted([*(self.ring.get()[0] if self.ring.exists() else []), slot])
-        for old in held[: -self.most]:
-            self.slots.removeKey((old,))
-        self.ring.update((held[-self.most :],))
-        yield pd.DataFrame({"key": [key[0]], "us": [int(us)], "n": [int(n)]})
+            us, n = part["us"].to_numpy(), part["n"].to_numpy()
+            last = np.argsort(us)[-self.most :]
+            newest = sorted([*newest, *zip(us[last].tolist(), n[last].tolist(), strict=True)])[-self.most :]
+            yield pd.DataFrame({"key": key[0], "us": us, "n": n})
+        self.slots.put(newest)
 
 
 def samples(stream: DataFrame, by: str, value: str = "n", seconds: int = 10, most: int = 361, late: str = "10 minutes") -> DataFrame:
     """(key, us, n): a counter's last reading in each ``seconds``, once the watermark has passed them; ``most`` of each series are kept as state.
 
-    Start it within ``state_store``.
+    Slots are windows that Spark counts and closes; Python sees those that have ended, a series at a time, and
+    writes its ring once a batch.  Start it within ``state_store``.
     """
     kind = stream.schema[by].dataType.simpleString()
-    timed = stream.select(by, F.col("ts").cast("timestamp").alias("ts"), F.col(value).cast("long").alias("n")).withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy(by).transformWithStateInPandas(Sampler(seconds, most), f"key {kind}, us long, n long", "append", "eventTime")
+    timed = stream.select(by, F.col("ts").cast("timestamp").alias("ts"), F.col(value).cast("long").alias("n")).withWatermark("ts", late).where("n is not null")
+    ended = timed.groupBy(by, F.window("ts", f"{seconds} seconds").alias("w")).agg(F.max(F.struct(F.unix_micros("ts").alias("us"), "n")).alias("last"))
+    return ended.select(by, "last.us", "last.n").groupBy(by).transformWithStateInPandas(Sampler(most), f"key {kind}, us long, n long", "append", "none")
 
 
 def fill(seconds: np.ndarray, state: tuple[float, float] | None, rate: float, burst: float) -> tuple[np.ndarray, float, float]:

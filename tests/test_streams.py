@@ -3,6 +3,7 @@
 import json
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,23 @@ def test_samples_over_batches(spark, tmp_path, few):
     assert all(r["count"] <= 3 + 2 for r in slots)  # the ring, and slots that haven't ended
 
 
+def test_samples_are_passed_on_by_series_not_by_slot(spark):
+    """A call of Python for each reading, and one for each slot's timer, made a large stream fail by time."""
+    made = []
+
+    class Slots:
+        held = []
+        get = lambda self: iter(self.held)
+        put = lambda self, rows: made.append(rows)
+
+    sampler = jobs.Sampler(3)
+    sampler.slots = Slots()
+    parts = [pd.DataFrame({"us": np.arange(k, 1000, 2), "n": np.arange(k, 1000, 2) + 7}) for k in (0, 1)]
+    out = pd.concat(list(sampler.handleInputRows(("a",), iter(parts), None)))
+    assert sorted(out["us"]) == list(range(1000)) and (out["n"] == out["us"] + 7).all()
+    assert made == [[(997, 1004), (998, 1005), (999, 1006)]]
+
+
 # page folders
 
 
