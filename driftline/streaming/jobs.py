@@ -23,16 +23,20 @@ def new_rows(stream: DataFrame, id: str = "id", title: str | None = "title", ts:
     return out.withColumn("key", title_key(F.col(title))).dropDuplicates(["key"]).drop("key") if title else out
 
 
-def counters(stream: DataFrame, every: str = "1 second", late: str = "1 hour") -> DataFrame:
-    """(start, kind, n, errors, limited, ms): tumbling sums of request metrics."""
+def _sums(stream: DataFrame, every: str, late: str) -> DataFrame:
+    """(w, kind, n, errors, limited, ms): sums of request metrics by window."""
     return (
         stream.withWatermark("ts", late)
         .groupBy(F.window("ts", every).alias("w"), "kind")
         .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") >= 500).alias("errors"), F.count_if(F.col("status") == 429).alias("limited"), F.sum("ms").alias("ms"))
-        .select(F.col("w.start").alias("start"), "kind", "n", "errors", "limited", "ms")
     )
 
 
+def counters(stream: DataFrame, every: str = "1 second", late: str = "1 hour") -> DataFrame:
+    """(start, kind, n, errors, limited, ms): tumbling sums of request metrics."""
+    return _sums(stream, every, late).select(F.col("w.start").alias("start"), "kind", "n", "errors", "limited", "ms")
+
+
 def pending_ids(stream: DataFrame) -> DataFrame:
     """Well-formed ids of the pending log, each once."""
     return stream.where(F.col("id").rlike(PENDING_ID)).dropDuplicates(["id"])
@@ -101,49 +105,65 @@ def waiting_likes(likes: DataFrame, builds: DataFrame) -> DataFrame:
     return both.groupBy("id").transformWithStateInPandas(WaitingLikes(), "user_id long, id long, build long", "append", "none")
 
 
-#: Seconds that a ring of counters holds, and the columns of a slot.
+#: Seconds that a ring of counters holds, the columns of a slot, and the seconds of a day.
 RING = 3600
 SUMS = ("n", "errors", "limited", "ms")
+DAY = 86_400
 
 
 class SecondsRing(StatefulProcessor):
-    """By kind: a slot for each of the last RING seconds, and trailing sums at each second that comes."""
+    """By kind and day: a ring of the last RING seconds, and trailing sums at each second of the day; gone when the day is over."""
 
     def __init__(self, spans: tuple[int, ...]):
         self.spans = spans
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.ring = handle.getValueState("ring", "seconds binary, sums binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.ring.exists():
-            seconds, sums = (np.frombuffer(x, t).copy() for x, t in zip(self.ring.get(), (np.int64, np.float64), strict=True))
-            sums = sums.reshape(RING, len(SUMS))
+        kind, day = key
+        new = pd.concat(list(rows)).sort_values("second")  # a row for each second that has ended since the last batch, of a day and an hour at most
+        seconds, sums = new["second"].to_numpy(np.int64), new[list(SUMS)].fillna(0).to_numpy(float)
+        own = seconds[seconds >= day * DAY]
+        if self.ring.exists():  # what it holds is older, as seconds end in order
+            held = [np.frombuffer(x, t) for x, t in zip(self.ring.get(), (np.int64, np.float64), strict=True)]
+            seconds, sums = np.concatenate([held[0], seconds]), np.concatenate([held[1].reshape(-1, len(SUMS)), sums])
         else:
-            seconds, sums = np.full(RING, -1), np.zeros((RING, len(SUMS)))
-        out = []
-        new = pd.concat(list(rows)).sort_values("second")  # a row for each second that has ended since the last batch
-        for second, values in zip(new["second"].to_numpy(), new[list(SUMS)].fillna(0).to_numpy(float), strict=True):
-            for span in self.spans:  # the seconds before this one
-                held = (seconds >= second - span) & (seconds < second)
-                out.append((key[0], second, span, *sums[held].sum(0)))
-            seconds[second % RING], sums[second % RING] = second, values
-        self.ring.update((seconds.astype(np.int64).tobytes(), sums.tobytes()))
-        frame = pd.DataFrame(out, columns=["kind", "second", "span", *SUMS])
-        yield frame.astype({"second": "int64", "span": "int32", "n": "int64", "errors": "int64", "limited": "int64"})
+            self.handle.registerTimer((day + 1) * DAY * 1000)
+        kept = seconds >= seconds[-1] - RING
+        self.ring.update((seconds[kept].tobytes(), sums[kept].tobytes()))
+        if not len(own):
+            return
+        upto, running = np.searchsorted(seconds, own), np.zeros((len(seconds) + 1, len(SUMS)), np.longdouble)
+        np.cumsum(sums, 0, np.longdouble, running[1:])
+        for span in self.spans:  # the seconds before each one
+            since = np.searchsorted(seconds, own - span)
+            total = (running[upto] - running[since]).astype(float)
+            frame = pd.DataFrame(total, columns=list(SUMS)).astype({"n": "int64", "errors": "int64", "limited": "int64"})
+            frame.insert(0, "kind", kind)
+            frame.insert(1, "second", own)
+            frame.insert(2, "span", np.int32(span))
+            yield frame
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.ring.clear()
+        return iter(())
 
 
 def trailing_sums(stream: DataFrame, spans: tuple[int, ...] = (60, RING), late: str = "1 hour") -> DataFrame:
     """(kind, second, span, n, errors, limited, ms): at each second of a kind that has requests, the sums of the ``span`` seconds before it.
 
-    Seconds are counted in windows that close as the watermark passes them; what a kind keeps is a
-    ring of RING seconds.  Start it within ``state_store``.
+    Seconds are counted in windows that close as the watermark passes them.  Each goes to its own day, and one of
+    the last hour to the next day too, whose first seconds look back on it; so a task holds a day and an hour of a kind
+    and no more.  Start it within ``state_store``.
     """
     if max(spans) > RING:
         raise ValueError(f"spans of {RING} seconds at most")
-    closed = counters(stream, "1 second", late).select("kind", F.unix_seconds("start").alias("second"), *SUMS)
+    closed = _sums(stream, "1 second", late).select(F.window_time("w").alias("at"), "kind", F.unix_seconds("w.start").alias("second"), *SUMS)
+    dealt = closed.withColumn("day", F.explode(F.array_distinct(F.array(F.floor(F.col("second") / DAY), F.floor((F.col("second") + RING) / DAY)))))
     kind = closed.schema["kind"].dataType.simpleString()
-    return closed.groupBy("kind").transformWithStateInPandas(SecondsRing(spans), f"kind {kind}, second long, span int, n long, errors long, limited long, ms double", "append", "none")
+    return dealt.groupBy("kind", "day").transformWithStateInPandas(SecondsRing(spans), f"kind {kind}, second long, span int, n long, errors long, limited long, ms double", "append", "eventTime")
 
 
 class Sampler(StatefulProcessor):

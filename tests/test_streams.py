@@ -136,6 +136,22 @@ def test_samples_are_passed_on_by_series_not_by_slot(spark):
     assert made == [[(997, 1004), (998, 1005), (999, 1006)]]
 
 
+def test_trailing_sums_hold_a_day_of_a_kind(spark, tmp_path, few):
+    """Seconds of several days meet in groups by day, and sums look back across midnight; a day's ring goes when the day is over."""
+    steps = Steps(spark, tmp_path, "kind string, t long, status int, ms double")
+    make = lambda s: jobs.trailing_sums(s.select("kind", F.timestamp_seconds("t").alias("ts"), "status", "ms"), (60, 3600), "10 seconds")
+    midnight = (at(0) // 86400 + 1) * 86400
+    rows = [("a", midnight + s, 200, 0.5) for s in (-3601, -3600, -40, -1, 0, 20, 3599, 86399, 86400, 4 * 86400)]
+    got = []
+    for part in (rows[:5], rows[5:8], rows[8:], [("a", midnight + 9 * 86400, 200, 0.5)], [("a", midnight + 9 * 86400 + 60, 200, 0.5)]):
+        steps.put(part)
+        got += steps.run(make)
+    got = [r for r in got if r[1] <= rows[-1][1]]
+    assert sorted(got) == sorted((k, t, span, n := sum(t - span <= u < t for _, u, _, _ in rows), 0, 0, n * 0.5) for k, t, _, _ in rows for span in (60, 3600))
+    left = spark.read.format("statestore").option("path", f"{steps.path}/c").option("stateVarName", "ring").load()
+    assert "day" in left.select("key.*").columns and left.where(F.col("key.day") < midnight // 86400 + 5).count() == 0
+
+
 # page folders
 
 
