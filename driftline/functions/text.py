@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -139,17 +143,34 @@ class Porter:
         return w
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stems(tokens):
-    """Folded and stemmed tokens; there is no built-in stemmer."""
-    memo: dict[str, str] = {}
-
-    def one(w: str) -> str:
-        if w not in memo:
-            memo[w] = Porter.stem(fold(w))
-        return memo[w]
-
-    return tokens.map(lambda x: None if x is None else [one(w) for w in x])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stems(tokens: pa.Array) -> pa.Array:
+    """Folded and stemmed tokens, each distinct one of a batch once; there is no built-in stemmer."""
+    flat = tokens.flatten().dictionary_encode()
+    stemmed = pa.array([Porter.stem(fold(w)) for w in flat.dictionary.to_pylist()], pa.string()).take(flat.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), stemmed, mask=tokens.is_null())
+
+
+#: White space as Spark's regular expressions take it.
+BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def invert_text(texts: pa.Array) -> pa.Array:
+    """Map from the words of a text, split at white space, to their positions; null is ''.  Within the row, so that no word is moved."""
+    ends, words, stops, places = [0], [], [0], []
+    for s in texts.to_pylist():
+        held: dict[str, list[int]] = {}
+        for p, w in enumerate(BLANK.split(s or "")):
+            held.setdefault(w, []).append(p)
+        words.extend(held)
+        for ps in held.values():
+            places.extend(ps)
+            stops.append(len(places))
+        ends.append(len(words))
+    at = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(places, pa.int32()))
+    return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()), at)
 
 
 def rebuild_text(inverted: Column) -> Column:

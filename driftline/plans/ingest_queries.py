@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.functions import text as X
 from driftline.functions.scalars import parse_id
 from driftline.operators import feed, ingest, search
 from driftline.operators.order import ranked
@@ -32,15 +33,13 @@ def query(sql: str | None = None):
 def _works(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as crawled works: titles from the first line, the words of the whole text as an inverted index, attributes by id."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "n_chars")
-    words = d.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "w")).groupBy("doc_id", "w").agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    inverted = words.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("abstract_inverted_index"))
     n = F.col("doc_id")
     field = F.struct(F.when(n % 4 == 3, "https://f.example/23").otherwise("https://f.example/17").alias("id"), F.when(n % 2 == 0, "Science").otherwise("").alias("display_name"))
     topic = F.struct(F.concat(F.lit("https://t.example/T"), (n % 7).cast("string")).alias("id"), F.concat(F.lit("Topic "), (n % 7).cast("string")).alias("display_name"), F.struct(F.concat(F.lit("https://s.example/"), (n % 5).cast("string")).alias("id"), F.lit("").alias("display_name")).alias("subfield"), field.alias("field"))
-    return d.join(inverted, "doc_id").select(
+    return d.select(
         F.concat(F.lit("https://w.example/W"), n.cast("string")).alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
-        "abstract_inverted_index",
+        X.invert_text(F.col("text")).alias("abstract_inverted_index"),
         F.array(*[F.struct(F.struct(x.alias("display_name")).alias("author")) for x in (F.lit("Ann"), F.lit(""), F.when(n % 2 == 0, "Bo"))]).alias("authorships"),
         (2000 + n % 26).cast("int").alias("publication_year"),
         F.struct(F.lit("").alias("landing_page_url"), F.struct(F.lit("Journal").alias("display_name")).alias("source")).alias("primary_location"),

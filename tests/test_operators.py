@@ -235,6 +235,13 @@ def test_scalars(spark):
     assert search.auto_nlist(199_999) == 0 and search.auto_nlist(8_300_000) == 4096 and search.auto_nlist(200_000) == 512
 
 
+def test_texts_are_inverted_and_stemmed_without_moving_words(spark):
+    rows = spark.createDataFrame([(1, "b a  b\x0bc\n"), (2, None), (3, "")], "i int, s string").select("i", X.invert_text("s").alias("m"), X.stems(F.split("s", " ")).alias("t"))
+    got = {r["i"]: (r["m"], r["t"]) for r in rows.collect()}
+    assert got[1][0] == {"b": [0, 2], "a": [1], "c": [3], "": [4]} and got[2] == ({"": [0]}, None) and got[3][0] == {"": [0]}
+    assert "Exchange" not in rows.coalesce(1)._jdf.queryExecution().executedPlan().toString().replace("CoalesceExchange", "")
+
+
 def test_durations_are_rounded_by_their_exact_value(spark):
     """Every tenth of an hour and of a day, and the halves between them, as printf writes them."""
     n = [*range(5400, 172800, 60), *range(172800, 3_000_000, 4320), 5940, 2**40 + 1, 2**50]
