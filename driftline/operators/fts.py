@@ -119,7 +119,10 @@ def bm25(posts: DataFrame, query: Query, any_word: bool = False, weights: dict[s
     scored = kept.join(F.broadcast(seen), "term").join(size, "id").crossJoin(F.broadcast(corpus))
     idf = F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)))
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("length") / F.col("average")))
-    return scored.groupBy("id").agg(F.sum(part).alias("bm25"))
+    # added up in the order of the query: in any other, papers of the same text could differ in the last bit and lose their order by id
+    terms = [*query.terms, "\0phrase"]
+    parts = scored.groupBy("id").agg(*[F.sum(F.when(F.col("term") == t, part)).alias(f"_{i}") for i, t in enumerate(terms)])
+    return parts.select("id", sum((F.coalesce(f"_{i}", F.lit(0.0)) for i in range(len(terms))), F.lit(0.0)).alias("bm25"))
 
 
 def order_key(sort: str) -> list[Column]:
