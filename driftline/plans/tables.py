@@ -12,10 +12,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as papers; year, topic and exclusion are synthetic attributes of the id."""
-    d, e = table(spark, sf_dir, "documents"), table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    base = d.select(
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``papers`` without their field, which takes a join that moves every text."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("id"),
         F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("abstract"),
@@ -26,7 +25,12 @@ def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
         (10000 + F.col("doc_id") % 37).cast("int").alias("topic"),
         F.col("doc_id").alias("seq"),
     )
-    return base.join(e, "id", "left").select("*", F.coalesce(F.concat(F.lit("field"), F.col("label").cast("string")), F.lit("")).alias("field")).drop("label")
+
+
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as papers; year, topic and exclusion are synthetic attributes of the id."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    return texts(spark, sf_dir).join(e, "id", "left").select("*", F.coalesce(F.concat(F.lit("field"), F.col("label").cast("string")), F.lit("")).alias("field")).drop("label")
 
 
 PAPERS_SQL = """papers AS (

@@ -9,7 +9,7 @@ from driftline.functions import scalars as S
 from driftline.functions import text as X
 from driftline.operators import explore, fts, ingest
 from driftline.operators.embed import embedding_text
-from driftline.plans.tables import INTERACTIONS_SQL, PAPERS_SQL, interactions, papers, table
+from driftline.plans.tables import INTERACTIONS_SQL, PAPERS_SQL, interactions, papers, table, texts
 from driftline.sources import files
 from driftline.sources.shared import exists, shared_path
 from driftline.sources.sinks import article_json, sitemap
@@ -45,7 +45,7 @@ def stored_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORED or not exists(spark, _STORED[key]):
         path = shared_path(spark, "text")
-        TextIndex(spark, path, columns=("title", "abstract")).sync(papers(spark, sf_dir), 0)
+        TextIndex(spark, path, columns=("title", "abstract")).sync(texts(spark, sf_dir), 0)
         _STORED[key] = path
     return TextIndex(spark, _STORED[key], columns=("title", "abstract"))
 
@@ -92,7 +92,7 @@ _TITLES = f"{POSTS_SQL}, titles AS (SELECT * FROM posts WHERE col = 'title')"
 
 
 def _search(spark: SparkSession, sf_dir: str, q: str, sort: str = "", page: int = 1) -> DataFrame:
-    return stored_index(spark, sf_dir).search(papers(spark, sf_dir), q, sort, page).select("place", "id", "tier", F.round("score", 5).alias("score"))
+    return stored_index(spark, sf_dir).search(texts(spark, sf_dir), q, sort, page).select("place", "id", "tier", F.round("score", 5).alias("score"))
 
 
 @query(f"WITH {PAPERS_SQL} SELECT id, {TOKENS.format('abstract')} AS tokens FROM papers")
@@ -220,11 +220,7 @@ def quality_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(replace(text, '\n', ' '), '<[^>]+>', '', 'g'), '[\s\x0B]+', ' ', 'g')) AS abstract FROM documents")
 def abstract_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # dealt by document first, so that neither aggregation moves words
-    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartition("doc_id")
-    words = d.select("doc_id", F.posexplode(F.split("text", r"\s+")).alias("p", "w"))
-    inverted = words.groupBy("doc_id", "w").agg(F.collect_list("p").alias("ps")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("inv"))
-    return inverted.select("doc_id", X.rebuild_text(F.col("inv")).alias("abstract"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.rebuild_text(X.invert_text(F.col("text"))).alias("abstract"))
 
 
 _TOPICS_SQL = """topics AS (SELECT 'T' || CAST(n_nationkey AS VARCHAR) AS topic_id, CASE WHEN n_nationkey % 4 = 0 THEN NULL ELSE n_name END AS category FROM nation),
@@ -356,7 +352,7 @@ def jsonl_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_TITLES}, {search_sql(['der', 'im'])}")
 def fts_unstored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same page as of the stored index, from papers tokenised for this one search."""
-    p = papers(spark, sf_dir)
+    p = texts(spark, sf_dir)
     found = fts.search(p, fts.postings(p, columns=("title", "abstract")), "der im")
     return found.select("place", "id", "tier", F.round("score", 5).alias("score"))
 
@@ -376,7 +372,7 @@ _CHANGED = f"""{PAPERS_SQL}, changed AS (
 @query(f"WITH {_CHANGED} SELECT id, col, count(*) AS n, CAST(sum(pos * length(term)) AS BIGINT) AS weight FROM cposts GROUP BY id, col")
 def fts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Postings after changed titles, exclusions and deletions came in as segments, the changes twice, and all were merged."""
-    p = papers(spark, sf_dir)
+    p = texts(spark, sf_dir)
     index = TextIndex(spark, shared_path(spark, "text"), columns=("title", "abstract"))
     index.sync(p, 1)
     changed = p.where("id % 10 = 0").withColumn("title", F.concat(F.lit("erneuerter Titel der "), F.col("id").cast("string"))).withColumn("excluded", F.col("id") % 25 == 0)
@@ -390,7 +386,7 @@ def fts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_CHANGED}, cp AS (SELECT id, title, abstract FROM changed), posts AS (SELECT * FROM cposts), titles AS (SELECT * FROM cposts WHERE col = 'title'), {search_sql(['erneuerter', 'der'])}")
 def fts_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search over segments that are not merged yet."""
-    p = papers(spark, sf_dir)
+    p = texts(spark, sf_dir)
     index = TextIndex(spark, shared_path(spark, "text"), columns=("title", "abstract"))
     index.sync(p, 1)
     index.sync(p.where("id % 10 = 0").withColumn("title", F.concat(F.lit("erneuerter Titel der "), F.col("id").cast("string"))).withColumn("excluded", F.col("id") % 25 == 0), 2)
@@ -401,7 +397,7 @@ def fts_after_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def fts_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A search in which postings and query are stemmed and folded; DuckDB has no stemmer here, so tests compare with Python."""
-    p = papers(spark, sf_dir)
+    p = texts(spark, sf_dir)
     index = TextIndex(spark, shared_path(spark, "stems"), stemmed=True, columns=("title", "abstract"))
     index.sync(p, 0)
     return index.search(p, "Licenses released").select("place", "id", "tier", F.round("score", 5).alias("score"))
@@ -415,5 +411,5 @@ _AUTHORED = f"""{PAPERS_SQL}, atok AS (
 @query(f"WITH {_AUTHORED} SELECT id, round(bm25, 5) AS bm25 FROM ({bm25_sql(['ann', 'src3'])})")
 def fts_bm25_authors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, authors and abstract with their weights; authors keep stop words."""
-    p = papers(spark, sf_dir).withColumn("authors", F.array(F.concat(F.lit("Ann "), F.col("venue")), F.concat(F.lit("The "), F.col("lang"))))
+    p = texts(spark, sf_dir).withColumn("authors", F.array(F.concat(F.lit("Ann "), F.col("venue")), F.concat(F.lit("The "), F.col("lang"))))
     return fts.bm25(fts.postings(p), fts.Query.of(spark, "ann src3")).select("id", F.round("bm25", 5).alias("bm25"))

@@ -1,7 +1,7 @@
 """A stored text index: segments of postings, and a pointer that names them and how far they reach.
 
-A sync adds a segment with the postings of its papers, sorted by term, and a row for each paper
-with its lengths, in buckets by id.  Rows of older segments that it replaces are looked up in the
+A sync adds a segment with the postings of its papers and a row for each paper with its lengths, in buckets
+by id.  Postings lie in files by parts of the papers, each sorted by term, so no posting is moved to be stored.  Rows of older segments that it replaces are looked up in the
 buckets of its ids, and named in the segment's list of what is gone; so each paper has one
 row that is not gone, totals change by what came and what went, and a commit reads its batch and
 what it replaces.  Segments of like size are merged (see segments), so a posting is written again
@@ -23,6 +23,8 @@ from driftline.sources.shared import read_pointer, remove, stored, write_pointer
 
 #: Papers added since all segments were merged beyond which they are again, if there are as many as before; a fixed value.
 MERGE_AT = 50_000
+#: Bytes of text whose postings a task sorts, and rows gone up to which they are broadcast; fixed values.
+PART_BYTES, FEW_GONE = 16 << 20, 1_000_000
 POSTING = "id long, col string, term string, pos int"
 DOCUMENT = "id long, length long, title_length long"
 GONE = "id long, segment string"
@@ -61,7 +63,10 @@ class TextIndex:
 
     def _without_gone(self, rows: DataFrame, some: list[int] | None = None) -> DataFrame:
         gone = self._gone(some)
-        return rows if gone is None else rows.join(gone, ["id", "segment"], "left_anti")
+        if gone is None:
+            return rows
+        few = sum(s["gone"] for s in self.state["segments"]) <= FEW_GONE
+        return rows.join(F.broadcast(gone) if few else gone, ["id", "segment"], "left_anti")
 
     def documents(self) -> DataFrame:
         """(id, length, title_length) of the papers that can be found."""
@@ -87,7 +92,7 @@ class TextIndex:
         if posts is None:  # only deletions
             documents = self.spark.createDataFrame([], DOCUMENT)
         else:
-            posts.repartitionByRange("term").sortWithinPartitions("term", "id").write.parquet(self._at("postings", name))
+            posts.sortWithinPartitions("term", "id").write.parquet(self._at("postings", name))
         if documents is None:
             written = self.spark.read.schema(POSTING).parquet(self._at("postings", name))
             sizes = written.groupBy("id").agg(F.count(F.lit(1)).alias("length"), F.count_if(F.col("col") == "title").alias("title_length"))
@@ -142,16 +147,34 @@ class TextIndex:
         """
         if offset <= self.state["offset"]:
             return False
-        if "seq" in papers.columns:
-            papers = papers.groupBy("id").agg(F.max_by(F.struct(*[c for c in papers.columns if c != "id"]), "seq").alias("p")).select("id", "p.*")
-        else:
-            papers = papers.dropDuplicates(["id"])
-        papers = stored(papers, "papers")
+        papers = stored(self._once(papers), "papers")
         ids = papers.select(F.col("id").cast("long").alias("id"))
         live = ids if "excluded" not in papers.columns else papers.where(~F.coalesce(F.col("excluded"), F.lit(False))).select(F.col("id").cast("long").alias("id"))
-        self._add(fts.postings(papers, columns=self.columns, stemmed=self.stemmed), live, ids, offset)
+        self._add(fts.postings(self._parts(papers), columns=self.columns, stemmed=self.stemmed), live, ids, offset)
         return True
 
+    @staticmethod
+    def _once(papers: DataFrame) -> DataFrame:
+        """One row for each id; only rows whose id repeats are grouped, so that the texts of the others aren't moved."""
+        again = stored(papers.groupBy("id").count().where("count > 1").select(F.col("id").alias("_id")), "again")
+        if not again.limit(1).count():
+            return papers
+        same = F.col("id").eqNullSafe(F.col("_id"))
+        some, rest = papers.join(again, same, "left_semi"), papers.join(again, same, "left_anti")
+        if "seq" in papers.columns:
+            one = some.groupBy("id").agg(F.max_by(F.struct(*[c for c in papers.columns if c != "id"]), "seq").alias("p")).select("id", "p.*")
+        else:
+            one = some.dropDuplicates(["id"])
+        return rest.select(*papers.columns).unionAll(one.select(*papers.columns))
+
+    def _parts(self, papers: DataFrame) -> DataFrame:
+        """Papers in parts of some ``PART_BYTES`` of text, whose postings a task can sort in memory."""
+        kinds = dict(papers.dtypes)
+        size = [F.coalesce(F.octet_length(F.array_join(F.col(c), " ") if kinds[c].startswith("array") else F.col(c)), F.lit(0)) for c in self.columns if c in kinds]
+        total = papers.agg(F.sum(sum(size, F.lit(0)).cast("long"))).first()[0] or 0
+        spread = min(self.spark.sparkContext.defaultParallelism, total >> 20)
+        return papers.repartition(max(1, spread, -(-total // PART_BYTES)), "id")
+
     def delete(self, ids: DataFrame, offset: int) -> bool:
         """Take papers out by id."""
         if offset <= self.state["offset"]:

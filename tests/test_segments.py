@@ -164,3 +164,21 @@ def test_a_base_filter_stands_beside_the_others(monkeypatch, params, asked, want
 
 def test_paper_columns_have_defaults(spark):
     assert [f.name for f in papers_of(spark, [1]).schema] == [f.name for f in PAPER]
+
+
+def test_postings_are_stored_without_moving_them(spark, tmp_path):
+    """Files hold the postings of parts of the papers, each sorted by term; of repeated ids the last row by seq is taken."""
+    index = TextIndex(spark, f"file://{tmp_path}/t", columns=("title", "abstract"))
+    rows = [(i, f"title {i}", "plain words " * 2000, i) for i in range(200)] + [(7, "later title", "novel", 900), (7, "earlier title", "novel", 800)]
+    index.sync(spark.createDataFrame(rows, "id long, title string, abstract string, seq long").repartition(5), 1)
+    files = index.postings().withColumn("f", F.input_file_name())
+    assert files.where("term = 'plain'").select("f").distinct().count() > 1  # a frequent term is not one task's
+    assert sorted(r[0] for r in index.postings().where("id = 7").select("term").collect()) == ["later", "novel", "title"]
+    assert index.state["docs"] == 200
+
+
+def test_papers_of_one_text_have_one_score(spark):
+    """Sums in any order differ in the last bit, and ties then aren't by id."""
+    p = spark.createDataFrame([(i, "", "der im wald " + "der " * (i % 7) + "im " * (i % 3) + "x " * (i % 5)) for i in range(2100)], "id long, title string, abstract string").repartition(7)
+    got = fts.bm25(fts.postings(p), fts.Query(("der", "im", "x")), any_word=True).collect()
+    assert len(got) == 2100 and len({(r["id"] % 105, r["bm25"]) for r in got}) == 105
