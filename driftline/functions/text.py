@@ -156,9 +156,7 @@ def stems(tokens: pa.Array) -> pa.Array:
 BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
-@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
-def invert_text(texts: pa.Array) -> pa.Array:
-    """Map from the words of a text, split at white space, to their positions; null is ''.  Within the row, so that no word is moved."""
+def _inverted(texts: pa.Array) -> pa.Array:
     ends, words, stops, places = [0], [], [0], []
     for s in texts.to_pylist():
         held: dict[str, list[int]] = {}
@@ -173,6 +171,15 @@ def invert_text(texts: pa.Array) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words, pa.string()), at)
 
 
+@F.arrow_udf(T.MapType(T.StringType(), T.ArrayType(T.IntegerType())))
+def invert_text(texts: pa.Array) -> pa.Array:
+    """Map from the words of a text, split at white space, to their positions; null is ''.  Within the row, so that no word is moved.
+
+    A batch goes by 256 texts, so Python holds the words of these alone.
+    """
+    return pa.concat_arrays([_inverted(texts.slice(i, 256)) for i in range(0, max(len(texts), 1), 256)])
+
+
 def rebuild_text(inverted: Column) -> Column:
     """Text of a map from words to positions; of words at the same place the greatest stays; null gives ''."""
     pairs = F.flatten(F.transform(F.map_entries(inverted), lambda e: F.transform(e["value"], lambda p: F.struct(p.alias("p"), e["key"].alias("w")))))
